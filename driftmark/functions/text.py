@@ -67,8 +67,8 @@ def word_tone(docs: DataFrame, text: str, positive: Sequence[str], negative: Seq
 
     marked = (docs.select(*keep, tokens(F.col(text)).alias("words"))
               .withColumn("marks", F.transform("words", mark)))
-    count = {v: F.size(F.filter("marks", lambda m, v=v: m == v)) for v in (1, -1)}
-    return (marked.select(*keep, count[1].alias("p"), count[-1].alias("n"), F.size("words").alias("w"))
+    return (marked.select(*keep, F.size(F.filter("marks", lambda m: m == 1)).alias("p"),
+                          F.size(F.filter("marks", lambda m: m == -1)).alias("n"), F.size("words").alias("w"))
             .select(*keep, *_tone_columns(F.col("p"), F.col("n"), F.col("w"), prefix)))
 
 
@@ -113,16 +113,17 @@ def mask_identity(text: Column, ticker: Column, name: Column) -> Column:
     return F.regexp_replace(text, "(?iU)" + FISCAL_YEAR, "fiscal [YEAR]")
 
 
-def rater_text(text: Column, ticker: Column, name: Column, max_chars: int, anonymize: bool = True) -> Column:
-    """What a rater sees: cut to its ``max_chars`` first, then masked."""
-    cut = F.substring(text, 1, max_chars)
+def rater_text(text: Column, ticker: Column, name: Column, max_chars: int | None = None,
+               anonymize: bool = True) -> Column:
+    """What a rater sees: the whole text, or what its own limit admits, masked afterwards."""
+    cut = text if max_chars is None else F.substring(text, 1, max_chars)
     return mask_identity(cut, ticker, name) if anonymize else cut
 
 
-def volume_estimate(docs: DataFrame, text: str, max_chars: int) -> DataFrame:
+def volume_estimate(docs: DataFrame, text: str, max_chars: int | None = None) -> DataFrame:
     """Documents and rough millions of tokens (four characters each) a rater would read."""
-    return docs.agg(F.count("*").alias("documents"),
-                    (F.sum(F.least(F.length(text), F.lit(max_chars))) / 4e6).alias("million_tokens"))
+    read = F.length(text) if max_chars is None else F.least(F.length(text), F.lit(max_chars))
+    return docs.agg(F.count("*").alias("documents"), (F.sum(read) / 4e6).alias("million_tokens"))
 
 
 def html_to_text(html: Column) -> Column:

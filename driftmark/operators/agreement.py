@@ -27,7 +27,7 @@ def weighted_kappa(a: Column, b: Column, n: Column) -> Column:
 
 
 def agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """``(keys…, n, exact, within_one, spearman, kappa)``."""
+    """``(keys…, n, exact, within_one, spearman, kappa)``; needs at least one key."""
     rated = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     pairs = rated.groupBy(*keys, a, b).agg(F.count("*").alias("n"))
     x, y, n = F.col(a).cast("double"), F.col(b).cast("double"), F.col("n")
@@ -36,9 +36,20 @@ def agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
         (F.sum(F.when(x == y, n).otherwise(0)) / F.sum(n)).alias("exact"),
         (F.sum(F.when(F.abs(x - y) <= 1, n).otherwise(0)) / F.sum(n)).alias("within_one"),
         weighted_kappa(x, y, n).alias("kappa"))
-    ranks = spearman(rated, keys, a, b, bounded=True).withColumnRenamed("rho", "spearman").drop("n", "x_varies")
-    joined = shares.join(ranks, list(keys)) if keys else shares.crossJoin(ranks)
-    return joined.select(*keys, F.col("rated").alias("n"), "exact", "within_one", "spearman", "kappa")
+    ranks = spearman(rated, keys, a, b, bounded=True).select(*keys, F.col("rho").alias("spearman"))
+    return (shares.join(ranks, list(keys))
+            .select(*keys, F.col("rated").alias("n"), "exact", "within_one", "spearman", "kappa"))
+
+
+def three_way(ratings: DataFrame, human: str = "human", main: str = "main", other: str = "other") -> DataFrame:
+    """Agreement of main and human, other and human, main and other: one row per ``comparison``."""
+    def pair(name: str, a: str, b: str) -> Column:
+        return F.struct(F.lit(name).alias("comparison"), F.col(a).alias("rating_a"), F.col(b).alias("rating_b"))
+
+    rated = ratings.filter(F.col(main).isNotNull() & F.col(other).isNotNull())
+    long = rated.select(F.inline(F.array(pair("main", human, main), pair("other", human, other),
+                                         pair("raters", main, other))))
+    return agreement(long, ["comparison"], "rating_a", "rating_b")
 
 
 def consistency(first: DataFrame, second: DataFrame,
@@ -96,8 +107,8 @@ def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: s
     filled = ratings.select(*[F.col(c).cast("int").alias(a) for c, a in
                               ((human, "h"), (main, "m"), (other, "o"))]).dropna()
     cells = filled.groupBy("h", "m", "o").agg(F.count("*").alias("n"))
-    packed = cells.agg(F.array_sort(F.collect_list(F.struct("h", "m", "o", "n"))).alias("cells"))
-    packed = (packed.filter(F.size("cells") > 0)
+    packed = (cells.agg(F.array_sort(F.collect_list(F.struct("h", "m", "o", "n"))).alias("cells"))
+              .filter(F.size("cells") > 0)
               .withColumn("upper", _running(F.col("cells")))
               .withColumn("rows", F.element_at("upper", -1)))
     replicates = (packed.select("cells", "upper", "rows", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
@@ -109,15 +120,23 @@ def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: s
     drawn = (draws.withColumn("pick", pick)
              .withColumn("cell", F.element_at("cells", F.size(F.filter("upper", lambda u: u <= F.col("pick"))) + 1))
              .groupBy("rep", "cell.h", "cell.m", "cell.o").agg(F.count("*").alias("n")))
-    kappa_main = weighted_kappa(F.col("h").cast("double"), F.col("m").cast("double"), F.col("n"))
-    kappa_other = weighted_kappa(F.col("h").cast("double"), F.col("o").cast("double"), F.col("n"))
-    spread = (drawn.groupBy("rep").agg((kappa_main - kappa_other).alias("difference"))
-              .agg(F.percentile("difference", F.array(*[F.lit(p) for p in INTERVAL])).alias("interval"),
-                   F.count("difference").alias("replicates")))
-    point = cells.agg(F.sum("n").alias("n"), kappa_main.alias("kappa_main"), kappa_other.alias("kappa_other"))
-    return point.crossJoin(spread).select(
-        "n", "kappa_main", "kappa_other", (F.col("kappa_main") - F.col("kappa_other")).alias("kappa_difference"),
-        F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"), "replicates")
+    # the full data joins as replicate 0
+    everything = cells.select(F.lit(0).alias("rep"), "h", "m", "o", "n").unionByName(drawn)
+    kappas = everything.groupBy("rep").agg(
+        F.sum("n").alias("n"),
+        weighted_kappa(F.col("h").cast("double"), F.col("m").cast("double"), F.col("n")).alias("kappa_main"),
+        weighted_kappa(F.col("h").cast("double"), F.col("o").cast("double"), F.col("n")).alias("kappa_other"))
+    difference = F.col("kappa_main") - F.col("kappa_other")
+    full, sampled = F.col("rep") == 0, F.when(F.col("rep") > 0, difference)
+    return (kappas.agg(
+        F.max(F.when(full, F.col("n"))).alias("n"),
+        F.max(F.when(full, F.col("kappa_main"))).alias("kappa_main"),
+        F.max(F.when(full, F.col("kappa_other"))).alias("kappa_other"),
+        F.max(F.when(full, difference)).alias("kappa_difference"),
+        F.percentile(sampled, F.array(*[F.lit(p) for p in INTERVAL])).alias("interval"),
+        F.count(sampled).alias("replicates"))
+        .select("n", "kappa_main", "kappa_other", "kappa_difference",
+                F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"), "replicates"))
 
 
 def _running(cells: Column) -> Column:

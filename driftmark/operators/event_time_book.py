@@ -118,7 +118,8 @@ def book_exposure(positions: DataFrame, daily: DataFrame) -> DataFrame:
 class EventTimeBook:
     """All frames of the event-time book for every signal in ``rows``.
 
-    The positions (at most one row per signal, company, day and leg) are written out once.
+    The positions (at most one row per signal, company, day and leg) and the daily returns are
+    written out once.
     """
 
     def __init__(self, rows: DataFrame, rets: DataFrame, market: DataFrame, calendar: DataFrame, *,
@@ -129,7 +130,7 @@ class EventTimeBook:
         self.rows = rows
         self.legs = day_legs(rows, quantiles, min_history, split_rows)
         self.positions = checkpointed(positions_from(rows, self.legs))
-        self.returns = event_time_returns(self.positions, *self._market_inputs, *self._terms)
+        self.returns = checkpointed(event_time_returns(self.positions, *self._market_inputs, *self._terms))
 
     def documents(self) -> DataFrame:
         return document_legs(self.rows, self.legs)

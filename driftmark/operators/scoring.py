@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def apply_rater(documents: DataFrame, rater: Rater, columns: tuple[str, ...] = (
 
 
 def score_documents(documents: DataFrame, rater: Rater, model: str, prompt_version: str, rep: int = 1,
-                    max_chars: int = 60_000, anonymize: bool = True) -> DataFrame:
+                    max_chars: int | None = None, anonymize: bool = True) -> DataFrame:
     """Rows for the answer table. ``documents``: key, event_id, ticker, name, text."""
     shown = rater_text(F.col("text"), F.col("ticker"), F.col("name"), max_chars, anonymize)
     rated = apply_rater(documents.withColumn("rater_text", shown), rater)
@@ -74,7 +75,7 @@ def score_documents(documents: DataFrame, rater: Rater, model: str, prompt_versi
 
 
 def score_into(spark: SparkSession, events: DataFrame, rater: Rater, path: str, model: str, prompt_version: str,
-               rep: int = 1, max_chars: int = 60_000, anonymize: bool = True) -> DataFrame:
+               rep: int = 1, max_chars: int | None = None, anonymize: bool = True) -> DataFrame:
     """Score what is open, append it to the table at ``path`` and return this rater's good answers."""
     known = read_answers(spark, path)
     todo = open_documents(events, known, model, prompt_version, rep)
@@ -86,10 +87,12 @@ def score_into(spark: SparkSession, events: DataFrame, rater: Rater, path: str,
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame | None:
     """The answer table, or None before the first run."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def hash_sample(df: DataFrame, n: int, seed: int, key: str = "event_id") -> DataFrame:
@@ -103,7 +106,7 @@ def first_documents(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy("published_at", "ticker", "event_id").limit(n)
 
 
-def review_sample(documents: DataFrame, n: int = 30, seed: int = 11, max_chars: int = 60_000,
+def review_sample(documents: DataFrame, n: int = 30, seed: int = 11, max_chars: int | None = None,
                   anonymize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A blind reading sample: (numbered texts, the key kept apart, an empty label sheet)."""
     drawn = (hash_sample(documents, n, seed)

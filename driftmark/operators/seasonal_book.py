@@ -126,7 +126,8 @@ def holdings_report(legs: DataFrame, moves: DataFrame, periods: DataFrame, daily
 class SeasonalBook:
     """All frames of the seasonal book for every signal in ``rows``.
 
-    The legs (signals x rebalances x names) feed all the rest and are written out once.
+    The legs (signals x rebalances x names) and the daily returns (signals x days) feed all the
+    rest and are written out once.
     """
 
     def __init__(self, rows: DataFrame, rets: DataFrame, calendar: DataFrame, *,
@@ -137,7 +138,8 @@ class SeasonalBook:
         self.latest = latest_documents(rows, rebalances, lookback_days)
         self.legs = checkpointed(seasonal_legs(self.latest, self.periods, quantiles, min_names_per_leg))
         self.turnover = turnover(self.legs)
-        self.returns = seasonal_returns(self.legs, self.turnover, self.periods, rets, cost_bps, borrow_bps_annual)
+        self.returns = checkpointed(
+            seasonal_returns(self.legs, self.turnover, self.periods, rets, cost_bps, borrow_bps_annual))
         self.holdings = holdings_report(self.legs, self.turnover, self.periods, self.returns)
 
     def days_to_trade(self) -> DataFrame:
