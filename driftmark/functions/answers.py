@@ -31,10 +31,11 @@ def parse_answers(df: DataFrame, answer: str) -> DataFrame:
     text = F.col(answer)
     head = F.substring_index(text, '"reason"', 1)
     closed = F.concat(F.regexp_replace(F.rtrim(head), r",*\z", ""), F.lit("}"))
-    parsed = (df.withColumn("full", F.from_json(text, _FULL, _OPTIONS))
-              .withColumn("whole", F.col("full").isNotNull() & F.col("full.broken").isNull())
-              .withColumn("rescued", F.when(~F.col("whole") & text.contains('"reason"'),
-                                            F.from_json(closed, _SCORES_ONLY, _OPTIONS)))
+    # exploding the one-element array keeps later filters from repeating the parsing
+    parsed = (df.select("*", F.explode(F.array(F.from_json(text, _FULL, _OPTIONS))).alias("full"))
+              .withColumn("whole", F.col("full").isNotNull() & F.col("full.broken").isNull()))
+    second = F.when(~F.col("whole") & text.contains('"reason"'), F.from_json(closed, _SCORES_ONLY, _OPTIONS))
+    parsed = (parsed.select("*", F.explode(F.array(second)).alias("rescued"))
               .withColumn("saved", F.col("rescued").isNotNull() & F.col("rescued.broken").isNull()))
 
     def field(name: str) -> Column:

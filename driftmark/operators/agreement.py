@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.answers import LEVELS
 from driftmark.operators.ranks import spearman
+from driftmark.session import checkpointed
 
 # Least number of labelled documents, resamples, interval ends.
 MIN_LABELS = 10
@@ -101,25 +102,23 @@ def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: s
     """Kappa of both raters with the human, their difference and its 90% bootstrap interval.
 
     A draw is md5(seed, replicate, draw) modulo n, so a replicate can be repeated anywhere.
-    Ratings are first counted per (human, main, other); draws pick a combination from running
-    counts, so one row of at most 125 entries is all that travels.
+    Ratings are first counted per (human, main, other), at most 125 combinations; draws carry
+    numbers only and find their combination by an equi-join on the drawn place.
     """
     filled = ratings.select(*[F.col(c).cast("int").alias(a) for c, a in
                               ((human, "h"), (main, "m"), (other, "o"))]).dropna()
-    cells = filled.groupBy("h", "m", "o").agg(F.count("*").alias("n"))
-    packed = (cells.agg(F.array_sort(F.collect_list(F.struct("h", "m", "o", "n"))).alias("cells"))
-              .filter(F.size("cells") > 0)
-              .withColumn("upper", _running(F.col("cells")))
-              .withColumn("rows", F.element_at("upper", -1)))
-    replicates = (packed.select("cells", "upper", "rows", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
+    cells = checkpointed(filled.groupBy("h", "m", "o").agg(F.count("*").alias("n")))
+    order = Window.orderBy("h", "m", "o")
+    places = (cells.withColumn("upper", F.sum("n").over(order))
+              .select("h", "m", "o", F.explode(F.sequence(F.col("upper") - F.col("n"), F.col("upper") - 1)).alias("place")))
+    replicates = (cells.agg(F.sum("n").alias("rows"))
+                  .select("rows", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
                   .repartition("rep"))
-    draws = replicates.select("cells", "upper", "rows", "rep",
-                              F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("draw"))
+    draws = replicates.select("rows", "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("draw"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
-    pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("rows")
-    drawn = (draws.withColumn("pick", pick)
-             .withColumn("cell", F.element_at("cells", F.size(F.filter("upper", lambda u: u <= F.col("pick"))) + 1))
-             .groupBy("rep", "cell.h", "cell.m", "cell.o").agg(F.count("*").alias("n")))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("rows")
+    drawn = (draws.select("rep", place.alias("place")).join(places, "place")
+             .groupBy("rep", "h", "m", "o").agg(F.count("*").alias("n")))
     # the full data joins as replicate 0
     everything = cells.select(F.lit(0).alias("rep"), "h", "m", "o", "n").unionByName(drawn)
     kappas = everything.groupBy("rep").agg(
@@ -139,13 +138,6 @@ def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: s
                 F.col("interval")[0].alias("low"), F.col("interval")[1].alias("high"), "replicates"))
 
 
-def _running(cells: Column) -> Column:
-    """Running totals of the counts in ``cells``."""
-    return F.transform(F.sequence(F.lit(1), F.size(cells)),
-                       lambda i: F.aggregate(F.slice(cells, F.lit(1), i), F.lit(0).cast("long"),
-                                             lambda acc, c: acc + c["n"]))
-
-
 def reading_verdict(comparison: DataFrame) -> DataFrame:
     """Add ``verdict`` to the bootstrap row."""
     verdict = (F.when(F.col("low") > 0, "main agrees more")

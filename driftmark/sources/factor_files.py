@@ -22,6 +22,10 @@ def _first(lines: Column, test, start: Column) -> Column:
     return F.coalesce(F.array_min(F.array_compact(tested)), F.size(lines) + 1)
 
 
+def _cells(line: Column) -> Column:
+    return F.transform(F.split(line, ","), lambda cell: F.trim(cell))
+
+
 def parse_factor_files(files: DataFrame) -> DataFrame:
     """``(file, date, factor, value)`` with percent turned into decimals.
 
@@ -33,9 +37,9 @@ def parse_factor_files(files: DataFrame) -> DataFrame:
     marked = lines.withColumn("header", header).filter(F.col("header") <= F.size("lines"))
     stop = _first(F.col("lines"), lambda x: ~F.trim(x).rlike("^[0-9]"), F.col("header"))
     body = (marked.withColumn("stop", stop)
-            .select("file", F.transform(F.split(F.element_at("lines", F.col("header")), ","), F.trim).alias("names"),
+            .select("file", _cells(F.element_at("lines", F.col("header"))).alias("names"),
                     F.explode(F.slice("lines", F.col("header") + 1, F.col("stop") - F.col("header") - 1)).alias("row"))
-            .withColumn("cells", F.transform(F.split("row", ","), F.trim)))
+            .withColumn("cells", _cells(F.col("row"))))
     pairs = F.arrays_zip(F.slice("names", 2, F.size("names") - 1).alias("factor"),
                          F.slice("cells", 2, F.size("names") - 1).alias("cell"))
     return (body.select("file", F.to_date(F.element_at("cells", 1), "yyyyMMdd").alias("date"), F.inline(pairs))
