@@ -96,37 +96,62 @@ def window_paths(windows: DataFrame, ar: DataFrame, hold_days: int) -> DataFrame
             .select("ticker", "t0_pos", "day", F.when(F.col("complete"), F.col("running")).alias("car")))
 
 
+class PricePanel:
+    """Calendar and returns of one price panel, each written out once: every later step reads them."""
+
+    def __init__(self, prices: DataFrame, market_ticker: str = "SPY"):
+        self.prices, self.market_ticker = prices, market_ticker
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return checkpointed(trading_calendar(self.prices))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return checkpointed(returns_from_prices(self.prices, self.calendar))
+
+    @cached_property
+    def tickers(self) -> DataFrame:
+        return self.returns.select("ticker").distinct()
+
+    @property
+    def market_returns(self) -> DataFrame:
+        return (self.returns.filter(F.col("ticker") == self.market_ticker)
+                .select("pos", "date", F.col("ret").alias("market")))
+
+
 class EventStudy:
     """The frames of one study.
 
-    The calendar, the returns and the document panel feed every later operator, so each is
-    written out once and read back; the rest stays lazy.
+    ``windows`` (at most tickers x days) and the document ``panel`` feed every later operator, so
+    each is written out once and read back; the rest stays lazy. While the windows are small the
+    documents meet them in a broadcast join and are never shuffled.
     """
 
-    def __init__(self, events: DataFrame, prices: DataFrame, universe: DataFrame | None = None, *,
+    def __init__(self, events: DataFrame, prices: DataFrame | PricePanel, universe: DataFrame | None = None, *,
                  benchmark: str = "market", market_ticker: str = "SPY", hold_days: int = 20,
                  entry_lag_days: int = 0, rebalance_months: Sequence[int] = (3, 6, 9, 12)):
-        self.events, self.prices, self.universe = events, prices, universe
-        self.benchmark, self.market_ticker = benchmark, market_ticker
+        self.market = prices if isinstance(prices, PricePanel) else PricePanel(prices, market_ticker)
+        self.events, self.universe, self.benchmark = events, universe, benchmark
         self.hold_days, self.entry_lag_days = hold_days, entry_lag_days
         self.months = tuple(rebalance_months)
         self.target = f"car_1_{hold_days}"
 
-    @cached_property
+    @property
     def calendar(self) -> DataFrame:
-        return checkpointed(trading_calendar(self.prices))
+        return self.market.calendar
 
-    @cached_property
+    @property
     def returns(self) -> DataFrame:
-        return checkpointed(returns_from_prices(self.prices, self.calendar))
+        return self.market.returns
 
-    @cached_property
-    def tickers(self) -> DataFrame:
-        return self.prices.select("ticker").distinct()
+    @property
+    def market_returns(self) -> DataFrame:
+        return self.market.market_returns
 
     @cached_property
     def abnormal(self) -> DataFrame:
-        bench = benchmark_tickers(self.tickers, self.universe, self.benchmark, self.market_ticker)
+        bench = benchmark_tickers(self.market.tickers, self.universe, self.benchmark, self.market.market_ticker)
         return abnormal_returns(self.returns, bench)
 
     @cached_property
@@ -137,8 +162,8 @@ class EventStudy:
     @cached_property
     def windows(self) -> DataFrame:
         """One row per (ticker, entry position) that a document uses."""
-        entries = self.dated.select("ticker", "t0_pos").distinct().join(self.tickers, "ticker", "left_semi")
-        return event_windows(entries, self.abnormal, self.calendar, self.hold_days)
+        entries = self.dated.select("ticker", "t0_pos").distinct().join(self.market.tickers, "ticker", "left_semi")
+        return checkpointed(event_windows(entries, self.abnormal, self.calendar, self.hold_days))
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -146,11 +171,6 @@ class EventStudy:
         return checkpointed(self.dated.join(self.windows, ["ticker", "t0_pos"])
                             .withColumn("season", season_label(F.col("t0"), self.months)))
 
-    @property
-    def market_returns(self) -> DataFrame:
-        return (self.returns.filter(F.col("ticker") == self.market_ticker)
-                .select("pos", "date", F.col("ret").alias("market")))
-
     @property
     def paths(self) -> DataFrame:
         """CAR paths by (ticker, t0_pos); all documents of a pair share one path."""

@@ -19,25 +19,23 @@ from driftmark.operators.ordering import SLICE, slices
 
 def _counts_in_slice(cells: DataFrame) -> DataFrame:
     """Earlier smaller and earlier equal counts inside each value range."""
-    day = F.col("t0_pos")
     last_day = cells.agg(F.max("t0_pos")).scalar()
     top = F.floor(F.log2(F.greatest(last_day, F.lit(1)))).cast("int")
     block = F.expr("shiftright(t0_pos, level)")
-    leveled = (cells.withColumn("last_day", last_day)
-               .withColumn("level", F.explode(F.sequence(F.lit(0), top))))
+    asks = block % 2 == 1
     # an even block is asked only by days of the block after it
     asked_later = F.expr("shiftleft(shiftright(t0_pos, level) + 1, level)") <= F.col("last_day")
-    filed = (leveled.filter((block % 2 == 0) & asked_later)
-             .select("signal", SLICE, "level", block.alias("block"), "value",
-                     F.lit(None).cast("int").alias("asking_day"), "n"))
-    asked = (leveled.filter(block % 2 == 1)
-             .select("signal", SLICE, "level", (block - 1).alias("block"), "value",
-                     day.alias("asking_day"), F.lit(0).cast("long").alias("n")))
+    rows = (cells.withColumn("last_day", last_day)
+            .withColumn("level", F.explode(F.sequence(F.lit(0), top)))
+            .filter(asks | asked_later)
+            .select("signal", SLICE, "level", F.when(asks, block - 1).otherwise(block).alias("block"), "value",
+                    F.when(asks, F.col("t0_pos")).alias("asking_day"),
+                    F.when(asks, 0).otherwise(F.col("n")).alias("n")))
     inside = ["signal", SLICE, "level", "block"]
     upto = F.sum("n").over(Window.partitionBy(*inside).orderBy("value")
                            .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ties = F.sum("n").over(Window.partitionBy(*inside, "value"))
-    return (filed.unionByName(asked)
+    return (rows
             .select("signal", SLICE, "value", "asking_day", (upto - ties).alias("smaller"), ties.alias("same"))
             .filter(F.col("asking_day").isNotNull())
             .groupBy("signal", SLICE, "value", F.col("asking_day").alias("t0_pos"))

@@ -43,7 +43,7 @@ def open_documents(events: DataFrame, answers: DataFrame | None, model: str, pro
     if answers is None:
         return keyed
     good = answers.filter(F.col("error").isNull()) if "error" in answers.columns else answers
-    return keyed.join(good.select("key"), "key", "left_anti")
+    return keyed.join(good.select("key").distinct(), "key", "left_anti")
 
 
 def apply_rater(documents: DataFrame, rater: Rater, columns: tuple[str, ...] = ("event_id", "ticker")) -> DataFrame:

@@ -12,7 +12,7 @@ from driftmark.operators import agreement as G
 from driftmark.operators import ranks as R
 from driftmark.operators import scoring as S
 from driftmark.operators.calendar import assign_t0, rebalance_dates, season_label
-from driftmark.operators.event_study import EventStudy
+from driftmark.operators.event_study import EventStudy, PricePanel
 from driftmark.operators.factor_model import factor_regression
 from driftmark.operators.history import historical_midrank
 from driftmark.operators.performance import long_series, perf_stats
@@ -20,6 +20,7 @@ from driftmark.operators.signals import build_signals
 from driftmark.plans import reports as P
 from driftmark.plans.study import Backtest
 from driftmark.plans.warehouse import EARLY_CUTOFF, HOLD_WEEKS, LATE_CUTOFF, MARKET, Warehouse, fund_close
+from driftmark.session import checkpointed
 from driftmark.sources import factor_files as FF
 from driftmark.sources import filings as L
 from driftmark.sources import register as E
@@ -51,17 +52,17 @@ def backtest(spark: SparkSession, folder: str, factors: DataFrame | None = None)
 # -- alignment and returns -------------------------------------------------------------------
 
 def returns_calendar_row(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(Warehouse(spark, folder).study.returns.select("ticker", "pos", "date", "ret"))
+    return tidy(Warehouse(spark, folder).market.returns.select("ticker", "pos", "date", "ret"))
 
 
 def assign_entry_day(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return assign_t0(w.scored, w.study.calendar).select("event_id", "t0_pos", "t0")
+    return assign_t0(w.documents_on_orders, w.market.calendar).select("event_id", "t0_pos", "t0")
 
 
 def assign_entry_day_lagged(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return assign_t0(w.scored, w.study.calendar, 2).select("event_id", "t0_pos", "t0")
+    return assign_t0(w.documents_on_orders, w.market.calendar, 2).select("event_id", "t0_pos", "t0")
 
 
 def car_query(study: EventStudy) -> DataFrame:
@@ -75,13 +76,12 @@ def event_car(spark: SparkSession, folder: str) -> DataFrame:
 def event_car_to_calendar_end(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty positions ahead, so the last documents run past the calendar."""
     w = Warehouse(spark, folder)
-    return car_query(EventStudy(w.scored, w.prices, market_ticker=MARKET, hold_days=20))
+    return car_query(EventStudy(w.scored, w.market, hold_days=20))
 
 
 def sector_benchmark_car(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return car_query(EventStudy(w.scored, w.prices, w.universe, benchmark="sector", market_ticker=MARKET,
-                                hold_days=HOLD_WEEKS))
+    return car_query(EventStudy(w.scored, w.market, w.universe, benchmark="sector", hold_days=HOLD_WEEKS))
 
 
 def car_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +95,7 @@ def season_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def rebalance_calendar(spark: SparkSession, folder: str) -> DataFrame:
     """Trimmed to start in the middle of a rebalance month."""
-    return rebalance_dates(Warehouse(spark, folder).study.calendar, (3, 6, 9, 12), "1996-03-15", "2000-12-31")
+    return rebalance_dates(Warehouse(spark, folder).market.calendar, (3, 6, 9, 12), "1996-03-15", "2000-12-31")
 
 
 def post_cutoff_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -365,7 +365,7 @@ def book_performance(spark: SparkSession, folder: str) -> DataFrame:
 
 def fund_performance(spark: SparkSession, folder: str) -> DataFrame:
     """Performance of every price series of the panel."""
-    return tidy(perf_stats(Warehouse(spark, folder).study.returns, ["ticker"]))
+    return tidy(perf_stats(Warehouse(spark, folder).market.returns, ["ticker"]))
 
 
 def wealth_chart(spark: SparkSession, folder: str) -> DataFrame:
@@ -402,12 +402,12 @@ def split_returns(w: Warehouse) -> DataFrame:
                     F.explode(sides).alias("ticker"))
             .filter(F.col("ticker").isNotNull())
             .groupBy("ticker", "date").agg(fund_close(F.col("l_extendedprice"), F.col("l_quantity")).alias("close")))
-    study = EventStudy(w.documents_on_orders, sums, market_ticker="all")
+    panel = PricePanel(checkpointed(sums), "all")
 
     def side(name: str) -> Column:
         return F.max(F.when(F.col("ticker") == name, F.col("ret")))
 
-    return study.returns.groupBy("date").agg(
+    return panel.returns.groupBy("date").agg(
         side("all").alias("Mkt-RF"), (side("small") - side("large")).alias("SMB"),
         (side("r") - side("n")).alias("HML"), (side("o") - side("f")).alias("RMW"),
         (side("cheap") - side("dear")).alias("CMA"), (side("taxed") - side("untaxed")).alias("Mom"))
@@ -419,16 +419,16 @@ def factor_returns(spark: SparkSession, folder: str) -> DataFrame:
 
 def one_factor_regression(spark: SparkSession, folder: str) -> DataFrame:
     """Every brand's returns on the market with Newey-West errors."""
-    study = Warehouse(spark, folder).study
-    market = study.market_returns.select("date", F.col("market").alias("Mkt-RF"))
-    brands = study.returns.filter(F.col("ticker").startswith("Brand"))
+    panel = Warehouse(spark, folder).market
+    market = panel.market_returns.select("date", F.col("market").alias("Mkt-RF"))
+    brands = panel.returns.filter(F.col("ticker").startswith("Brand"))
     return tidy(factor_regression(brands, market, ["ticker"]), digits=7) \
         .withColumnsRenamed({"beta_Mkt-RF": "beta_mkt", "t_Mkt-RF": "t_mkt"})
 
 
 def six_factor_regression(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    brands = w.study.returns.filter(F.col("ticker").startswith("Brand"))
+    brands = w.market.returns.filter(F.col("ticker").startswith("Brand"))
     return factor_regression(brands, split_returns(w), ["ticker"])
 
 
@@ -631,7 +631,7 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     events = w.scored.select("event_id", "ticker", "published_at", "guidance_tone", "guidance_other", "size")
 
     def summary(rater: str) -> DataFrame:
-        study = EventStudy(events.withColumn("primary", F.col(rater)), w.prices, market_ticker=MARKET, hold_days=HOLD_WEEKS)
+        study = EventStudy(events.withColumn("primary", F.col(rater)), w.market, hold_days=HOLD_WEEKS)
         b = Backtest(study, ["primary", "size"], training_cutoff=LATE_CUTOFF)
         return (R.pooled_ic(b.rows, study.target).join(R.ic_summary(b.ics), "signal", "left")
                 .join(R.hit_rate(b.quantiled(), study.target), "signal", "left"))

@@ -129,7 +129,7 @@ class Backtest:
         names = [f"{s}_{kind}_{col}" for s in self.signals for kind in ("seasonal", "event_time")
                  for col in ("gross", "net")]
         return sinks.wide_daily(self.daily_series(), names, self.study.market_returns,
-                                f"market_{self.study.market_ticker}")
+                                f"market_{self.study.market.market_ticker}")
 
     def scored_events(self) -> DataFrame:
         return self.panel.select("event_id", "ticker", "published_at", "t0", "season", "post_cutoff", "ar_day0",

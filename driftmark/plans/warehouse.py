@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.operators.event_study import EventStudy
+from driftmark.operators.event_study import EventStudy, PricePanel
 from driftmark.operators.signals import tone_score
 from driftmark.session import checkpointed
 
@@ -38,9 +38,12 @@ class Warehouse:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -98,15 +101,16 @@ class Warehouse:
         return checkpointed(self.documents_on_orders.withColumn("tone", tone_score()))
 
     @cached_property
-    def study(self) -> EventStudy:
-        return EventStudy(self.scored, self.prices, self.universe, market_ticker=MARKET, hold_days=HOLD_WEEKS)
+    def market(self) -> PricePanel:
+        return PricePanel(self.prices, MARKET)
 
     @cached_property
-    def sector_prices(self) -> DataFrame:
-        return self.prices.filter(F.col("ticker").startswith("SEC") | (F.col("ticker") == MARKET))
+    def study(self) -> EventStudy:
+        return EventStudy(self.scored, self.market, self.universe, hold_days=HOLD_WEEKS)
 
     @cached_property
     def sector_study(self) -> EventStudy:
         """The same documents filed under sectors, for data too sparse for brands."""
         events = self.scored.withColumn("ticker", sector_of(F.col("ticker")))
-        return EventStudy(events, self.sector_prices, market_ticker=MARKET, hold_days=HOLD_WEEKS)
+        prices = self.prices.filter(F.col("ticker").startswith("SEC") | (F.col("ticker") == MARKET))
+        return EventStudy(events, prices, market_ticker=MARKET, hold_days=HOLD_WEEKS)

@@ -63,7 +63,7 @@ def panel_tickers(universe: DataFrame, market_ticker: str) -> DataFrame:
 
 def missing_tickers(wanted: DataFrame, prices: DataFrame) -> DataFrame:
     """Wanted tickers still without any close."""
-    priced = prices.filter(F.col("close").isNotNull()).select("ticker")
+    priced = prices.filter(F.col("close").isNotNull()).select("ticker").distinct()
     return wanted.select("ticker").distinct().join(priced, "ticker", "left_anti")
 
 
