@@ -429,7 +429,7 @@ def one_factor_regression(spark: SparkSession, folder: str) -> DataFrame:
 def six_factor_regression(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
     brands = w.market.returns.filter(F.col("ticker").startswith("Brand"))
-    return factor_regression(brands, split_returns(w), ["ticker"])
+    return tidy(factor_regression(brands, split_returns(w), ["ticker"]), digits=6)
 
 
 def factor_file_text(w: Warehouse) -> DataFrame:
@@ -600,7 +600,10 @@ def missing_price_tickers(spark: SparkSession, folder: str) -> DataFrame:
 def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
     b = Backtest(w.study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=split_returns(w))
-    return tidy(b.summary(), digits=7)
+    summary = b.summary()
+    regression = [f.name for f in summary.schema.fields if f.name.startswith(("ff_", "ffe_")) and f.dataType.typeName() == "double"]
+    rest = [f.name for f in summary.schema.fields if f.dataType.typeName() == "double" and f.name not in regression]
+    return tidy(tidy(summary, *rest, digits=7), *regression, digits=6)
 
 
 def main_test(spark: SparkSession, folder: str) -> DataFrame:

@@ -347,6 +347,58 @@ reg AS (SELECT ticker, a * 252 AS alpha_ann, a / sqrt(i00 * i00 * m00 + 2 * i00
                b AS beta_mkt, b / sqrt(i01 * i01 * m00 + 2 * i01 * i11 * m01 + i11 * i11 * m11) AS t_mkt FROM inv)"""
 
 
+FACTOR_NAMES = ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "Mom")
+
+
+def six_factor(name: str, source: str, keys: str) -> str:
+    """Six-factor OLS with Newey-West errors by orthogonalising: the regressor of interest goes last,
+    so its residual x gives beta = <x, y> / <x, x> and its robust variance directly.
+
+    ``source``: keys, date, y. Result: keys, n, r2 and beta/t of c (the constant) and f1..f6.
+    """
+    columns = ["c"] + [f"f{i}" for i in range(1, 7)]
+    out = [f"""
+{name}_b AS (
+  SELECT * FROM (
+    SELECT {keys}, y, CAST(1 AS DOUBLE) AS c, """ + ", ".join(f'f."{f}" AS f{i}' for i, f in enumerate(FACTOR_NAMES, 1)) + f""",
+           row_number() OVER (PARTITION BY {keys} ORDER BY s.date) AS i, count(*) OVER (PARTITION BY {keys}) AS n
+    FROM {source} s JOIN factors f ON f.date = s.date
+    WHERE y IS NOT NULL AND """ + " AND ".join(f'f."{f}" IS NOT NULL' for f in FACTOR_NAMES) + ") WHERE n >= 60)"]
+    for target in columns:
+        order = [c for c in columns if c != target] + [target]
+        previous = f"{name}_b"
+        for step, pivot in enumerate(order[:-1]):
+            rest = order[step + 1:] + (["y"] if target == "c" else [])
+            moved = ", ".join(f"{x} - {pivot} * sum({x} * {pivot}) OVER w / sum({pivot} * {pivot}) OVER w AS {x}" for x in rest)
+            out.append(f"{name}_{target}{step} AS (SELECT {keys}, i, {moved} FROM {previous} WINDOW w AS (PARTITION BY {keys}))")
+            previous = f"{name}_{target}{step}"
+        if target == "c":
+            out.append(f"{name}_u AS (SELECT {keys}, i, y - c * sum(y * c) OVER w / sum(c * c) OVER w AS u FROM {previous} WINDOW w AS (PARTITION BY {keys}))")
+        out.append(f"""
+{name}_{target}s AS (
+  SELECT {keys}, i, x.{target} AS x, x.{target} * u AS g, b.y FROM {previous} x JOIN {name}_u USING ({keys}, i) JOIN {name}_b b USING ({keys}, i)),
+{name}_{target} AS (
+  SELECT {keys}, beta AS beta_{target}, beta / (sqrt(m) / xx) AS t_{target} FROM
+    (SELECT {keys}, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx FROM {name}_{target}s GROUP BY {keys})
+    JOIN (SELECT {", ".join("p." + k for k in keys.split(", "))}, sum((1 - abs(p.i - q.i) / 6.0) * p.g * q.g) AS m FROM {name}_{target}s p
+          JOIN {name}_{target}s q ON {" AND ".join(f"p.{k} = q.{k}" for k in keys.split(", "))} AND q.i BETWEEN p.i - 5 AND p.i + 5
+          GROUP BY {", ".join("p." + k for k in keys.split(", "))}) USING ({keys}))""")
+    joins = " ".join(f"JOIN {name}_{c} USING ({keys})" for c in columns)
+    out.append(f"""
+{name} AS (
+  SELECT * FROM (SELECT {keys}, count(*) AS n, 1 - sum(u * u) / (var_pop(y) * count(*)) AS r2 FROM {name}_u JOIN {name}_b USING ({keys}, i) GROUP BY {keys}) {joins})""")
+    return ",\n" + ",\n".join(out)
+
+
+def six_factor_select(prefix: str = "", digits: int = 6, group: str = "") -> str:
+    """Columns as the engine names them; with ``group`` they are picked out of a joined summary."""
+    pairs = [("alpha_ann", "beta_c * 252"), ("alpha_t", "t_c"), ("r2", "r2")]
+    pairs += [(f"{kind}_{f}", f"{kind}_f{i}") for i, f in enumerate(FACTOR_NAMES, 1) for kind in ("beta", "t")]
+    shown = [f'{r(f"max(CASE WHEN kind = {group} THEN {e} END)" if group else e, digits)} AS "{prefix}{n}"' for n, e in pairs]
+    count = f'max(CASE WHEN kind = {group} THEN n END) AS "{prefix}n"' if group else f'n AS "{prefix}n"'
+    return ", ".join(shown + [count])
+
+
 def kappa(a: str, b: str, n: str = "1") -> str:
     expected = (f"(sum({n} * {a} * {a}) + sum({n} * {b} * {b}) - 2.0 * sum({n} * {a}) * sum({n} * {b}) / sum({n}))")
     return f"CASE WHEN {expected} > 0 THEN 1 - sum({n} * ({a} - {b}) * ({a} - {b})) / {expected} END"
@@ -397,18 +449,30 @@ MONTHS = ("(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|A
           "|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\\.?")
 SUFFIX = "(?:,? (?:Inc|Corp|Corporation|Company|Co|plc)\\.?)?"
 
-MASKED = rf"""
-WITH parts AS (
-  SELECT doc_id, text || ' On January 30, 2025 fiscal ''24 ended; since 1999.' AS body, regexp_split_to_array(text, '\s+') AS w FROM documents),
-named AS (SELECT doc_id, body, w[4] AS ticker, concat_ws(' ', w[1], w[2], 'Inc.') AS name, concat_ws(' ', w[1], w[2]) AS core FROM parts),
-one AS (SELECT *, regexp_replace(body, '(?i)' || regexp_escape(name) || '{SUFFIX}', 'the Company', 'g') AS m1 FROM named),
+def masked_of(named: str) -> str:
+    """``masked`` from a CTE body ``named`` (doc_id, body, ticker, name, core). RE2 has no look-around,
+    so the ticker rule takes its neighbours along and runs twice."""
+    return rf"""
+named AS ({named}),
+one AS (SELECT *, CASE WHEN length(name) > 2 THEN regexp_replace(body, '(?i)' || regexp_escape(name) || '{SUFFIX}', 'the Company', 'g') ELSE body END AS m1 FROM named),
 two AS (SELECT *, CASE WHEN length(core) > 2 THEN regexp_replace(m1, '(?i)' || regexp_escape(core) || '{SUFFIX}', 'the Company', 'g') ELSE m1 END AS m2 FROM one),
 three AS (SELECT *, CASE WHEN ticker IS NULL THEN m2 ELSE regexp_replace(regexp_replace(m2,
             '(^|[^A-Za-z])' || regexp_escape(ticker) || '($|[^A-Za-z])', '\1TICKER\2', 'g'),
             '(^|[^A-Za-z])' || regexp_escape(ticker) || '($|[^A-Za-z])', '\1TICKER\2', 'g') END AS m3 FROM two),
 four AS (SELECT *, regexp_replace(m3, '\b{MONTHS}\s+\d{{1,2}},?\s+(?:19|20)\d{{2}}\b', '[DATE]', 'g') AS m4 FROM three),
-five AS (SELECT *, regexp_replace(m4, '\b(?:19|20)\d{{2}}\b', '[YEAR]', 'g') AS m5 FROM four)
-SELECT doc_id, regexp_replace(m5, '\b(?:fiscal|FY)\s?''?\d{{2}}\b', 'fiscal [YEAR]', 'gi') AS masked FROM five"""
+five AS (SELECT *, regexp_replace(m4, '\b(?:19|20)\d{{2}}\b', '[YEAR]', 'g') AS m5 FROM four),
+masked AS (SELECT doc_id, regexp_replace(m5, '\b(?:fiscal|FY)\s?''?\d{{2}}\b', 'fiscal [YEAR]', 'gi') AS masked FROM five)"""
+
+
+MASKED = r"""
+WITH parts AS (
+  SELECT doc_id, text || ' On January 30, 2025 fiscal ''24 ended; since 1999.' AS body, regexp_split_to_array(text, '\s+') AS w FROM documents),""" \
+    + masked_of("SELECT doc_id, body, w[4] AS ticker, concat_ws(' ', w[1], w[2], 'Inc.') AS name, concat_ws(' ', w[1], w[2]) AS core FROM parts") \
+    + " SELECT doc_id, masked FROM masked"
+
+REVIEW = ("WITH " + masked_of("SELECT doc_id, text AS body, upper(lang) AS ticker, source AS name, source AS core FROM documents") + """
+SELECT CAST(row_number() OVER (ORDER BY md5('11|' || doc_id), CAST(doc_id AS VARCHAR)) AS INTEGER) AS number, CAST(doc_id AS VARCHAR) AS event_id,
+       CAST(length(masked) AS INTEGER) AS characters FROM masked ORDER BY md5('11|' || doc_id), CAST(doc_id AS VARCHAR) LIMIT 30""")
 
 
 def _decoded(expr: str) -> str:
@@ -526,6 +590,21 @@ def summary_perf() -> str:
     return ", ".join(columns)
 
 
+SUMMARY = (IC_SUMMARY + POOLED + QUANTILED + BOOKS[len(ROWS):] + EXPOSURE + perf("book_perf", "series", "kind, signal, series") + SPLITS
+           + """,
+nets AS (SELECT kind, signal, date, net AS y FROM books)""" + six_factor("ff", "nets", "kind, signal") + f""",
+perf_wide AS (SELECT signal, {summary_perf()} FROM book_perf GROUP BY 1),
+ff_wide AS (SELECT signal, {six_factor_select('ff_', 6, "'seasonal'")}, {six_factor_select('ffe_', 6, "'event'")} FROM ff GROUP BY 1)
+SELECT p.signal, n_events, {r('pooled_ic', 7)} AS pooled_ic, post_cutoff_n, {r('post_cutoff_pooled_ic', 7)} AS post_cutoff_pooled_ic,
+       {r('mean_ic', 7)} AS mean_ic, {r('ic_t', 7)} AS ic_t, {r('ic_p', 7)} AS ic_p, {r('ic_t_crit', 7)} AS ic_t_crit,
+       {r('ic_pos_share', 7)} AS ic_pos_share, seasons, {r('hit_rate', 7)} AS hit_rate, hit_n, {r('top_q_car', 7)} AS top_q_car,
+       {r('bottom_q_car', 7)} AS bottom_q_car, {r('seasonal_turnover', 7)} AS seasonal_turnover,
+       {r('seasonal_periods_positive', 7)} AS seasonal_periods_positive, seasonal_periods, event_positions_long, event_positions_short,
+       event_median_names_long, event_median_names_short, {r('event_share_both_legs', 7)} AS event_share_both_legs,
+       {r('event_share_one_leg', 7)} AS event_share_one_leg, w.* EXCLUDE (signal), f.* EXCLUDE (signal)
+FROM pooled p LEFT JOIN ic_stats i USING (signal) LEFT JOIN hits h USING (signal) LEFT JOIN period_stats s USING (signal)
+LEFT JOIN exposure e USING (signal) LEFT JOIN perf_wide w USING (signal) LEFT JOIN ff_wide f USING (signal)""")
+
 COMPARED_RANKS = ("n_events", "post_cutoff_n", "mean_ic", "ic_t", "ic_t_crit", "ic_p", "hit_rate", "post_cutoff_pooled_ic")
 
 COMPARISON = (IC_SUMMARY + POOLED + QUANTILED + """,
@@ -604,6 +683,7 @@ ORACLE: dict[str, str] = {
     "model_version": ANSWER_LOG + " SELECT string_agg(model_id, ', ' ORDER BY model_id) AS model_version FROM (SELECT DISTINCT model_id FROM log)",
     "hash_sample": BASE + f" SELECT event_id, ticker FROM docs ORDER BY md5('{SEED}|' || event_id), event_id LIMIT 40",
     "first_documents": BASE + " SELECT event_id, ticker, published_at FROM docs ORDER BY published_at, ticker, event_id LIMIT 50",
+    "review_sample": REVIEW,
     "build_tone_signals": BASE + f""" SELECT event_id, {r('tone')} AS tone, CAST(guidance_tone AS DOUBLE) AS tone_guidance,
         CAST(CASE WHEN margins_mentioned THEN margins_tone ELSE 0 END AS DOUBLE) AS tone_margins,
         CAST(CASE WHEN demand_mentioned THEN demand_tone ELSE 0 END AS DOUBLE) AS tone_demand, CAST(overall_tone AS DOUBLE) AS tone_overall FROM scored""",
@@ -638,6 +718,8 @@ ORACLE: dict[str, str] = {
         f'{r(chr(34) + c + chr(34))} AS "{c}"' for c in ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "Mom")) + " FROM factors",
     "one_factor_regression": BASE + REGRESSION + f""" SELECT ticker, {r('alpha_ann', 7)} AS alpha_ann, {r('alpha_t', 7)} AS alpha_t, {r('r2', 7)} AS r2, n,
         {r('beta_mkt', 7)} AS beta_mkt, {r('t_mkt', 7)} AS t_mkt FROM reg""",
+    "six_factor_regression": BASE + SPLITS + ", brand_y AS (SELECT ticker, date, ret AS y FROM rets WHERE ticker LIKE 'Brand%')"
+        + six_factor("ff", "brand_y", "ticker") + f" SELECT ticker, {six_factor_select()} FROM ff",
     "factor_files": BASE + SPLITS + f""" SELECT date, {r('round("Mkt-RF" * 100, 4) / 100', 8)} AS mkt_rf, {r('round("SMB" * 100, 4) / 100', 8)} AS smb
         FROM factors WHERE "Mkt-RF" IS NOT NULL AND "SMB" IS NOT NULL""",
     "rater_agreement": BASE + """, pair AS (
@@ -679,6 +761,7 @@ ORACLE: dict[str, str] = {
         SELECT ticker, date, {r('close')} AS close FROM merged WHERE ticker IN (SELECT ticker FROM merged WHERE close IS NOT NULL)""",
     "missing_price_tickers": BASE + """ SELECT DISTINCT ticker FROM prices
         WHERE ticker NOT IN ('MKT', 'SEC1', 'SEC3') AND NOT ends_with(ticker, '2')""",
+    "backtest_summary": SUMMARY,
     "main_test": MAIN_TEST + " " + unpivoted("wide", ("mean_ic", "ic_t", "ic_p", "ic_t_crit", "ic_pos_share", "seasons", "seasonal_net_sharpe",
                                                      "seasonal_net_sharpe_se"), 8),
     "main_verdict": MAIN_TEST + f""" SELECT signal, {r('mean_ic', 8)} AS mean_ic, {r('ic_p', 8)} AS ic_p, ic_p < 0.05 AS significant,
