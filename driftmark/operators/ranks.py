@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftmark.functions.student_t import critical_975, two_sided_p
 from driftmark.operators.ordering import SPLIT_ROWS, largest_group, positions, running_counts
-from driftmark.session import checkpointed
+from driftmark.session import broadcast_if_small, checkpointed
 
 
 def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -37,7 +37,9 @@ def _mid_ranks_sliced(pairs: DataFrame, keys: Sequence[str], column: str, out: s
     ranks = (running_counts(counts, keys, [column], "ties", split_rows)
              .select(*keys, column,
                      (F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2).alias(out)))
-    return pairs.join(ranks, [*keys, column])
+    # few distinct values: their ranks are broadcast and a hot value costs nothing; many: the join
+    # shuffles, and adaptive execution splits a value that still stands out
+    return pairs.join(broadcast_if_small(ranks), [*keys, column])
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, bounded: bool = False,

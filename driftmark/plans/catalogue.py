@@ -386,23 +386,29 @@ def scored_events(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- factors ---------------------------------------------------------------------------------
 
+# The two-way splits behind the factors: side -> condition on an order line.
+SPLITS = {
+    "all": "true",
+    "small": "p_size <= 25", "large": "p_size > 25",
+    "r": "l_returnflag = 'R'", "n": "l_returnflag = 'N'",
+    "o": "l_linestatus = 'O'", "f": "l_linestatus <> 'O'",
+    "cheap": "l_discount >= 0.05", "dear": "l_discount < 0.05",
+    "taxed": "l_tax >= 0.04", "untaxed": "l_tax < 0.04",
+}
+
+
 def split_returns(w: Warehouse) -> DataFrame:
     """Weekly factor columns from two-way splits of the order lines, one pass over them."""
     lines = w.table("lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_returnflag",
                                        "l_linestatus", "l_discount", "l_tax")
     parts = w.table("part").select("p_partkey", "p_size")
-    sides = F.array(
-        F.lit("all"), F.when(F.col("p_size") <= 25, "small").otherwise("large"),
-        F.when(F.col("l_returnflag") == "R", "r").when(F.col("l_returnflag") == "N", "n"),
-        F.when(F.col("l_linestatus") == "O", "o").otherwise("f"),
-        F.when(F.col("l_discount") >= 0.05, "cheap").otherwise("dear"),
-        F.when(F.col("l_tax") >= 0.04, "taxed").otherwise("untaxed"))
-    sums = (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-            .select(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"), "l_extendedprice", "l_quantity",
-                    F.explode(sides).alias("ticker"))
-            .filter(F.col("ticker").isNotNull())
-            .groupBy("ticker", "date").agg(fund_close(F.col("l_extendedprice"), F.col("l_quantity")).alias("close")))
-    panel = PricePanel(checkpointed(sums), "all")
+    closes = (lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+              .groupBy(F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"))
+              .agg(*[fund_close(F.when(F.expr(kept), F.col("l_extendedprice")),
+                                F.when(F.expr(kept), F.col("l_quantity"))).alias(name) for name, kept in SPLITS.items()])
+              .unpivot("date", list(SPLITS), "ticker", "close")
+              .filter(F.col("close").isNotNull()))
+    panel = PricePanel(checkpointed(closes), "all")
 
     def side(name: str) -> Column:
         return F.max(F.when(F.col("ticker") == name, F.col("ret")))
@@ -608,7 +614,7 @@ def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def main_test(spark: SparkSession, folder: str) -> DataFrame:
     b = backtest(spark, folder)
-    seasonal = b.performance.filter((F.col("kind") == "seasonal") & (F.col("series") == "net")).select(
+    seasonal = perf_stats(b.seasonal.returns, ["signal"], "net").select(
         "signal", F.col("sharpe").alias("seasonal_net_sharpe"), F.col("sharpe_se").alias("seasonal_net_sharpe_se"))
     summary = R.ic_summary(b.ics).join(seasonal, "signal", "left")
     return tidy(P.main_test_table(summary, SIGNALS), digits=8)
@@ -616,16 +622,20 @@ def main_test(spark: SparkSession, folder: str) -> DataFrame:
 
 def main_verdict(spark: SparkSession, folder: str) -> DataFrame:
     b = backtest(spark, folder)
-    seasonal = b.performance.filter((F.col("kind") == "seasonal") & (F.col("series") == "net")).select(
-        "signal", F.col("sharpe").alias("seasonal_net_sharpe"))
+    seasonal = perf_stats(b.seasonal.returns, ["signal"], "net").select("signal", F.col("sharpe").alias("seasonal_net_sharpe"))
     return tidy(P.main_test_verdict(R.ic_summary(b.ics).join(seasonal, "signal", "left"), "tone"), digits=8)
 
 
 def noise_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """Brands whose one-factor alpha looks significant, flagged by the rule of the report."""
-    rows = one_factor_regression(spark, folder).select(F.col("ticker").alias("signal"), F.col("alpha_t").alias("ff_alpha_t"))
-    brands = [f"Brand#{i}" for i in range(1, 26)]
-    return P.noise_flags(rows, brands)
+    """Books whose six-factor alpha looks significant, flagged by the rule of the report."""
+    w = Warehouse(spark, folder)
+    b = Backtest(w.study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=split_returns(w))
+
+    def alpha(kind: str) -> Column:
+        return F.max(F.when(F.col("kind") == kind, F.col("alpha_t")))
+
+    rows = b.factor_rows.groupBy("signal").agg(alpha("seasonal").alias("ff_alpha_t"), alpha("event").alias("ffe_alpha_t"))
+    return tidy(P.noise_flags(rows, SIGNALS), digits=6)
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:

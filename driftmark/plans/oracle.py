@@ -766,7 +766,8 @@ ORACLE: dict[str, str] = {
                                                      "seasonal_net_sharpe_se"), 8),
     "main_verdict": MAIN_TEST + f""" SELECT signal, {r('mean_ic', 8)} AS mean_ic, {r('ic_p', 8)} AS ic_p, ic_p < 0.05 AS significant,
         CASE WHEN seasonal_net_sharpe IS NULL OR seasonal_net_sharpe < 0.5 THEN 'little' ELSE 'profitable' END AS book FROM wide WHERE signal = 'tone'""",
-    "noise_flags": BASE + REGRESSION + f" SELECT ticker AS signal, 'seasonal' AS book, {r('alpha_t', 7)} AS alpha_t FROM reg WHERE abs(alpha_t) > 2",
+    "noise_flags": BOOKS + SPLITS + ", nets AS (SELECT kind, signal, date, net AS y FROM books)" + six_factor("ff", "nets", "kind, signal")
+        + f" SELECT signal, kind AS book, {r('t_c', 6)} AS alpha_t FROM ff WHERE abs(t_c) > 2",
     "model_comparison": COMPARISON,
     "sector_ic": SECTOR,
 }

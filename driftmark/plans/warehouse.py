@@ -15,6 +15,7 @@ from driftmark.session import checkpointed
 
 HOLD_WEEKS = 8
 MARKET = "MKT"
+PART_KEYS = 10 ** 12
 EARLY_CUTOFF, LATE_CUTOFF = "1997-12-31", "2000-06-30"
 TONES = ("guidance", "margins", "demand", "overall")
 
@@ -74,9 +75,10 @@ class Warehouse:
     @cached_property
     def documents_on_orders(self) -> DataFrame:
         """Orders as documents: company, publication time and two raters' answers."""
-        first = (self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-                 .groupBy("l_orderkey")
-                 .agg(F.min(F.struct("l_linenumber", "l_partkey"))["l_partkey"].alias("p_partkey")))
+        # line number and part in one number, so that the aggregation hashes instead of sorting
+        place = F.col("l_linenumber").cast("long") * PART_KEYS + F.col("l_partkey")
+        first = (self.table("lineitem").select("l_orderkey", place.alias("place"))
+                 .groupBy("l_orderkey").agg((F.min("place") % PART_KEYS).alias("p_partkey")))
         brands = self.table("part").select("p_partkey", F.col("p_brand").alias("ticker"))
         key, cust = F.col("o_orderkey"), F.col("o_custkey")
         guidance = (3 - F.substring("o_orderpriority", 1, 1).cast("int")).cast("int")

@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftmark.sources.tables import read_labels
+
 
 def wide_daily(series: DataFrame, names: Sequence[str], market: DataFrame | None = None,
                market_name: str = "market") -> DataFrame:
@@ -38,3 +41,21 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet"
             writer.option("header", True).csv(f"{folder}/{name}")
         else:
             writer.format(fmt).save(f"{folder}/{name}")
+
+
+def write_review(texts: DataFrame, key: DataFrame, sheet: DataFrame, folder: str) -> None:
+    """Blind sample under ``folder``: texts, an empty label sheet, and the key kept apart.
+
+    A sheet that already holds scores is never overwritten.
+    """
+    try:
+        filled = read_labels(sheet.sparkSession, f"{folder}/labels").filter(F.trim("guidance_tone") != "").limit(1).count()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        filled = 0
+    if filled:
+        raise ValueError(f"{folder}/labels already has scores in it; not overwriting")
+    texts.write.mode("overwrite").parquet(f"{folder}/texts")
+    key.write.mode("overwrite").parquet(f"{folder}/key")
+    sheet.write.mode("overwrite").option("header", True).csv(f"{folder}/labels")

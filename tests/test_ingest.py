@@ -187,3 +187,16 @@ def test_sinks(spark, tmp_path):
     holdings = spark.createDataFrame([(["A", "B"], ["C"])], "longs array<string>, shorts array<string>")
     sinks.write_tables({"h": sinks.holdings_export(holdings)}, str(tmp_path), "csv")
     assert spark.read.csv(str(tmp_path / "h"), header=True).first().longs == "A B"
+
+
+def test_review_sheet_with_scores_is_not_overwritten(spark, tmp_path):
+    folder = str(tmp_path / "review")
+    sample = S.review_sample(documents(spark, 12), 10, 7)
+    sinks.write_review(*sample, folder)
+    sinks.write_review(*sample, folder)
+    sheet = T.read_labels(spark, folder + "/labels")
+    assert sheet.count() == 10 and sheet.filter("guidance_tone is not null").count() == 0
+    filled = spark.createDataFrame([(1, "2", "")], "number int, guidance_tone string, notes string")
+    filled.write.mode("append").option("header", True).csv(folder + "/labels")
+    with pytest.raises(ValueError, match="not overwriting"):
+        sinks.write_review(*sample, folder)
