@@ -451,14 +451,15 @@ SUFFIX = "(?:,? (?:Inc|Corp|Corporation|Company|Co|plc)\\.?)?"
 
 def masked_of(named: str) -> str:
     """``masked`` from a CTE body ``named`` (doc_id, body, ticker, name, core). RE2 has no look-around,
-    so the ticker rule takes its neighbours along and runs twice."""
+    so the ticker rule takes its neighbours along and runs twice; a sign that is no letter stands in
+    for the mask until the end, as two tickers may touch."""
     return rf"""
 named AS ({named}),
 one AS (SELECT *, CASE WHEN length(name) > 2 THEN regexp_replace(body, '(?i)' || regexp_escape(name) || '{SUFFIX}', 'the Company', 'g') ELSE body END AS m1 FROM named),
 two AS (SELECT *, CASE WHEN length(core) > 2 THEN regexp_replace(m1, '(?i)' || regexp_escape(core) || '{SUFFIX}', 'the Company', 'g') ELSE m1 END AS m2 FROM one),
-three AS (SELECT *, CASE WHEN ticker IS NULL THEN m2 ELSE regexp_replace(regexp_replace(m2,
-            '(^|[^A-Za-z])' || regexp_escape(ticker) || '($|[^A-Za-z])', '\1TICKER\2', 'g'),
-            '(^|[^A-Za-z])' || regexp_escape(ticker) || '($|[^A-Za-z])', '\1TICKER\2', 'g') END AS m3 FROM two),
+three AS (SELECT *, CASE WHEN ticker IS NULL THEN m2 ELSE replace(regexp_replace(regexp_replace(m2,
+            '(^|[^A-Za-z])' || regexp_escape(ticker) || '($|[^A-Za-z])', '\1' || chr(1) || '\2', 'g'),
+            '(^|[^A-Za-z])' || regexp_escape(ticker) || '($|[^A-Za-z])', '\1' || chr(1) || '\2', 'g'), chr(1), 'TICKER') END AS m3 FROM two),
 four AS (SELECT *, regexp_replace(m3, '\b{MONTHS}\s+\d{{1,2}},?\s+(?:19|20)\d{{2}}\b', '[DATE]', 'g') AS m4 FROM three),
 five AS (SELECT *, regexp_replace(m4, '\b(?:19|20)\d{{2}}\b', '[YEAR]', 'g') AS m5 FROM four),
 masked AS (SELECT doc_id, regexp_replace(m5, '\b(?:fiscal|FY)\s?''?\d{{2}}\b', 'fiscal [YEAR]', 'gi') AS masked FROM five)"""
