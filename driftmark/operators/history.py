@@ -32,9 +32,9 @@ def _counts_in_slice(cells: DataFrame) -> DataFrame:
                     F.when(asks, F.col("t0_pos")).alias("asking_day"),
                     F.when(asks, 0).otherwise(F.col("n")).alias("n")))
     inside = ["signal", SLICE, "level", "block"]
-    upto = F.sum("n").over(Window.partitionBy(*inside).orderBy("value")
-                           .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ties = F.sum("n").over(Window.partitionBy(*inside, "value"))
+    by_value = Window.partitionBy(*inside).orderBy("value")
+    upto = F.sum("n").over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum("n").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
     return (rows
             .select("signal", SLICE, "value", "asking_day", (upto - ties).alias("smaller"), ties.alias("same"))
             .filter(F.col("asking_day").isNotNull())

@@ -23,10 +23,10 @@ def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -
 
 
 def _mid_ranks(pairs: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
-    """Centred average rank of ``column`` inside each group by two windows."""
-    upto = F.sum("n").over(Window.partitionBy(*keys).orderBy(column)
-                           .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ties = F.sum("n").over(Window.partitionBy(*keys, column))
+    """Centred average rank of ``column`` inside each group; both frames share one sort."""
+    by_value = Window.partitionBy(*keys).orderBy(column)
+    upto = F.sum("n").over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ties = F.sum("n").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
     total = F.sum("n").over(Window.partitionBy(*keys))
     return pairs.withColumn(out, upto - (ties - 1) / 2 - (total + 1) / 2)
 

@@ -174,7 +174,7 @@ def lm_tone_joined(spark: SparkSession, folder: str) -> DataFrame:
 def mask_identity(spark: SparkSession, folder: str) -> DataFrame:
     """Each document loses its own first two words as the name and its fourth as the ticker."""
     docs = Warehouse(spark, folder).table("documents")
-    word = F.split("text", r"\s+")
+    word = F.split("text", r"\s+", 5)
     name = F.concat_ws(" ", F.get(word, F.lit(0)), F.get(word, F.lit(1)), F.lit("Inc."))
     masked = X.mask_identity(F.concat(F.col("text"), F.lit(" On January 30, 2025 fiscal '24 ended; since 1999.")),
                              F.get(word, F.lit(3)), name)
