@@ -27,7 +27,10 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("driftmark-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
+             # the tables are megabytes here: cut scans and shuffles finely enough for every core
+             .config("spark.sql.files.openCostInBytes", "262144")
+             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").count()
     times = {}

@@ -1,7 +1,7 @@
 """The seasonal book: rank companies by their latest document, trade at each rebalance.
 
-Documents are reduced to the latest per (signal, company, entry day) before anything else, so
-what follows is bounded by companies times days and no busy company reaches a single task whole.
+Documents are reduced to the latest per (signal, rebalance, company) before anything else, so what
+follows is bounded by companies times rebalances and no busy company reaches a single task whole.
 """
 from __future__ import annotations
 
@@ -23,16 +23,14 @@ def latest_documents(rows: DataFrame, rebalances: DataFrame, lookback_days: int)
     """Latest document per (signal, rebalance, ticker) with t0 in [R - lookback, R).
 
     ``rows``: signal, event_id, ticker, t0, published_at, value. The window is unrolled into the
-    days it covers (rebalances x lookback days, calendar-sized) and joined on equality.
+    days it covers (rebalances x lookback days, calendar-sized) and joined on equality by broadcast;
+    documents of a busy company combine on the map side before the only shuffle.
     """
     newest = F.struct("t0", "published_at", "event_id")
-    per_day = (rows.groupBy("signal", "ticker", "t0")
-               .agg(F.max_by(F.struct("event_id", "published_at", "value"), newest).alias("doc"))
-               .select("signal", "ticker", "t0", "doc.*"))
     covered = rebalances.select(
         "rebalance",
         F.explode(F.sequence(F.date_sub("rebalance", lookback_days), F.date_sub("rebalance", 1))).alias("t0"))
-    return (per_day.join(F.broadcast(covered), "t0")
+    return (rows.join(F.broadcast(covered), "t0")
             .groupBy("signal", "rebalance", "ticker")
             .agg(F.max_by(F.struct("event_id", "t0", "value"), newest).alias("doc"))
             .select("signal", "rebalance", "ticker", "doc.*"))
