@@ -19,6 +19,9 @@ MIN_LABELS = 10
 RESAMPLES = 2000
 INTERVAL = (0.05, 0.95)
 
+# Replicates are few rows before their draws are written out, so their spread is set by hand.
+BOOTSTRAP_TASKS = 64
+
 
 def weighted_kappa(a: Column, b: Column, n: Column) -> Column:
     """Quadratic-weighted kappa as an aggregate over counted pairs; null without expected disagreement."""
@@ -113,7 +116,7 @@ def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: s
               .select("h", "m", "o", F.explode(F.sequence(F.col("upper") - F.col("n"), F.col("upper") - 1)).alias("place")))
     replicates = (cells.agg(F.sum("n").alias("rows"))
                   .select("rows", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
-                  .repartition("rep"))
+                  .repartition(min(resamples, BOOTSTRAP_TASKS), "rep"))
     draws = replicates.select("rows", "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("draw"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
     place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("rows")

@@ -6,6 +6,7 @@ Membership compares a score with strictly earlier ones only. Positions are colla
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,10 +128,20 @@ class EventTimeBook:
                  cost_bps: float = 10, borrow_bps_annual: float = 50, split_rows: int | None = None):
         self._market_inputs = (rets, market, calendar)
         self._terms = (hold_days, cost_bps, borrow_bps_annual)
+        self._membership = (quantiles, min_history, split_rows)
         self.rows = rows
-        self.legs = day_legs(rows, quantiles, min_history, split_rows)
-        self.positions = checkpointed(positions_from(rows, self.legs))
-        self.returns = checkpointed(event_time_returns(self.positions, *self._market_inputs, *self._terms))
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        return day_legs(self.rows, *self._membership)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return checkpointed(positions_from(self.rows, self.legs))
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return checkpointed(event_time_returns(self.positions, *self._market_inputs, *self._terms))
 
     def documents(self) -> DataFrame:
         return document_legs(self.rows, self.legs)

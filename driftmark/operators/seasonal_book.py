@@ -6,6 +6,7 @@ follows is bounded by companies times rebalances and no busy company reaches a s
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,13 +133,27 @@ class SeasonalBook:
                  rebalance_months: Sequence[int] = (3, 6, 9, 12), lookback_days: int = 100, quantiles: int = 5,
                  min_names_per_leg: int = 3, cost_bps: float = 10, borrow_bps_annual: float = 50):
         rebalances = rebalance_dates(calendar, rebalance_months)
+        self._rets = rets
+        self._leg_terms = (quantiles, min_names_per_leg)
+        self._costs = (cost_bps, borrow_bps_annual)
         self.periods = hold_days(calendar, rebalances)
         self.latest = latest_documents(rows, rebalances, lookback_days)
-        self.legs = checkpointed(seasonal_legs(self.latest, self.periods, quantiles, min_names_per_leg))
-        self.turnover = turnover(self.legs)
-        self.returns = checkpointed(
-            seasonal_returns(self.legs, self.turnover, self.periods, rets, cost_bps, borrow_bps_annual))
-        self.holdings = holdings_report(self.legs, self.turnover, self.periods, self.returns)
+
+    @cached_property
+    def legs(self) -> DataFrame:
+        return checkpointed(seasonal_legs(self.latest, self.periods, *self._leg_terms))
+
+    @cached_property
+    def turnover(self) -> DataFrame:
+        return turnover(self.legs)
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        return checkpointed(seasonal_returns(self.legs, self.turnover, self.periods, self._rets, *self._costs))
+
+    @cached_property
+    def holdings(self) -> DataFrame:
+        return holdings_report(self.legs, self.turnover, self.periods, self.returns)
 
     def days_to_trade(self) -> DataFrame:
         """Median calendar days between the latest document and the rebalance that uses it, per signal."""
