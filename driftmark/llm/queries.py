@@ -3,16 +3,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_templates, pieces, quality, simhash
+from .oracle import ORACLE  # noqa: F401 - read by the registry
+from . import chat, decontaminate, lattice_lm, line_templates, pieces, quality, revisits, sanitise, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.removals(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.scores(_table(spark, sf_dir, "documents"))
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.formatted(turns)).withColumnRenamed("conv", "conv_id")
+
+
+def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.spans(_table(spark, sf_dir, "documents"))
+    base, term = sanitise.described(F.col("base")), sanitise.described(F.col("terms"), F.lit("term"))
+    counts = [_counted(k).alias(f"n_{k}") for k in sanitise.KINDS]
+    every = F.array_join(F.filter(F.array(base, term), lambda s: s != ""), ",")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"))
+
+
+def _counted(kind: str) -> Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -28,6 +57,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures(_table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.select("record_id", "url", "outcome", "response_id", "payload_digest", F.array_join(lines, "\n").alias("headers"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +72,6 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(encoded).select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_decontamination, op6_line_templates, op7_quality, op9_simhash, op10_pieces)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_substrings, op2_lattice_lm, op3_chat_windows, op4_sanitise, op5_decontamination, op6_line_templates, op7_quality,
+    op8_revisits, op9_simhash, op10_pieces)}
