@@ -6,8 +6,9 @@ text can be read back.
 
 Prefix sums of turn tokens lay each conversation on a line that is cut into cells of what the budget
 leaves beside history and system turn. Turns inside one cell form a span; a turn that crosses a border
-is a span of its own. So every span is turn-aligned and within its cell, unless a single turn is longer:
-turns are never cut, such a window says ``over_budget``. Each span becomes a window: the system turn, as much
+is a span of its own. So every span is turn-aligned and within its cell, unless a single turn is longer.
+Turns are never cut: a window of such a turn, or one whose system turn leaves less than a quarter of
+the budget, says ``over_budget``. Each span becomes a window: the system turn, as much
 history as its budget allows, then the span. Only assistant texts of the span itself are under the
 loss mask, so every target counts once.
 

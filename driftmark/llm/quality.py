@@ -38,9 +38,9 @@ class Band(NamedTuple):
 
 
 # Bands per language; the scripts serve documents without a listed language.
-LANGUAGES = {"en": Band(1.4, 6.0, 0.10, 0.35), "de": Band(1.3, 5.5, 0.10, 0.35), "fr": Band(1.2, 5.5, 0.10, 0.35),
-             "es": Band(1.2, 5.5, 0.10, 0.35)}
-SCRIPTS = {"latin": Band(1.1, 6.5, 0.15, 0.35), "cyrillic": Band(1.0, 5.0, 0.20, 0.35),
+LANGUAGES = {"en": Band(1.2, 6.0, 0.10, 0.35), "de": Band(1.2, 5.5, 0.10, 0.35), "fr": Band(1.1, 5.5, 0.10, 0.35),
+             "es": Band(1.1, 5.5, 0.10, 0.35)}
+SCRIPTS = {"latin": Band(1.0, 6.5, 0.15, 0.35), "cyrillic": Band(0.9, 5.0, 0.20, 0.35),
            "other": Band(0.25, 4.0, 0.95, 0.30)}
 
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")

@@ -37,7 +37,7 @@ class _Edges:
     def __init__(self, table: pa.Table, span: int) -> None:
         ids = table.column("id")
         self.null = ids.combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        # a null id is nobody's smaller one and has none: it takes part as the largest
+        # a null id is nobody's smaller one: it takes part as the largest and loses nothing
         self.ids = ids.fill_null(_LAST).combine_chunks().cast(pa.int64()).to_numpy(zero_copy_only=False)
         self.counts = np.zeros(len(self.ids), np.int64)
         columns: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -185,7 +185,7 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         told = answers.filter(pa.compute.equal(answers.column("kind"), "edge")).sort_by("part")
         source, place = edges.id[first], edges.at[first]
         source[flags], place[flags] = _gathered(told, "ids", np.int64), _gathered(told, "places", np.uint32)
-        again = source[which] < edges.id
+        again = (source[which] < edges.id) & ~edges.null[edges.row]
         row, at, source, place = edges.row[again], edges.at[again], source[which][again], place[which][again]
         order = np.lexsort((at, row))
         row, at, source, place = row[order], at[order], source[order], place[order]
