@@ -38,9 +38,9 @@ def canonical_url(url: Column) -> Column:
 
 
 def lowered(headers: Column) -> Column:
-    """Header names in lower case; of names that then are equal the first stays. Null gives no headers."""
+    """Header names in lower case; of names that then are equal the first in sorting order stays. Null gives no headers."""
     names = F.array_distinct(F.transform(F.map_keys(headers), lambda k: F.lower(k)))
-    first = F.transform(names, lambda n: F.filter(F.map_entries(headers), lambda e: F.lower(e["key"]) == n)[0]["value"])
+    first = F.transform(names, lambda n: F.filter(F.array_sort(F.map_entries(headers)), lambda e: F.lower(e["key"]) == n)[0]["value"])
     return F.coalesce(F.map_from_arrays(names, first), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
 
 
