@@ -31,6 +31,19 @@ class Trie:
         self.piece = np.full(len(states) + 1, -1, np.int64)
         for at, i in ends.items():
             self.piece[at] = i
+        # the first step, taken from every position of every word, by direct look-up
+        self.first = np.zeros(1 << 16, np.int64)
+        for (state, char), to in states.items():
+            if not state and ord(char) < len(self.first):
+                self.first[ord(char)] = to
+
+    def enter(self, code: np.ndarray) -> np.ndarray:
+        """States after the first code point."""
+        state = self.first[np.minimum(code, len(self.first) - 1)]
+        beyond = np.flatnonzero(code >= len(self.first))
+        if len(beyond):
+            state[beyond] = self.step(np.zeros(len(beyond), np.int64), code[beyond])
+        return state
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Following states, 0 where the trie ends (nothing leads back to the root)."""
@@ -59,9 +72,10 @@ def arcs(codes: np.ndarray, trie: Trie) -> Iterator[tuple[int, int, np.ndarray,
     """
     rows, size = codes.shape
     for start in range(size):
-        row, state = np.arange(rows), np.zeros(rows, np.int64)
+        row, state = np.arange(rows), trie.enter(codes[:, start])
         for length in range(1, size - start + 1):
-            state = trie.step(state, codes[row, start + length - 1])
+            if length > 1:
+                state = trie.step(state, codes[row, start + length - 1])
             piece = trie.piece[state]
             if length == 1:
                 yield start, 1, row, np.where(state > 0, piece, -1)

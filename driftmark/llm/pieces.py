@@ -13,6 +13,7 @@ the stretches of a batch that are new are searched side by side.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +52,10 @@ class Pieces:
         self.numbers = np.array([*[ids[n] for n in score], *[byte_ids[ord(c)] for c in spelled]], np.int32)
         self.text_of = {i: p.encode() for p, i in ids.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
 
-    @classmethod
-    def from_file(cls, path: str) -> Pieces:
+    @staticmethod
+    @lru_cache(maxsize=1)
+    def from_file(path: str) -> Pieces:
+        """The vocabulary of a file; a worker process keeps it, and the words it remembers, from task to task."""
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         score, ids = {}, {}
@@ -60,7 +63,7 @@ class Pieces:
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 piece = model.id_to_piece(i)
                 score[piece], ids[piece] = model.get_score(i), i
-        return cls(score, ids, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], model.unk_id())
+        return Pieces(score, ids, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], model.unk_id())
 
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
