@@ -5,16 +5,16 @@ before day d are cut into at most log2(days) aligned blocks, one per set bit of
 filed once per level under its block, each question asks the blocks its day is made of, and
 inside a block a running count by value answers. All keys are equalities.
 
-Scores are first collapsed to (signal, day, value) with counts. If a signal has more distinct
-pairs than one task should sort, its values are cut into ranges: blocks are counted inside a
-range, and a day-by-range grid adds the counts of all lower ranges.
+Scores are first collapsed to (signal, day, value) with counts. Values are cut into ranges, so that no
+task sorts all pairs of a signal: blocks are counted inside a range, and a day-by-range grid adds the
+counts of all lower ranges.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.operators.ordering import SLICE, slices
+from driftmark.operators.ordering import SLICE, cuts, sliced
 
 
 def _counts_in_slice(cells: DataFrame) -> DataFrame:
@@ -65,20 +65,18 @@ def history_before(rows: DataFrame) -> DataFrame:
     return per_day.select("signal", "t0_pos", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_prior"))
 
 
-def historical_midrank(rows: DataFrame, split_rows: int | None = None) -> DataFrame:
+def historical_midrank(rows: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """``(signal, t0_pos, value, n_prior, hist_pct)`` for every distinct score of a day.
 
     ``hist_pct`` is (earlier smaller + half of earlier equal) / earlier, null without history.
     """
     cells = rows.groupBy("signal", "t0_pos", "value").agg(F.count("*").alias("n"))
-    parts, cut = slices(cells, ["signal"], ["value"], split_rows)
+    parts = sliced(cells, "value", cuts(cells, ["value"], slice_rows)["value"])
     answers = _counts_in_slice(parts)
     cells = parts.select("signal", SLICE, "t0_pos", "value")
     placed = cells.join(answers, ["signal", SLICE, "t0_pos", "value"], "left")
-    smaller = F.coalesce("smaller", F.lit(0))
-    if cut:
-        placed = placed.join(_counts_in_lower_slices(parts), ["signal", SLICE, "t0_pos"])
-        smaller = smaller + F.col("lower")
+    placed = placed.join(_counts_in_lower_slices(parts), ["signal", SLICE, "t0_pos"])
+    smaller = F.coalesce("smaller", F.lit(0)) + F.col("lower")
     rank = smaller + F.lit(0.5) * F.coalesce("same", F.lit(0))
     return (placed.join(history_before(rows), ["signal", "t0_pos"])
             .select("signal", "t0_pos", "value", "n_prior",

@@ -1,11 +1,10 @@
 """Ordered computations over groups of any size.
 
-A window puts a whole group into one task. That is right for groups bounded by the
-calendar or the universe, and wrong for groups of documents, where one season or one
-company may hold a third of all rows. The functions here first count the largest group.
-Below ``SPLIT_ROWS`` they use a plain window. Above it the rows are range-partitioned along
-(group, order), the slice number is fixed by a checkpoint, each slice is worked on alone,
-and a table with one row per (group, slice) carries totals from slice to slice.
+A window puts a whole group into one task, and one season or one company may hold a third of all
+documents. So groups are cut into slices along the order: the cuts are approximate percentiles of the
+order column, taken in one job and fixed as literals. Each slice is worked on alone, and a table with
+one row per (group, slice) carries totals from slice to slice. There is one path for all sizes; only
+the number of slices follows the number of rows.
 """
 from __future__ import annotations
 
@@ -14,82 +13,84 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.session import checkpointed
-
-# Rows one task is asked to sort at most; larger groups are cut into slices.
-SPLIT_ROWS = 2_000_000
+# Rows a slice holds about, and the fewest slices.
+SLICE_ROWS = 1_000_000
+MIN_SLICES = 4
 
 SLICE = "slice_no"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
-    """(rows of the largest group, rows in all)."""
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("group_size"))
-    row = sizes.agg(F.max("group_size").alias("biggest"), F.sum("group_size").alias("rows")).first()
-    return row["biggest"] or 0, row["rows"] or 0
+def _number(df: DataFrame, column: str) -> Column:
+    """The order column as a double that orders alike: instants by their microseconds."""
+    kind = df.schema[column].dataType.typeName()
+    if kind in ("timestamp", "timestamp_ntz", "date"):
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    return F.col(column).cast("double")
 
 
-def slices(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-           split_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Number contiguous slices along (keys, order).
+def cuts(df: DataFrame, columns: Sequence[str], slice_rows: int | None = None) -> dict[str, list[float]]:
+    """Cut points of each column, from one job."""
+    fine = [i / 1000 for i in range(1, 1000)]
+    found = df.agg(F.count("*").alias("rows"), *[F.percentile_approx(_number(df, c), fine, 10_000).alias(f"at_{i}") for i, c in enumerate(columns)]).first()
+    parts = min(1000, max(MIN_SLICES, -(-found["rows"] // (slice_rows or SLICE_ROWS))))
+    return {c: sorted({found[f"at_{i}"][k * 1000 // parts - 1] for k in range(1, parts)} if found[f"at_{i}"] else set()) for i, c in enumerate(columns)}
 
-    Returns the checkpointed rows with ``slice_no`` and whether any group was cut. The
-    slice numbers are written out before use: range bounds are sampled, and a second
-    evaluation could draw others.
-    """
-    limit = split_rows or SPLIT_ROWS
-    stored = checkpointed(df)
-    biggest, rows = largest_group(stored, keys)
-    if biggest <= limit:
-        return stored.withColumn(SLICE, F.lit(0)), False
-    parts = max(2, -(-rows // limit))
-    cut = stored.repartitionByRange(parts, *keys, *order).withColumn(SLICE, F.spark_partition_id())
-    return checkpointed(cut), True
-
-
-def running_counts(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: str | Column,
-                   split_rows: int | None = None) -> DataFrame:
+
+def sliced(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
+    """Add ``slice_no``: equal values share a slice, larger values never lie in a lower one; nulls come first."""
+    if not bounds:
+        return df.withColumn(SLICE, F.lit(0))
+    number = _number(df, column)
+    return df.withColumn(SLICE, F.coalesce(F.size(F.filter(F.lit(list(bounds)), lambda b: b <= number)), F.lit(-1)))
+
+
+def running_counts(df: DataFrame, keys: Sequence[str], order: str, n: str | Column,
+                   bounds: Sequence[float] | None = None) -> DataFrame:
     """Add ``below`` (sum of ``n`` over earlier rows of the group) and ``total``.
 
     Rows must be unique in (keys, order).
     """
     weight = F.col(n) if isinstance(n, str) else n
-    parts, cut = slices(df.withColumn("weight_n", weight.cast("long")), keys, order, split_rows)
-    before = (Window.partitionBy(*keys, SLICE).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    local = F.coalesce(F.sum("weight_n").over(before), F.lit(0))
-    if not cut:
-        out = (parts.withColumn("below", local)
-               .withColumn("total", F.sum("weight_n").over(Window.partitionBy(*keys, SLICE))))
-    else:
-        totals = parts.groupBy(*keys, SLICE).agg(F.sum("weight_n").alias("slice_n"))
-        along = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(
-            *keys, SLICE,
-            F.coalesce(F.sum("slice_n").over(along), F.lit(0)).alias("carried"),
-            F.sum("slice_n").over(Window.partitionBy(*keys)).alias("total"))
-        out = (parts.join(carry, [*keys, SLICE])
-               .withColumn("below", F.col("carried") + local)
-               .drop("carried"))
-    return out.drop("weight_n", SLICE)
-
-
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              split_rows: int | None = None) -> DataFrame:
-    """Add the 1-based ``position`` of each row in its group and the group's ``total``."""
-    return (running_counts(df, keys, order, F.lit(1), split_rows)
-            .withColumn("position", F.col("below") + 1).drop("below"))
+    parts = sliced(df.withColumn("weight_n", weight.cast("long")), order, cuts(df, [order])[order] if bounds is None else bounds)
+    before = Window.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = parts.groupBy(*keys, SLICE).agg(F.sum("weight_n").alias("slice_n"))
+    along = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, SLICE, F.coalesce(F.sum("slice_n").over(along), F.lit(0)).alias("carried"),
+                          F.sum("slice_n").over(Window.partitionBy(*keys)).alias("total"))
+    return (parts.join(carry, [*keys, SLICE])
+            .withColumn("below", F.col("carried") + F.coalesce(F.sum("weight_n").over(before), F.lit(0)))
+            .drop("carried", "weight_n", SLICE))
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds: dict[str, list[float]] | None = None) -> DataFrame:
+    """Add the 1-based ``position`` of each row in its group and the group's ``total``.
+
+    The rows below a value are counted from the counts of distinct values; rows that tie in the first
+    column are cut along the second, so a value that most rows share is no burden to one task.
+    """
+    first, rest = order[0], list(order[1:])
+    bounds = bounds or cuts(df, [first, *rest[:1]])
+    counts = df.groupBy(*keys, first).agg(F.count("*").alias("ties"))
+    smaller = running_counts(counts, keys, first, "ties", bounds[first]).select(*keys, first, "below", "total")
+    if not rest:
+        return df.join(smaller, [*keys, first]).withColumn("position", F.col("below") + 1).drop("below")
+    parts = sliced(df, rest[0], bounds[rest[0]])
+    tied = [*keys, first]
+    totals = parts.groupBy(*tied, SLICE).agg(F.count("*").alias("slice_n"))
+    along = Window.partitionBy(*tied).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (totals.select(*tied, SLICE, F.coalesce(F.sum("slice_n").over(along), F.lit(0)).alias("carried"))
+             .join(smaller, tied))
+    return (parts.join(carry, [*tied, SLICE])
+            .withColumn("position", F.col("below") + F.col("carried") + F.row_number().over(Window.partitionBy(*tied, SLICE).orderBy(*rest)))
+            .drop("below", "carried", SLICE))
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str,
-                   split_rows: int | None = None) -> DataFrame:
+                   bounds: Sequence[float] | None = None) -> DataFrame:
     """Add ``out``: the value of ``column`` on the group's row before this one."""
-    parts, cut = slices(df, keys, order, split_rows)
+    parts = sliced(df, order[0], cuts(df, order[:1])[order[0]] if bounds is None else bounds)
     ordered = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    if not cut:
-        return parts.withColumn(out, F.lag(column).over(ordered)).drop(SLICE)
-    ends = parts.groupBy(*keys, SLICE).agg(
-        F.max_by(F.struct(column), F.struct(*order)).alias("slice_end"))
+    ends = parts.groupBy(*keys, SLICE).agg(F.max_by(F.struct(column), F.struct(*order)).alias("slice_end"))
     along = Window.partitionBy(*keys).orderBy(SLICE)
     carry = ends.select(*keys, SLICE, F.lag("slice_end").over(along).getField(column).alias("carried"))
     return (parts.join(carry, [*keys, SLICE])

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.student_t import critical_975, two_sided_p
-from driftmark.operators.ordering import SPLIT_ROWS, largest_group, positions, running_counts
-from driftmark.session import broadcast_if_small, checkpointed
+from driftmark.operators.ordering import cuts, positions, running_counts
 
 
 def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -22,46 +21,28 @@ def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -
             .filter(F.col("value").isNotNull()))
 
 
-def _mid_ranks(pairs: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
-    """Centred average rank of ``column`` inside each group; both frames share one sort."""
-    by_value = Window.partitionBy(*keys).orderBy(column)
-    upto = F.sum("n").over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ties = F.sum("n").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
-    total = F.sum("n").over(Window.partitionBy(*keys))
-    return pairs.withColumn(out, upto - (ties - 1) / 2 - (total + 1) / 2)
+def _mid_ranks(pairs: DataFrame, keys: Sequence[str], column: str, out: str, bounds: Sequence[float]) -> DataFrame:
+    """Centred average rank of ``column`` inside each group, through the counts of its distinct values.
 
-
-def _mid_ranks_sliced(pairs: DataFrame, keys: Sequence[str], column: str, out: str, split_rows: int) -> DataFrame:
-    """The same through value counts, for groups too large for one task."""
+    Few distinct values make a small table that adaptive execution broadcasts, so a hot value costs
+    nothing; with many the join shuffles, and a value that still stands out is split.
+    """
     counts = pairs.groupBy(*keys, column).agg(F.sum("n").alias("ties"))
-    ranks = (running_counts(counts, keys, [column], "ties", split_rows)
-             .select(*keys, column,
-                     (F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2).alias(out)))
-    # few distinct values: their ranks are broadcast and a hot value costs nothing; many: the join
-    # shuffles, and adaptive execution splits a value that still stands out
-    return pairs.join(broadcast_if_small(ranks), [*keys, column])
+    ranks = (running_counts(counts, keys, column, "ties", bounds)
+             .select(*keys, column, (F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2).alias(out)))
+    return pairs.join(ranks, [*keys, column])
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, bounded: bool = False,
-             split_rows: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, slice_rows: int | None = None) -> DataFrame:
     """``(keys…, n, x_varies, rho)`` by group: Pearson correlation of average ranks.
 
     Rows are first collapsed to distinct (x, y) pairs with counts, before any shuffle of whole
-    groups. ``rho`` is null when either side is constant. ``bounded`` says that x and y take few
-    values, so a group's pairs surely fit one task.
+    groups. ``rho`` is null when either side is constant.
     """
-    limit = split_rows or SPLIT_ROWS
-    pairs = (df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-             .groupBy(*keys, x, y).agg(F.count("*").alias("n")))
-    cut = False
-    if not bounded:
-        pairs = checkpointed(pairs)
-        cut = largest_group(pairs, keys)[0] > limit
-    if cut:
-        ranked = _mid_ranks_sliced(pairs, keys, x, "rank_x", limit)
-        ranked = _mid_ranks_sliced(ranked, keys, y, "rank_y", limit)
-    else:
-        ranked = _mid_ranks(_mid_ranks(pairs, keys, x, "rank_x"), keys, y, "rank_y")
+    complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    bounds = cuts(complete, [x, y], slice_rows)
+    pairs = complete.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
+    ranked = _mid_ranks(_mid_ranks(pairs, keys, x, "rank_x", bounds[x]), keys, y, "rank_y", bounds[y])
 
     def moment(a: str, b: str) -> Column:
         return F.sum(F.col("n") * F.col(a) * F.col(b))
@@ -74,9 +55,9 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, bounded: boo
                        F.try_divide(F.col("xy"), spread).alias("rho"))
 
 
-def ic_by_season(rows: DataFrame, target: str, *, min_n: int = 10, split_rows: int | None = None) -> DataFrame:
+def ic_by_season(rows: DataFrame, target: str, *, min_n: int = 10, slice_rows: int | None = None) -> DataFrame:
     """Information coefficient per (signal, season): at least ``min_n`` rows and a varying signal."""
-    return (spearman(rows, ["signal", "season"], "value", target, split_rows=split_rows)
+    return (spearman(rows, ["signal", "season"], "value", target, slice_rows=slice_rows)
             .filter((F.col("n") >= min_n) & F.col("x_varies"))
             .select("signal", "season", "n", F.col("rho").alias("ic")))
 
@@ -94,16 +75,16 @@ def ic_summary(ics: DataFrame) -> DataFrame:
                     critical_975(freedom).alias("ic_t_crit"), "ic_pos_share", "seasons"))
 
 
-def rank_test(rows: DataFrame, keys: Sequence[str], x: str, y: str, *, split_rows: int | None = None) -> DataFrame:
+def rank_test(rows: DataFrame, keys: Sequence[str], x: str, y: str, *, slice_rows: int | None = None) -> DataFrame:
     """Spearman correlation with its two-sided p-value per group."""
     rho = F.col("rho")
     t = F.when(F.col("n") > 2, rho * F.sqrt(F.try_divide(F.col("n") - 2, 1 - rho * rho)))
     p = F.when(F.abs(rho) >= 1, 0.0).otherwise(two_sided_p(t, F.col("n") - 2))
-    return (spearman(rows, keys, x, y, split_rows=split_rows)
+    return (spearman(rows, keys, x, y, slice_rows=slice_rows)
             .select(*keys, "n", "rho", F.when(rho.isNotNull() & (F.col("n") > 2), p).alias("p")))
 
 
-def pooled_ic(rows: DataFrame, target: str, *, split_rows: int | None = None) -> DataFrame:
+def pooled_ic(rows: DataFrame, target: str, *, slice_rows: int | None = None) -> DataFrame:
     """Spearman correlation over all documents, and over those after the cutoff if more than ten.
 
     ``rows`` carry ``post_cutoff``.
@@ -111,7 +92,7 @@ def pooled_ic(rows: DataFrame, target: str, *, split_rows: int | None = None) ->
     scope = F.explode(F.when(F.col("post_cutoff"), F.array(F.lit("all"), F.lit("post")))
                       .otherwise(F.array(F.lit("all"))))
     scoped = rows.filter(F.col(target).isNotNull()).select("signal", "value", target, scope.alias("scope"))
-    by_scope = spearman(scoped, ["signal", "scope"], "value", target, split_rows=split_rows)
+    by_scope = spearman(scoped, ["signal", "scope"], "value", target, slice_rows=slice_rows)
 
     def pick(scope_name: str, column: Column) -> Column:
         return F.max(F.when(F.col("scope") == scope_name, column))
@@ -123,12 +104,13 @@ def pooled_ic(rows: DataFrame, target: str, *, split_rows: int | None = None) ->
         pick("post", F.when(F.col("n") > 10, F.col("rho"))).alias("post_cutoff_pooled_ic"))
 
 
-def quantile_in_season(rows: DataFrame, q: int = 5, *, split_rows: int | None = None) -> DataFrame:
+def quantile_in_season(rows: DataFrame, q: int = 5, *, slice_rows: int | None = None) -> DataFrame:
     """Add ``quantile`` 1..q of each document inside (signal, season), for evaluation only.
 
     Ties are ordered by publication time, ticker and id.
     """
-    placed = positions(rows, ["signal", "season"], ["value", "published_at", "ticker", "event_id"], split_rows)
+    order = ["value", "published_at", "ticker", "event_id"]
+    placed = positions(rows, ["signal", "season"], order, cuts(rows, order[:2], slice_rows))
     bucket = F.ceil(F.col("position") / F.col("total") * q)
     return (placed.withColumn("quantile", F.greatest(F.least(bucket, F.lit(q)), F.lit(1)).cast("int"))
             .drop("position", "total"))

@@ -17,8 +17,8 @@ def warehouse(spark):
     return Warehouse(spark, FOLDER)
 
 
-def run(w, split_rows=None):
-    return Backtest(w.sector_study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=split_returns(w), split_rows=split_rows,
+def run(w, slice_rows=None):
+    return Backtest(w.sector_study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=split_returns(w), slice_rows=slice_rows,
                     min_names_per_leg=1, min_history=20)
 
 
