@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 TOPICS = ("guidance", "margins", "demand")
 SCORES = ("guidance", "margins", "demand", "overall")
 LEVELS = (-2, -1, 0, 1, 2)
-REASON_CHARS = 300
 REASON_CUT = "(reason cut off at the length limit)"
 
 _FIELDS = ", ".join([f"{s}_tone STRING" for s in SCORES] + [f"{t}_mentioned STRING" for t in TOPICS])
@@ -25,8 +24,8 @@ def answer_key(event_id: Column, model: Column, prompt_version: Column, rep: Col
 def parse_answers(df: DataFrame, answer: str) -> DataFrame:
     """Parse JSON answers into score columns, ``reason``, ``reason_truncated`` and ``error``.
 
-    An answer cut off inside its trailing reason keeps the scores before it. Scores must be whole
-    numbers from -2 to 2 and every topic needs its flag; other answers carry an ``error``.
+    An answer cut off inside its trailing reason keeps the scores before it. Scores must be
+    numbers that are -2 to 2 without their fraction and every topic needs its flag; other answers carry an ``error``.
     """
     text = F.col(answer)
     head = F.substring_index(text, '"reason"', 1)
@@ -48,8 +47,8 @@ def parse_answers(df: DataFrame, answer: str) -> DataFrame:
     for t in TOPICS:
         flag = F.lower(field(f"{t}_mentioned"))
         out = out.withColumn(f"{t}_mentioned", F.when(flag.isNotNull(), ~flag.isin("false", "0", "")))
-    out = (out.withColumn("reason", F.substring(F.when(F.col("whole"), F.coalesce("full.reason", F.lit("")))
-                                                .when(F.col("saved"), F.lit(REASON_CUT)), 1, REASON_CHARS))
+    out = (out.withColumn("reason", F.when(F.col("whole"), F.coalesce("full.reason", F.lit("")))
+                          .when(F.col("saved"), F.lit(REASON_CUT)))
            .withColumn("reason_truncated", ~F.col("whole") & F.col("saved"))
            .withColumn("model_id", field("model_id")))
     in_range = [F.coalesce(F.col(f"{s}_tone").isin(*LEVELS), F.lit(False)) for s in SCORES]

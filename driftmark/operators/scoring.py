@@ -1,12 +1,14 @@
 """Incremental document scoring with a user-supplied rater.
 
-The answer table is append-only. A run scores only documents without an answer for the same
-model, prompt version and repetition, and appends what it got, good or bad, in one write. Failed
-or interrupted documents are simply still open in the next run.
+The answer table is append-only. A run scores only documents without a good answer for the same
+model, prompt version and repetition. Open documents are dealt into hash buckets, and each bucket's
+answers, good or bad, are appended when it is done: a run that dies loses the bucket at work, at most
+1 / ``BUCKETS`` of its answers, and the next run goes on with what is still open.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -20,8 +22,16 @@ ANSWER_COLUMNS = ("key", "event_id", "model", "prompt_version", "rep", "guidance
                   "demand_tone", "overall_tone", "guidance_mentioned", "margins_mentioned", "demand_mentioned",
                   "reason", "reason_truncated", "model_id", "error", "ingested_at")
 
-# A rater reads one document: (text, row without the text) -> JSON answer.
-Rater = Callable[[str, dict], str]
+ANSWER_SCHEMA = ("key string, event_id string, model string, prompt_version string, rep int, guidance_tone int, "
+                 "margins_tone int, demand_tone int, overall_tone int, guidance_mentioned boolean, margins_mentioned boolean, "
+                 "demand_mentioned boolean, reason string, reason_truncated boolean, model_id string, error string, "
+                 "ingested_at timestamp")
+BUCKETS = 16
+
+# A rater reads one document, (text, row without the text), or a batch of them, (frame with the column
+# rater_text); it answers with JSON texts or dicts, one per document.
+Rater = Callable[[str, dict], str | dict]
+BatchRater = Callable[[pd.DataFrame], Sequence[str | dict]]
 
 
 def latest_answers(answers: DataFrame) -> DataFrame:
@@ -46,49 +56,81 @@ def open_documents(events: DataFrame, answers: DataFrame | None, model: str, pro
     return keyed.join(good.select("key").distinct(), "key", "left_anti")
 
 
-def apply_rater(documents: DataFrame, rater: Rater, columns: tuple[str, ...] = ("event_id", "ticker")) -> DataFrame:
-    """``(key, event_id, answer, failure)``; a document whose rating fails does not stop the others."""
+def _answer(given: object) -> str:
+    """A rater's answer as JSON text."""
+    if isinstance(given, str):
+        return given
+    if isinstance(given, dict):
+        return json.dumps(given)
+    raise TypeError(f"a rater answers with text or a dict, not {type(given).__name__}")
+
+
+def apply_rater(documents: DataFrame, rater: Rater | BatchRater, batched: bool = False) -> DataFrame:
+    """``(key, event_id, answer, failure)``; a document whose rating fails does not stop the others.
+
+    The rater sees all columns of ``documents`` but its text, which is ``rater_text``. Documents are
+    dealt out evenly first. A batch whose rating fails, or that has another number of answers, is a
+    failure of each of its documents.
+    """
+    def single(record: dict) -> tuple[str | None, str | None]:
+        text = record.pop("rater_text")
+        try:
+            return _answer(rater(text, record)), None
+        except Exception as failure:  # noqa: BLE001 - any failure only concerns this document
+            return None, f"{type(failure).__name__}: {failure}"
+
+    def together(batch: pd.DataFrame) -> list[tuple[str | None, str | None]]:
+        try:
+            given = list(rater(batch))
+            if len(given) != len(batch):
+                raise ValueError(f"{len(given)} answers for {len(batch)} documents")
+        except Exception as failure:  # noqa: BLE001
+            return [(None, f"{type(failure).__name__}: {failure}")] * len(batch)
+        out = []
+        for answer in given:
+            try:
+                out.append((_answer(answer), None))
+            except TypeError as failure:
+                out.append((None, f"TypeError: {failure}"))
+        return out
+
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                text = record.pop("rater_text")
-                try:
-                    rows.append((record["key"], record["event_id"], rater(text, record), None))
-                except Exception as failure:  # noqa: BLE001 - any failure only concerns this document
-                    rows.append((record["key"], record["event_id"], None, str(failure)[:300]))
-            yield pd.DataFrame(rows, columns=["key", "event_id", "answer", "failure"])
-
-    wanted = documents.select("key", *columns, "rater_text")
-    return wanted.mapInPandas(rate, "key string, event_id string, answer string, failure string")
-
-
-def score_documents(documents: DataFrame, rater: Rater, model: str, prompt_version: str, rep: int = 1,
-                    max_chars: int | None = None, anonymize: bool = True) -> DataFrame:
-    """Rows for the answer table. ``documents``: key, event_id, ticker, name, text."""
+            rows = together(batch) if batched else [single(r) for r in batch.to_dict("records")]
+            answers, failures = zip(*rows) if rows else ((), ())
+            yield pd.DataFrame({"key": batch["key"], "event_id": batch["event_id"],
+                                "answer": list(answers), "failure": list(failures)}, dtype=object)
+
+    return documents.repartition("key").mapInPandas(rate, "key string, event_id string, answer string, failure string")
+
+
+def score_documents(documents: DataFrame, rater: Rater | BatchRater, model: str, prompt_version: str, rep: int = 1,
+                    max_chars: int | None = None, anonymize: bool = True, batched: bool = False) -> DataFrame:
+    """Rows for the answer table. ``documents``: key, event_id, ticker, name, text and what else the rater may see."""
     shown = rater_text(F.col("text"), F.col("ticker"), F.col("name"), max_chars, anonymize)
-    rated = apply_rater(documents.withColumn("rater_text", shown), rater)
+    rated = apply_rater(documents.withColumn("rater_text", shown).drop("text"), rater, batched)
     parsed = parse_answers(rated, "answer").withColumn("error", F.coalesce("failure", "error"))
     return parsed.select(
         "key", "event_id", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"),
         F.lit(rep).alias("rep"), *ANSWER_COLUMNS[5:-1], F.current_timestamp().alias("ingested_at"))
 
 
-def score_into(spark: SparkSession, events: DataFrame, rater: Rater, path: str, model: str, prompt_version: str,
-               rep: int = 1, max_chars: int | None = None, anonymize: bool = True) -> DataFrame:
-    """Score what is open, append it to the table at ``path`` and return this rater's good answers."""
-    known = read_answers(spark, path)
-    todo = open_documents(events, known, model, prompt_version, rep)
-    rows = score_documents(todo, rater, model, prompt_version, rep, max_chars, anonymize)
-    rows.write.mode("append").parquet(path)
-    wanted = with_keys(events, model, prompt_version, rep).select("key")
-    return latest_answers(read_answers(spark, path)).join(wanted, "key", "left_semi")
+def score_into(spark: SparkSession, events: DataFrame, rater: Rater | BatchRater, path: str, model: str, prompt_version: str,
+               rep: int = 1, max_chars: int | None = None, anonymize: bool = True, batched: bool = False,
+               buckets: int = BUCKETS) -> DataFrame:
+    """Score what is open, bucket by bucket, into the table at ``path``; this rater's good answers come back."""
+    keyed = with_keys(events, model, prompt_version, rep)
+    todo = open_documents(events, read_answers(spark, path), model, prompt_version, rep)
+    for bucket in range(buckets):
+        mine = todo.filter(F.pmod(F.xxhash64("key"), F.lit(buckets)) == bucket)
+        score_documents(mine, rater, model, prompt_version, rep, max_chars, anonymize, batched).write.mode("append").parquet(path)
+    return latest_answers(read_answers(spark, path)).join(keyed.select("key"), "key", "left_semi")
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame | None:
-    """The answer table, or None before the first run."""
+    """The answer table, or None before the first run; a folder without a finished file is an empty table."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(ANSWER_SCHEMA).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None

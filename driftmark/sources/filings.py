@@ -27,9 +27,13 @@ def company_candidates(universe: DataFrame, directory: DataFrame) -> DataFrame:
     """``(ticker, company_no, candidate)``: the pinned number, then the one the ticker maps to.
 
     Directory tickers are upper-case with a dash for share classes; a dotted ticker is tried with
-    the dash first. Tickers without any number drop out.
+    the dash first. Tickers without any number drop out. A ticker listed twice has the number of its
+    last listing, by a ``place`` column if the directory has one, else the highest.
     """
-    listed = directory.select(F.upper("ticker").alias("listed"), F.col("company_no").cast("long").alias("number"))
+    # one number per ticker: of several listings the one with the highest place, or the highest number
+    place = F.col("place") if "place" in directory.columns else F.col("company_no").cast("long")
+    listed = (directory.groupBy(F.upper("ticker").alias("listed"))
+              .agg(F.max_by(F.col("company_no").cast("long"), place).alias("number")))
     dashed = listed.select(F.col("listed").alias("dashed_key"), F.col("number").alias("dashed"))
     plain = listed.select(F.col("listed").alias("plain_key"), F.col("number").alias("plain"))
     numbers = F.array_distinct(F.array_compact(F.array(F.col("cik").cast("long"), F.coalesce("dashed", "plain"))))
@@ -83,7 +87,7 @@ def press_release_link(index_html: Column) -> Column:
 
     def read(row: Column, i: Column) -> Column:
         cells = F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))
-        plain = F.transform(cells, lambda c: F.upper(F.trim(F.regexp_replace(c, r"<[^>]+>", ""))))
+        plain = F.transform(cells, lambda c: F.upper(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"(?U)\A\s+|\s+\z", "")))
         kind = F.get(F.filter(plain, lambda c: c.startswith("EX-99")), F.lit(0))
         href = F.regexp_extract(row, r'(?i)href="([^"]+\.(?:htm|html|txt))"', 1)
         return F.when(kind.isNotNull() & (href != ""),
@@ -94,7 +98,8 @@ def press_release_link(index_html: Column) -> Column:
 
 
 def resolve_link(href: Column, folder: Column) -> Column:
-    """Absolute address of a link found in ``folder``."""
+    """Absolute address of a link found in ``folder``; the site is the folder's, or the archive's for a bare path."""
+    site = F.regexp_extract(folder, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)", 1)
     return (F.when(href.startswith("http"), href)
-            .when(href.startswith("/"), F.concat(F.lit(SITE), href))
+            .when(href.startswith("/"), F.concat(F.when(site == "", SITE).otherwise(site), href))
             .otherwise(F.concat(folder, href)))

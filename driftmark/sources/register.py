@@ -11,7 +11,7 @@ def manifest_events(manifest: DataFrame) -> DataFrame:
     """Manifest rows as events; the id is ``{ticker}_call_{yyyyMMddHHmm}``."""
     missing = sorted(set(MANIFEST) - set(manifest.columns))
     if missing:
-        raise ValueError(f"manifest missing columns: {missing}")
+        raise ValueError(f"a manifest needs the columns {', '.join(missing)} as well")
     published = F.col("published_at").cast("timestamp_ntz")
     return manifest.select(
         F.concat("ticker", F.lit("_call_"), F.date_format(published, "yyyyMMddHHmm")).alias("event_id"), "ticker",
@@ -21,19 +21,24 @@ def manifest_events(manifest: DataFrame) -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str, texts: str | None = None) -> DataFrame:
     """Events with their texts. ``texts`` is the folder that holds the documents, by default the
-    manifest's own; relative paths count from the manifest's folder."""
+    manifest's own; relative paths count from the manifest's folder. A row whose file is missing fails
+    the read and is named."""
     folder = path.rsplit("/", 1)[0]
     events = manifest_events(spark.read.csv(path, header=True))
     absolute = F.col("path").startswith("/") | F.col("path").contains("://")
     located = events.withColumn("file", F.when(absolute, F.col("path")).otherwise(F.concat(F.lit(folder + "/"), "path")))
+    # file names come percent-encoded, in which a plus sign stands for itself
+    name = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
     stored = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
               .text(texts or folder, wholetext=True)
-              .select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("file"), F.col("value").alias("text")))
-    return located.join(stored, "file").drop("file")
+              .select(name.alias("file"), F.col("value").alias("text")))
+    joined = located.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).join(stored, "file", "left")
+    missing = F.raise_error(F.concat(F.lit("no text for manifest row "), F.coalesce("event_id", F.lit("?")), F.lit(": "), F.coalesce("file", F.lit("?"))))
+    return joined.withColumn("text", F.when(F.col("text").isNull(), missing).otherwise(F.col("text"))).drop("file")
 
 
 def upsert_events(existing: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Union in which the existing row of an id wins, then the earliest new one.
+    """Union in which the existing row of an id wins, then the new one that sorts first by its columns.
 
     Copies of one id combine on the map side, so a much-repeated id costs one row per task.
     """

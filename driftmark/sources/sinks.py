@@ -55,7 +55,7 @@ def write_review(texts: DataFrame, key: DataFrame, sheet: DataFrame, folder: str
             raise
         filled = 0
     if filled:
-        raise ValueError(f"{folder}/labels already has scores in it; not overwriting")
+        raise ValueError(f"the label sheet in {folder} is partly filled in and stays as it is")
     texts.write.mode("overwrite").parquet(f"{folder}/texts")
     key.write.mode("overwrite").parquet(f"{folder}/key")
     sheet.write.mode("overwrite").option("header", True).csv(f"{folder}/labels")

@@ -5,7 +5,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.functions.text import LITERAL_WORDS
 from driftmark.sources import schemas
 
 
@@ -105,13 +104,5 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
                       (F.col("Negative").cast("double") != 0).alias("negative"))
 
 
-def word_lists(lexicon: DataFrame) -> tuple[list[str], list[str]] | None:
-    """(positive, negative) words for literals, or None when the dictionary is too large for that."""
-    used = lexicon.filter(F.col("positive") | F.col("negative")).limit(LITERAL_WORDS + 1).collect()
-    if len(used) > LITERAL_WORDS:
-        return None
-    return sorted({r.word for r in used if r.positive}), sorted({r.word for r in used if r.negative})
-
-
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LABELS).csv(path, header=True)

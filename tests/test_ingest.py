@@ -16,64 +16,62 @@ FILING_PAGE = "company_no long, form array<string>, items array<string>, filingD
 
 
 def filing_setup(spark):
-    old = (34088, ["8-K", "8-K", "10-Q"], ["2.02,7.01", "5.02", ""], ["2024-11-01", "2024-12-01", "2024-11-01"],
-           ["0000034088-24-000066", "0000034088-24-000070", "0000034088-24-000067"], ["2024-11-01T06:30:00.000Z"] * 3)
-    new = (999, ["8-K", "8-K", "8-K"], ["1.01,2.01", "2.02,7.01", None], ["2026-07-01", "2026-08-01", "2026-08-02"],
-           ["0000999-26-000001", "0000999-26-000010", "0000034088-24-000066"], ["2026-08-01T06:30:59.999Z"] * 3)
+    old = (4711, ["10-K", "8-K", "8-K"], ["2.02", "9.01,2.02", "12.02"], ["2017-03-09", "2017-05-20", "2017-06-02"],
+           ["0000004711-17-000003", "0000004711-17-000008", "0000004711-17-000009"], ["2017-05-20T20:59:01.250Z"] * 3)
+    new = (86, ["8-K", "8-K", "8-K"], ["2.02", None, "2.02"], ["2019-10-31", "2019-11-01", "2020-02-29"],
+           ["0000000086-19-000401", "0000000086-19-000402", "0000004711-17-000008"], ["2019-10-31T11:00:59.999Z"] * 3)
     return L.filing_rows(spark.createDataFrame([old], FILING_PAGE), spark.createDataFrame([new], FILING_PAGE))
 
 
 def test_filings_of_old_and_new_company_numbers(spark):
-    directory = spark.createDataFrame([("xom", 999), ("BRK-B", 5)], "ticker string, company_no long")
-    universe = spark.createDataFrame([("XOM", 34088), ("BRK.B", None), ("NONE", None)], "ticker string, cik long")
+    directory = spark.createDataFrame([("wool", 85, 0), ("wool", 86, 1), ("HAY-C", 12, 2)], "ticker string, company_no long, place int")
+    universe = spark.createDataFrame([("WOOL", 4711), ("HAY.C", None), ("LOST", None)], "ticker string, cik long")
     candidates = L.company_candidates(universe, directory)
+    # a ticker that is listed twice keeps its last number and gives one candidate
     assert sorted((r.ticker, r.candidate, r.company_no) for r in candidates.collect()) == [
-        ("BRK.B", 0, 5), ("XOM", 0, 34088), ("XOM", 1, 999)]
-    chosen = L.filing_events(L.earnings_filings(candidates, filing_setup(spark), "2021-01-01", "2026-08-31"))
+        ("HAY.C", 0, 12), ("WOOL", 0, 4711), ("WOOL", 1, 86)]
+    chosen = L.filing_events(L.earnings_filings(candidates, filing_setup(spark), "2016-02-01", "2019-12-31"))
     got = {r.event_id: r for r in chosen.collect()}
-    assert sorted(got) == ["XOM_0000034088-24-000066", "XOM_0000999-26-000010"]
-    assert got["XOM_0000034088-24-000066"].url.endswith("/data/34088/000003408824000066/")
-    assert got["XOM_0000999-26-000010"].published_at == dt.datetime(2026, 8, 1, 6, 30, 59)
-    existing = spark.createDataFrame([("XOM_0000999-26-000010",)], "event_id string")
-    assert [r.event_id for r in L.not_collected(chosen, existing).collect()] == ["XOM_0000034088-24-000066"]
-    early = L.earnings_filings(candidates, filing_setup(spark), "2021-01-01", "2025-12-31")
-    assert early.count() == 1
+    assert sorted(got) == ["WOOL_0000000086-19-000401", "WOOL_0000004711-17-000008"]
+    assert got["WOOL_0000004711-17-000008"].url.endswith("/data/4711/000000471117000008/")
+    assert got["WOOL_0000000086-19-000401"].published_at == dt.datetime(2019, 10, 31, 11, 0, 59)
+    existing = spark.createDataFrame([("WOOL_0000000086-19-000401",)], "event_id string")
+    assert [r.event_id for r in L.not_collected(chosen, existing).collect()] == ["WOOL_0000004711-17-000008"]
+    assert L.earnings_filings(candidates, filing_setup(spark), "2016-02-01", "2018-01-01").count() == 1
 
 
 def test_press_release_prefers_the_first_exhibit(spark):
-    page = """<table><tr><td>1</td><td><a href="/a/form8k.htm">f</a></td><td>8-K</td></tr>
-    <tr><td>2</td><td><a href="/a/ex99-2.htm">x</a></td><td>EX-99.2</td></tr>
-    <tr><td>3</td><td><a href="/a/ex991.HTM">x</a></td><td> <b>ex-99.1</b></td></tr></table>"""
-    other = page.replace("ex-99.1", "EX-99.3")
-    df = spark.createDataFrame([(page,), (other,), ("<table></table>",)], "h string")
-    assert [r[0] for r in df.select(L.press_release_link(F.col("h"))).collect()] == ["/a/ex991.HTM", "/a/ex99-2.htm", None]
+    def page(kind):
+        return (f"<TABLE><tr class=a><td>cover</td><td><a HREF='x'>no</a></td></tr><tr><td><a href=\"q/one.txt\">1</a></td><td>EX-99.4</td></tr>\n"
+                f'<tr><td><a href="q/two.HTML">2</a></td><td>\n <i>{kind}</i>\t\n</td></tr><tr><td><a href="q/p.pdf">3</a></td><td>EX-99</td></tr></TABLE>')
+    df = spark.createDataFrame([(page("Ex-99.1"),), (page("EX-99.7"),), (page("GRAPHIC"),), ("<tr><td>EX-99</td></tr>",)], "h string")
+    assert [r[0] for r in df.select(L.press_release_link(F.col("h"))).collect()] == ["q/two.HTML", "q/one.txt", "q/one.txt", None]
 
 
 def test_links_are_resolved(spark):
-    df = spark.createDataFrame([("http://x/y",), ("/a/b",), ("c.htm",)], "h string")
-    got = [r[0] for r in df.select(L.resolve_link(F.col("h"), F.lit("F/"))).collect()]
-    assert got == ["http://x/y", L.SITE + "/a/b", "F/c.htm"]
+    df = spark.createDataFrame([("https://a.b/c", "F/"), ("/top", "F/"), ("/top", "http://farm.org/x/y/"), ("leaf.htm", "F/")], "h string, folder string")
+    got = [r[0] for r in df.select(L.resolve_link(F.col("h"), F.col("folder"))).collect()]
+    assert got == ["https://a.b/c", L.SITE + "/top", "http://farm.org/top", "F/leaf.htm"]
 
 
 def test_factor_files(spark, tmp_path):
-    raw = ("Created by a vendor, 202401\n\n, Mkt-RF,SMB ,RF\r\n20240102,  -0.71,  0.12, 0.020\n20240110,  -0.50, -0.20, 0.021\n\n"
-           "Copyright 2024\n20240105,9,9,9\n")
-    for name in ("a.csv", "b.csv"):
-        (tmp_path / name).write_text(raw if name == "a.csv" else raw.replace("202401", "202402"))
+    raw = ("Weekly file\r\nsee notes\n\n,Mkt-RF , SMB, RF \n19991203, 1.25 ,-3.5,0.004\n19991210,0,  2.00,0.005\n\nEnd of file\n19991217,7,7,7\n")
+    (tmp_path / "one.csv").write_text(raw)
+    (tmp_path / "two.csv").write_text(raw.replace("199912", "200001"))
     parsed = FF.parse_factor_files(FF.read_factor_files(spark, str(tmp_path)))
     table = {str(r.date): r for r in FF.factor_table(parsed, ["Mkt-RF", "SMB", "RF"]).collect()}
-    assert sorted(table) == ["2024-01-02", "2024-01-10", "2024-02-02", "2024-02-10"]
-    assert table["2024-01-02"]["Mkt-RF"] == pytest.approx(-0.0071) and table["2024-02-10"].RF == pytest.approx(0.00021)
-    mom = spark.createDataFrame([(dt.date(2024, 1, 2), 0.1)], "date date, Mom double")
+    assert sorted(table) == ["1999-12-03", "1999-12-10", "2000-01-03", "2000-01-10"]
+    assert table["1999-12-03"]["Mkt-RF"] == pytest.approx(0.0125) and table["2000-01-10"].RF == pytest.approx(0.00005)
+    mom = spark.createDataFrame([(dt.date(2000, 1, 10), 0.1)], "date date, Mom double")
     assert FF.join_factors(FF.factor_table(parsed, ["SMB"]), mom).count() == 1
 
 
 def test_event_window_is_half_open(spark):
-    times = {"a": "2022-05-01 07:00:00", "b": "2023-07-01 00:00:00", "c": "2025-12-31 16:30:00", "d": "2026-01-01 00:00:00"}
+    times = {"a": "2008-02-29 23:59:00", "b": "2010-10-10 00:00:00", "c": "2012-06-30 23:59:59", "d": "2012-07-01 00:00:00", "e": None}
     ev = spark.createDataFrame(list(times.items()), "event_id string, at string").select(
         "event_id", F.col("at").cast("timestamp_ntz").alias("published_at"))
-    assert sorted(r.event_id for r in T.in_window(ev, "2021-01-01", "2025-12-31", "2023-07-01").collect()) == ["b", "c"]
-    assert sorted(r.event_id for r in T.in_window(ev, "2021-01-01", "2025-12-31").collect()) == ["a", "b", "c"]
+    assert sorted(r.event_id for r in T.in_window(ev, "2008-01-01", "2012-06-30", "2010-10-10").collect()) == ["b", "c"]
+    assert sorted(r.event_id for r in T.in_window(ev, "2008-01-01", "2012-06-30").collect()) == ["a", "b", "c"]
 
 
 def test_upsert_keeps_the_existing_row(spark):
@@ -95,6 +93,13 @@ def test_manifest(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "t.txt").write_text("hello\nworld")
     (tmp_path / "m.csv").write_text("ticker,published_at,path\nAAA,2024-01-25 17:05,sub/t.txt\n")
+    (tmp_path / "two words+1").mkdir()
+    (tmp_path / "two words+1" / "ü.txt").write_text("second")
+    (tmp_path / "n.csv").write_text("ticker,published_at,path\nBBB,2001-02-03 04:05,two words+1/ü.txt\n")
+    assert E.read_manifest(spark, str(tmp_path / "n.csv")).first().text == "second"
+    (tmp_path / "o.csv").write_text("ticker,published_at,path\nCCC,2001-02-03 04:05,gone.txt\n")
+    with pytest.raises(Exception, match="gone.txt"):
+        E.read_manifest(spark, str(tmp_path / "o.csv")).collect()
     row = E.read_manifest(spark, str(tmp_path / "m.csv")).first()
     assert row.event_id == "AAA_call_202401251705" and row.text == "hello\nworld" and row.form == "transcript"
     with pytest.raises(ValueError, match="path"):
@@ -112,7 +117,7 @@ def test_readers(spark, tmp_path):
     assert got == {("BRK.B", 1): 1.0, ("BRK.B", 2): None, ("A", 1): None, ("A", 2): 2.0}
     (tmp_path / "lm.csv").write_text("Word,Positive,Negative\ngood,2009,0\nbad,0,2014\nplain,0,0\n")
     lexicon = T.read_lexicon(spark, str(tmp_path / "lm.csv"))
-    assert T.word_lists(lexicon) == (["GOOD"], ["BAD"])
+    assert {r.word: (r.positive, r.negative) for r in lexicon.collect()} == {"GOOD": (True, False), "BAD": (False, True), "PLAIN": (False, False)}
     assert T.read_factors(spark, str(tmp_path / "absent.csv")) is None
     (tmp_path / "f.csv").write_text("date,Mkt-RF,SMB,HML,RMW,CMA,RF,Mom\n2024-01-02,0.1,0,0,0,0,0,0.2\n")
     assert T.read_factors(spark, str(tmp_path / "f.csv")).first()["Mom"] == 0.2
@@ -157,7 +162,7 @@ def test_scoring_resumes_where_it_stopped(spark, tmp_path):
     first = S.score_into(spark, documents(spark), limited, path, "m", "v1")
     assert first.count() == 4
     failed = S.read_answers(spark, path).filter("error is not null")
-    assert {r.error for r in failed.collect()} == {"usage limit reached"}
+    assert {r.error for r in failed.collect()} == {"RuntimeError: usage limit reached"}
     todo = S.open_documents(documents(spark), S.read_answers(spark, path), "m", "v1")
     assert sorted(r.event_id for r in todo.collect()) == ["e4", "e5"]
     second = S.score_into(spark, documents(spark), good_answer, path, "m", "v1")
@@ -168,6 +173,48 @@ def test_scoring_resumes_where_it_stopped(spark, tmp_path):
     assert S.model_ids(S.read_answers(spark, path), documents(spark), "other", "cfg").first().model_version == "cfg"
 
 
+ANSWER = {"guidance_tone": 1, "guidance_mentioned": True, "margins_tone": 0, "margins_mentioned": True, "demand_tone": 0,
+          "demand_mentioned": True, "overall_tone": 0, "reason": ""}
+
+
+def test_a_killed_worker_costs_one_bucket(spark, tmp_path):
+    path, docs = str(tmp_path / "answers"), documents(spark, 12)
+
+    def deadly(text, row):
+        if row["event_id"] == "e7":
+            import os
+            os._exit(1)
+        return ANSWER
+
+    with pytest.raises(Exception):
+        S.score_into(spark, docs, deadly, path, "m", "v1", buckets=4)
+    saved = S.read_answers(spark, path)
+    held = 0 if saved is None else saved.count()
+    assert S.score_into(spark, docs, lambda text, row: ANSWER, path, "m", "v1", buckets=4).count() == 12
+    # what an earlier bucket had saved was not rated again
+    assert S.read_answers(spark, path).count() == 12 and held in range(12)
+
+
+def test_a_folder_without_a_finished_file_is_empty(spark, tmp_path):
+    (tmp_path / "answers" / "_temporary").mkdir(parents=True)
+    assert S.read_answers(spark, str(tmp_path / "answers")).count() == 0 and S.read_answers(spark, str(tmp_path / "none")) is None
+
+
+def test_raters_may_answer_with_dicts_and_in_batches(spark, tmp_path):
+    docs = documents(spark, 6).withColumn("year", F.lit(2024))
+
+    def batch(frame):
+        assert {"event_id", "name", "year", "rater_text", "ticker"} <= set(frame.columns) and "text" not in frame.columns
+        return [ANSWER | {"overall_tone": int(e[1:]) % 2} if e != "e3" else 5 for e in frame["event_id"]]
+
+    got = S.score_into(spark, docs, batch, str(tmp_path / "a"), "m", "v1", batched=True, buckets=1)
+    assert {r.event_id: r.overall_tone for r in got.collect()} == {f"e{i}": i % 2 for i in range(6) if i != 3}
+    failed = S.read_answers(spark, str(tmp_path / "a")).filter("error is not null").collect()
+    assert [(r.event_id, r.error) for r in failed] == [("e3", "TypeError: a rater answers with text or a dict, not int")]
+    none = S.score_into(spark, docs, lambda frame: [], str(tmp_path / "b"), "m", "v1", batched=True, buckets=1)
+    assert none.count() == 0 and S.read_answers(spark, str(tmp_path / "b")).count() == 6
+
+
 def test_samples_repeat_and_hide_the_ids(spark):
     docs = documents(spark, 50)
     a, b = (sorted(r.event_id for r in S.hash_sample(d, 10, 7).collect()) for d in (docs, docs.repartition(7)))
@@ -198,5 +245,5 @@ def test_review_sheet_with_scores_is_not_overwritten(spark, tmp_path):
     assert sheet.count() == 10 and sheet.filter("guidance_tone is not null").count() == 0
     filled = spark.createDataFrame([(1, "2", "")], "number int, guidance_tone string, notes string")
     filled.write.mode("append").option("header", True).csv(folder + "/labels")
-    with pytest.raises(ValueError, match="not overwriting"):
+    with pytest.raises(ValueError, match="partly filled"):
         sinks.write_review(*sample, folder)
