@@ -7,21 +7,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftmark.functions.answers import LEVELS
 from driftmark.operators.ranks import spearman
-from driftmark.session import checkpointed
 
 # Least number of labelled documents, resamples, interval ends.
 MIN_LABELS = 10
 RESAMPLES = 2000
 INTERVAL = (0.05, 0.95)
 
-# Replicates are few rows before their draws are written out, so their spread is set by hand.
-BOOTSTRAP_TASKS = 64
-
 
 def weighted_kappa(a: Column, b: Column, n: Column) -> Column:
     """Quadratic-weighted kappa as an aggregate over counted pairs; null without expected disagreement."""
@@ -40,7 +37,7 @@ def agreement(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
         (F.sum(F.when(x == y, n).otherwise(0)) / F.sum(n)).alias("exact"),
         (F.sum(F.when(F.abs(x - y) <= 1, n).otherwise(0)) / F.sum(n)).alias("within_one"),
         weighted_kappa(x, y, n).alias("kappa"))
-    ranks = spearman(rated, keys, a, b, bounded=True).select(*keys, F.col("rho").alias("spearman"))
+    ranks = spearman(rated, keys, a, b).select(*keys, F.col("rho").alias("spearman"))
     return (shares.join(ranks, list(keys))
             .select(*keys, F.col("rated").alias("n"), "exact", "within_one", "spearman", "kappa"))
 
@@ -68,7 +65,7 @@ def consistency(first: DataFrame, second: DataFrame,
 
 
 def rater_comparison(main: DataFrame, other: DataFrame, window: DataFrame, score: str = "tone",
-                     guidance: str = "guidance_tone", split_rows: int | None = None) -> DataFrame:
+                     guidance: str = "guidance_tone", slice_rows: int | None = None) -> DataFrame:
     """Two raters on the documents of ``window``: n, rank correlation, same and within one.
 
     Fewer than ten common documents give no row.
@@ -81,7 +78,7 @@ def rater_comparison(main: DataFrame, other: DataFrame, window: DataFrame, score
     shares = both.groupBy("sample").agg(
         F.count("*").alias("n"), F.avg((gap == 0).cast("double")).alias("same_guidance"),
         F.avg((gap <= 1).cast("double")).alias("within_one"))
-    ranks = (spearman(both, ["sample"], "score_a", "score_b", split_rows=split_rows)
+    ranks = (spearman(both, ["sample"], "score_a", "score_b", slice_rows=slice_rows)
              .select("sample", F.col("rho").alias("rank_corr")))
     return (shares.join(ranks, "sample").filter(F.col("n") >= 10)
             .select("n", "rank_corr", "same_guidance", "within_one"))
@@ -94,9 +91,9 @@ def human_labels(sheet: DataFrame, label: str = "guidance_tone") -> DataFrame:
     check = filled.agg(F.count("*").alias("n"),
                        F.count_if(~F.col("human_score").cast("int").isin(*LEVELS)).alias("odd")).first()
     if check["n"] < MIN_LABELS:
-        raise ValueError(f"only {check['n']} documents have a score; at least {MIN_LABELS} are needed")
+        raise ValueError(f"{MIN_LABELS} rated documents are the least, the sheet has {check['n']}")
     if check["odd"]:
-        raise ValueError(f"{label} must be one of {LEVELS}")
+        raise ValueError(f"the sheet has values of {label} beside {LEVELS}")
     return filled.withColumn("human", F.col("human_score").cast("int")).drop("human_score")
 
 
@@ -104,26 +101,27 @@ def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: s
                                resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """Kappa of both raters with the human, their difference and its 90% bootstrap interval.
 
-    A draw is md5(seed, replicate, draw) modulo n, so a replicate can be repeated anywhere.
-    Ratings are first counted per (human, main, other), at most 125 combinations; draws carry
-    numbers only and find their combination by an equi-join on the drawn place.
+    A draw is 60 bits of md5(seed, replicate, draw) modulo n, so a replicate can be repeated anywhere.
+    Ratings are first counted per (human, main, other), at most 125 combinations, whose running counts
+    become literals: a draw finds its combination by itself, and draws are counted where they are made.
     """
     filled = ratings.select(*[F.col(c).cast("int").alias(a) for c, a in
                               ((human, "h"), (main, "m"), (other, "o"))]).dropna()
-    cells = checkpointed(filled.groupBy("h", "m", "o").agg(F.count("*").alias("n")))
-    order = Window.orderBy("h", "m", "o")
-    places = (cells.withColumn("upper", F.sum("n").over(order))
-              .select("h", "m", "o", F.explode(F.sequence(F.col("upper") - F.col("n"), F.col("upper") - 1)).alias("place")))
-    replicates = (cells.agg(F.sum("n").alias("rows"))
-                  .select("rows", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("rep"))
-                  .repartition(min(resamples, BOOTSTRAP_TASKS), "rep"))
-    draws = replicates.select("rows", "rep", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("draw"))
+    cells = sorted(filled.groupBy("h", "m", "o").agg(F.count("*").alias("n")).collect())
+    spark, rows = ratings.sparkSession, sum(c.n for c in cells)
+    kinds = "h int, m int, o int"
+    named = spark.createDataFrame([(i, *c[:3], c.n) for i, c in enumerate(cells)], f"cell int, {kinds}, n bigint")
+    upper = [int(u) for u in np.cumsum([c.n for c in cells])] or [0]
+    draws = spark.range(resamples * rows).select(F.expr(f"id div {max(rows, 1)} + 1").alias("rep"), (F.col("id") % max(rows, 1) + 1).alias("draw"))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("draw").cast("string")))
-    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("rows")
-    drawn = (draws.select("rep", place.alias("place")).join(places, "place")
-             .groupBy("rep", "h", "m", "o").agg(F.count("*").alias("n")))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % max(rows, 1)
+    # at most 125 comparisons, compiled with the rest of the row
+    # (never null, or the join would test the whole draw for it a second time)
+    cell = F.coalesce(sum(((F.col("place") >= u).cast("int") for u in upper), F.lit(0)), F.lit(-1))
+    drawn = (draws.select("rep", place.alias("place")).groupBy("rep", cell.cast("int").alias("cell"))
+             .agg(F.count("*").alias("n")).join(F.broadcast(named.drop("n")), "cell").select("rep", "h", "m", "o", "n"))
     # the full data joins as replicate 0
-    everything = cells.select(F.lit(0).alias("rep"), "h", "m", "o", "n").unionByName(drawn)
+    everything = named.select(F.lit(0).cast("long").alias("rep"), "h", "m", "o", "n").unionByName(drawn)
     kappas = everything.groupBy("rep").agg(
         F.sum("n").alias("n"),
         weighted_kappa(F.col("h").cast("double"), F.col("m").cast("double"), F.col("n")).alias("kappa_main"),
