@@ -2,12 +2,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.session import broadcast_if_small
-
 # Token shape, negating words and how far back they reach.
 WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 NEGATORS = ("NO", "NOT", "NONE", "NEITHER", "NEVER", "NOBODY")
@@ -22,18 +21,9 @@ FULL_DATE = rf"\b{MONTH}\s+\d{{1,2}},?\s+(?:19|20)\d{{2}}\b"
 YEAR = r"\b(?:19|20)\d{2}\b"
 FISCAL_YEAR = r"\b(?:fiscal|FY)\s?'?\d{2}\b"
 
-# Page entities that are decoded, the ampersand last.
-ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&#x27;", "'"), ("&ndash;", "–"), ("&#8211;", "–"), ("&mdash;", "—"), ("&#8212;", "—"),
-    ("&lsquo;", "‘"), ("&#8216;", "‘"), ("&rsquo;", "’"), ("&#8217;", "’"),
-    ("&ldquo;", "“"), ("&#8220;", "“"), ("&rdquo;", "”"), ("&#8221;", "”"),
-    ("&bull;", "•"), ("&#8226;", "•"), ("&hellip;", "…"), ("&copy;", "©"),
-    ("&reg;", "®"), ("&trade;", "™"), ("&#38;", "&"), ("&amp;", "&"),
-)
-
-# Word lists up to this size are kept as literals (a hash set in the plan); larger ones are joined.
-LITERAL_WORDS = 20_000
+# A character reference in a page; numbers that pages write for Windows characters.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+WINDOWS = "".join(bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0))
 
 
 def tokens(text: Column) -> Column:
@@ -73,7 +63,7 @@ def word_tone(docs: DataFrame, text: str, positive: Sequence[str], negative: Seq
 
 
 def word_tone_joined(docs: DataFrame, text: str, lexicon: DataFrame, key: str, prefix: str = "lm") -> DataFrame:
-    """The same for word lists too large for literals: ``lexicon`` is (word, positive, negative).
+    """The same with a dictionary frame of any size: ``lexicon`` is (word, positive, negative), ``key`` unique.
 
     Words are exploded with their negation flag and joined; the counts of a document combine on
     the map side before the shuffle.
@@ -82,12 +72,12 @@ def word_tone_joined(docs: DataFrame, text: str, lexicon: DataFrame, key: str, p
     flagged = F.transform("words", lambda w, i: F.struct(w.alias("word"), _negated(F.col("words"), i).alias("negated")))
     lists = lexicon.groupBy(F.upper("word").alias("word")).agg(
         F.max(F.col("positive")).alias("positive"), F.max(F.col("negative")).alias("negative"))
-    hits = words.select(key, F.explode(flagged).alias("t")).select(key, "t.*").join(broadcast_if_small(lists), "word")
-    good = F.col("positive") & ~F.col("negated")
-    bad = (F.col("positive") & F.col("negated")) | (~F.col("positive") & F.col("negative"))
-    counts = hits.groupBy(key).agg(F.count_if(good).cast("int").alias("p"), F.count_if(bad).cast("int").alias("n"))
-    return (words.select(key, F.size("words").alias("w")).join(counts, key, "left").fillna(0, ["p", "n"])
-            .select(key, *_tone_columns(F.col("p"), F.col("n"), F.col("w"), prefix)))
+    every = words.select(key, F.explode_outer(flagged).alias("t")).select(key, "t.*").join(lists, "word", "left")
+    positive, negative = F.coalesce("positive", F.lit(False)), F.coalesce("negative", F.lit(False))
+    good, bad = positive & ~F.col("negated"), (positive & F.col("negated")) | (~positive & negative)
+    counts = every.groupBy(key).agg(F.count_if(good).cast("int").alias("p"), F.count_if(bad).cast("int").alias("n"),
+                                    F.count("word").cast("int").alias("w"))
+    return counts.select(key, *_tone_columns(F.col("p"), F.col("n"), F.col("w"), prefix))
 
 
 def quoted(text: Column) -> Column:
@@ -126,15 +116,43 @@ def volume_estimate(docs: DataFrame, text: str, max_chars: int | None = None) ->
     return docs.agg(F.count("*").alias("documents"), (F.sum(read) / 4e6).alias("million_tokens"))
 
 
+def _named(names: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+
+
+def decode_references(text: Column) -> Column:
+    """Decode numeric and named character references that end in a semicolon, each once; unknown names stay."""
+    common = _named({n: chr(c) for n, c in name2codepoint.items()})
+    rest = _named({n[:-1]: c for n, c in html5.items() if n.endswith(";") and n[:-1] not in name2codepoint})
+
+    def number(digits: Column, base: int) -> Column:
+        code = F.conv(digits, base, 10).cast("long")
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return (F.when(code.between(0x80, 0x9F), F.substr(F.lit(WINDOWS), (code - 0x7F).cast("int"), F.lit(1)))
+                .when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd"))
+
+    def one(mark: Column) -> Column:
+        name = F.regexp_extract(mark, "^&(.*);$", 1)
+        return (F.when(F.lower(name).startswith("#x"), number(F.substr(name, F.lit(3)), 16))
+                .when(name.startswith("#"), number(F.substr(name, F.lit(2)), 10))
+                .otherwise(F.coalesce(common[name], rest[name], mark)))
+
+    marks = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), one)
+    between = F.zip_with(F.split(text, REFERENCE), marks, lambda t, m: F.concat(t, F.coalesce(m, F.lit(""))))
+    return F.array_join(between, "")
+
+
 def html_to_text(html: Column) -> Column:
-    """Readable text of a page: scripts, styles, comments and tags go, entities are decoded,
-    blanks and line breaks are collapsed."""
-    text = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    text = F.regexp_replace(text, "&nbsp;|&#160;| ", " ")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    """Readable text of a page: scripts, styles, comments and tags go, character references are decoded,
+    blanks and line breaks are collapsed.
+
+    A ``<`` opens a tag only before a letter, ``/``, ``!`` or ``?``; a script, style or comment that is not closed goes to the
+    end of the page.
+    """
+    text = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    text = F.regexp_replace(text, r"(?s)<!--.*?(?:-->|\z)", " ")
+    text = F.regexp_replace(text, r"<[A-Za-z/!?][^>]*>", " ")
+    text = F.replace(decode_references(text), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, r"[ \t]+", " ")
     text = F.regexp_replace(text, r"(?U)\s*\n\s*", "\n")
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")

@@ -41,13 +41,14 @@ def assign_t0(events: DataFrame, calendar: DataFrame, entry_lag_days: int = 0) -
     """Add ``t0_pos`` and ``t0``: the first trading day whose close comes after publication.
 
     A document at or after 16:00 counts for the next calendar day. Both columns are null
-    past the end of the calendar. An equi-join on the calendar day replaces the as-of search.
+    past the end of the calendar and without a publication time. An equi-join on the calendar day replaces the as-of search.
     """
     published = F.col("published_at")
     candidate = F.date_add(F.to_date(published),
                            F.when(F.hour(published) >= CLOSING_HOUR, 1).otherwise(0))
     first_day = calendar.agg(F.min("date")).scalar()
-    return (events.withColumn("day", F.greatest(candidate, first_day))
+    # greatest() passes over nulls: a document without a time must not become one of the first day
+    return (events.withColumn("day", F.when(candidate.isNotNull(), F.greatest(candidate, first_day)))
             .join(F.broadcast(entry_days(calendar, entry_lag_days)), "day", "left")
             .drop("day"))
 

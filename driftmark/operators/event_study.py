@@ -43,7 +43,7 @@ def benchmark_tickers(tickers: DataFrame, universe: DataFrame | None, mode: str,
     if mode == "market":
         return tickers.select("ticker", F.lit(market_ticker).alias("bench"))
     if mode != "sector":
-        raise ValueError(f"benchmark must be market or sector, got {mode}")
+        raise ValueError(f"unknown benchmark {mode!r}: use 'market' or 'sector'")
     funds = universe.select("ticker", F.col("sector_etf").alias("fund"))
     listed = tickers.select(F.col("ticker").alias("fund"), F.lit(True).alias("listed"))
     return (tickers.join(funds, "ticker", "left").join(listed, "fund", "left")

@@ -1,6 +1,6 @@
 """Factor regression of book returns with autocorrelation-robust standard errors.
 
-The sums run in Spark. One book's daily series, bounded by the trading calendar, is then solved
+Spark joins books and factors; one book's daily series, bounded by the trading calendar, is solved
 as one small group.
 """
 from __future__ import annotations
@@ -20,8 +20,12 @@ TRADING_DAYS = 252
 
 
 def newey_west(y: np.ndarray, x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """OLS coefficients, t statistics with Bartlett-weighted covariance, and R squared."""
-    inverse = np.linalg.inv(x.T @ x)
+    """OLS coefficients, t statistics with Bartlett-weighted covariance, and R squared.
+
+    Collinear or constant factors share their effect through the pseudo-inverse; a statistic without
+    spread is NaN.
+    """
+    inverse = np.linalg.pinv(x.T @ x, hermitian=True)
     beta = inverse @ (x.T @ y)
     residual = y - x @ beta
     score = x * residual[:, None]
@@ -29,9 +33,11 @@ def newey_west(y: np.ndarray, x: np.ndarray, lags: int) -> tuple[np.ndarray, np.
     for lag in range(1, lags + 1):
         cross = score[lag:].T @ score[:-lag]
         middle += (1 - lag / (lags + 1)) * (cross + cross.T)
-    error = np.sqrt(np.diag(inverse @ middle @ inverse))
+    error = np.sqrt(np.maximum(np.diag(inverse @ middle @ inverse), 0.0))
     spread = y - y.mean()
-    return beta, beta / error, float(1 - (residual @ residual) / (spread @ spread))
+    total = spread @ spread
+    t = np.divide(beta, error, out=np.full(len(beta), np.nan), where=error > 0)
+    return beta, t, float(1 - (residual @ residual) / total) if total > 0 else float("nan")
 
 
 def factor_regression(daily: DataFrame, factors: DataFrame | None, keys: Sequence[str], ret: str = "ret",
@@ -63,6 +69,6 @@ def factor_regression(daily: DataFrame, factors: DataFrame | None, keys: Sequenc
         row |= {"alpha_ann": beta[0] * TRADING_DAYS, "alpha_t": t[0], "r2": r2, "n": len(group)}
         for i, f in enumerate(names, start=1):
             row |= {f"beta_{f}": beta[i], f"t_{f}": t[i]}
-        return pd.DataFrame([row], columns=schema.names)
+        return pd.DataFrame([row], columns=schema.names).replace({np.nan: None})
 
     return joined.groupBy(*keys).applyInPandas(solve, schema)

@@ -131,8 +131,11 @@ class SeasonalBook:
 
     def __init__(self, rows: DataFrame, rets: DataFrame, calendar: DataFrame, *,
                  rebalance_months: Sequence[int] = (3, 6, 9, 12), lookback_days: int = 100, quantiles: int = 5,
-                 min_names_per_leg: int = 3, cost_bps: float = 10, borrow_bps_annual: float = 50):
+                 min_names_per_leg: int = 3, cost_bps: float = 10, borrow_bps_annual: float = 50,
+                 scored: DataFrame | None = None):
+        """``scored``: the documents with a score, whether they have a return or not; by default ``rows``."""
         rebalances = rebalance_dates(calendar, rebalance_months)
+        self._scored = (rows if scored is None else scored, rebalances, lookback_days)
         self._rets = rets
         self._leg_terms = (quantiles, min_names_per_leg)
         self._costs = (cost_bps, borrow_bps_annual)
@@ -156,9 +159,9 @@ class SeasonalBook:
         return holdings_report(self.legs, self.turnover, self.periods, self.returns)
 
     def days_to_trade(self) -> DataFrame:
-        """Median calendar days between the latest document and the rebalance that uses it, per signal."""
+        """Median calendar days between the latest scored document and the rebalances that were traded, per signal."""
         traded = self.legs.select("signal", "rebalance").distinct()
-        return (self.latest.join(traded, ["signal", "rebalance"], "left_semi")
+        return (latest_documents(*self._scored).join(traded, ["signal", "rebalance"], "left_semi")
                 .groupBy("signal")
                 .agg(F.median(F.date_diff("rebalance", "t0")).alias("median_days_to_trade")))
 

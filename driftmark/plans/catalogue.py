@@ -1,6 +1,8 @@
 """Registered queries: each takes (spark, folder) and runs over whole tables."""
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,7 @@ from driftmark.operators.signals import build_signals
 from driftmark.plans import reports as P
 from driftmark.plans.study import Backtest
 from driftmark.plans.warehouse import EARLY_CUTOFF, HOLD_WEEKS, LATE_CUTOFF, MARKET, Warehouse, fund_close
-from driftmark.session import checkpointed
+from driftmark.session import checkpointed, shared_folder
 from driftmark.sources import factor_files as FF
 from driftmark.sources import filings as L
 from driftmark.sources import register as E
@@ -35,6 +37,12 @@ SEED = 7
 POSITIVE = ("the", "and", "la", "de", "und", "is", "are", "that", "est", "of", "on", "in", "whou", "les")
 NEGATIVE = ("or", "was", "be", "ist", "nicht", "il", "un", "une", "der", "by", "for", "with", "the", "an")
 
+LISTED = (frozenset(w.upper() for w in POSITIVE), frozenset(w.upper() for w in NEGATIVE))
+
+# Put behind every page, so that the hard cases of page text occur.
+PAGE_END = ("<p>3 < 4 and 5 > 2 &pound;7&nbsp;&eacute;&#163; &#x20AC;&#38;amp; &amp;lt; &nosuch; &#150;</p>"
+            "<STYLE>a{}</STYLE ><!-- left <b>out</b> --><script>var x = 'no end';")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -55,14 +63,20 @@ def returns_calendar_row(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(Warehouse(spark, folder).market.returns.select("ticker", "pos", "date", "ret"))
 
 
+def undated_some(w: Warehouse) -> DataFrame:
+    """Documents of which every 97th has lost its publication time."""
+    kept = F.when(F.col("event_id").cast("long") % 97 != 0, F.col("published_at"))
+    return w.documents_on_orders.withColumn("published_at", kept)
+
+
 def assign_entry_day(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return assign_t0(w.documents_on_orders, w.market.calendar).select("event_id", "t0_pos", "t0")
+    return assign_t0(undated_some(w), w.market.calendar).select("event_id", "t0_pos", "t0")
 
 
 def assign_entry_day_lagged(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    return assign_t0(w.documents_on_orders, w.market.calendar, 2).select("event_id", "t0_pos", "t0")
+    return assign_t0(undated_some(w), w.market.calendar, 2).select("event_id", "t0_pos", "t0")
 
 
 def car_query(study: EventStudy) -> DataFrame:
@@ -182,8 +196,9 @@ def mask_identity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_to_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with a bare less-than sign, all sorts of character references and a script that never ends."""
     pages = Warehouse(spark, folder).table("pages")
-    return pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return pages.select("page_id", X.html_to_text(F.concat("html", F.lit(PAGE_END))).alias("text"))
 
 
 def page_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +211,7 @@ def page_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def volume_estimate(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(X.volume_estimate(Warehouse(spark, folder).table("documents"), "text", 2000))
+    return tidy(X.volume_estimate(Warehouse(spark, folder).table("documents"), "text"))
 
 
 def answer_texts(w: Warehouse) -> DataFrame:
@@ -230,23 +245,25 @@ def rejected_answers(spark: SparkSession, folder: str) -> DataFrame:
     return A.rejected(parsed).select("event_id", "error")
 
 
-def tone_rater(text: str, row: dict) -> str:
-    """A deterministic stand-in for a user's rater: scores follow the document's length; it fails on some."""
-    size = len(text)
-    if size % 10 == 9:
-        raise ValueError("rater refused")
-    return (f'{{"guidance_tone": {size % 5 - 2}, "guidance_mentioned": true, "margins_tone": {size % 3 - 1}, '
-            f'"margins_mentioned": true, "demand_tone": 0, "demand_mentioned": false, '
-            f'"overall_tone": {size % 2}, "reason": "{row["ticker"]}"}}')
+def balance_rater(text: str, row: dict) -> dict:
+    """A word-list rater: which of the two lists a masked text draws more words from. It fails on texts with neither."""
+    heard = [w.upper() for w in re.findall(X.WORD, text)]
+    p, n = sum(w in LISTED[0] for w in heard), sum(w in LISTED[1] for w in heard)
+    if not p + n:
+        raise ValueError("no listed word")
+    return {"guidance_tone": (p > n) - (p < n), "guidance_mentioned": True, "margins_tone": p % 5 - 2, "margins_mentioned": True,
+            "demand_tone": 0, "demand_mentioned": False, "overall_tone": n % 5 - 2,
+            "reason": f"{len(text)} characters from {row['name']}"}
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The incremental scoring job over all documents with a rater run in Python workers."""
+    """The incremental job over all documents with masking, half of them answered by an earlier run."""
     docs = Warehouse(spark, folder).table("documents").select(
-        F.col("doc_id").cast("string").alias("event_id"), F.upper("lang").alias("ticker"),
-        F.col("source").alias("name"), "text")
-    rows = S.score_documents(S.open_documents(docs, None, MODEL, PROMPT), tone_rater, MODEL, PROMPT, anonymize=False)
-    return rows.select("key", "event_id", "guidance_tone", "margins_tone", "overall_tone", "reason", "error")
+        F.col("doc_id").cast("string").alias("event_id"), F.upper("lang").alias("ticker"), F.col("source").alias("name"), "text", "doc_id")
+    path = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
+    S.score_into(spark, docs.filter("doc_id % 2 = 0"), balance_rater, path, MODEL, PROMPT, buckets=2)
+    answers = S.score_into(spark, docs, balance_rater, path, MODEL, PROMPT, buckets=2)
+    return answers.select("key", "event_id", "guidance_tone", "margins_tone", "overall_tone", "reason")
 
 
 def answer_log(w: Warehouse) -> DataFrame:
@@ -266,11 +283,10 @@ def latest_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incremental_todo(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders without an answer: the log is known for lines shipped before 1999 only."""
+    """Orders without an answer in the log of all order lines."""
     w = Warehouse(spark, folder)
-    known = answer_log(w).filter(F.col("ingested_at.l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
     orders = w.table("orders").select(F.col("o_orderkey").cast("string").alias("event_id"))
-    return S.open_documents(orders, known, MODEL, PROMPT).select("key", "event_id")
+    return S.open_documents(orders, answer_log(w), MODEL, PROMPT).select("key", "event_id")
 
 
 def model_version(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,7 +385,7 @@ def fund_performance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def wealth_chart(spark: SparkSession, folder: str) -> DataFrame:
-    return tidy(P.wealth_chart(backtest(spark, folder).books, SIGNALS[:2]))
+    return tidy(P.wealth_chart(backtest(spark, folder).books, SIGNALS))
 
 
 def daily_return_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -505,7 +521,7 @@ def events_upsert(spark: SparkSession, folder: str) -> DataFrame:
     e = Warehouse(spark, folder).table("events")
 
     def rows(source: str) -> DataFrame:
-        return e.select((F.col("event_id") % 7000).cast("string").alias("event_id"),
+        return e.select(F.col("event_id").cast("string").alias("event_id"),
                         F.col("event_type").alias("ticker"), F.col("ts").alias("published_at"),
                         F.lit(source).alias("source"), F.lit("log").alias("form"), F.lit("").alias("url"),
                         F.col("props").alias("path"))
@@ -514,11 +530,11 @@ def events_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def manifest_register(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation openings registered as a local manifest."""
+    """Conversation turns registered as a local manifest."""
     c = Warehouse(spark, folder).table("conversations")
-    start = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("conv_id") % 500000).cast("int"))
-    manifest = c.filter(F.col("turn") == 0).select(
-        F.upper("role").alias("ticker"), start.alias("published_at"), F.concat(F.lit("c/"), "conv_id").alias("path"))
+    minutes = F.col("conv_id") * 10 + F.col("turn")
+    start = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=F.floor(minutes / 1440).cast("int"), mins=(minutes % 1440).cast("int"))
+    manifest = c.select(F.upper("role").alias("ticker"), start.alias("published_at"), F.concat_ws("/", F.lit("c"), "conv_id", "turn").alias("path"))
     return E.manifest_events(manifest).select("event_id", "ticker", "published_at", "path")
 
 
@@ -546,21 +562,20 @@ def filing_pages(w: Warehouse) -> DataFrame:
 
 
 def filing_directory(w: Warehouse) -> tuple[DataFrame, DataFrame]:
-    """Companies are pairs of customers: the even number is pinned, the odd one is where the ticker points."""
+    """Companies are pairs of customers: the even number is pinned, the odd one is where the ticker points, listed twice."""
     c = w.table("customer").select("c_custkey")
     even = c.filter(F.col("c_custkey") % 2 == 0)
     universe = even.select(F.concat(F.lit("C."), "c_custkey").alias("ticker"),
                            F.when(F.col("c_custkey") % 6 != 0, F.col("c_custkey")).alias("cik"))
-    directory = even.filter(F.col("c_custkey") % 4 == 0).select(
-        F.concat(F.lit("c-"), "c_custkey").alias("ticker"), (F.col("c_custkey") + 1).alias("company_no"))
-    return universe, directory
+    listed = even.select(F.concat(F.lit("c-"), "c_custkey").alias("ticker"), "c_custkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("place"))
+    return universe, listed.select("ticker", (F.col("c_custkey") + F.col("place")).alias("company_no"), "place")
 
 
 def filing_selection(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
     candidates = L.company_candidates(*filing_directory(w))
     chosen = L.earnings_filings(candidates, L.filing_rows(filing_pages(w)), "1996-01-01", "2000-12-31")
-    known = w.table("lineitem").filter(F.col("l_linenumber") == 7).select("l_orderkey").distinct() \
+    known = w.table("lineitem").groupBy("l_orderkey").agg(F.max("l_returnflag").alias("flag")).filter("flag = 'R'") \
         .join(w.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")) \
         .select(F.format_string("C.%d_%010d-24-%06d", F.col("o_custkey"), F.col("o_orderkey"),
                                 F.col("o_orderkey") % 1000).alias("event_id"))
@@ -585,20 +600,20 @@ def press_release_links(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def price_panel_assembly(spark: SparkSession, folder: str) -> DataFrame:
-    """Two overlapping partial downloads of the brand closes put together."""
+    """Two downloads of all closes with different holes put together."""
     w = Warehouse(spark, folder)
     dashed = w.prices.withColumn("ticker", F.translate("ticker", "#", "-"))
-    number = F.regexp_extract("ticker", r"(\d+)$", 1).try_cast("int")
-    close = F.when(number % 4 != 1, F.col("close"))
-    first = dashed.filter(F.coalesce(number, F.lit(0)) <= 15).withColumn("close", close)
-    second = dashed.filter(F.coalesce(number, F.lit(99)) >= 10).withColumn("close", F.when(number % 4 != 2, F.col("close") + 1))
-    return tidy(T.assemble_prices(first.withColumn("date", F.col("date").cast("timestamp_ntz")), second))
+    day = F.dayofyear("date")
+    first = dashed.withColumn("close", F.when(day % 3 != 0, F.col("close")))
+    second = dashed.withColumn("close", F.when(day % 4 != 0, F.col("close") + 1))
+    return tidy(T.assemble_prices(first.withColumn("date", F.col("date").cast("timestamp_ntz")), second), digits=6)
 
 
 def missing_price_tickers(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickers none of whose closes stands out: only outstanding closes count as priced."""
     w = Warehouse(spark, folder)
-    priced = w.prices.filter(F.col("ticker").isin("MKT", "SEC1", "SEC3") | F.col("ticker").endswith("2"))
-    return T.missing_tickers(T.panel_tickers(w.universe, MARKET), priced)
+    limit = w.prices.agg(F.avg("close") + 2 * F.stddev_samp("close")).scalar()
+    return T.missing_tickers(T.panel_tickers(w.universe, MARKET), w.prices.filter(F.col("close") >= limit))
 
 
 # -- reports ---------------------------------------------------------------------------------

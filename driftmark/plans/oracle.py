@@ -2,7 +2,7 @@
 where the Spark side uses equi-joins and blocks."""
 from __future__ import annotations
 
-from driftmark.plans.catalogue import MODEL, NEGATIVE, POSITIVE, PROMPT, SEED
+from driftmark.plans.catalogue import MODEL, NEGATIVE, PAGE_END, POSITIVE, PROMPT, SEED
 
 HOLD = 8
 
@@ -108,7 +108,11 @@ sig AS (
   SELECT * FROM (
     SELECT 'tone' AS signal, tone AS value, * FROM panel
     UNION ALL SELECT 'guidance_tone', CAST(guidance_tone AS DOUBLE), * FROM panel
-    UNION ALL SELECT 'size', size, * FROM panel) WHERE car IS NOT NULL)"""
+    UNION ALL SELECT 'size', size, * FROM panel) WHERE car IS NOT NULL),
+every_sig AS (
+  SELECT 'tone' AS signal, tone AS value, ticker, t0, published_at, event_id FROM panel
+  UNION ALL SELECT 'guidance_tone', CAST(guidance_tone AS DOUBLE), ticker, t0, published_at, event_id FROM panel
+  UNION ALL SELECT 'size', size, ticker, t0, published_at, event_id FROM panel)"""
 
 
 def spearman_of(name: str, source: str, keys: str, x: str = "value", y: str = "car") -> str:
@@ -227,6 +231,13 @@ exposure AS (
                         count(*) FILTER (leg = -1) AS event_positions_short FROM event_docs GROUP BY 1) USING (signal)
   GROUP BY 1, 2, 3)"""
 
+# the latest document with a score, whether it has a return or not, at every rebalance that was traded
+LAGS = """,
+lags AS (
+  SELECT * FROM (
+    SELECT s.signal, p.rebalance, s.t0, row_number() OVER (PARTITION BY s.signal, p.rebalance, s.ticker ORDER BY s.t0 DESC, s.published_at DESC, s.event_id DESC) AS rn
+    FROM every_sig s JOIN period p ON s.t0 < p.rebalance AND s.t0 >= p.rebalance - 100) WHERE rn = 1 AND (signal, rebalance) IN (SELECT (signal, rebalance) FROM numbered))"""
+
 SEASONAL = """,
 reb AS (
   SELECT min(date) AS rebalance FROM calendar GROUP BY year(date), month(date) HAVING month(min(date)) IN (3, 6, 9, 12)),
@@ -476,35 +487,48 @@ SELECT CAST(row_number() OVER (ORDER BY md5('11|' || doc_id), CAST(doc_id AS VAR
        CAST(length(masked) AS INTEGER) AS characters FROM masked ORDER BY md5('11|' || doc_id), CAST(doc_id AS VARCHAR) LIMIT 30""")
 
 
+# What the references in the pages and behind them stand for; the ampersand's come last.
+REFERENCES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&pound;", "£"), ("&eacute;", "é"), ("&#163;", "£"),
+              ("&#x20AC;", "€"), ("&#150;", "–"), ("&amp;", "&"), ("&#38;", "&"))
+
+
 def _decoded(expr: str) -> str:
-    from driftmark.functions.text import ENTITIES
-    for entity, char in ENTITIES:
-        expr = "replace({}, '{}', '{}')".format(expr, entity, char.replace("'", "''"))
+    for mark, char in REFERENCES:
+        expr = f"replace({expr}, '{mark}', '{char}')"
     return expr
 
 
 PAGE_TEXT = rf"""
 WITH bare AS (
-  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
-plain AS (SELECT page_id, {_decoded("regexp_replace(t, '&nbsp;|&#160;| ', ' ', 'g')")} AS t FROM bare)
-SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM plain"""
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html || '{PAGE_END.replace("'", "''")}',
+    '(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)', ' ', 'g'), '(?s)<!--.*?(?:-->|\z)', ' ', 'g'), '<[A-Za-z/!?][^>]*>', ' ', 'g') AS t FROM pages),
+plain AS (SELECT page_id, {_decoded("t")} AS t FROM bare)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(t, chr(160), ' '), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM plain"""
 
 PAGE_LINKS = r"""
 WITH found AS (
   SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || '/' AS base, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hrefs FROM pages),
 placed AS (SELECT page_id, base, unnest(range(len(hrefs))) AS place, unnest(hrefs) AS href FROM found)
 SELECT page_id, CAST(place AS INTEGER) AS place,
-       CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN 'https://www.sec.gov' || href ELSE base || href END AS link
+       CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN regexp_extract(base, '^[a-z]+://[^/]*') || href ELSE base || href END AS link
 FROM placed"""
 
 
-# -- answers and registers -------------------------------------------------------------------
-
 def log_key(event_id: str) -> str:
     return f"sha1({event_id} || '|{MODEL}|{PROMPT}|1')"
 
 
+# the two-list balance of the masked text, as the rater of the query counts it
+SCORED = ("WITH " + masked_of("SELECT doc_id, text AS body, upper(lang) AS ticker, source AS name, source AS core FROM documents") + f""",
+heard AS (SELECT doc_id, list_transform(regexp_extract_all(masked, '[A-Za-z]+(?:''[A-Za-z]+)?'), lambda x: upper(x)) AS w, length(masked) AS size FROM masked),
+told AS (SELECT doc_id, size, len(list_filter(w, lambda x: x IN ({words(POSITIVE)}))) AS p, len(list_filter(w, lambda x: x IN ({words(NEGATIVE)}))) AS n FROM heard)
+SELECT {log_key('CAST(doc_id AS VARCHAR)')} AS key, CAST(doc_id AS VARCHAR) AS event_id,
+       CAST(CASE WHEN p > n THEN 1 WHEN p < n THEN -1 ELSE 0 END AS INTEGER) AS guidance_tone, CAST(p % 5 - 2 AS INTEGER) AS margins_tone,
+       CAST(n % 5 - 2 AS INTEGER) AS overall_tone, size || ' characters from ' || source AS reason
+FROM told JOIN documents USING (doc_id) WHERE p + n > 0""")
+
+# -- answers and registers -------------------------------------------------------------------
+
 ANSWER_LOG = f"""
 WITH log AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS event_id, CAST(l_linenumber % 5 - 2 AS INTEGER) AS guidance_tone, 'build-' || lower(l_returnflag) AS model_id,
@@ -518,12 +542,12 @@ WITH filing AS (
          printf('%010d-24-%06d', o_orderkey, o_orderkey % 1000) AS acc FROM orders),
 company AS (
   SELECT 'C.' || c_custkey AS ticker, unnest(list_distinct(list_filter([CASE WHEN c_custkey % 6 <> 0 THEN c_custkey END,
-         CASE WHEN c_custkey % 4 = 0 THEN c_custkey + 1 END], lambda x: x IS NOT NULL))) AS company_no FROM customer WHERE c_custkey % 2 = 0)
+         c_custkey + 1], lambda x: x IS NOT NULL))) AS company_no FROM customer WHERE c_custkey % 2 = 0)
 SELECT c.ticker || '_' || f.acc AS event_id, c.ticker, f.o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) + INTERVAL 312 SECOND AS published_at,
        'sec_8k_ex99' AS source, f.form, 'https://www.sec.gov/Archives/edgar/data/' || f.company_no || '/' || replace(f.acc, '-', '') || '/' AS url
 FROM filing f JOIN company c USING (company_no)
 WHERE form = '8-K' AND prio IN ('2', '4') AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2000-12-31'
-  AND NOT ('C.' || f.company_no = c.ticker AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 7))"""
+  AND NOT ('C.' || f.company_no = c.ticker AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING max(l_returnflag) = 'R'))"""
 
 LABELS = TONE + """,
 ratings AS (
@@ -532,7 +556,7 @@ ratings AS (
 
 BOOTSTRAP = LABELS + f""",
 indexed AS (SELECT human, main, other, row_number() OVER (ORDER BY human, main, other) - 1 AS i, count(*) OVER () AS n FROM ratings),
-draws AS (SELECT rep, CAST('0x' || substr(md5('{SEED}|' || rep || '|' || draw), 1, 8) AS BIGINT) % (SELECT max(n) FROM indexed) AS i
+draws AS (SELECT rep, CAST('0x' || substr(md5('{SEED}|' || rep || '|' || draw), 1, 15) AS BIGINT) % (SELECT max(n) FROM indexed) AS i
           FROM (SELECT unnest(range(1, 2001)) AS rep), (SELECT unnest(range(1, (SELECT max(n) FROM indexed) + 1)) AS draw)),
 reps AS (SELECT rep, {kappa('human', 'main')} - {kappa('human', 'other')} AS d FROM draws JOIN indexed USING (i) GROUP BY 1),
 spread AS (SELECT quantile_cont(d, 0.05) AS low, quantile_cont(d, 0.95) AS high, count(d) AS replicates FROM reps),
@@ -554,8 +578,8 @@ SELECT period, signal, n AS documents, {r('CASE WHEN n >= 10 THEN rho END', 7)}
 CAR_SELECT = f"SELECT event_id, ticker, t0, {r('ar_day0')} AS ar_day0, {r('car')} AS car FROM panel"
 
 WEALTH = BOOKS + f""",
-grid AS (SELECT kind, date, signal FROM (SELECT DISTINCT kind, date FROM books WHERE signal IN ('tone', 'guidance_tone'))
-         JOIN (SELECT DISTINCT kind, signal FROM books WHERE signal IN ('tone', 'guidance_tone')) USING (kind)),
+grid AS (SELECT kind, date, signal FROM (SELECT DISTINCT kind, date FROM books WHERE true)
+         JOIN (SELECT DISTINCT kind, signal FROM books WHERE true) USING (kind)),
 aligned AS (SELECT kind, signal, date, coalesce(net, 0) AS ret FROM grid LEFT JOIN books USING (kind, signal, date))
 SELECT kind, signal, date, {r('product(1 + ret) OVER (PARTITION BY kind, signal ORDER BY date)')} AS wealth FROM aligned"""
 
@@ -622,9 +646,9 @@ sector_docs AS (SELECT * REPLACE ('SEC' || CAST(CAST(substr(ticker, 7) AS INT) %
 
 ORACLE: dict[str, str] = {
     "returns_calendar_row": BASE + f" SELECT ticker, pos, date, {r('ret')} AS ret FROM rets",
-    "assign_entry_day": BASE + " SELECT event_id, e.t0_pos, c.date AS t0 FROM scored s JOIN entry e ON e.candidate = s.candidate"
+    "assign_entry_day": BASE + " SELECT event_id, CASE WHEN okey % 97 <> 0 THEN e.t0_pos END AS t0_pos, CASE WHEN okey % 97 <> 0 THEN c.date END AS t0 FROM scored s JOIN entry e ON e.candidate = s.candidate"
                                " LEFT JOIN calendar c ON c.pos = e.t0_pos",
-    "assign_entry_day_lagged": BASE + " SELECT event_id, c.pos AS t0_pos, c.date AS t0 FROM scored s JOIN entry e ON e.candidate = s.candidate"
+    "assign_entry_day_lagged": BASE + " SELECT event_id, CASE WHEN okey % 97 <> 0 THEN c.pos END AS t0_pos, CASE WHEN okey % 97 <> 0 THEN c.date END AS t0 FROM scored s JOIN entry e ON e.candidate = s.candidate"
                                       " LEFT JOIN calendar c ON c.pos = e.t0_pos + 2",
     "event_car": PANEL + CAR_SELECT,
     "event_car_to_calendar_end": BASE + car_of("", 20, "'MKT'") + CAR_SELECT,
@@ -666,21 +690,16 @@ ORACLE: dict[str, str] = {
     "mask_identity": MASKED,
     "html_to_text": PAGE_TEXT,
     "page_links": PAGE_LINKS,
-    "volume_estimate": f"SELECT count(*) AS documents, {r('sum(least(length(text), 2000)) / 4e6')} AS million_tokens FROM documents",
+    "volume_estimate": f"SELECT count(*) AS documents, {r('sum(length(text)) / 4e6')} AS million_tokens FROM documents",
     "parsed_answers": BASE + """ SELECT event_id, guidance_tone, margins_tone, demand_tone, overall_tone, margins_mentioned, demand_mentioned,
         CASE WHEN okey % 11 = 0 THEN '(reason cut off at the length limit)' ELSE 'order ' || event_id END AS reason, okey % 11 = 0 AS reason_truncated
         FROM docs WHERE okey % 13 <> 0 AND okey % 17 <> 0""",
     "rejected_answers": BASE + """ SELECT event_id, CASE WHEN okey % 13 = 0 THEN 'not readable' ELSE 'overall_tone missing or out of range' END AS error
         FROM docs WHERE okey % 13 = 0 OR okey % 17 = 0""",
-    "scored_documents": f"""SELECT {log_key('CAST(doc_id AS VARCHAR)')} AS key, CAST(doc_id AS VARCHAR) AS event_id,
-        CASE WHEN length(text) % 10 <> 9 THEN CAST(length(text) % 5 - 2 AS INTEGER) END AS guidance_tone,
-        CASE WHEN length(text) % 10 <> 9 THEN CAST(length(text) % 3 - 1 AS INTEGER) END AS margins_tone,
-        CASE WHEN length(text) % 10 <> 9 THEN CAST(length(text) % 2 AS INTEGER) END AS overall_tone,
-        CASE WHEN length(text) % 10 <> 9 THEN upper(lang) END AS reason,
-        CASE WHEN length(text) % 10 = 9 THEN 'rater refused' END AS error FROM documents""",
+    "scored_documents": SCORED,
     "latest_answers": ANSWER_LOG + f" SELECT {log_key('event_id')} AS key, event_id, guidance_tone, model_id FROM log WHERE rn = 1",
     "incremental_todo": f"""SELECT {log_key('CAST(o_orderkey AS VARCHAR)')} AS key, CAST(o_orderkey AS VARCHAR) AS event_id FROM orders
-        WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01')""",
+        WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""",
     "model_version": ANSWER_LOG + " SELECT string_agg(model_id, ', ' ORDER BY model_id) AS model_version FROM (SELECT DISTINCT model_id FROM log)",
     "hash_sample": BASE + f" SELECT event_id, ticker FROM docs ORDER BY md5('{SEED}|' || event_id), event_id LIMIT 40",
     "first_documents": BASE + " SELECT event_id, ticker, published_at FROM docs ORDER BY published_at, ticker, event_id LIMIT 50",
@@ -704,15 +723,13 @@ ORACLE: dict[str, str] = {
         {r('seasonal_periods_positive')} AS seasonal_periods_positive, seasonal_periods FROM period_stats""",
     "seasonal_returns": ROWS + SEASONAL + f""" SELECT signal, rebalance, pos, date, {r('long')} AS long, {r('short')} AS short, {r('gross')} AS gross,
         {r('cost')} AS cost, {r('net')} AS net FROM seas""",
-    "days_to_trade": ROWS + SEASONAL + """ SELECT signal, median(rebalance - t0) AS median_days_to_trade FROM latest
-        JOIN numbered USING (signal, rebalance) GROUP BY 1""",
+    "days_to_trade": ROWS + SEASONAL + LAGS + " SELECT signal, median(rebalance - t0) AS median_days_to_trade FROM lags GROUP BY 1",
     "book_performance": BOOK_PERF + f" SELECT kind, signal, series, {perf_select(8)} FROM book_perf",
     "fund_performance": BASE + perf("fund_perf", "rets", "ticker") + f" SELECT ticker, {perf_select(9)} FROM fund_perf",
     "wealth_chart": WEALTH,
     "daily_return_matrix": DAILY,
-    "run_meta": ROWS + SEASONAL + """ SELECT count(*) AS n_events, count(DISTINCT ticker) AS n_tickers, min(t0) AS first_event, max(t0) AS last_event,
-        CAST(8 AS INTEGER) AS hold_days, false AS has_factors, (SELECT median(rebalance - t0) FROM latest JOIN numbered USING (signal, rebalance)
-        WHERE signal = 'tone') AS median_days_to_trade FROM panel""",
+    "run_meta": ROWS + SEASONAL + LAGS + """ SELECT count(*) AS n_events, count(DISTINCT ticker) AS n_tickers, min(t0) AS first_event, max(t0) AS last_event,
+        CAST(8 AS INTEGER) AS hold_days, false AS has_factors, (SELECT median(rebalance - t0) FROM lags WHERE signal = 'tone') AS median_days_to_trade FROM panel""",
     "scored_events": PANEL + f""" SELECT event_id, ticker, published_at, t0, season, post_cutoff, {r('ar_day0')} AS ar_day0, {r('car')} AS car_1_8,
         {r('tone')} AS tone, guidance_tone, {r('size')} AS size FROM panel""",
     "factor_returns": BASE + SPLITS + ' SELECT date, ' + ", ".join(
@@ -742,10 +759,10 @@ ORACLE: dict[str, str] = {
     "bootstrap_kappa_ci": BOOTSTRAP,
     "events_upsert": """SELECT event_id, ticker, published_at, source, 'log' AS form, '' AS url, path FROM (
         SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY arrival, ticker, published_at, source, path) AS rn FROM (
-          SELECT 1 AS arrival, CAST(event_id % 7000 AS VARCHAR) AS event_id, event_type AS ticker, ts AS published_at, 'arrival' AS source, props AS path FROM events
-          UNION ALL SELECT 0, CAST(event_id % 7000 AS VARCHAR), event_type, ts, 'register', props FROM events WHERE event_type = 'error')) WHERE rn = 1""",
-    "manifest_register": """SELECT upper(role) || '_call_' || strftime(TIMESTAMP '2024-01-01' + to_minutes(conv_id % 500000), '%Y%m%d%H%M') AS event_id,
-        upper(role) AS ticker, TIMESTAMP '2024-01-01' + to_minutes(conv_id % 500000) AS published_at, 'c/' || conv_id AS path FROM conversations WHERE turn = 0""",
+          SELECT 1 AS arrival, CAST(event_id AS VARCHAR) AS event_id, event_type AS ticker, ts AS published_at, 'arrival' AS source, props AS path FROM events
+          UNION ALL SELECT 0, CAST(event_id AS VARCHAR), event_type, ts, 'register', props FROM events WHERE event_type = 'error')) WHERE rn = 1""",
+    "manifest_register": """SELECT upper(role) || '_call_' || strftime(moment, '%Y%m%d%H%M') AS event_id, upper(role) AS ticker, moment AS published_at, path FROM (
+        SELECT role, TIMESTAMP '2024-01-01' + to_minutes(conv_id * 10 + turn) AS moment, 'c/' || conv_id || '/' || turn AS path FROM conversations)""",
     "filing_selection": FILINGS,
     "press_release_links": """WITH line AS (
         SELECT DISTINCT ON (l_orderkey, l_linenumber) l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
@@ -754,14 +771,12 @@ ORACLE: dict[str, str] = {
         SELECT l_orderkey, arg_min('/d/' || l_partkey || '-' || l_suppkey || '.htm', CASE kind WHEN 'EX-99' THEN 0 WHEN 'EX-99.1' THEN 100 ELSE 200 END + l_linenumber)
         FILTER (kind IS NOT NULL AND l_suppkey % 4 <> 0) AS href FROM ranked GROUP BY 1""",
     "price_panel_assembly": BASE + f""", part_1 AS (
-        SELECT replace(ticker, '#', '.') AS ticker, date, CASE WHEN num % 4 <> 1 THEN close END AS close FROM (
-          SELECT *, TRY_CAST(regexp_extract(ticker, '(\\d+)$', 1) AS INT) AS num FROM prices) WHERE coalesce(num, 0) <= 15),
-        part_2 AS (SELECT replace(ticker, '#', '.') AS ticker, date, CASE WHEN num % 4 <> 2 THEN close + 1 END AS close FROM (
-          SELECT *, TRY_CAST(regexp_extract(ticker, '(\\d+)$', 1) AS INT) AS num FROM prices) WHERE coalesce(num, 99) >= 10),
+        SELECT replace(ticker, '#', '.') AS ticker, date, CASE WHEN dayofyear(date) % 3 <> 0 THEN close END AS close FROM prices),
+        part_2 AS (SELECT replace(ticker, '#', '.') AS ticker, date, CASE WHEN dayofyear(date) % 4 <> 0 THEN close + 1 END AS close FROM prices),
         merged AS (SELECT ticker, date, coalesce(a.close, b.close) AS close FROM part_1 a FULL JOIN part_2 b USING (ticker, date))
-        SELECT ticker, date, {r('close')} AS close FROM merged WHERE ticker IN (SELECT ticker FROM merged WHERE close IS NOT NULL)""",
-    "missing_price_tickers": BASE + """ SELECT DISTINCT ticker FROM prices
-        WHERE ticker NOT IN ('MKT', 'SEC1', 'SEC3') AND NOT ends_with(ticker, '2')""",
+        SELECT ticker, date, {r('close', 6)} AS close FROM merged WHERE ticker IN (SELECT ticker FROM merged WHERE close IS NOT NULL)""",
+    "missing_price_tickers": BASE + """ SELECT DISTINCT ticker FROM prices p WHERE NOT EXISTS (
+        SELECT 1 FROM prices q WHERE q.ticker = p.ticker AND q.close >= (SELECT avg(close) + 2 * stddev_samp(close) FROM prices))""",
     "backtest_summary": SUMMARY,
     "main_test": MAIN_TEST + " " + unpivoted("wide", ("mean_ic", "ic_t", "ic_p", "ic_t_crit", "ic_pos_share", "seasons", "seasonal_net_sharpe",
                                                      "seasonal_net_sharpe_se"), 8),

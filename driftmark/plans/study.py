@@ -41,8 +41,8 @@ class Backtest:
     def __init__(self, study: EventStudy, signals: Sequence[str], *, training_cutoff: str,
                  factors: DataFrame | None = None, quantiles: int = 5, min_history: int = 40,
                  lookback_days: int = 100, min_names_per_leg: int = 3, cost_bps: float = 10,
-                 borrow_bps_annual: float = 50, split_rows: int | None = None):
-        self.study, self.factors, self.q, self.split_rows = study, factors, quantiles, split_rows
+                 borrow_bps_annual: float = 50, slice_rows: int | None = None):
+        self.study, self.factors, self.q, self.slice_rows = study, factors, quantiles, slice_rows
         self.cutoff = training_cutoff
         self.signals = [s for s in signals if s in study.events.columns]
         if not self.signals:
@@ -50,7 +50,7 @@ class Backtest:
         self.terms = dict(quantiles=quantiles, cost_bps=cost_bps, borrow_bps_annual=borrow_bps_annual)
         self.seasonal_terms = dict(rebalance_months=study.months, lookback_days=lookback_days,
                                    min_names_per_leg=min_names_per_leg)
-        self.event_terms = dict(hold_days=study.hold_days, min_history=min_history, split_rows=split_rows)
+        self.event_terms = dict(hold_days=study.hold_days, min_history=min_history, slice_rows=slice_rows)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -65,11 +65,12 @@ class Backtest:
 
     @cached_property
     def ics(self) -> DataFrame:
-        return checkpointed(ranks.ic_by_season(self.rows, self.study.target, split_rows=self.split_rows))
+        return checkpointed(ranks.ic_by_season(self.rows, self.study.target, slice_rows=self.slice_rows))
 
     @cached_property
     def seasonal(self) -> SeasonalBook:
-        return SeasonalBook(self.rows, self.study.returns, self.study.calendar, **self.terms, **self.seasonal_terms)
+        scored = ranks.signal_rows(self.panel, self.signals, ROW_COLUMNS)
+        return SeasonalBook(self.rows, self.study.returns, self.study.calendar, scored=scored, **self.terms, **self.seasonal_terms)
 
     @cached_property
     def event_time(self) -> EventTimeBook:
@@ -94,13 +95,14 @@ class Backtest:
         return factor_regression(self.books, self.factors, ["kind", "signal"], "net")
 
     def quantiled(self) -> DataFrame:
-        return ranks.quantile_in_season(self.rows, self.q, split_rows=self.split_rows)
+        return ranks.quantile_in_season(self.rows, self.q, slice_rows=self.slice_rows)
 
     def summary(self) -> DataFrame:
-        """One row per signal with every statistic of the evaluation."""
+        """One row per signal with every statistic of the evaluation, also for a signal without scored rows."""
         target = self.study.target
-        out = ranks.pooled_ic(self.rows, target, split_rows=self.split_rows)
-        parts = [ranks.ic_summary(self.ics), ranks.hit_rate(self.quantiled(), target, self.q),
+        spark = self.panel.sparkSession
+        out = spark.createDataFrame([(s,) for s in self.signals], "signal string")
+        parts = [ranks.pooled_ic(self.rows, target, slice_rows=self.slice_rows), ranks.ic_summary(self.ics), ranks.hit_rate(self.quantiled(), target, self.q),
                  self.seasonal.period_stats(), self.event_time.exposure()]
         for kind in ("seasonal", "event"):
             parts.append(_side_by_side(self.performance.filter(F.col("kind") == kind), kind))
@@ -111,7 +113,7 @@ class Backtest:
                                                       for c in named.columns if c != "signal"]))
         for part in parts:
             out = out.join(part, "signal", "left")
-        return out
+        return out.fillna(0, ["n_events", "post_cutoff_n", "seasons", "hit_n"])
 
     def entry_delay(self, signal: str, delays: Sequence[int] = DELAYS) -> DataFrame:
         """Sharpe ratio and annual return of the event-time book by entry delay."""

@@ -1,47 +1,34 @@
-"""Session helpers: lineage cuts and size-checked broadcasts."""
+"""Session helpers: where written tables live, and lineage cuts."""
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A broadcast side may hold at most this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; without one, a folder of the warehouse.
 
-def use_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session that names none gets a folder of its own.
+    Both are seen by every executor; no machine's own temporary folder is used. Tables of one
+    application lie in a folder of their own, which :func:`discard_tables` removes.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="driftmark-")
-    sc.setCheckpointDir(folder)
-    return folder
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables"
+    return f"{folder.rstrip('/')}/driftmark-{spark.sparkContext.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written table.
+    """Write a calendar-sized ``df`` to the shared folder and continue from the written table.
 
-    Parquet keeps column pruning and size statistics for the plans that follow.
+    Parquet keeps column pruning and size statistics for the plans that follow. Document-sized frames
+    stay lazy.
     """
-    path = f"{use_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only once a count has shown that ``df`` stays below the bound.
-
-    Larger sides come back without a hint, so the join shuffles instead.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def discard_tables(spark: SparkSession) -> None:
+    """Delete what this application wrote; frames that read it end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

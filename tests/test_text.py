@@ -8,8 +8,8 @@ from driftmark.functions import text as X
 from driftmark.operators.signals import build_signals
 
 POS, NEG = ["strong", "improved", "record"], ["decline", "loss", "weak"]
-TEXTS = ["Record quarter with strong growth. Weak demand caused a decline.", "Results were not strong.", "Nothing here.",
-         "No record, and it isn't weak: one two three strong", "not a b c strong", "", None]
+TEXTS = ["Improved harvest, record yield; a weak market and one loss followed", "Never so improved", "Grain and barley",
+         "none improved although costs weren't weak but later on strong", "neither wheat nor rye strong", "", None]
 
 
 def test_tone_and_negation_by_literals_and_by_join(spark):
@@ -20,7 +20,7 @@ def test_tone_and_negation_by_literals_and_by_join(spark):
         got = {r.id: (r.lm_pos, r.lm_neg, pytest.approx(r.lm)) for r in table.collect()}
         assert got == want
     words = {r.id: r.lm_words for r in X.word_tone(docs, "text", POS, NEG, ["id"]).collect()}
-    assert words[1] == 4 and words[3] == 10 and words[6] == 0
+    assert words[1] == 3 and words[3] == 10 and words[6] == 0
 
 
 def test_a_word_on_both_lists_is_positive_first(spark):
@@ -35,13 +35,13 @@ def mask(spark, text, ticker, name):
 
 
 def test_masking_hides_identity_and_dates(spark):
-    out = mask(spark, "Apple Inc. (NASDAQ: AAPL) reported on January 30, 2025 for fiscal 2025. Apple expects FY '26.", "AAPL", "Apple")
-    assert out == "the Company (NASDAQ: TICKER) reported on [DATE] for fiscal [YEAR]. the Company expects fiscal [YEAR]."
+    out = mask(spark, "On 3 and Sept. 4 2019 Norsk Fjord plc, listed as NFJ since 1987, told FY19 was dull; norsk fjord shrugged.", "NFJ", "Norsk Fjord plc")
+    assert out == "On 3 and [DATE] the Company, listed as TICKER since [YEAR], told fiscal [YEAR] was dull; the Company shrugged."
 
 
 def test_short_ticker_does_not_eat_words(spark):
-    out = mask(spark, "AT&T (T) said T-Mobile and The team. Total revenue", "T", "AT&T")
-    assert out == "the Company (TICKER) said TICKER-Mobile and The team. Total revenue"
+    out = mask(spark, "M+M rose, M fell; Mr M. met ROM and 5M", "M", "M+M")
+    assert out == "the Company rose, TICKER fell; Mr TICKER. met ROM and 5TICKER"
 
 
 def test_masking_edge_cases(spark):
@@ -60,10 +60,11 @@ def test_rater_limit_cuts_before_masking(spark):
 
 
 def test_page_text(spark):
-    html = ('<html><head><style>p{a}</style><SCRIPT type="x">var t="</p>";\n1</SCRIPT></head><body><!-- ad\n -->'
-            "<p>One&nbsp;&amp; two</p>\n \n<p>it&#8217;s &amp;lt;3 &lt;b&gt;</p>\t</body>")
-    out = spark.createDataFrame([(html,)], "h string").select(X.html_to_text(F.col("h"))).first()[0]
-    assert out == "One & two\nit’s &lt;3 <b>"
+    cases = {'<STYLE>b{}</STYLE><script>"<p>"\n</script ><!-- x\n --><h1>Tea&nbsp;&amp; milk</h1>\n \n<p>5 &lt; 6 &amp;gt;</p>\t': "Tea & milk\n5 < 6 &gt;",
+             "3 < 4 and 5 > 2": "3 < 4 and 5 > 2", "&pound;&euro;&eacute;&#163;&#x1F600;&#38;amp;": "£€é£😀&amp;",
+             "a<script>never closed <p>": "a", "b<!-- neither": "b", "&none; &amp &#0;&#xD800;&#150;&#99999999;": "&none; &amp \ufffd\ufffd–&#99999999;", "": ""}
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    assert {r.h: r.t for r in df.select("h", X.html_to_text(F.col("h")).alias("t")).collect()} == cases
 
 
 def test_volume(spark):
@@ -87,7 +88,7 @@ def test_answers_parse_and_validate(spark):
     rows = parse(spark, full, cut, '{"guidance_tone": -2, "guid', json.dumps(GOOD | {"guidance_tone": 3}),
                  json.dumps({k: v for k, v in GOOD.items() if k != "demand_mentioned"}), "not json", None,
                  json.dumps({k: v for k, v in GOOD.items() if k != "reason"}))
-    assert rows[0].error is None and rows[0].guidance_tone == -1 and rows[0].margins_mentioned is False and len(rows[0].reason) == 300
+    assert rows[0].error is None and rows[0].guidance_tone == -1 and rows[0].margins_mentioned is False and len(rows[0].reason) == 400
     assert rows[1].error is None and rows[1].reason_truncated and rows[1].demand_tone == -1 and rows[1].reason == A.REASON_CUT
     assert [r.error for r in rows[2:7]] == ["not readable", "guidance_tone missing or out of range", "demand_mentioned missing",
                                             "not readable", "not readable"]
@@ -107,15 +108,14 @@ def test_answer_key(spark):
 
 
 def test_signals_and_change_since_the_last_document(spark):
-    events = spark.createDataFrame([("a1", "A", "2024-01-01"), ("a2", "A", "2024-04-01"), ("b1", "B", "2024-01-05")],
+    events = spark.createDataFrame([("k8", "K", "2019-02-11"), ("k9", "K", "2019-02-12"), ("q1", "Q", "2018-07-30")],
                                    "event_id string, ticker string, at string").select(
         "event_id", "ticker", F.col("at").cast("timestamp_ntz").alias("published_at"))
     scores = spark.createDataFrame(
-        [("a2", 2, 1, -1, 2, True, False, True, "x"), ("a1", -1, 0, 0, 0, True, True, True, ""), ("b1", 1, 0, 0, 0, True, True, True, "")],
+        [("k9", -2, -1, 2, 1, True, True, False, "x"), ("k8", 1, 2, 2, 2, True, True, True, ""), ("q1", 0, 1, 0, 0, True, True, True, "")],
         "event_id string, guidance_tone int, margins_tone int, demand_tone int, overall_tone int, guidance_mentioned boolean, "
         "margins_mentioned boolean, demand_mentioned boolean, reason string")
-    for split in (None, 1):
-        got = {r.event_id: r for r in build_signals(scores, events, split_rows=split).collect()}
-        assert got["a2"].tone_delta == 3 and got["a1"].tone_delta is None and got["b1"].tone_delta is None
+    got = {r.event_id: r for r in build_signals(scores, events, slice_rows=1).collect()}
+    assert got["k9"].tone_delta == -3 and got["k8"].tone_delta is None and got["q1"].tone_delta is None
     # the tie-breaker uses the score of a topic that counts 0 in its own column
-    assert got["a2"].tone == pytest.approx(2 + 0.1 * 2 / 3) and got["a2"].tone_margins == 0 and got["a2"].tone_demand == -1
+    assert got["k9"].tone == pytest.approx(-2 + 0.1 * 2 / 3) and got["k9"].tone_demand == 0 and got["k9"].tone_margins == -1
