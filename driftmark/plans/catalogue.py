@@ -20,7 +20,7 @@ from driftmark.operators.history import historical_midrank
 from driftmark.operators.performance import long_series, perf_stats
 from driftmark.operators.signals import build_signals
 from driftmark.plans import reports as P
-from driftmark.plans.study import Backtest
+from driftmark.plans.study import Backtest, with_scores
 from driftmark.plans.warehouse import EARLY_CUTOFF, HOLD_WEEKS, LATE_CUTOFF, MARKET, Warehouse, fund_close
 from driftmark.session import checkpointed, shared_folder
 from driftmark.sources import factor_files as FF
@@ -654,17 +654,20 @@ def noise_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """The first rater's study beside a second rater's, on rank statistics."""
+    """The first rater's study beside a second rater's, on rank statistics and both books.
+
+    The raters have score tables of their own, joined to the events by id.
+    """
     w = Warehouse(spark, folder)
-    events = w.scored.select("event_id", "ticker", "published_at", "guidance_tone", "guidance_other", "size")
+    d = w.documents_on_orders
+    events = with_scores(d.select("event_id", "ticker", "published_at", "size"), d.select("event_id", "guidance_tone"), d.select("event_id", "guidance_other"))
+    study = EventStudy(events, w.market, hold_days=HOLD_WEEKS)
+    summary = Backtest(study, ["guidance_tone", "guidance_other", "size"], training_cutoff=LATE_CUTOFF).summary()
 
-    def summary(rater: str) -> DataFrame:
-        study = EventStudy(events.withColumn("primary", F.col(rater)), w.market, hold_days=HOLD_WEEKS)
-        b = Backtest(study, ["primary", "size"], training_cutoff=LATE_CUTOFF)
-        return (R.pooled_ic(b.rows, study.target).join(R.ic_summary(b.ics), "signal", "left")
-                .join(R.hit_rate(b.quantiled(), study.target), "signal", "left"))
+    def of(rater: str) -> DataFrame:
+        return summary.filter(F.col("signal").isin(rater, "size")).withColumn("signal", F.when(F.col("signal") == rater, "primary").otherwise("size"))
 
-    return tidy(P.model_comparison(summary("guidance_tone"), summary("guidance_other"), "primary", "size"), digits=7)
+    return tidy(P.model_comparison(of("guidance_tone"), of("guidance_other"), "primary", "size"), digits=7)
 
 
 def sector_ic(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@ where the Spark side uses equi-joins and blocks."""
 from __future__ import annotations
 
 from driftmark.plans.catalogue import MODEL, NEGATIVE, PAGE_END, POSITIVE, PROMPT, SEED
+from driftmark.plans.reports import COMPARED
 
 HOLD = 8
 
@@ -630,14 +631,14 @@ SELECT p.signal, n_events, {r('pooled_ic', 7)} AS pooled_ic, post_cutoff_n, {r('
 FROM pooled p LEFT JOIN ic_stats i USING (signal) LEFT JOIN hits h USING (signal) LEFT JOIN period_stats s USING (signal)
 LEFT JOIN exposure e USING (signal) LEFT JOIN perf_wide w USING (signal) LEFT JOIN ff_wide f USING (signal)""")
 
-COMPARED_RANKS = ("n_events", "post_cutoff_n", "mean_ic", "ic_t", "ic_t_crit", "ic_p", "hit_rate", "post_cutoff_pooled_ic")
 
-COMPARISON = (IC_SUMMARY + POOLED + QUANTILED + """,
-all_stats AS (SELECT * FROM pooled JOIN ic_stats USING (signal) JOIN hits USING (signal))""").replace(
+_NET = "(SELECT sharpe FROM book_perf b WHERE b.signal = p.signal AND b.kind = '{}' AND b.series = 'net') AS {}_net_sharpe"
+COMPARISON = (IC_SUMMARY + POOLED + QUANTILED + BOOKS[len(ROWS):] + perf("book_perf", "series", "kind, signal, series") + f""",
+all_stats AS (SELECT *, {_NET.format('event', 'event')}, {_NET.format('seasonal', 'seasonal')} FROM pooled p JOIN ic_stats USING (signal) JOIN hits USING (signal))""").replace(
     "SELECT 'tone' AS signal, tone AS value, * FROM panel",
     "SELECT 'guidance_other' AS signal, CAST(guidance_other AS DOUBLE) AS value, * FROM panel") + """
 SELECT measure, max(CASE WHEN signal = 'guidance_tone' THEN value END) AS main, max(CASE WHEN signal = 'guidance_other' THEN value END) AS other,
-       max(CASE WHEN signal = 'size' THEN value END) AS baseline FROM (""" + unpivoted("all_stats", COMPARED_RANKS, 7) + ") GROUP BY 1"
+       max(CASE WHEN signal = 'size' THEN value END) AS baseline FROM (""" + unpivoted("all_stats", COMPARED, 7) + ") GROUP BY 1"
 
 SECTOR = BASE + f""",
 sector_docs AS (SELECT * REPLACE ('SEC' || CAST(CAST(substr(ticker, 7) AS INT) % 5 AS VARCHAR) AS ticker) FROM dated)""" \

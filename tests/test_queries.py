@@ -6,7 +6,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_oracle import TABLES, canonical
-from driftmark.plans import catalogue, oracle
+from driftmark.plans import catalogue, oracle, stored
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -24,7 +24,7 @@ def db():
 
 
 def test_queries_and_sql_have_the_same_names():
-    assert set(catalogue.QUERIES) == set(oracle.ORACLE) and set(oracle_sql()) <= set(queries())
+    assert set(catalogue.QUERIES) == set(oracle.ORACLE) and set(stored.QUERIES) == set(stored.ORACLE) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry_has_rows(spark):
