@@ -123,9 +123,9 @@ class PricePanel:
 class EventStudy:
     """The frames of one study.
 
-    ``windows`` (at most tickers x days) and the document ``panel`` feed every later operator, so
-    each is written out once and read back; the rest stays lazy. While the windows are small the
-    documents meet them in a broadcast join and are never shuffled.
+    ``windows`` (at most tickers x days) feed every later operator, so they are written out once and
+    read back; the documents stay lazy. While the windows are small the documents meet them in a
+    broadcast join and are never shuffled.
     """
 
     def __init__(self, events: DataFrame, prices: DataFrame | PricePanel, universe: DataFrame | None = None, *,
@@ -168,8 +168,8 @@ class EventStudy:
     @cached_property
     def panel(self) -> DataFrame:
         """Documents with t0, season, day-0 return and CAR."""
-        return checkpointed(self.dated.join(self.windows, ["ticker", "t0_pos"])
-                            .withColumn("season", season_label(F.col("t0"), self.months)))
+        return (self.dated.join(self.windows, ["ticker", "t0_pos"])
+                .withColumn("season", season_label(F.col("t0"), self.months)))
 
     @property
     def paths(self) -> DataFrame:

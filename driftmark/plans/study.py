@@ -99,6 +99,8 @@ class Backtest:
 
     def summary(self) -> DataFrame:
         """One row per signal with every statistic of the evaluation, also for a signal without scored rows."""
+        # ten statistics follow from these rows: the one document-sized table a study writes
+        self.rows = checkpointed(self.rows)
         target = self.study.target
         spark = self.panel.sparkSession
         out = spark.createDataFrame([(s,) for s in self.signals], "signal string")

@@ -99,8 +99,8 @@ class Warehouse:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Documents with the composite tone score, written out once like any event register."""
-        return checkpointed(self.documents_on_orders.withColumn("tone", tone_score()))
+        """Documents with the composite tone score."""
+        return self.documents_on_orders.withColumn("tone", tone_score())
 
     @cached_property
     def market(self) -> PricePanel:
