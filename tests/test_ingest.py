@@ -159,13 +159,13 @@ def test_scoring_resumes_where_it_stopped(spark, tmp_path):
         return good_answer(text, row)
 
     path = str(tmp_path / "answers")
-    first = S.score_into(spark, documents(spark), limited, path, "m", "v1")
+    first = S.score_into(spark, documents(spark), limited, path, "m", "v1", buckets=3)
     assert first.count() == 4
     failed = S.read_answers(spark, path).filter("error is not null")
     assert {r.error for r in failed.collect()} == {"RuntimeError: usage limit reached"}
     todo = S.open_documents(documents(spark), S.read_answers(spark, path), "m", "v1")
     assert sorted(r.event_id for r in todo.collect()) == ["e4", "e5"]
-    second = S.score_into(spark, documents(spark), good_answer, path, "m", "v1")
+    second = S.score_into(spark, documents(spark), good_answer, path, "m", "v1", buckets=3)
     assert second.count() == 6 and S.read_answers(spark, path).count() == 8
     assert second.first().reason.startswith("the Company document")
     assert S.open_documents(documents(spark), S.read_answers(spark, path), "m", "v2").count() == 6
