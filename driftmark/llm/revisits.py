@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import written
+
 BUCKET_SECONDS = 3600
 # Header fields that a not-modified answer must not change.
 NOT_PERMITTED = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag",
@@ -95,9 +97,12 @@ def resolve(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFra
     latest = latest_responses(placed, bucket_seconds).withColumnRenamed("record_id", "l_id")
     latest = latest.groupBy("l_id").agg(F.max("response_id").alias("response_id"))
     revisits = rows.filter("kind = 'revisit'").join(latest, F.col("record_id").eqNullSafe(F.col("l_id")), "left")
-    stored = (rows.filter("is_response").groupBy(F.col("record_id").alias("r_id"))
+    # written out, so that revisits of one response meet a plain table and can be split
+    stored = written(rows.filter("is_response").groupBy(F.col("record_id").alias("r_id"))
               .agg(F.max_by(F.struct(F.col("headers"), F.col("payload_digest").alias("digest")), F.coalesce("payload_digest", F.lit(""))).alias("stored")))
-    both = revisits.join(stored, F.col("response_id") == F.col("r_id"), "left")
+    # revisits without a response would all meet in the task of the null key
+    found = revisits.filter("response_id is not null").join(stored, F.col("response_id") == F.col("r_id"), "left")
+    both = found.unionByName(revisits.filter("response_id is null"), allowMissingColumns=True)
     old, new = F.col("stored.headers"), F.col("headers")
 
     def same(a: Column, b: Column) -> Column:
