@@ -335,3 +335,28 @@ def test_queries_are_registered():
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert storage.shared_folder(spark) == named.rstrip("/")
+
+
+def test_only_empty_texts(spark):
+    df = frame(spark, [(1, ""), (2, None), (3, " \n\t")])
+    bench = spark.createDataFrame([(1, ""), (2, None)], "item_id bigint, text string")
+    assert rows_of(substrings.removals(df), "n_words", "n_removed", "kept_text") == [(0, 0, "")] * 3
+    assert {(r.n_tokens, r.n_known) for r in lattice_lm.scores(df).collect()} == {(1, 1)}
+    assert {tuple(r)[1:4] for r in decontaminate.decontamination(df, bench).collect()} == {(0, 0, 0)}
+    assert line_templates.drop_recurring_lines(df).count() == 3
+    assert quality.quality(df).filter("n_words = 0 and not kept").count() == 3
+    assert {r.component_id for r in simhash.near_duplicates(df).collect()} == {1}
+    assert {r.doc_id: r.n_tokens for r in pieces.encode(df).collect()}[1] == 0
+    assert sanitise.spans(df).filter("size(base) = 0").count() == 3
+
+
+def test_a_very_long_text_and_a_very_long_word(spark):
+    rng = random.Random(1)
+    long = " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(20_000))
+    rows = [(1, long), (2, long[30_000:60_000]), (3, "x" * 20_000)]
+    df = frame(spark, rows)
+    assert rows_of(substrings.removals(df), "doc_id", "n_words", "n_removed", "kept_text") == sorted(brute.removals(rows), key=repr)
+    assert all(np.isfinite(r.score) for r in lattice_lm.scores(df).collect())
+    got = {r.doc_id: r for r in pieces.decode(pieces.encode(df)).collect()}
+    assert all(got[i].text == t for i, t in rows)
+    assert {r.doc_id: r.n_words for r in quality.quality(df).collect()} == {i: len(t.split()) for i, t in rows}
