@@ -13,6 +13,7 @@ import time
 from pyspark.sql import SparkSession
 
 from driftmark.plans.catalogue import QUERIES
+from driftmark.session import discard_tables
 
 HEADLINE = (
     "event_car", "car_paths", "ic_by_season", "pooled_spearman", "quantile_hit_rate", "history_midrank",
@@ -27,10 +28,7 @@ def main() -> None:
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("driftmark-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
-             # the tables are megabytes here: cut scans and shuffles finely enough for every core
-             .config("spark.sql.files.openCostInBytes", "262144")
-             .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k").getOrCreate())
+             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/orders.parquet").count()
     times = {}
@@ -41,6 +39,7 @@ def main() -> None:
         print(f"{name:28s} {times[name]:8.2f}s", file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf")}))
+    discard_tables(spark)
     spark.stop()
 
 
