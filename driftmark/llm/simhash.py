@@ -208,7 +208,8 @@ def _labelled(documents: DataFrame, id_col: str, text_col: str, radius: int, seg
     found = components(fingerprint_links(classes, radius, segments))
     roots = classes.join(found, F.col("fp") == F.col("node"), "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
-    lows = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written out, so that a large component's fingerprints meet a plain table and can be split
+    lows = written(roots.groupBy("root").agg(F.min("first").alias("component_id")))
     return prints.join(roots.join(lows, "root").select("fp", "root", "component_id"), "fp")
 
 
