@@ -45,8 +45,11 @@ def _leaf(line: Column) -> Column:
 
 
 def _recurring(rows: DataFrame) -> DataFrame:
-    """Leaves of (leaf, sketch, documents) rows that recur across documents."""
-    return (rows.groupBy("leaf", "sketch").agg(F.sum("documents").alias("documents"))
+    """Leaves of (leaf, sketch, documents) rows that recur across documents.
+
+    They are written out, so that the lines that join them meet a plain table and a hot leaf can be split.
+    """
+    return written(rows.groupBy("leaf", "sketch").agg(F.sum("documents").alias("documents"))
             .groupBy("leaf").agg(F.sum("documents").alias("documents"), F.count("*").alias("sketches"))
             .filter((F.col("sketches") >= MIN_DOCUMENTS) & (F.col("sketches") >= MIN_SPREAD * F.col("documents"))).select("leaf"))
 
@@ -75,7 +78,7 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     fixed = votes.groupBy("leaf", "at").agg(
         F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
     token = F.when(2 * F.col("top.votes") > F.col("all"), F.col("top.token")).otherwise(FIELD)
-    templates = fixed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", token.alias("token")))).alias("template"))
+    templates = written(fixed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", token.alias("token")))).alias("template")))
     agreeing = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b["token"]) & (a != FIELD)), lambda same: same))
     matched = parted.join(templates, "leaf").filter(agreeing >= AGREEMENT * F.size("tokens")).select("id", "text_hash", "line", "leaf", "sketch")
     matched = written(matched)
