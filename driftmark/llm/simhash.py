@@ -232,7 +232,11 @@ def keep_first(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Among rows of one id the smallest text hash decides, among equal rows any; a null id comes last.
     """
-    found = _labelled(documents, id_col, text_col, radius, segments, size)
+    return first_rows(documents, _labelled(documents, id_col, text_col, radius, segments, size), id_col, text_col)
+
+
+def first_rows(documents: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows :func:`keep_first` keeps, for (id, text_hash, root) rows in ``found``."""
     chosen = (found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("s"))
               .select(F.col("s.id").alias("s_id"), F.col("s.text_hash").alias("s_hash")))
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(id_col).alias("id"),
