@@ -5,9 +5,11 @@ is a variable field from the start. Within a leaf, a position whose tokens have
 variable field as well; the majority tokens of the others are the leaf's template. A line follows the
 template if enough of its tokens agree with it. Lines whose template recurs across documents are dropped.
 
-Copies of a document must not make all its lines look like boilerplate, so documents count by their
-sketch, the smallest leaf of their lines, which copies and near copies share. A template recurs if its
-lines come from ``MIN_DOCUMENTS`` sketches and the sketches are at least ``MIN_SPREAD`` of its documents.
+Copies of a document must not make all its lines look like boilerplate. So every line has a sketch of its
+document without the line's own leaf: the smallest of the other leaves under ``SKETCH`` orders. Copies and
+near copies agree in most of it, documents that share less than half their lines in few. A template recurs
+if its lines come from ``MIN_DOCUMENTS`` documents of which no two agree in more than ``ALIKE`` orders,
+however many copies of them there are.
 
 A first pass keeps one number per line. Only lines of recurring leaves are fetched and taken apart.
 Leaves are counted by partial aggregation, and the joins on them are plain inner joins that adaptive
@@ -24,7 +26,11 @@ from .storage import written
 DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCUMENTS = 5
-MIN_SPREAD = 0.25
+SKETCH = 32
+# Sketches that agree in more places are of copies or near copies.
+ALIKE = 14
+# Parts in which the documents of a leaf are compared before what is left of the parts is.
+_PARTS = 256
 AGREEMENT = 0.7
 FIELD = "<*>"
 _BLANKS = "\t\n\x0b\x0c\r"
@@ -44,25 +50,56 @@ def _leaf(line: Column) -> Column:
     return let(_tokens(line), lambda t: F.when(F.size(t) >= MIN_TOKENS, F.xxhash64(F.size(t), *[_general(F.get(t, F.lit(i))) for i in range(DEPTH)])))
 
 
-def _recurring(rows: DataFrame) -> DataFrame:
-    """Leaves of (leaf, sketch, documents) rows that recur across documents.
+def _lows(leaves: Column) -> Column:
+    """The two smallest leaves of a document in every order, as the order's values; null where there are fewer."""
+    def low(order: int) -> Column:
+        return let(F.transform(leaves, lambda leaf: F.xxhash64(leaf, F.lit(order))), lambda v: let(F.array_min(v), lambda first: F.struct(
+            first.alias("one"), F.array_min(F.filter(v, lambda x: x != first)).alias("two"))))
+
+    return F.array(*[low(order) for order in range(SKETCH)])
+
+
+def _sketch(lows: Column, leaf: Column) -> Column:
+    """The sketch of a line of this leaf; -1 where its document has no other leaf."""
+    each = [F.when(lows[j]["one"] == F.xxhash64(leaf, F.lit(j)), lows[j]["two"]).otherwise(lows[j]["one"]) for j in range(SKETCH)]
+    return F.array(*[F.coalesce(v.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"), F.lit(-1)) for v in each])
+
+
+def _apart(sketches: Column) -> Column:
+    """Up to ``MIN_DOCUMENTS`` sketches, in sorting order, of which no two are alike."""
+    def alike(a: Column, b: Column) -> Column:
+        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) > ALIKE
+
+    return F.aggregate(F.array_sort(sketches), F.array().cast("array<array<int>>"), lambda kept, s: F.when(
+        (F.size(kept) >= MIN_DOCUMENTS) | F.exists(kept, lambda k: alike(k, s)), kept).otherwise(F.concat(kept, F.array(s))))
+
+
+def _recurring(rows: DataFrame, *names: str) -> DataFrame:
+    """The ``names`` of (names, sketch) rows that recur across independent documents.
 
     They are written out, so that the lines that join them meet a plain table and a hot leaf can be split.
     """
-    return written(rows.groupBy("leaf", "sketch").agg(F.sum("documents").alias("documents"))
-            .groupBy("leaf").agg(F.sum("documents").alias("documents"), F.count("*").alias("sketches"))
-            .filter((F.col("sketches") >= MIN_DOCUMENTS) & (F.col("sketches") >= MIN_SPREAD * F.col("documents"))).select("leaf"))
+    part = F.pmod(F.xxhash64("sketch"), F.lit(_PARTS)).alias("part")
+    parts = rows.select(*names, "sketch").distinct().groupBy(*names, part).agg(_apart(F.collect_list("sketch")).alias("apart"))
+    return written(parts.groupBy(*names).agg(_apart(F.flatten(F.collect_list("apart"))).alias("apart"))
+                   .filter(F.size("apart") >= MIN_DOCUMENTS).select(*names))
 
 
 def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, lines): for documents with any, the numbers of the lines whose template recurs."""
     keyed = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     keyed = keyed.withColumn("text_hash", F.xxhash64("text"))
-    leaves = keyed.select("id", "text_hash", F.transform(F.split("text", "\n"), _leaf).alias("leaves"))
-    lines = written(leaves.withColumn("sketch", F.array_min("leaves"))
-                    .select("id", "text_hash", "sketch", F.posexplode("leaves").alias("line", "leaf")).filter("leaf is not null"))
-    per_document = lines.select("id", "text_hash", "leaf", "sketch").distinct().groupBy("leaf", "sketch").agg(F.count("*").alias("documents"))
-    wanted = (lines.join(_recurring(per_document), "leaf").groupBy("id", "text_hash")
+    leaves = written(keyed.select("id", "text_hash", F.transform(F.split("text", "\n"), _leaf).alias("leaves")))
+    lines = leaves.select("id", "text_hash", F.posexplode("leaves").alias("line", "leaf")).filter("leaf is not null")
+    # leaves of few documents, copies or not, need no sketches
+    often = written(leaves.distinct().select(F.explode(F.array_distinct("leaves")).alias("leaf")).filter("leaf is not null")
+                    .groupBy("leaf").agg(F.count("*").alias("documents")).filter(F.col("documents") >= MIN_DOCUMENTS).select("leaf"))
+    found = lines.join(often, "leaf").groupBy("id", "text_hash").agg(F.collect_set(F.struct("line", "leaf")).alias("found"))
+    others = leaves.distinct().select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), _lows(F.array_distinct(F.array_compact("leaves"))).alias("lows"))
+    same = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))
+    lines = written(found.join(others, same).select("id", "text_hash", "lows", F.inline("found"))
+                    .select("id", "text_hash", "line", "leaf", _sketch(F.col("lows"), F.col("leaf")).alias("sketch")))
+    wanted = (lines.join(_recurring(lines, "leaf"), "leaf").groupBy("id", "text_hash")
               .agg(F.collect_set(F.struct("line", "leaf", "sketch")).alias("found"))
               .withColumnsRenamed({"id": "f_id", "text_hash": "f_hash"}))
     key = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("text_hash") == F.col("f_hash"))
@@ -82,8 +119,7 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     agreeing = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b["token"]) & (a != FIELD)), lambda same: same))
     matched = parted.join(templates, "leaf").filter(agreeing >= AGREEMENT * F.size("tokens")).select("id", "text_hash", "line", "leaf", "sketch")
     matched = written(matched)
-    support = matched.select("id", "text_hash", "leaf", "sketch").distinct().groupBy("leaf", "sketch").agg(F.count("*").alias("documents"))
-    return (matched.join(_recurring(support), "leaf").groupBy("id", "text_hash")
+    return (matched.join(_recurring(matched, "leaf"), "leaf").groupBy("id", "text_hash")
             .agg(F.collect_set("line").alias("lines")))
 
 
