@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree of fixed depth, in DataFrame functions only.
 
 A line falls to a leaf by its token count and then by its first ``DEPTH`` tokens; a token with a digit
-is a variable field from the start. Within a leaf, a position whose tokens have no majority is a
+is a variable field from the start, unless the line has no other. Every line with a token is judged; one without
+blanks is taken by characters where its script sets no blanks. Within a leaf, a position whose tokens have no majority is a
 variable field as well; the majority tokens of the others are the leaf's template. A line follows the
 template if enough of its tokens agree with it. Lines whose template recurs across documents are dropped.
 
@@ -24,7 +25,6 @@ from .decontaminate import let
 from .storage import written
 
 DEPTH = 3
-MIN_TOKENS = 4
 MIN_DOCUMENTS = 5
 SKETCH = 32
 # Sketches that agree in more places are of copies or near copies.
@@ -33,21 +33,36 @@ ALIKE = 14
 _PARTS = 256
 AGREEMENT = 0.7
 FIELD = "<*>"
+# Thai, Lao, Khmer, kana, Chinese characters and the like
+_UNSPACED = r"[\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFEF}\x{20000}-\x{3FFFF}]"
 _BLANKS = "\t\n\x0b\x0c\r"
 
 
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, _BLANKS, " " * len(_BLANKS)), " "), "")
+    """The tokens between blanks; the characters of a line without blanks in a script that sets none."""
+    def parted(tokens: Column) -> Column:
+        return F.when((F.size(tokens) == 1) & tokens[0].rlike(_UNSPACED), F.split(tokens[0], "")).otherwise(tokens)
 
+    return let(F.array_remove(F.split(F.translate(line, _BLANKS, " " * len(_BLANKS)), " "), ""), parted)
 
-def _general(token: Column) -> Column:
+
+def _field(token: Column) -> Column:
     """A token, or the field mark if it holds a digit."""
     return F.when(F.translate(token, "0123456789", "") == token, token).otherwise(F.lit(FIELD))
 
 
+def _general(tokens: Column) -> Column:
+    """Tokens with their fields marked; a line of nothing but fields keeps its tokens."""
+    return let(F.transform(tokens, _field), lambda g: F.when(F.forall(g, lambda t: t == FIELD), tokens).otherwise(g))
+
+
 def _leaf(line: Column) -> Column:
-    """The leaf of a line as a hash; null for lines too short to be judged."""
-    return let(_tokens(line), lambda t: F.when(F.size(t) >= MIN_TOKENS, F.xxhash64(F.size(t), *[_general(F.get(t, F.lit(i))) for i in range(DEPTH)])))
+    """The leaf of a line as a hash, for up to ``DEPTH`` tokens the line's own; null for a line without tokens."""
+    def named(t: Column) -> Column:
+        first = F.when(F.size(t) > DEPTH, F.transform(F.slice(t, 1, DEPTH), _field)).otherwise(_general(t))
+        return F.when(F.size(t) > 0, let(first, lambda g: F.xxhash64(F.size(t), *[F.get(g, F.lit(i)) for i in range(DEPTH)])))
+
+    return let(_tokens(line), named)
 
 
 def _lows(leaves: Column) -> Column:
@@ -106,7 +121,7 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     parted = (keyed.join(wanted, key).select("id", "text_hash", F.split("text", "\n").alias("all"), "found")
               .select("id", "text_hash", F.explode(F.transform("found", lambda f: F.struct(
                   f["line"].alias("line"), f["leaf"].alias("leaf"), f["sketch"].alias("sketch"),
-                  F.transform(_tokens(F.get("all", f["line"])), _general).alias("tokens")))).alias("f"))
+                  _general(_tokens(F.get("all", f["line"]))).alias("tokens")))).alias("f"))
               .select("id", "text_hash", "f.*").distinct())
     parted = written(parted)
     # the same line in copies of a document votes once

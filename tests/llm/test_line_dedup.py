@@ -36,3 +36,11 @@ def test_copies_hide_no_boilerplate_and_are_none(spark):
     # the copies' own lines stay
     assert got[1] == original[:-1] and all(got[61 + k] == near[k][:-1] for k in range(40))
     assert all(got[101 + k] == independent[k][:-1] for k in range(6))
+
+
+def test_lines_of_few_tokens_are_judged(spark):
+    rng = random.Random(3)
+    short = ["Home", "And ornd.", "All rights reserved.", "2024", "本サイトの内容を無断で転載することを禁じます"]
+    documents = [[*short[:2], *prose(rng, 5), *short[2:], "", f"一意{chr(0x4E00 + k)}の文{chr(0x5E00 + k)}"] for k in range(6)]
+    got = left(spark, documents)
+    assert [got[k] for k in range(1, 7)] == [[*d[2:7], *d[10:]] for d in documents]
