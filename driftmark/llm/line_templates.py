@@ -4,7 +4,8 @@ A line falls to a leaf by its token count and then by its first ``DEPTH`` tokens
 is a variable field from the start, unless the line has no other. Every line with a token is judged; one without
 blanks is taken by characters where its script sets no blanks. Within a leaf, a position whose tokens have no majority is a
 variable field as well; the majority tokens of the others are the leaf's template. A line follows the
-template if enough of its tokens agree with it. Lines whose template recurs across documents are dropped.
+template if enough of its tokens, fields left out, agree with it. A generalised line that recurs as it is is a
+template of its own, so a leaf may have several. Lines whose template recurs across documents are dropped.
 
 Copies of a document must not make all its lines look like boilerplate. So every line has a sketch of its
 document without the line's own leaf: the smallest of the other leaves under ``SKETCH`` orders. Copies and
@@ -131,11 +132,22 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
         F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("all"))
     token = F.when(2 * F.col("top.votes") > F.col("all"), F.col("top.token")).otherwise(FIELD)
     templates = written(fixed.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", token.alias("token")))).alias("template")))
+    words_ = F.size(F.filter("tokens", lambda t: t != FIELD))
     agreeing = F.size(F.filter(F.zip_with("tokens", "template", lambda a, b: (a == b["token"]) & (a != FIELD)), lambda same: same))
-    matched = parted.join(templates, "leaf").filter(agreeing >= AGREEMENT * F.size("tokens")).select("id", "text_hash", "line", "leaf", "sketch")
-    matched = written(matched)
-    return (matched.join(_recurring(matched, "leaf"), "leaf").groupBy("id", "text_hash")
-            .agg(F.collect_set("line").alias("lines")))
+    matched = written(parted.join(templates, "leaf").filter(agreeing >= AGREEMENT * words_).select("id", "text_hash", "line", "leaf", "sketch"))
+    by_leaf = matched.join(_recurring(matched, "leaf"), "leaf").select("id", "text_hash", "line")
+    # generalised lines that recur as they are; lines of their leaf follow the one they agree with
+    kinds = written(parted.withColumn("kind", F.xxhash64("tokens")))
+    exact = _recurring(kinds, "leaf", "kind")
+    forms = kinds.select("leaf", "kind", "tokens").distinct()
+    own = forms.join(exact, ["leaf", "kind"]).groupBy("leaf").agg(F.collect_set("tokens").alias("templates"))
+
+    def follows(template: Column) -> Column:
+        return F.size(F.filter(F.zip_with("tokens", template, lambda a, b: (a == b) & (a != FIELD)), lambda same: same)) >= AGREEMENT * words_
+
+    told = written(forms.join(own, "leaf").filter(F.exists("templates", follows)).select("leaf", "kind"))
+    by_line = kinds.join(told, ["leaf", "kind"]).select("id", "text_hash", "line")
+    return by_leaf.unionByName(by_line).groupBy("id", "text_hash").agg(F.collect_set("line").alias("lines"))
 
 
 def drop_recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,3 +44,14 @@ def test_lines_of_few_tokens_are_judged(spark):
     documents = [[*short[:2], *prose(rng, 5), *short[2:], "", f"一意{chr(0x4E00 + k)}の文{chr(0x5E00 + k)}"] for k in range(6)]
     got = left(spark, documents)
     assert [got[k] for k in range(1, 7)] == [[*d[2:7], *d[10:]] for d in documents]
+
+
+def test_fields_do_not_count_and_a_leaf_has_several_templates(spark):
+    rng = random.Random(4)
+    footer = ["Read more about our privacy terms", "Read more about their cookie policy"]
+    documents = []
+    for k in range(16):
+        log = f"2024-05-{k + 10} 10:{k + 20} 10.0.0.{k} GET /index"
+        documents.append([*prose(rng, 6), f"Page {k} of 12", log, footer[k % 5 < 2]])
+    got = left(spark, documents)
+    assert [got[k] for k in range(1, 17)] == [d[:6] for d in documents]
