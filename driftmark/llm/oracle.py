@@ -59,4 +59,31 @@ SELECT id AS record_id, url, outcome, rid AS response_id, CASE outcome WHEN 'res
   ELSE 'content-length: 0' || chr(10) || 'etag: ' || CASE WHEN n % 5 = 0 THEN '"other"' ELSE 'W/"' || md5(html) || '"' END || chr(10) || 'x-cache: hit' END AS headers
 FROM o"""
 
-ORACLE = {"op1_substrings": _SUBSTRINGS, "op5_decontamination": _DECONTAMINATION, "op8_revisits": _REVISITS}
+_RUNS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_SEARCH = f"""
+WITH d AS (SELECT doc_id, {_RUNS} AS ws FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(ws)) AS words FROM d WHERE len(ws) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS term FROM benchmark),
+p AS (SELECT doc_id, len(ws)::BIGINT AS n, unnest(ws) AS term FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, docs),
+x AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // words)))))::BIGINT AS score
+      FROM q JOIN t USING (term) JOIN w USING (term), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10"""
+
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id,
+       positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5"""
+
+ORACLE = {"op1_substrings": _SUBSTRINGS, "op5_decontamination": _DECONTAMINATION, "op8_revisits": _REVISITS,
+          "op12_lexical_search": _SEARCH, "op13_hard_negatives": _NEGATIVES}

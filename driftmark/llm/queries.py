@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oracle import ORACLE  # noqa: F401 - read by the registry
-from . import chat, decontaminate, lattice_lm, line_templates, pieces, quality, revisits, sanitise, simhash, substrings
+from . import chat, decontaminate, hard_negatives, lattice_lm, lexical_search, license_scan, line_templates, pieces, quality, revisits, sanitise, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,20 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.decode(encoded).select("doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_substrings, op2_lattice_lm, op3_chat_windows, op4_sanitise, op5_decontamination, op6_line_templates, op7_quality,
-    op8_revisits, op9_simhash, op10_pieces)}
+    op8_revisits, op9_simhash, op10_pieces, op11_licenses, op12_lexical_search, op13_hard_negatives)}
