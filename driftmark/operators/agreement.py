@@ -65,7 +65,7 @@ def consistency(first: DataFrame, second: DataFrame,
 
 
 def rater_comparison(main: DataFrame, other: DataFrame, window: DataFrame, score: str = "tone",
-                     guidance: str = "guidance_tone", slice_rows: int | None = None) -> DataFrame:
+                     guidance: str = "guidance_tone", slices: int | None = None) -> DataFrame:
     """Two raters on the documents of ``window``: n, rank correlation, same and within one.
 
     Fewer than ten common documents give no row.
@@ -78,7 +78,7 @@ def rater_comparison(main: DataFrame, other: DataFrame, window: DataFrame, score
     shares = both.groupBy("sample").agg(
         F.count("*").alias("n"), F.avg((gap == 0).cast("double")).alias("same_guidance"),
         F.avg((gap <= 1).cast("double")).alias("within_one"))
-    ranks = (spearman(both, ["sample"], "score_a", "score_b", slice_rows=slice_rows)
+    ranks = (spearman(both, ["sample"], "score_a", "score_b", slices=slices)
              .select("sample", F.col("rho").alias("rank_corr")))
     return (shares.join(ranks, "sample").filter(F.col("n") >= 10)
             .select("n", "rank_corr", "same_guidance", "within_one"))

@@ -16,13 +16,13 @@ from driftmark.operators.history import historical_midrank
 from driftmark.session import checkpointed
 
 
-def day_legs(rows: DataFrame, quantiles: int, min_history: int, slice_rows: int | None = None) -> DataFrame:
+def day_legs(rows: DataFrame, quantiles: int, min_history: int, slices: int | None = None) -> DataFrame:
     """``(signal, t0_pos, value, n_prior, hist_pct, leg)`` for each distinct score of a day."""
     enough = F.col("n_prior") >= min_history
     leg = (F.when(enough & (F.col("hist_pct") <= F.lit(1 / quantiles)), -1)
            .when(enough & (F.col("hist_pct") >= F.lit(1 - 1 / quantiles)), 1)
            .otherwise(0))
-    return historical_midrank(rows, slice_rows).withColumn("leg", leg)
+    return historical_midrank(rows, slices).withColumn("leg", leg)
 
 
 def document_legs(rows: DataFrame, legs: DataFrame) -> DataFrame:
@@ -125,10 +125,10 @@ class EventTimeBook:
 
     def __init__(self, rows: DataFrame, rets: DataFrame, market: DataFrame, calendar: DataFrame, *,
                  hold_days: int = 20, quantiles: int = 5, min_history: int = 40,
-                 cost_bps: float = 10, borrow_bps_annual: float = 50, slice_rows: int | None = None):
+                 cost_bps: float = 10, borrow_bps_annual: float = 50, slices: int | None = None):
         self._market_inputs = (rets, market, calendar)
         self._terms = (hold_days, cost_bps, borrow_bps_annual)
-        self._membership = (quantiles, min_history, slice_rows)
+        self._membership = (quantiles, min_history, slices)
         self.rows = rows
 
     @cached_property

@@ -6,15 +6,15 @@ filed once per level under its block, each question asks the blocks its day is m
 inside a block a running count by value answers. All keys are equalities.
 
 Scores are first collapsed to (signal, day, value) with counts. Values are cut into ranges, so that no
-task sorts all pairs of a signal: blocks are counted inside a range, and a day-by-range grid adds the
-counts of all lower ranges.
+task sorts all pairs of a signal: the collapsed scores are written once in range partitions of (signal,
+value), blocks are counted inside a range, and a day-by-range grid adds the counts of all lower ranges.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftmark.operators.ordering import SLICE, cuts, sliced
+from driftmark.operators.ordering import PART, ranged
 
 
 def _counts_in_slice(cells: DataFrame) -> DataFrame:
@@ -28,56 +28,56 @@ def _counts_in_slice(cells: DataFrame) -> DataFrame:
     rows = (cells.withColumn("last_day", last_day)
             .withColumn("level", F.explode(F.sequence(F.lit(0), top)))
             .filter(asks | asked_later)
-            .select("signal", SLICE, "level", F.when(asks, block - 1).otherwise(block).alias("block"), "value",
+            .select("signal", PART, "level", F.when(asks, block - 1).otherwise(block).alias("block"), "value",
                     F.when(asks, F.col("t0_pos")).alias("asking_day"),
                     F.when(asks, 0).otherwise(F.col("n")).alias("n")))
-    inside = ["signal", SLICE, "level", "block"]
+    inside = ["signal", PART, "level", "block"]
     by_value = Window.partitionBy(*inside).orderBy("value")
     upto = F.sum("n").over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ties = F.sum("n").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
     return (rows
-            .select("signal", SLICE, "value", "asking_day", (upto - ties).alias("smaller"), ties.alias("same"))
+            .select("signal", PART, "value", "asking_day", (upto - ties).alias("smaller"), ties.alias("same"))
             .filter(F.col("asking_day").isNotNull())
-            .groupBy("signal", SLICE, "value", F.col("asking_day").alias("t0_pos"))
+            .groupBy("signal", PART, "value", F.col("asking_day").alias("t0_pos"))
             .agg(F.sum("smaller").alias("smaller"), F.sum("same").alias("same")))
 
 
 def _counts_in_lower_slices(parts: DataFrame) -> DataFrame:
     """For each (signal, range, day): earlier scores in all lower ranges."""
-    totals = parts.groupBy("signal", SLICE, "t0_pos").agg(F.sum("n").alias("n"))
-    span = totals.groupBy("signal").agg(F.collect_set(SLICE).alias("ranges"), F.collect_set("t0_pos").alias("days"))
-    grid = (span.select("signal", F.explode("ranges").alias(SLICE), "days")
-            .select("signal", SLICE, F.explode("days").alias("t0_pos")))
-    earlier = (Window.partitionBy("signal", SLICE).orderBy("t0_pos")
+    totals = parts.groupBy("signal", PART, "t0_pos").agg(F.sum("n").alias("n"))
+    span = totals.groupBy("signal").agg(F.collect_set(PART).alias("ranges"), F.collect_set("t0_pos").alias("days"))
+    grid = (span.select("signal", F.explode("ranges").alias(PART), "days")
+            .select("signal", PART, F.explode("days").alias("t0_pos")))
+    earlier = (Window.partitionBy("signal", PART).orderBy("t0_pos")
                .rowsBetween(Window.unboundedPreceding, -1))
-    lower = (Window.partitionBy("signal", "t0_pos").orderBy(SLICE)
+    lower = (Window.partitionBy("signal", "t0_pos").orderBy(PART)
              .rowsBetween(Window.unboundedPreceding, -1))
-    return (grid.join(totals, ["signal", SLICE, "t0_pos"], "left")
+    return (grid.join(totals, ["signal", PART, "t0_pos"], "left")
             .withColumn("earlier_n", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-            .select("signal", SLICE, "t0_pos",
+            .select("signal", PART, "t0_pos",
                     F.coalesce(F.sum("earlier_n").over(lower), F.lit(0)).alias("lower")))
 
 
-def history_before(rows: DataFrame) -> DataFrame:
-    """``(signal, t0_pos, n_prior)``: documents on strictly earlier entry days."""
-    per_day = rows.groupBy("signal", "t0_pos").agg(F.count("*").alias("n"))
+def history_before(cells: DataFrame) -> DataFrame:
+    """``(signal, t0_pos, n_prior)``: documents on strictly earlier entry days, from counted scores."""
+    per_day = cells.groupBy("signal", "t0_pos").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("signal").orderBy("t0_pos").rowsBetween(Window.unboundedPreceding, -1)
     return per_day.select("signal", "t0_pos", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_prior"))
 
 
-def historical_midrank(rows: DataFrame, slice_rows: int | None = None) -> DataFrame:
+def historical_midrank(rows: DataFrame, slices: int | None = None) -> DataFrame:
     """``(signal, t0_pos, value, n_prior, hist_pct)`` for every distinct score of a day.
 
     ``hist_pct`` is (earlier smaller + half of earlier equal) / earlier, null without history.
     """
     cells = rows.groupBy("signal", "t0_pos", "value").agg(F.count("*").alias("n"))
-    parts = sliced(cells, "value", cuts(cells, ["value"], slice_rows)["value"])
+    parts = ranged(cells, ["signal"], ["value"], slices)
     answers = _counts_in_slice(parts)
-    cells = parts.select("signal", SLICE, "t0_pos", "value")
-    placed = cells.join(answers, ["signal", SLICE, "t0_pos", "value"], "left")
-    placed = placed.join(_counts_in_lower_slices(parts), ["signal", SLICE, "t0_pos"])
+    cells = parts.select("signal", PART, "t0_pos", "value")
+    placed = cells.join(answers, ["signal", PART, "t0_pos", "value"], "left")
+    placed = placed.join(_counts_in_lower_slices(parts), ["signal", PART, "t0_pos"])
     smaller = F.coalesce("smaller", F.lit(0)) + F.col("lower")
     rank = smaller + F.lit(0.5) * F.coalesce("same", F.lit(0))
-    return (placed.join(history_before(rows), ["signal", "t0_pos"])
+    return (placed.join(history_before(parts), ["signal", "t0_pos"])
             .select("signal", "t0_pos", "value", "n_prior",
                     F.when(F.col("n_prior") > 0, rank / F.col("n_prior")).alias("hist_pct")))

@@ -1,10 +1,12 @@
-"""Ordered computations over groups of any size.
+"""Ordered computations over groups of any size, by prefix sums over range partitions.
 
 A window puts a whole group into one task, and one season or one company may hold a third of all
-documents. So groups are cut into slices along the order: the cuts are approximate percentiles of the
-order column, taken in one job and fixed as literals. Each slice is worked on alone, and a table with
-one row per (group, slice) carries totals from slice to slice. There is one path for all sizes; only
-the number of slices follows the number of rows.
+documents. So rows are sorted by (group, order) into range partitions: a group may fill many partitions
+and a partition hold many groups, whatever their sizes. The sorted rows are written once, with the
+number of their partition and their place in it, and read from there. One total per (group, partition),
+summed along the partitions, is joined back as the offset of what lies inside. The number of partitions is
+Spark's own (``spark.sql.shuffle.partitions``, merged by adaptive execution where they are small); nothing
+is cut by literals, and nothing limits it.
 """
 from __future__ import annotations
 
@@ -13,88 +15,66 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows a slice holds about, and the fewest slices.
-SLICE_ROWS = 1_000_000
-MIN_SLICES = 4
+from driftmark.session import checkpointed
 
-SLICE = "slice_no"
+PART, PLACE = "part_no", "place_no"
+# monotonically_increasing_id counts the rows of a partition in its lower 33 bits
+_IN_PARTITION = (1 << 33) - 1
 
 
-def _number(df: DataFrame, column: str) -> Column:
-    """The order column as a double that orders alike: instants by their microseconds."""
-    kind = df.schema[column].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz", "date"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
-    return F.col(column).cast("double")
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+    """``df`` sorted by (keys, order) and written, with ``part_no`` and the row's ``place_no`` in that partition.
+
+    Rows equal in all of (keys, order) share a partition. ``slices`` fixes the number of partitions.
+    """
+    columns = [*keys, *order]
+    dealt = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
+    return checkpointed(dealt.sortWithinPartitions(*columns).select(
+        "*", F.spark_partition_id().alias(PART), F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias(PLACE)))
 
 
-def cuts(df: DataFrame, columns: Sequence[str], slice_rows: int | None = None) -> dict[str, list[float]]:
-    """Cut points of each column, from one job."""
-    fine = [i / 1000 for i in range(1, 1000)]
-    found = df.agg(F.count("*").alias("rows"), *[F.percentile_approx(_number(df, c), fine, 10_000).alias(f"at_{i}") for i, c in enumerate(columns)]).first()
-    parts = min(1000, max(MIN_SLICES, -(-found["rows"] // (slice_rows or SLICE_ROWS))))
-    return {c: sorted({found[f"at_{i}"][k * 1000 // parts - 1] for k in range(1, parts)} if found[f"at_{i}"] else set()) for i, c in enumerate(columns)}
+def _along(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def sliced(df: DataFrame, column: str, bounds: Sequence[float]) -> DataFrame:
-    """Add ``slice_no``: equal values share a slice, larger values never lie in a lower one; nulls come first."""
-    if not bounds:
-        return df.withColumn(SLICE, F.lit(0))
-    number = _number(df, column)
-    return df.withColumn(SLICE, F.coalesce(F.size(F.filter(F.lit(list(bounds)), lambda b: b <= number)), F.lit(-1)))
+def _carried(placed: DataFrame, keys: Sequence[str], n: Column) -> DataFrame:
+    """``(keys…, part_no, carried, total, first_place)``: what lies in the partitions before, and in all."""
+    totals = placed.groupBy(*keys, PART).agg(F.sum(n).alias("slice_n"), F.min(PLACE).alias("first_place"))
+    return totals.select(*keys, PART, "first_place", F.coalesce(F.sum("slice_n").over(_along(keys)), F.lit(0)).alias("carried"),
+                         F.sum("slice_n").over(Window.partitionBy(*keys)).alias("total"))
 
 
-def running_counts(df: DataFrame, keys: Sequence[str], order: str, n: str | Column,
-                   bounds: Sequence[float] | None = None) -> DataFrame:
+def running_counts(df: DataFrame, keys: Sequence[str], order: str, n: str | Column, slices: int | None = None) -> DataFrame:
     """Add ``below`` (sum of ``n`` over earlier rows of the group) and ``total``.
 
     Rows must be unique in (keys, order).
     """
     weight = F.col(n) if isinstance(n, str) else n
-    parts = sliced(df.withColumn("weight_n", weight.cast("long")), order, cuts(df, [order])[order] if bounds is None else bounds)
-    before = Window.partitionBy(*keys, SLICE).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = parts.groupBy(*keys, SLICE).agg(F.sum("weight_n").alias("slice_n"))
-    along = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, SLICE, F.coalesce(F.sum("slice_n").over(along), F.lit(0)).alias("carried"),
-                          F.sum("slice_n").over(Window.partitionBy(*keys)).alias("total"))
-    return (parts.join(carry, [*keys, SLICE])
-            .withColumn("below", F.col("carried") + F.coalesce(F.sum("weight_n").over(before), F.lit(0)))
-            .drop("carried", "weight_n", SLICE))
-
-
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], bounds: dict[str, list[float]] | None = None) -> DataFrame:
+    placed = ranged(df.withColumn("weight_n", weight.cast("long")), keys, [order], slices)
+    before = Window.partitionBy(*keys, PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn("inside", F.coalesce(F.sum("weight_n").over(before), F.lit(0)))
+            .join(_carried(placed, keys, F.col("weight_n")), [*keys, PART])
+            .withColumn("below", F.col("carried") + F.col("inside"))
+            .drop("carried", "inside", "weight_n", "first_place", PART, PLACE))
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
     """Add the 1-based ``position`` of each row in its group and the group's ``total``.
 
-    The rows below a value are counted from the counts of distinct values; rows that tie in the first
-    column are cut along the second, so a value that most rows share is no burden to one task.
+    A row's place in its partition is known from the sort, so no window is opened over rows.
     """
-    first, rest = order[0], list(order[1:])
-    bounds = bounds or cuts(df, [first, *rest[:1]])
-    counts = df.groupBy(*keys, first).agg(F.count("*").alias("ties"))
-    smaller = running_counts(counts, keys, first, "ties", bounds[first]).select(*keys, first, "below", "total")
-    if not rest:
-        return df.join(smaller, [*keys, first]).withColumn("position", F.col("below") + 1).drop("below")
-    parts = sliced(df, rest[0], bounds[rest[0]])
-    tied = [*keys, first]
-    totals = parts.groupBy(*tied, SLICE).agg(F.count("*").alias("slice_n"))
-    along = Window.partitionBy(*tied).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (totals.select(*tied, SLICE, F.coalesce(F.sum("slice_n").over(along), F.lit(0)).alias("carried"))
-             .join(smaller, tied))
-    return (parts.join(carry, [*tied, SLICE])
-            .withColumn("position", F.col("below") + F.col("carried") + F.row_number().over(Window.partitionBy(*tied, SLICE).orderBy(*rest)))
-            .drop("below", "carried", SLICE))
-
-
-def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str,
-                   bounds: Sequence[float] | None = None) -> DataFrame:
+    placed = ranged(df, keys, order, slices)
+    return (placed.join(_carried(placed, keys, F.lit(1)), [*keys, PART])
+            .withColumn("position", F.col("carried") + F.col(PLACE) - F.col("first_place") + 1)
+            .drop("carried", "first_place", PART, PLACE))
+
+
+def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str, slices: int | None = None) -> DataFrame:
     """Add ``out``: the value of ``column`` on the group's row before this one."""
-    parts = sliced(df, order[0], cuts(df, order[:1])[order[0]] if bounds is None else bounds)
-    ordered = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    ends = parts.groupBy(*keys, SLICE).agg(F.max_by(F.struct(column), F.struct(*order)).alias("slice_end"))
-    along = Window.partitionBy(*keys).orderBy(SLICE)
-    carry = ends.select(*keys, SLICE, F.lag("slice_end").over(along).getField(column).alias("carried"))
-    return (parts.join(carry, [*keys, SLICE])
-            .withColumn("row_in_slice", F.row_number().over(ordered))
-            .withColumn(out, F.when(F.col("row_in_slice") == 1, F.col("carried"))
-                        .otherwise(F.lag(column).over(ordered)))
-            .drop("carried", "row_in_slice", SLICE))
+    placed = ranged(df, keys, order, slices)
+    ends = placed.groupBy(*keys, PART).agg(F.max_by(F.struct(column), PLACE).alias("slice_end"), F.min(PLACE).alias("first_place"))
+    carry = ends.select(*keys, PART, "first_place", F.lag("slice_end").over(Window.partitionBy(*keys).orderBy(PART)).getField(column).alias("carried"))
+    inside = F.lag(column).over(Window.partitionBy(*keys, PART).orderBy(PLACE))
+    return (placed.withColumn("inside", inside).join(carry, [*keys, PART])
+            .withColumn(out, F.when(F.col(PLACE) == F.col("first_place"), F.col("carried")).otherwise(F.col("inside")))
+            .drop("carried", "inside", "first_place", PART, PLACE))

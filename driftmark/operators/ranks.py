@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftmark.functions.student_t import critical_975, two_sided_p
-from driftmark.operators.ordering import cuts, positions, running_counts
+from driftmark.operators.ordering import positions, running_counts
+from driftmark.session import checkpointed
 
 
 def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -21,43 +22,45 @@ def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -
             .filter(F.col("value").isNotNull()))
 
 
-def _mid_ranks(pairs: DataFrame, keys: Sequence[str], column: str, out: str, bounds: Sequence[float]) -> DataFrame:
-    """Centred average rank of ``column`` inside each group, through the counts of its distinct values.
-
-    Few distinct values make a small table that adaptive execution broadcasts, so a hot value costs
-    nothing; with many the join shuffles, and a value that still stands out is split.
-    """
-    counts = pairs.groupBy(*keys, column).agg(F.sum("n").alias("ties"))
-    ranks = (running_counts(counts, keys, column, "ties", bounds)
-             .select(*keys, column, (F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2).alias(out)))
-    return pairs.join(ranks, [*keys, column])
-
-
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, slice_rows: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, slices: int | None = None) -> DataFrame:
     """``(keys…, n, x_varies, rho)`` by group: Pearson correlation of average ranks.
 
-    Rows are first collapsed to distinct (x, y) pairs with counts, before any shuffle of whole
-    groups. ``rho`` is null when either side is constant.
+    Rows are first collapsed to distinct (x, y) pairs with counts, before any shuffle of whole groups, and
+    the pairs are written once. Both sides are ranked together: the counts of their distinct values lie
+    sorted in one table, whose running sums give centred average ranks. Few distinct values make a small
+    table that adaptive execution broadcasts; with many the join shuffles, and a value that still stands
+    out is split. ``rho`` is null when either side is constant.
     """
-    complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    bounds = cuts(complete, [x, y], slice_rows)
-    pairs = complete.groupBy(*keys, x, y).agg(F.count("*").alias("n"))
-    ranked = _mid_ranks(_mid_ranks(pairs, keys, x, "rank_x", bounds[x]), keys, y, "rank_y", bounds[y])
+    number = [F.col(c).cast("double").alias(a) for c, a in ((x, "x_value"), (y, "y_value"))]
+    complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *number)
+    pairs = checkpointed(complete.groupBy(*keys, "x_value", "y_value").agg(F.count("*").alias("pair_n")))
+
+    def side(name: str) -> Column:
+        return F.struct(F.lit(name).alias("side"), F.col(f"{name}_value").alias("side_value"), "pair_n")
+
+    counts = (pairs.select(*keys, F.inline(F.array(side("x"), side("y"))))
+              .groupBy("side", *keys, "side_value").agg(F.sum("pair_n").alias("ties")))
+    ranks = running_counts(counts, ["side", *keys], "side_value", "ties", slices)
+    centred = F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2
+    ranked = pairs
+    for name in ("x", "y"):
+        of_side = ranks.filter(F.col("side") == name).select(*keys, F.col("side_value").alias(f"{name}_value"), centred.alias(f"rank_{name}"))
+        ranked = ranked.join(of_side, [*keys, f"{name}_value"])
 
     def moment(a: str, b: str) -> Column:
-        return F.sum(F.col("n") * F.col(a) * F.col(b))
+        return F.sum(F.col("pair_n") * F.col(a) * F.col(b))
 
     sums = ranked.groupBy(*keys).agg(
-        F.sum("n").alias("n"), moment("rank_x", "rank_y").alias("xy"),
+        F.sum("pair_n").alias("n"), moment("rank_x", "rank_y").alias("xy"),
         moment("rank_x", "rank_x").alias("xx"), moment("rank_y", "rank_y").alias("yy"))
     spread = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
     return sums.select(*keys, "n", (F.col("xx") > 0).alias("x_varies"),
                        F.try_divide(F.col("xy"), spread).alias("rho"))
 
 
-def ic_by_season(rows: DataFrame, target: str, *, min_n: int = 10, slice_rows: int | None = None) -> DataFrame:
+def ic_by_season(rows: DataFrame, target: str, *, min_n: int = 10, slices: int | None = None) -> DataFrame:
     """Information coefficient per (signal, season): at least ``min_n`` rows and a varying signal."""
-    return (spearman(rows, ["signal", "season"], "value", target, slice_rows=slice_rows)
+    return (spearman(rows, ["signal", "season"], "value", target, slices=slices)
             .filter((F.col("n") >= min_n) & F.col("x_varies"))
             .select("signal", "season", "n", F.col("rho").alias("ic")))
 
@@ -75,42 +78,67 @@ def ic_summary(ics: DataFrame) -> DataFrame:
                     critical_975(freedom).alias("ic_t_crit"), "ic_pos_share", "seasons"))
 
 
-def rank_test(rows: DataFrame, keys: Sequence[str], x: str, y: str, *, slice_rows: int | None = None) -> DataFrame:
+def rank_test(rows: DataFrame, keys: Sequence[str], x: str, y: str, *, slices: int | None = None) -> DataFrame:
     """Spearman correlation with its two-sided p-value per group."""
     rho = F.col("rho")
     t = F.when(F.col("n") > 2, rho * F.sqrt(F.try_divide(F.col("n") - 2, 1 - rho * rho)))
     p = F.when(F.abs(rho) >= 1, 0.0).otherwise(two_sided_p(t, F.col("n") - 2))
-    return (spearman(rows, keys, x, y, slice_rows=slice_rows)
+    return (spearman(rows, keys, x, y, slices=slices)
             .select(*keys, "n", "rho", F.when(rho.isNotNull() & (F.col("n") > 2), p).alias("p")))
 
 
-def pooled_ic(rows: DataFrame, target: str, *, slice_rows: int | None = None) -> DataFrame:
-    """Spearman correlation over all documents, and over those after the cutoff if more than ten.
+def scoped_spearman(rows: DataFrame, target: str, *, slices: int | None = None) -> DataFrame:
+    """``(signal, scope, season, n, x_varies, rho)``: each season, all documents, and those after the cutoff, in one go.
 
-    ``rows`` carry ``post_cutoff``.
+    ``rows`` carry ``season`` and ``post_cutoff``; season is null in the scopes ``all`` and ``post``.
     """
-    scope = F.explode(F.when(F.col("post_cutoff"), F.array(F.lit("all"), F.lit("post")))
-                      .otherwise(F.array(F.lit("all"))))
-    scoped = rows.filter(F.col(target).isNotNull()).select("signal", "value", target, scope.alias("scope"))
-    by_scope = spearman(scoped, ["signal", "scope"], "value", target, slice_rows=slice_rows)
+    def scope(name: str, season: Column) -> Column:
+        return F.struct(F.lit(name).alias("scope"), season.alias("scope_season"))
 
+    pooled = F.lit("")
+    scopes = [scope("season", F.col("season")), scope("all", pooled)]
+    every = F.when(F.col("post_cutoff"), F.array(*scopes, scope("post", pooled))).otherwise(F.array(*scopes))
+    scoped = rows.filter(F.col(target).isNotNull()).select("signal", "value", target, F.inline(every))
+    return (spearman(scoped, ["signal", "scope", "scope_season"], "value", target, slices=slices)
+            .withColumnRenamed("scope_season", "season"))
+
+
+def season_ics(scoped: DataFrame, min_n: int = 10) -> DataFrame:
+    """The seasons of :func:`scoped_spearman` as information coefficients; see :func:`ic_by_season`."""
+    return (scoped.filter((F.col("scope") == "season") & (F.col("n") >= min_n) & F.col("x_varies"))
+            .select("signal", "season", "n", F.col("rho").alias("ic")))
+
+
+def pooled_ics(scoped: DataFrame) -> DataFrame:
+    """One row per signal from the pooled scopes: all documents, and those after the cutoff if more than ten."""
     def pick(scope_name: str, column: Column) -> Column:
         return F.max(F.when(F.col("scope") == scope_name, column))
 
-    return by_scope.groupBy("signal").agg(
+    return scoped.filter(F.col("scope") != "season").groupBy("signal").agg(
         pick("all", F.col("n")).alias("n_events"),
         pick("all", F.col("rho")).alias("pooled_ic"),
         F.coalesce(pick("post", F.col("n")), F.lit(0)).alias("post_cutoff_n"),
         pick("post", F.when(F.col("n") > 10, F.col("rho"))).alias("post_cutoff_pooled_ic"))
 
 
-def quantile_in_season(rows: DataFrame, q: int = 5, *, slice_rows: int | None = None) -> DataFrame:
+def pooled_ic(rows: DataFrame, target: str, *, slices: int | None = None) -> DataFrame:
+    """Spearman correlation over all documents, and over those after the cutoff if more than ten.
+
+    ``rows`` carry ``post_cutoff``.
+    """
+    scope = F.explode(F.when(F.col("post_cutoff"), F.array(F.lit("all"), F.lit("post")))
+                      .otherwise(F.array(F.lit("all"))))
+    scoped = rows.filter(F.col(target).isNotNull()).select("signal", "value", target, scope.alias("scope"))
+    return pooled_ics(spearman(scoped, ["signal", "scope"], "value", target, slices=slices))
+
+
+def quantile_in_season(rows: DataFrame, q: int = 5, *, slices: int | None = None) -> DataFrame:
     """Add ``quantile`` 1..q of each document inside (signal, season), for evaluation only.
 
     Ties are ordered by publication time, ticker and id.
     """
     order = ["value", "published_at", "ticker", "event_id"]
-    placed = positions(rows, ["signal", "season"], order, cuts(rows, order[:2], slice_rows))
+    placed = positions(rows, ["signal", "season"], order, slices)
     bucket = F.ceil(F.col("position") / F.col("total") * q)
     return (placed.withColumn("quantile", F.greatest(F.least(bucket, F.lit(q)), F.lit(1)).cast("int"))
             .drop("position", "total"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftmark.operators.ordering import cuts, previous_value
+from driftmark.operators.ordering import previous_value
 
 # Fixed value: weight of the other scores as tie-breaker behind guidance.
 TIE_WEIGHT = 0.1
@@ -17,7 +17,7 @@ def tone_score() -> Column:
 
 
 def build_signals(scores: DataFrame, events: DataFrame, prefix: str = "tone",
-                  slice_rows: int | None = None) -> DataFrame:
+                  slices: int | None = None) -> DataFrame:
     """One row per scored document: composite, topic scores and change since the last document.
 
     A topic the document does not mention counts 0 in its own column. ``{prefix}_delta`` is
@@ -25,7 +25,7 @@ def build_signals(scores: DataFrame, events: DataFrame, prefix: str = "tone",
     """
     known = scores.join(events.select("event_id", "ticker", "published_at"), "event_id")
     with_last = previous_value(known, ["ticker"], ["published_at", "event_id"], "guidance_tone",
-                               "last_guidance", cuts(known, ["published_at"], slice_rows)["published_at"])
+                               "last_guidance", slices)
 
     def topic(name: str) -> Column:
         return F.when(F.col(f"{name}_mentioned"), F.col(f"{name}_tone")).otherwise(0).cast("double")

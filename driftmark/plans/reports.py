@@ -102,7 +102,7 @@ def period_label(t0: Column, cutoff_a: str, cutoff_b: str) -> Column:
 
 
 def period_table(panel: DataFrame, signals: Sequence[str], target: str, cutoff_main: str, cutoff_other: str,
-                 slice_rows: int | None = None) -> DataFrame:
+                 slices: int | None = None) -> DataFrame:
     """Rank correlation per period and score, with size and significance flags.
 
     Periods with fewer than ten documents show no number; small ones under a hundred are marked,
@@ -112,7 +112,7 @@ def period_table(panel: DataFrame, signals: Sequence[str], target: str, cutoff_m
              .withColumn("period", period_label(F.col("t0"), cutoff_main, cutoff_other)))
     sizes = known.groupBy("period").agg(F.count("*").alias("documents"))
     long = known.select("period", target, *signals).unpivot(["period", target], list(signals), "signal", "value")
-    tests = rank_test(long, ["period", "signal"], "value", target, slice_rows=slice_rows)
+    tests = rank_test(long, ["period", "signal"], "value", target, slices=slices)
     enough = F.col("documents") >= TOO_FEW
     small = enough & (F.col("documents") < SMALL)
     grid = sizes.select("period", "documents", F.explode(F.array(*[F.lit(s) for s in signals])).alias("signal"))

@@ -41,8 +41,8 @@ class Backtest:
     def __init__(self, study: EventStudy, signals: Sequence[str], *, training_cutoff: str,
                  factors: DataFrame | None = None, quantiles: int = 5, min_history: int = 40,
                  lookback_days: int = 100, min_names_per_leg: int = 3, cost_bps: float = 10,
-                 borrow_bps_annual: float = 50, slice_rows: int | None = None):
-        self.study, self.factors, self.q, self.slice_rows = study, factors, quantiles, slice_rows
+                 borrow_bps_annual: float = 50, slices: int | None = None):
+        self.study, self.factors, self.q, self.slices = study, factors, quantiles, slices
         self.cutoff = training_cutoff
         self.signals = [s for s in signals if s in study.events.columns]
         if not self.signals:
@@ -50,7 +50,7 @@ class Backtest:
         self.terms = dict(quantiles=quantiles, cost_bps=cost_bps, borrow_bps_annual=borrow_bps_annual)
         self.seasonal_terms = dict(rebalance_months=study.months, lookback_days=lookback_days,
                                    min_names_per_leg=min_names_per_leg)
-        self.event_terms = dict(hold_days=study.hold_days, min_history=min_history, slice_rows=slice_rows)
+        self.event_terms = dict(hold_days=study.hold_days, min_history=min_history, slices=slices)
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -63,9 +63,14 @@ class Backtest:
         complete = self.panel.filter(F.col(target).isNotNull())
         return ranks.signal_rows(complete, self.signals, [*ROW_COLUMNS, target])
 
+    @cached_property
+    def rank_table(self) -> DataFrame:
+        """Rank correlations of every season, of all documents and of those after the cutoff."""
+        return checkpointed(ranks.scoped_spearman(self.rows, self.study.target, slices=self.slices))
+
     @cached_property
     def ics(self) -> DataFrame:
-        return checkpointed(ranks.ic_by_season(self.rows, self.study.target, slice_rows=self.slice_rows))
+        return ranks.season_ics(self.rank_table)
 
     @cached_property
     def seasonal(self) -> SeasonalBook:
@@ -95,7 +100,7 @@ class Backtest:
         return factor_regression(self.books, self.factors, ["kind", "signal"], "net")
 
     def quantiled(self) -> DataFrame:
-        return ranks.quantile_in_season(self.rows, self.q, slice_rows=self.slice_rows)
+        return ranks.quantile_in_season(self.rows, self.q, slices=self.slices)
 
     def summary(self) -> DataFrame:
         """One row per signal with every statistic of the evaluation, also for a signal without scored rows."""
@@ -104,7 +109,7 @@ class Backtest:
         target = self.study.target
         spark = self.panel.sparkSession
         out = spark.createDataFrame([(s,) for s in self.signals], "signal string")
-        parts = [ranks.pooled_ic(self.rows, target, slice_rows=self.slice_rows), ranks.ic_summary(self.ics), ranks.hit_rate(self.quantiled(), target, self.q),
+        parts = [ranks.pooled_ics(self.rank_table), ranks.ic_summary(self.ics), ranks.hit_rate(self.quantiled(), target, self.q),
                  self.seasonal.period_stats(), self.event_time.exposure()]
         for kind in ("seasonal", "event"):
             parts.append(_side_by_side(self.performance.filter(F.col("kind") == kind), kind))

@@ -115,7 +115,7 @@ def test_signals_and_change_since_the_last_document(spark):
         [("k9", -2, -1, 2, 1, True, True, False, "x"), ("k8", 1, 2, 2, 2, True, True, True, ""), ("q1", 0, 1, 0, 0, True, True, True, "")],
         "event_id string, guidance_tone int, margins_tone int, demand_tone int, overall_tone int, guidance_mentioned boolean, "
         "margins_mentioned boolean, demand_mentioned boolean, reason string")
-    got = {r.event_id: r for r in build_signals(scores, events, slice_rows=1).collect()}
+    got = {r.event_id: r for r in build_signals(scores, events, slices=5).collect()}
     assert got["k9"].tone_delta == -3 and got["k8"].tone_delta is None and got["q1"].tone_delta is None
     # the tie-breaker uses the score of a topic that counts 0 in its own column
     assert got["k9"].tone == pytest.approx(-2 + 0.1 * 2 / 3) and got["k9"].tone_demand == 0 and got["k9"].tone_margins == -1
