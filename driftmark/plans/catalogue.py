@@ -25,6 +25,7 @@ from driftmark.plans.warehouse import EARLY_CUTOFF, HOLD_WEEKS, LATE_CUTOFF, MAR
 from driftmark.session import checkpointed, shared_folder
 from driftmark.sources import factor_files as FF
 from driftmark.sources import filings as L
+from driftmark.sources import ledger
 from driftmark.sources import register as E
 from driftmark.sources import sinks
 from driftmark.sources import tables as T
@@ -261,8 +262,8 @@ def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = Warehouse(spark, folder).table("documents").select(
         F.col("doc_id").cast("string").alias("event_id"), F.upper("lang").alias("ticker"), F.col("source").alias("name"), "text", "doc_id")
     path = f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}"
-    S.score_into(spark, docs.filter("doc_id % 2 = 0"), balance_rater, path, MODEL, PROMPT, buckets=2)
-    answers = S.score_into(spark, docs, balance_rater, path, MODEL, PROMPT, buckets=2)
+    S.score_into(spark, docs.filter("doc_id % 2 = 0"), balance_rater, path, MODEL, PROMPT)
+    answers = S.score_into(spark, docs, balance_rater, path, MODEL, PROMPT)
     return answers.select("key", "event_id", "guidance_tone", "margins_tone", "overall_tone", "reason")
 
 
@@ -282,11 +283,28 @@ def latest_answers(spark: SparkSession, folder: str) -> DataFrame:
     return S.latest_answers(answer_log(Warehouse(spark, folder))).select("key", "event_id", "guidance_tone", "model_id")
 
 
+def stored_log(spark: SparkSession, w: Warehouse) -> str:
+    """The log of all order lines as a ledger, beside another rater's answers to every order."""
+    path = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    when = F.col("ingested_at.l_shipdate").cast("timestamp").alias("ingested_at")
+    given = {"ingested_at": when} | {c: F.col(c) for c in ("key", "event_id", "model", "prompt_version", "rep", "guidance_tone", "model_id")}
+    kinds = [f.strip().split(" ") for f in ledger.SCHEMA.split(",")]
+    log = answer_log(w).select(*[given.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds])
+    ledger.append_answers(log, path)
+    other = w.table("orders").select(F.col("o_orderkey").cast("string").alias("event_id"))
+    empty = [F.lit(None).cast(k).alias(n) for n, k in kinds if n not in ("key", "event_id", "model", "prompt_version", "rep")]
+    ledger.append_answers(S.with_keys(other, "rater-b", PROMPT).select("key", "event_id", F.lit("rater-b").alias("model"), F.lit(PROMPT).alias("prompt_version"), F.lit(1).alias("rep"), *empty)
+                          .select(*ledger.COLUMNS), path)
+    return path
+
+
 def incremental_todo(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders without an answer in the log of all order lines."""
+    """Orders without an answer of this rater in the stored ledger."""
     w = Warehouse(spark, folder)
     orders = w.table("orders").select(F.col("o_orderkey").cast("string").alias("event_id"))
-    return S.open_documents(orders, answer_log(w), MODEL, PROMPT).select("key", "event_id")
+    keyed = S.with_keys(orders, MODEL, PROMPT)
+    stored = ledger.answers_of(spark, stored_log(spark, w), MODEL, PROMPT)
+    return keyed.join(ledger.answered_keys(stored, keyed), "key", "left_anti").select("key", "event_id")
 
 
 def model_version(spark: SparkSession, folder: str) -> DataFrame:

@@ -21,6 +21,7 @@ from driftmark.plans.warehouse import EARLY_CUTOFF, HOLD_WEEKS, LATE_CUTOFF, MAR
 from driftmark.session import shared_folder
 from driftmark.sources import factor_files as FF
 from driftmark.sources import filings as L
+from driftmark.sources import ledger
 from driftmark.sources import tables as T
 
 
@@ -74,12 +75,12 @@ def answers_by_event(spark: SparkSession, folder: str) -> DataFrame:
                  "error": error, "ingested_at": F.lit(when).cast("timestamp")}
         kinds = [f.strip().split(" ") for f in S.ANSWER_SCHEMA.split(",")]
         rows = S.with_keys(df, C.MODEL, C.PROMPT).withColumn("event_id", F.col("event_id"))
-        T.append_answers(rows.select(*[F.col("key") if n == "key" else given.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds]), path)
+        ledger.append_answers(rows.select(*[F.col("key") if n == "key" else given.get(n, F.lit(None)).cast(k).alias(n) for n, k in kinds]), path)
 
     number = F.col("event_id").cast("long")
     run(d, "2024-01-01", F.when(number % 4 == 0, "limit reached"))
     run(d.filter(number % 6 == 0).withColumn("guidance_tone", F.lit(0)), "2024-01-02", F.lit(None))
-    last = S.latest_answers(S.read_answers(spark, path)).select("event_id", F.col("guidance_tone").alias("answer"))
+    last = S.latest_answers(ledger.read_answers(spark, path)).select("event_id", F.col("guidance_tone").alias("answer"))
     return d.select("event_id", "published_at").join(last, "event_id").orderBy("published_at", "event_id")
 
 

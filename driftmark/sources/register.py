@@ -1,10 +1,14 @@
-"""The event register: local manifests and upserts."""
+"""The event register: local manifests, upserts, and the stored register by month of publication."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.sources.schemas import EVENT_COLUMNS, MANIFEST
+from driftmark.session import checkpointed
+from driftmark.sources.schemas import EVENT_COLUMNS, EVENTS, MANIFEST
+
+MONTH, UNDATED = "month", "undated"
 
 
 def manifest_events(manifest: DataFrame) -> DataFrame:
@@ -51,6 +55,44 @@ def upsert_events(existing: DataFrame | None, new: DataFrame) -> DataFrame:
     return union.groupBy("event_id").agg(first.alias("row")).select("event_id", "row.*").select(*columns)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """The register in time order."""
-    events.orderBy("published_at", "ticker").write.mode("overwrite").parquet(path)
+def with_month(events: DataFrame) -> DataFrame:
+    """Add the partition of the stored register: the month of publication as ``yyyy-MM``, ``undated`` without a time."""
+    return events.withColumn(MONTH, F.coalesce(F.date_format("published_at", "yyyy-MM"), F.lit(UNDATED)))
+
+
+def read_register(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored register with its ``month``, or None before the first upsert. A filter on ``month`` prunes folders."""
+    try:
+        return spark.read.schema(f"{EVENTS}, {MONTH} STRING").parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def upsert_register(spark: SparkSession, new: DataFrame, path: str) -> list[str]:
+    """Put the events of ``new`` into the register at ``path`` and return the months that were written.
+
+    An id that the register holds, in whatever month, keeps its row. Of the stored rows only the ids are
+    read for that, and the whole rows of the touched months; only these months are overwritten, all other
+    files stay as they are. Within a month rows lie in the order (time, ticker, id); a month of many
+    rows is written by many tasks. What is written is staged first, so a failure leaves a whole copy.
+    Rows without an id are one event, as in :func:`upsert_events`.
+    """
+    stored = read_register(spark, path)
+    fresh = with_month(upsert_events(None, new.select(*EVENT_COLUMNS)))
+    if stored is not None:
+        ids = stored.select(F.col("event_id").alias("known_id"))
+        fresh = fresh.join(ids, F.col("event_id").eqNullSafe(F.col("known_id")), "left_anti")
+    fresh = checkpointed(fresh)
+    # bounded by the calendar
+    touched = sorted(r[0] for r in fresh.select(MONTH).distinct().collect())
+    if not touched:
+        return []
+    if stored is not None:
+        fresh = fresh.unionByName(stored.filter(F.col(MONTH).isin(touched)))
+    order = [MONTH, "published_at", "ticker", "event_id"]
+    staged = checkpointed(fresh)
+    (staged.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path))
+    return touched

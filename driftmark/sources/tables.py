@@ -92,10 +92,6 @@ def read_answer_lines(spark: SparkSession, path: str) -> DataFrame:
             .select("key", "last.*"))
 
 
-def append_answers(answers: DataFrame, path: str) -> None:
-    answers.write.mode("append").parquet(path)
-
-
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """Sentiment dictionary ``(word, positive, negative)``; a class holds where its flag is not 0."""
     raw = spark.read.csv(path, header=True)

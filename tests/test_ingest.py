@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from driftmark.operators import scoring as S
 from driftmark.sources import factor_files as FF
 from driftmark.sources import filings as L
+from driftmark.sources import ledger as B
 from driftmark.sources import register as E
 from driftmark.sources import sinks
 from driftmark.sources import tables as T
@@ -159,13 +160,13 @@ def test_scoring_resumes_where_it_stopped(spark, tmp_path):
         return good_answer(text, row)
 
     path = str(tmp_path / "answers")
-    first = S.score_into(spark, documents(spark), limited, path, "m", "v1", buckets=3)
+    first = S.score_into(spark, documents(spark), limited, path, "m", "v1")
     assert first.count() == 4
     failed = S.read_answers(spark, path).filter("error is not null")
     assert {r.error for r in failed.collect()} == {"RuntimeError: usage limit reached"}
     todo = S.open_documents(documents(spark), S.read_answers(spark, path), "m", "v1")
     assert sorted(r.event_id for r in todo.collect()) == ["e4", "e5"]
-    second = S.score_into(spark, documents(spark), good_answer, path, "m", "v1", buckets=3)
+    second = S.score_into(spark, documents(spark), good_answer, path, "m", "v1")
     assert second.count() == 6 and S.read_answers(spark, path).count() == 8
     assert second.first().reason.startswith("the Company document")
     assert S.open_documents(documents(spark), S.read_answers(spark, path), "m", "v2").count() == 6
@@ -177,22 +178,104 @@ ANSWER = {"guidance_tone": 1, "guidance_mentioned": True, "margins_tone": 0, "ma
           "demand_mentioned": True, "overall_tone": 0, "reason": ""}
 
 
-def test_a_killed_worker_costs_one_bucket(spark, tmp_path):
-    path, docs = str(tmp_path / "answers"), documents(spark, 12)
+def calls_in(folder):
+    """The event ids a counting rater was asked about, in all processes."""
+    return sorted(line for f in folder.iterdir() for line in f.read_text().split())
 
-    def deadly(text, row):
-        if row["event_id"] == "e7":
-            import os
+
+def counting(folder, answer):
+    def rater(text, row):
+        import os
+        with open(f"{folder}/{os.getpid()}", "a") as f:
+            f.write(row["event_id"] + "\n")
+        return answer(row["event_id"])
+    return rater
+
+
+def test_a_killed_worker_costs_the_batch_of_its_task(spark, tmp_path):
+    path, docs, asked = str(tmp_path / "answers"), documents(spark, 200), tmp_path / "asked"
+    asked.mkdir()
+
+    def deadly(event_id):
+        import os
+        import time
+        if event_id == "e7":
+            time.sleep(4)
             os._exit(1)
         return ANSWER
 
     with pytest.raises(Exception):
-        S.score_into(spark, docs, deadly, path, "m", "v1", buckets=4)
+        S.score_into(spark, docs, counting(asked, deadly), path, "m", "v1", task_documents=10)
+    saved = {r.event_id for r in S.read_answers(spark, path).collect()}
+    first = calls_in(asked)
+    assert len(first) == len(set(first)) and saved < set(first) and len(set(first) - saved) <= 4 * 25
+    assert len(saved) > 50
+    assert S.score_into(spark, docs, counting(asked, lambda e: ANSWER), path, "m", "v1", task_documents=10).count() == 200
+    # what finished tasks had saved was not rated again
+    again = calls_in(asked)
+    assert len(again) == len(first) + 200 - len(saved) and S.read_answers(spark, path).count() == 200
+
+
+@pytest.mark.parametrize("batched", [False, True])
+def test_a_limit_ends_the_run_and_keeps_what_was_answered(spark, tmp_path, batched):
+    path, docs, asked = str(tmp_path / "answers"), documents(spark, 400), tmp_path / "asked"
+    asked.mkdir()
+
+    def allowed(event_id):
+        if int(event_id[1:]) >= 150:
+            raise S.LimitReached("come back tomorrow")
+        return ANSWER
+
+    one = counting(asked, allowed)
+    rater = (lambda frame: [one("", {"event_id": e}) for e in frame["event_id"]]) if batched else one
+    with pytest.warns(UserWarning, match="limit"):
+        got = S.score_into(spark, docs, rater, path, "m", "v1", batched=batched, task_documents=5, grace=0.5)
     saved = S.read_answers(spark, path)
-    held = 0 if saved is None else saved.count()
-    assert S.score_into(spark, docs, lambda text, row: ANSWER, path, "m", "v1", buckets=4).count() == 12
-    # what an earlier bucket had saved was not rated again
-    assert S.read_answers(spark, path).count() == 12 and held in range(12)
+    assert saved.filter("error is not null").count() == 0 and got.count() == saved.count()
+    # the documents nobody asked about are still open, and far fewer were asked than are open
+    assert saved.count() <= len(calls_in(asked)) < 400
+    assert S.score_into(spark, docs, lambda text, row: ANSWER, path, "m", "v1", task_documents=100).count() == 400
+
+
+def test_the_ledger_prunes_raters_and_buckets(spark, tmp_path):
+    path, docs = str(tmp_path / "answers"), documents(spark, 300)
+    for model in ("m", "other/model"):
+        S.score_into(spark, docs, lambda text, row: ANSWER, path, model, "v1")
+    ledger = B.answers_of(spark, path, "m", "v1")
+    assert ledger.count() == 300 and "PartitionFilters: [isnotnull(model" in ledger._jdf.queryExecution().toString()
+    few = S.with_keys(docs.filter("event_id in ('e1', 'e2')"), "m", "v1")
+    known = B.answered_keys(ledger, few)
+    plan = known._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "PartitionFilters" in plan
+    buckets = {r[0] for r in few.select(B.bucket_of(F.col("key"))).collect()}
+    read = {r[0] for r in B.read_answers(spark, path).join(known, "key", "left_semi").select("bucket").distinct().collect()}
+    assert read == buckets and 0 < known.count() < 60
+    assert B.answers_of(spark, path, "other/model", "v1").count() == 300 and B.answers_of(spark, path, "m", "v2").count() == 0
+
+
+def test_the_register_rewrites_touched_months_only(spark, tmp_path):
+    path = str(tmp_path / "register")
+    schema = "event_id string, ticker string, published_at string, source string, form string, url string, path string"
+
+    def rows(*r):
+        return spark.createDataFrame([(e, t, p, "s", "f", "", "p") for e, t, p in r], schema) \
+            .withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+
+    def files():
+        return {r[0]: r[1] for r in E.read_register(spark, path).select("month", F.struct("_metadata.file_path", "_metadata.file_modification_time")).collect()}
+
+    assert E.read_register(spark, path) is None
+    assert E.upsert_register(spark, rows(("a", "A", "2007-03-05"), ("b", "B", "2007-03-04"), ("c", "C", "2007-05-01"), ("n", "N", None)), path) == ["2007-03", "2007-05", "undated"]
+    before = files()
+    # known ids stay, in whatever month they now say they are; ids that arrive twice count once
+    assert E.upsert_register(spark, rows(("a", "NEW", "2007-05-09"), ("d", "D", "2007-05-02"), ("d", "E", "2007-05-02"), ("n", "N", "2007-06-01")), path) == ["2007-05"]
+    after = files()
+    assert {m for m in before if before[m] != after[m]} == {"2007-05"} and set(after) == set(before)
+    got = {r.event_id: (r.ticker, r.month) for r in E.read_register(spark, path).collect()}
+    assert got == {"a": ("A", "2007-03"), "b": ("B", "2007-03"), "c": ("C", "2007-05"), "n": ("N", "undated"), "d": ("D", "2007-05")}
+    assert E.upsert_register(spark, rows(("a", "X", "2011-01-01")), path) == [] and files() == after
+    march = E.read_register(spark, path).filter("month = '2007-03'")
+    assert [r.event_id for r in march.collect()] == ["b", "a"] and len(march.select("_metadata.file_path").distinct().collect()) == 1
 
 
 def test_a_folder_without_a_finished_file_is_empty(spark, tmp_path):
@@ -207,11 +290,11 @@ def test_raters_may_answer_with_dicts_and_in_batches(spark, tmp_path):
         assert {"event_id", "name", "year", "rater_text", "ticker"} <= set(frame.columns) and "text" not in frame.columns
         return [ANSWER | {"overall_tone": int(e[1:]) % 2} if e != "e3" else 5 for e in frame["event_id"]]
 
-    got = S.score_into(spark, docs, batch, str(tmp_path / "a"), "m", "v1", batched=True, buckets=1)
+    got = S.score_into(spark, docs, batch, str(tmp_path / "a"), "m", "v1", batched=True)
     assert {r.event_id: r.overall_tone for r in got.collect()} == {f"e{i}": i % 2 for i in range(6) if i != 3}
     failed = S.read_answers(spark, str(tmp_path / "a")).filter("error is not null").collect()
     assert [(r.event_id, r.error) for r in failed] == [("e3", "TypeError: a rater answers with text or a dict, not int")]
-    none = S.score_into(spark, docs, lambda frame: [], str(tmp_path / "b"), "m", "v1", batched=True, buckets=1)
+    none = S.score_into(spark, docs, lambda frame: [], str(tmp_path / "b"), "m", "v1", batched=True)
     assert none.count() == 0 and S.read_answers(spark, str(tmp_path / "b")).count() == 6
 
 
