@@ -1,8 +1,8 @@
 """Returns, abnormal returns and cumulative abnormal returns.
 
-A window of returns depends only on (ticker, entry position). The study therefore works on
-the distinct pairs, whose number is bounded by the price panel, and joins the finished windows
-to the documents once. Nothing is expanded per document.
+A window of returns depends only on (ticker, entry position). Abnormal returns are summed along the
+calendar once per ticker; a CAR is the difference of two of these sums, whatever its horizon, so all
+studies of a panel share one table. The finished windows, at most tickers x days, meet the documents once.
 """
 from __future__ import annotations
 
@@ -58,49 +58,52 @@ def abnormal_returns(rets: DataFrame, bench: DataFrame) -> DataFrame:
             .select("ticker", "pos", (F.col("ret") - F.col("bench_ret")).alias("ar")))
 
 
-def event_windows(entries: DataFrame, ar: DataFrame, calendar: DataFrame, hold_days: int) -> DataFrame:
-    """Day-0 return and CAR[+1,+H] for each distinct ``(ticker, t0_pos)``.
+def running_abnormal(tickers: DataFrame, ar: DataFrame, calendar: DataFrame) -> DataFrame:
+    """``(ticker, pos, ar, ar_sum, ar_days)`` for every ticker and calendar day: abnormal returns up to and with that day.
+
+    A sum over any stretch of days is the difference of two of these rows, so one table serves every
+    holding period. A missing return adds nothing to the sum and is not counted.
+    """
+    days = F.explode(F.sequence(F.lit(0), last_position(calendar)))
+    upto = Window.partitionBy("ticker").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return (tickers.select("ticker", days.alias("pos")).join(ar, ["ticker", "pos"], "left")
+            .select("ticker", "pos", "ar", F.sum(F.coalesce("ar", F.lit(0.0))).over(upto).alias("ar_sum"), F.count("ar").over(upto).alias("ar_days")))
+
+
+def event_windows(running: DataFrame, hold_days: int) -> DataFrame:
+    """Day-0 return and CAR[+1,+H] for each ``(ticker, t0_pos)``.
 
     Both are null when the window runs past the calendar or too much of it is missing.
     """
-    points = (ar.select("ticker", "pos", "ar", F.lit(False).alias("is_entry"))
-              .unionByName(entries.select("ticker", F.col("t0_pos").alias("pos"),
-                                          F.lit(None).cast("double").alias("ar"),
-                                          F.lit(True).alias("is_entry"))))
     by_pos = Window.partitionBy("ticker").orderBy("pos")
-    ahead, today = by_pos.rangeBetween(1, hold_days), by_pos.rangeBetween(0, 0)
-    seen = F.col("days_seen")
-    complete = ((F.col("t0_pos") + hold_days <= last_position(calendar))
-                & ((hold_days - seen) / hold_days <= MAX_MISSING_SHARE))
-    return (points
-            .select("ticker", F.col("pos").alias("t0_pos"), "is_entry",
-                    F.max("ar").over(today).alias("ar_today"),
-                    F.sum("ar").over(ahead).alias("ar_ahead"),
-                    F.count("ar").over(ahead).alias("days_seen"))
-            .filter("is_entry")
-            .select("ticker", "t0_pos",
-                    F.when(complete, F.col("ar_today")).alias("ar_day0"),
-                    F.when(complete, F.coalesce("ar_ahead", F.lit(0.0))).alias(f"car_1_{hold_days}")))
-
-
-def window_paths(windows: DataFrame, ar: DataFrame, hold_days: int) -> DataFrame:
-    """``(ticker, t0_pos, day, car)`` for days 0..H; day 0 is 0 and rejected windows are null."""
-    target = f"car_1_{hold_days}"
-    days = (windows.select("ticker", "t0_pos", F.col(target).isNotNull().alias("complete"),
-                           F.explode(F.sequence(F.lit(0), F.lit(hold_days))).alias("day"))
-            .withColumn("pos", F.col("t0_pos") + F.col("day"))
-            .join(ar, ["ticker", "pos"], "left"))
-    step = F.when(F.col("day") == 0, 0.0).otherwise(F.coalesce("ar", F.lit(0.0)))
-    along = Window.partitionBy("ticker", "t0_pos").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return (days.withColumn("running", F.sum(step).over(along))
-            .select("ticker", "t0_pos", "day", F.when(F.col("complete"), F.col("running")).alias("car")))
+    end = F.lead(F.struct("ar_sum", "ar_days"), hold_days).over(by_pos)
+    seen = F.col("end.ar_days") - F.col("ar_days")
+    complete = F.col("end").isNotNull() & ((hold_days - seen) / hold_days <= MAX_MISSING_SHARE)
+    return (running.withColumn("end", end)
+            .select("ticker", F.col("pos").alias("t0_pos"), F.when(complete, F.col("ar")).alias("ar_day0"),
+                    F.when(complete, F.col("end.ar_sum") - F.col("ar_sum")).alias(f"car_1_{hold_days}")))
+
+
+def window_paths(entries: DataFrame, running: DataFrame, hold_days: int) -> DataFrame:
+    """``entries`` (ticker, t0_pos, the CAR and more) with ``day`` 0..H and ``car`` up to that day.
+
+    Day 0 is 0 and rejected windows are null. Each step is met by its day, none is summed again.
+    """
+    sums = running.select("ticker", "pos", "ar_sum")
+    days = (entries.withColumn("complete", F.col(f"car_1_{hold_days}").isNotNull())
+            .join(sums.select("ticker", F.col("pos").alias("t0_pos"), F.col("ar_sum").alias("base")), ["ticker", "t0_pos"])
+            .withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(hold_days)))).withColumn("pos", F.col("t0_pos") + F.col("day")))
+    car = F.when(F.col("complete"), F.col("ar_sum") - F.col("base"))
+    return days.join(sums, ["ticker", "pos"], "left").withColumn("car", car).drop("complete", "base", "pos", "ar_sum")
 
 
 class PricePanel:
-    """Calendar and returns of one price panel, each written out once: every later step reads them."""
+    """Calendar, returns and running abnormal returns of one price panel, each written out once for all studies."""
 
     def __init__(self, prices: DataFrame, market_ticker: str = "SPY"):
-        self.prices, self.market_ticker = prices, market_ticker
+        # a date, so that the calendar has one row per day and may be broadcast
+        self.prices, self.market_ticker = prices.withColumn("date", F.to_date("date")), market_ticker
+        self._running: dict[tuple, tuple] = {}
 
     @cached_property
     def calendar(self) -> DataFrame:
@@ -119,12 +122,22 @@ class PricePanel:
         return (self.returns.filter(F.col("ticker") == self.market_ticker)
                 .select("pos", "date", F.col("ret").alias("market")))
 
+    def running_abnormal(self, universe: DataFrame | None, benchmark: str) -> DataFrame:
+        """The running sums of returns above one benchmark, whatever the holding period of a study."""
+        key = (benchmark, None if benchmark == "market" else id(universe))
+        if key not in self._running:
+            bench = benchmark_tickers(self.tickers, universe, benchmark, self.market_ticker)
+            ar = abnormal_returns(self.returns, bench)
+            # the universe is kept, so that its id stays its own
+            self._running[key] = (checkpointed(running_abnormal(self.tickers, ar, self.calendar)), universe)
+        return self._running[key][0]
+
 
 class EventStudy:
     """The frames of one study.
 
-    ``windows`` (at most tickers x days) feed every later operator, so they are written out once and
-    read back; the documents stay lazy. While the windows are small the documents meet them in a
+    ``windows`` (tickers x days) feed every later operator, so they are written out once and
+    read back; the documents stay lazy and are not read for them. While the windows are small the documents meet them in a
     broadcast join and are never shuffled.
     """
 
@@ -150,9 +163,8 @@ class EventStudy:
         return self.market.market_returns
 
     @cached_property
-    def abnormal(self) -> DataFrame:
-        bench = benchmark_tickers(self.market.tickers, self.universe, self.benchmark, self.market.market_ticker)
-        return abnormal_returns(self.returns, bench)
+    def running(self) -> DataFrame:
+        return self.market.running_abnormal(self.universe, self.benchmark)
 
     @cached_property
     def dated(self) -> DataFrame:
@@ -161,9 +173,8 @@ class EventStudy:
 
     @cached_property
     def windows(self) -> DataFrame:
-        """One row per (ticker, entry position) that a document uses."""
-        entries = self.dated.select("ticker", "t0_pos").distinct().join(self.market.tickers, "ticker", "left_semi")
-        return checkpointed(event_windows(entries, self.abnormal, self.calendar, self.hold_days))
+        """One row per (ticker, entry position)."""
+        return checkpointed(event_windows(self.running, self.hold_days))
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -173,10 +184,11 @@ class EventStudy:
 
     @property
     def paths(self) -> DataFrame:
-        """CAR paths by (ticker, t0_pos); all documents of a pair share one path."""
-        return window_paths(self.windows, self.abnormal, self.hold_days)
+        """CAR paths of the (ticker, t0_pos) that documents use; all documents of a pair share one path."""
+        entries = self.windows.join(self.dated.select("ticker", "t0_pos").distinct(), ["ticker", "t0_pos"], "left_semi")
+        return window_paths(entries, self.running, self.hold_days).select("ticker", "t0_pos", "day", "car")
 
     def document_paths(self) -> DataFrame:
         """``(event_id, day, car)``."""
-        return (self.panel.select("event_id", "ticker", "t0_pos").join(self.paths, ["ticker", "t0_pos"])
-                .select("event_id", "day", "car"))
+        documents = self.panel.select("event_id", "ticker", "t0_pos", self.target)
+        return window_paths(documents, self.running, self.hold_days).select("event_id", "day", "car")
