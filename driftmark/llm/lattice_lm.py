@@ -10,9 +10,10 @@ the subwords:
 
 The vocabulary's scores rank its pieces. A piece of rank *r* starts with weight 1 / (r + ``RANK_SHIFT``),
 normalised over the pieces that may begin a word and over those that may go on. Forward-backward
-expectations over the distinct training words then adapt the weights: each part of the words iterates
-``ROUNDS`` times on its own, its last expectations are added over all parts. New words resemble rare
-words, so every distinct word counts once. Only one number per piece reaches the driver.
+expectations over the distinct training words then adapt the weights, ``ROUNDS`` times: each round is one
+pass over the written words, whose expectations are added over all of them, so the result does not depend
+on how the words are dealt out. New words resemble rare words, so every distinct word counts once. Only
+one number per piece reaches the driver.
 
 c, N and V are counts over all training documents. Every distinct word of a block of documents travels
 once to the part that owns it, is counted there, run through its lattice once, and the answer travels
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked, part_cuts
 from .lattice import Trie, arcs, by_length
+from .storage import written
 from .words import Words, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,6 +41,8 @@ ROUNDS = 3
 PRIOR_USES = 100.0
 PRIOR_SHARE = 1.0
 BLOCK_BYTES = 8 << 20
+# Text whose distinct words are found at a time, and distinct words of one row of theirs.
+TRAIN_BYTES, WORDS_BYTES = 8 << 20, 1 << 20
 HELD_OUT = (7, 2)
 _LN10 = np.log(10.0)
 
@@ -96,23 +100,20 @@ class SubwordLattice:
             out[rows] = self._forward(codes, arcs(codes, self.trie))[:, -1] + self.stop
         return out
 
-    def expected(self, words: list[str], rounds: int) -> np.ndarray:
-        """Expected uses of each piece over ``words``, after ``rounds`` adaptations to them."""
-        groups = [(codes, list(arcs(codes, self.trie))) for _, codes in by_length([MARK + w for w in words])]
+    def expected(self, words: list[str]) -> np.ndarray:
+        """Expected uses of each piece over ``words`` under the present weights."""
         uses = np.zeros(len(self.weight))
-        for _ in range(rounds):
-            uses = np.zeros(len(self.weight))
-            for codes, lattice in groups:
-                alpha = self._forward(codes, lattice)
-                beta = np.full(alpha.shape, -np.inf)
-                beta[:, -1] = 0.0
-                for arc in reversed(lattice):
-                    start, length, row, piece = arc
-                    weight = self._weights(arc, codes) + beta[row, start + length]
-                    beta[row, start] = np.logaddexp(beta[row, start], weight)
-                    share = np.exp(alpha[row, start] + weight - alpha[row, -1])
-                    uses += np.bincount(np.where(piece < 0, len(uses) - 1, piece), weights=share, minlength=len(uses))
-            self.adapt(uses, len(words))
+        for _, codes in by_length([MARK + w for w in words]):
+            lattice = list(arcs(codes, self.trie))
+            alpha = self._forward(codes, lattice)
+            beta = np.full(alpha.shape, -np.inf)
+            beta[:, -1] = 0.0
+            for arc in reversed(lattice):
+                start, length, row, piece = arc
+                weight = self._weights(arc, codes) + beta[row, start + length]
+                beta[row, start] = np.logaddexp(beta[row, start], weight)
+                share = np.exp(alpha[row, start] + weight - alpha[row, -1])
+                uses += np.bincount(np.where(piece < 0, len(uses) - 1, piece), weights=share, minlength=len(uses))
         return uses
 
 
@@ -121,7 +122,8 @@ def _utf8(code: np.ndarray) -> np.ndarray:
 
 
 _QUESTION = "part bigint, block bigint, size bigint, words binary, counts binary"
-_ANSWER = "block bigint, part bigint, size bigint, counts binary, subword binary, total bigint, distinct bigint"
+_ANSWER = "block bigint, part bigint, size bigint, counts binary, subword binary"
+_WORDS = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("distinct", pa.int64()), ("tokens", pa.int64())])
 _QUESTION_SCHEMA = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
@@ -172,28 +174,54 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in range(parts):
             a, b = int(cuts[part]), int(cuts[part + 1])
             mine, own = words[a:b], counts[a:b]
-            if part == 0:  # white space is no word: it stands for the end token
-                mine, own = [*mine, b" "], np.r_[own, train.sum()]
+            if a == b:
+                continue
             rows.append({"part": part, "block": block, "size": len(mine), "words": b"\n".join(mine), "counts": own.astype(np.int64).tobytes()})
         return pa.Table.from_pylist(rows, _QUESTION_SCHEMA)
 
     def train_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = _Tokens(batch)
-            words, cuts = tokens.words(), part_cuts(tokens.keys, parts)
-            rows = [{"part": part, "words": b"\n".join(words[cuts[part]:cuts[part + 1]])} for part in range(parts) if cuts[part] < cuts[part + 1]]
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int64()), ("words", pa.binary())]))
-
-    def expect(table: pa.Table) -> pa.Table:
-        words = sorted(set().union(*[blob.split(b"\n") for blob in table.column("words").to_pylist()]))
-        uses = SubwordLattice.from_file(vocabulary).expected([w.decode("utf-8", "replace") for w in words], ROUNDS)
-        # one more row for the number of words
-        return pa.table({"piece": np.arange(-1, len(uses)), "uses": np.r_[float(len(words)), uses]})
-
-    # one number per piece of the vocabulary
-    learned = (docs.filter("not held_out").select("text").mapInArrow(train_words, "part bigint, words binary")
-               .groupBy("part").applyInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses")).collect())
-    uses = np.array([u for _, u in sorted(learned)])
+            # cut by bytes, as an Arrow batch holds texts of any length
+            for first, last, *_ in slices(batch.column(0), TRAIN_BYTES):
+                tokens = _Tokens(batch.slice(first, last - first))
+                words, cuts, each = tokens.words(), part_cuts(tokens.keys, parts), np.bincount(tokens.which, minlength=len(tokens.keys))
+                del tokens
+                rows = [{"part": part, "words": b"\n".join(words[cuts[part]:cuts[part + 1]]), "distinct": int(cuts[part + 1] - cuts[part]),
+                         "tokens": int(each[cuts[part]:cuts[part + 1]].sum())} for part in range(parts) if cuts[part] < cuts[part + 1]]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, _WORDS)
+
+    def distinct(table: pa.Table) -> pa.Table:
+        words = sorted(set().union(*[blob.as_py().split(b"\n") for blob in table.column("words")]))
+        size, every = max(1, WORDS_BYTES // 16), sum(table.column("tokens").to_pylist())
+        cut = [words[k:k + size] for k in range(0, len(words), size)]
+        return pa.Table.from_pylist([{"part": table.column("part")[0].as_py(), "words": b"\n".join(c), "distinct": len(c), "tokens": 0 if k else every}
+                                     for k, c in enumerate(cut)], _WORDS)
+
+    kinds = "part bigint, words binary, distinct bigint, tokens bigint"
+    train = docs.filter("not held_out")
+    vocabulary_words = written(train.select("text").mapInArrow(train_words, kinds).groupBy("part").applyInArrow(distinct, kinds))
+    ends = train.count()
+    n_words, n_distinct = (x or 0 for x in vocabulary_words.agg(F.sum("tokens"), F.sum("distinct")).first())
+    total, distinct_tokens = n_words + ends, n_distinct + (ends > 0)
+    uses = np.zeros(0)
+    for _ in range(ROUNDS):
+        def expect(batches: Iterator[pa.RecordBatch], uses: np.ndarray = uses) -> Iterator[pa.RecordBatch]:
+            lattice, total = SubwordLattice.from_file(vocabulary), None
+            if len(uses):
+                lattice.adapt(uses[1:], uses[0])
+            for batch in batches:
+                for blob in batch.column(1):
+                    words = [w.decode("utf-8", "replace") for w in blob.as_py().split(b"\n")]
+                    # one more number for the words themselves
+                    found = np.r_[float(len(words)), lattice.expected(words)]
+                    total = found if total is None else total + found
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(total) - 1)), pa.array(total)], ["piece", "uses"])
+
+        # one number per piece of the vocabulary
+        learned = vocabulary_words.mapInArrow(expect, "piece bigint, uses double").groupBy("piece").agg(F.sum("uses")).collect()
+        uses = np.array([u for _, u in sorted(learned)])
 
     def answer(table: pa.Table) -> pa.Table:
         lattice = SubwordLattice.from_file(vocabulary)
@@ -206,16 +234,15 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 which.append(np.fromiter((place.setdefault(w, len(place)) for w in blob.split(b"\n")), np.int64, size))
         every = np.concatenate(which) if which else np.zeros(0, np.int64)
         counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
-        total = np.bincount(every, weights=counts, minlength=len(place)).astype(np.int64)
+        held = np.bincount(every, weights=counts, minlength=len(place)).astype(np.int64)
         subword = lattice.log_probability([w.decode("utf-8", "replace") for w in place])
         sizes = table.column("size").to_numpy()
         ends, out = np.cumsum(sizes), []
         for block, size, end in zip(table.column("block").to_pylist(), sizes.tolist(), ends.tolist()):
             mine = every[end - size:end]
-            out.append({"block": block, "part": table.column("part")[0].as_py(), "size": size, "counts": total[mine].tobytes(),
-                        "subword": subword[mine].tobytes(), "total": int(total.sum()), "distinct": int((total > 0).sum())})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("counts", pa.binary()),
-                                                    ("subword", pa.binary()), ("total", pa.int64()), ("distinct", pa.int64())]))
+            out.append({"block": block, "part": table.column("part")[0].as_py(), "size": size, "counts": held[mine].tobytes(),
+                        "subword": subword[mine].tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("part", pa.int64()), ("size", pa.int64()), ("counts", pa.binary()), ("subword", pa.binary())]))
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -223,17 +250,12 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             kinds = [table.schema.field("id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2]
             return pa.table([pa.array([], k) for k in kinds], names)
         tokens, answers = _Tokens(table), answers.sort_by("part")
-        total, distinct = (int(sum(answers.column(c).to_pylist())) for c in ("total", "distinct"))
-        # the end token was asked last in the first part
-        seen = [np.frombuffer(c, np.int64) for c in answers.column("counts").to_pylist()]
-        lattice = [np.frombuffer(c, np.float64) for c in answers.column("subword").to_pylist()]
-        ends = int(seen[0][-1])
-        count = np.concatenate([seen[0][:-1], *seen[1:]])
-        subword = np.concatenate([lattice[0][:-1], *lattice[1:]])
-        base = np.log10((count + 1) / (total + distinct + 1))
+        count = np.frombuffer(b"".join(answers.column("counts").to_pylist()), np.int64)
+        subword = np.frombuffer(b"".join(answers.column("subword").to_pylist()), np.float64)
+        base = np.log10((count + 1) / (total + distinct_tokens + 1))
         # q is spread over words and the end token as training documents are long; it never counts as unseen
         end_share = ends / total if total else 0.5
-        prior = max(prior_share * distinct, 1.0)
+        prior = max(prior_share * distinct_tokens, 1.0)
         known = np.log(np.maximum(count, 1)) + np.where(count > 0, 0.0, -np.inf)
         model = (np.logaddexp(known, np.log(prior * (1 - end_share)) + subword) - np.log(total + prior)) / _LN10
         end_model = np.log10((ends + prior * end_share) / (total + prior))
@@ -241,7 +263,7 @@ def scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sums = [np.bincount(tokens.row, weights=v[tokens.which], minlength=docs_n) for v in (base, model, count > 0)]
         return pa.table([
             table.column("id"), table.column("held_out"), pa.array(tokens.counts + 1), pa.array(sums[2].astype(np.int64) + (ends > 0)),
-            pa.array(np.full(docs_n, total)), pa.array(sums[0] + np.log10((ends + 1) / (total + distinct + 1))), pa.array(sums[1] + end_model)], names)
+            pa.array(np.full(docs_n, total)), pa.array(sums[0] + np.log10((ends + 1) / (total + distinct_tokens + 1))), pa.array(sums[1] + end_model)], names)
 
     answers = docs.groupBy("block").applyInArrow(ask, _QUESTION).groupBy("part").applyInArrow(answer, _ANSWER)
     kind = docs.schema["id"].dataType.simpleString()

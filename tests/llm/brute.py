@@ -162,3 +162,66 @@ def personal(text):
                     or kind == "card" and 13 <= len(digits) <= 19 and luhn or kind == "phone" and 9 <= len(digits) <= 15):
                 out.append((kind, m.start(), m.end()))
     return out
+
+
+def lattice_scores(docs, vocabulary, rounds, prior_uses=100.0, rank_shift=10.0):
+    """log10 probability of every text by plain recursion over the boundaries of each word."""
+    import sentencepiece
+    model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+    known = {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size())
+             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
+    order = sorted((p for p in known if not p.startswith("▁▁") and "▁" not in p.lstrip("▁")), key=lambda p: -known[p])
+    weight = {p: 1 / (r + rank_shift) for r, p in enumerate(order)}
+    weight[None] = 1 / (len(order) + rank_shift)  # all bytes together
+    begins = {p: p is not None and p.startswith("▁") for p in weight}
+
+    def adapted(uses, words):
+        cost = {}
+        for side in (True, False):
+            mine = [p for p in weight if begins[p] == side]
+            ranks, used = sum(weight[p] for p in mine), sum(uses.get(p, 0.0) for p in mine)
+            cost |= {p: (uses.get(p, 0.0) + prior_uses * weight[p] / ranks) / (used + prior_uses) for p in mine}
+        stop = (words + 1.0) / (sum(uses.values()) + 2.0)
+        return cost, stop, 1 - min(stop, 1 - 1e-9)
+
+    def arcs(word, a, cost, go_on):
+        """(end, piece, weight) of every arc that begins at a."""
+        for b in range(a + 1, len(word) + 1):
+            if word[a:b] in cost:
+                yield b, word[a:b], cost[word[a:b]] * (go_on if a else 1.0)
+        if word[a] not in cost:
+            n = len(word[a].encode())
+            yield a + 1, None, (cost[None] / 256) ** n * go_on ** (n - 1) * (go_on if a else 1.0)
+
+    def tables(word, cost, go_on):
+        forward, backward = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        for a in range(len(word)):
+            for b, _, w in arcs(word, a, cost, go_on):
+                forward[b] += forward[a] * w
+        for a in reversed(range(len(word))):
+            backward[a] = sum(w * backward[b] for b, _, w in arcs(word, a, cost, go_on))
+        return forward, backward
+
+    tokens = {i: words(low(t)) for i, t in docs}
+    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, ends = Counter(w for i in train for w in tokens[i]), len(train)
+    state = adapted({}, 0.0)
+    for _ in range(rounds):
+        cost, stop, go_on = state
+        uses = defaultdict(float)
+        for w in counts:
+            word = "▁" + w
+            forward, backward = tables(word, cost, go_on)
+            for a in range(len(word)):
+                for b, piece, x in arcs(word, a, cost, go_on):
+                    uses[piece] += forward[a] * x * backward[b] / forward[-1]
+        state = adapted(uses, len(counts))
+    cost, stop, go_on = state
+    total, distinct = sum(counts.values()) + ends, len(counts) + 1
+    share, out = ends / total, {}
+    for i, ws in tokens.items():
+        out[i] = math.log10((ends + distinct * share) / (total + distinct))
+        for w in ws:
+            q = tables("▁" + w, cost, go_on)[0][-1] * stop
+            out[i] += math.log10((counts[w] + distinct * (1 - share) * q) / (total + distinct))
+    return out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftmark.llm import chat, components, decontaminate, lattice_lm, line_templates, pieces, quality, sanitise, simhash, storage, substrings
+from driftmark.llm import blocks, chat, components, decontaminate, lattice_lm, line_templates, pieces, quality, sanitise, simhash, storage, substrings
 from driftmark.llm.queries import QUERIES
 
 from . import brute
@@ -77,10 +77,26 @@ def test_score_is_the_sum_over_all_segmentations():
     words = ["ab", "abab", "a", "cab", "é", "abé"]
     assert np.exp(model.log_probability(words)) == pytest.approx([total("▁" + w) for w in words])
     before = model.log_probability(["abab"])[0]
-    uses = model.expected(["abab"] * 50, 3)
+    for _ in range(3):
+        uses = model.expected(["abab"] * 50)
+        model.adapt(uses, 50)
     assert uses.sum() > 50 and model.log_probability(["abab"])[0] > before
 
 
+def test_scores_are_the_plain_model_whatever_the_layout(spark, monkeypatch):
+    rng = random.Random(17)
+    lexicon = ["".join(rng.choice("abcdeé日") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choice(lexicon) for _ in range(rng.randint(0, 12)))) for i in range(40)]
+    want = brute.lattice_scores(rows, lattice_lm.VOCABULARY, lattice_lm.ROUNDS)
+    one = {r.doc_id: r.score for r in lattice_lm.scores(frame(spark, rows)).collect()}
+    assert one == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(blocks, "PART_BYTES", 150)
+    monkeypatch.setattr(lattice_lm, "TRAIN_BYTES", 100)
+    monkeypatch.setattr(lattice_lm, "WORDS_BYTES", 100)
+    many = {r.doc_id: r.score for r in lattice_lm.scores(frame(spark, rows), block_bytes=300).collect()}
+    assert many == pytest.approx(one, rel=1e-12)
+
+
 def test_scores_odd(spark):
     got = lattice_lm.scores(odd(spark)).collect()
     assert len(got) == 9 and {r.train_tokens for r in got} == {got[0].train_tokens}
@@ -329,7 +345,8 @@ def test_history_is_limited_and_masked(spark):
 
 def test_queries_are_registered():
     assert sorted(QUERIES) == sorted(["op1_substrings", "op2_lattice_lm", "op3_chat_windows", "op4_sanitise", "op5_decontamination",
-                                      "op6_line_templates", "op7_quality", "op8_revisits", "op9_simhash", "op10_pieces"])
+                                      "op6_line_templates", "op7_quality", "op8_revisits", "op9_simhash", "op10_pieces", "op11_licenses", "op12_lexical_search",
+                                      "op13_hard_negatives"])
 
 
 def test_shared_folder_comes_from_the_session(spark):
