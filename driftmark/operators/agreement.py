@@ -97,6 +97,19 @@ def human_labels(sheet: DataFrame, label: str = "guidance_tone") -> DataFrame:
     return filled.withColumn("human", F.col("human_score").cast("int")).drop("human_score")
 
 
+def label_chain(sheet: DataFrame, key: DataFrame, main: DataFrame, other: DataFrame, label: str = "guidance_tone") -> DataFrame:
+    """``(event_id, human, main, other)`` from four tables: the filled sheet by number, the key from number to
+    event, and the scored events of both raters.
+
+    Rows that any of the tables lacks, or whose rating is missing, drop out; a rating loses its fraction.
+    """
+    def ratings(table: DataFrame, name: str) -> DataFrame:
+        return table.select("event_id", F.col(label).cast("int").alias(name)).filter(F.col(name).isNotNull())
+
+    return (human_labels(sheet, label).select("number", "human").join(key.select("number", "event_id"), "number")
+            .join(ratings(main, "main"), "event_id").join(ratings(other, "other"), "event_id").drop("number"))
+
+
 def bootstrap_kappa_difference(ratings: DataFrame, human: str = "human", main: str = "main", other: str = "other",
                                resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """Kappa of both raters with the human, their difference and its 90% bootstrap interval.

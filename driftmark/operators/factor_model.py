@@ -1,43 +1,93 @@
-"""Factor regression of book returns with autocorrelation-robust standard errors.
+"""Factor regression of book returns with autocorrelation-robust standard errors, from sums.
 
-Spark joins books and factors; one book's daily series, bounded by the trading calendar, is solved
-as one small group.
+Books are joined to the factors by date. One aggregation per book gives the cross moments of factors and
+return; the normal equations, at most seven by seven, are solved by sweeping them in array expressions.
+A second aggregation sums the products of the residual scores with their weighted neighbours in time,
+which is the whole Bartlett-weighted covariance at once. Nothing leaves the JVM, and no book's series is
+gathered in one place; only the neighbours of a day are looked up along the series.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Factor names in report order, the least number of days, the year.
 FACTORS = ("Mkt-RF", "SMB", "HML", "RMW", "CMA", "Mom")
 MIN_DAYS = 60
 TRADING_DAYS = 252
+# A factor of which less than this share is left beside the factors before it depends on them.
+DEPENDENT = 1e-11
 
 
-def newey_west(y: np.ndarray, x: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """OLS coefficients, t statistics with Bartlett-weighted covariance, and R squared.
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    Collinear or constant factors share their effect through the pseudo-inverse; a statistic without
-    spread is NaN.
+
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def _times(a: Column, b: Column) -> Column:
+    """Matrix product with a symmetric ``b``, whose rows are its columns."""
+    return _bound(b, lambda m: F.transform(a, lambda row: F.transform(m, lambda column: _dot(row, column))))
+
+
+def _swept(gram: Column, k: int) -> Column:
+    """``(matrix, kept)``: the symmetric matrix after a sweep of every row that does not depend on those before it.
+
+    Kept rows i, j hold minus the inverse; a row that was left out holds, under the kept ones, how it depends
+    on them.
     """
-    inverse = np.linalg.pinv(x.T @ x, hermitian=True)
-    beta = inverse @ (x.T @ y)
-    residual = y - x @ beta
-    score = x * residual[:, None]
-    middle = score.T @ score
-    for lag in range(1, lags + 1):
-        cross = score[lag:].T @ score[:-lag]
-        middle += (1 - lag / (lags + 1)) * (cross + cross.T)
-    error = np.sqrt(np.maximum(np.diag(inverse @ middle @ inverse), 0.0))
-    spread = y - y.mean()
-    total = spread @ spread
-    t = np.divide(beta, error, out=np.full(len(beta), np.nan), where=error > 0)
-    return beta, t, float(1 - (residual @ residual) / total) if total > 0 else float("nan")
+    def step(g: Column, state: Column, p: Column) -> Column:
+        m = state["matrix"]
+
+        def with_row(row: Column) -> Column:
+            d = F.get(row, p)
+            free = d > DEPENDENT * F.get(F.get(g, p), p)
+            pivot = F.transform(row, lambda x, j: F.when(j == p, -1 / d).otherwise(x / d))
+            others = F.transform(m, lambda r, i: F.when(i == p, pivot).otherwise(
+                F.transform(r, lambda x, j: F.when(j == p, x / d).otherwise(x - F.get(r, p) * F.get(row, j) / d))))
+            return F.struct(F.when(free, others).otherwise(m).alias("matrix"), F.concat(state["kept"], F.array(free)).alias("kept"))
+
+        return _bound(F.get(m, p), with_row)
+
+    none = F.array().cast("array<boolean>")
+    return _bound(gram, lambda g: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.struct(g.alias("matrix"), none.alias("kept")), lambda s, p: step(g, s, p)))
+
+
+def _pseudo_inverse(gram: Column, k: int) -> Column:
+    """The pseudo-inverse of a symmetric matrix without negative eigenvalues: dependent factors share their effect.
+
+    With the independent rows I and the others as combinations C of them, the matrix is R' G_I R for R = [1 C],
+    so its pseudo-inverse is R' (R R')^-1 G_I^-1 (R R')^-1 R.
+    """
+    def inverse(s: Column) -> Column:
+        return F.transform(s["matrix"], lambda row, i: F.transform(row, lambda x, j: F.when(F.get(s["kept"], i) & F.get(s["kept"], j), -x).otherwise(0.0)))
+
+    def combination(s: Column) -> Column:
+        """R' as k rows: a kept factor is itself, another one its combination."""
+        return F.transform(s["matrix"], lambda row, j: F.transform(row, lambda x, i: F.when(~F.get(s["kept"], i), 0.0)
+                                                                   .when(F.get(s["kept"], j), F.when(i == j, 1.0).otherwise(0.0)).otherwise(x)))
+
+    def whole(s: Column) -> Column:
+        def through(r: Column) -> Column:
+            across = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.transform(r, lambda row: F.get(row, i)))
+            square = _bound(across, lambda t: F.transform(t, lambda a: F.transform(t, lambda b: _dot(a, b))))
+            outer = _bound(_swept(square, k), inverse)
+            left = _times(r, outer)
+            return _bound(left, lambda a: _bound(_times(a, inverse(s)), lambda b: F.transform(b, lambda x: F.transform(a, lambda y: _dot(x, y)))))
+
+        return _bound(combination(s), through)
+
+    return _bound(_swept(gram, k), whole)
+
+
+def _symmetric(entry: Callable[[int, int], Column], k: int) -> Column:
+    return F.array(*[F.array(*[entry(min(i, j), max(i, j)) for j in range(k)]) for i in range(k)])
 
 
 def factor_regression(daily: DataFrame, factors: DataFrame | None, keys: Sequence[str], ret: str = "ret",
@@ -45,30 +95,49 @@ def factor_regression(daily: DataFrame, factors: DataFrame | None, keys: Sequenc
     """Alpha, betas, t statistics and R squared per book, for whichever factors exist.
 
     Books are joined to the factors by date; null rows are dropped; fewer than 60 days give no row.
+    Collinear or constant factors share their effect as under the pseudo-inverse; a statistic without
+    spread is null.
     """
     if factors is None:
         return None
     names = [f for f in FACTORS if f in factors.columns]
-    keys = list(keys)
+    keys, k = list(keys), len(names) + 1
     joined = (daily.select(*keys, "date", F.col(ret).cast("double").alias("y"))
-              .join(factors.select("date", *[f"`{f}`" for f in names]), "date")
-              .dropna())
-    fields = [daily.schema[k] for k in keys]
-    fields += [T.StructField(c, T.DoubleType()) for c in ("alpha_ann", "alpha_t", "r2")]
-    fields += [T.StructField("n", T.LongType())]
-    fields += [T.StructField(f"{kind}_{f}", T.DoubleType()) for f in names for kind in ("beta", "t")]
-    schema = T.StructType(fields)
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) < MIN_DAYS:
-            return pd.DataFrame(columns=schema.names)
-        group = group.sort_values("date")
-        x = np.column_stack([np.ones(len(group)), group[names].to_numpy(float)])
-        beta, t, r2 = newey_west(group["y"].to_numpy(float), x, lags)
-        row = {k: group[k].iloc[0] for k in keys}
-        row |= {"alpha_ann": beta[0] * TRADING_DAYS, "alpha_t": t[0], "r2": r2, "n": len(group)}
-        for i, f in enumerate(names, start=1):
-            row |= {f"beta_{f}": beta[i], f"t_{f}": t[i]}
-        return pd.DataFrame([row], columns=schema.names).replace({np.nan: None})
-
-    return joined.groupBy(*keys).applyInPandas(solve, schema)
+              .join(factors.select("date", *[F.col(f"`{f}`").cast("double").alias(f"x_{i}") for i, f in enumerate(names, 1)]), "date")
+              .dropna().withColumn("x_0", F.lit(1.0)))
+    moments = joined.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("y").alias("mean"),
+        *[F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)],
+        *[F.sum(F.col(f"x_{i}") * F.col("y")).alias(f"b_{i}") for i in range(k)]).filter(F.col("n") >= MIN_DAYS)
+    gram = _symmetric(lambda i, j: F.col(f"g_{i}_{j}"), k)
+    solved = moments.select(*keys, "n", "mean", _pseudo_inverse(gram, k).alias("inverse"), F.array(*[F.col(f"b_{i}") for i in range(k)]).alias("right"))
+    solved = solved.select(*keys, "n", "mean", "inverse", _bound(F.col("right"), lambda b: F.transform("inverse", lambda row: _dot(row, b))).alias("beta"))
+    x = F.array(*[F.col(f"x_{i}") for i in range(k)])
+    rows = joined.join(solved.select(*keys, "mean", "beta"), keys).withColumn("u", F.col("y") - _dot(x, F.col("beta")))
+    rows = rows.select(*keys, "date", "y", "mean", "u", F.transform(x, lambda v: v * F.col("u")).alias("score"))
+    along = Window.partitionBy(*keys).orderBy("date")
+    near = [(1 - lag / (lags + 1), move("score", lag).over(along)) for lag in range(1, lags + 1) for move in (F.lag, F.lead)]
+    spread = rows.select(*keys, "y", "mean", "u", "score", *[v.alias(f"near_{i}") for i, (_, v) in enumerate(near)])
+
+    def around(i: int) -> Column:
+        return reduce(lambda a, b: a + b, [F.get("score", F.lit(i)), *[w * F.coalesce(F.get(f"near_{n}", F.lit(i)), F.lit(0.0)) for n, (w, _) in enumerate(near)]])
+
+    spread = spread.withColumn("around", F.array(*[around(i) for i in range(k)]))
+    middle = spread.groupBy(*keys).agg(
+        F.sum(F.col("u") * F.col("u")).alias("left_over"), F.sum((F.col("y") - F.col("mean")) * (F.col("y") - F.col("mean"))).alias("total"),
+        *[F.sum(F.get("score", F.lit(i)) * F.get("around", F.lit(j))).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)])
+    middle = middle.select(*keys, "left_over", "total", _symmetric(lambda i, j: F.col(f"m_{i}_{j}"), k).alias("middle"))
+    both = solved.join(middle, keys)
+    # the diagonal of inverse * middle * inverse
+    variance = F.transform(F.col("inverse"), lambda row: _dot(_bound(row, lambda r: F.transform("middle", lambda m: _dot(r, m))), row))
+    both = both.select(*keys, "n", "beta", "left_over", "total", variance.alias("variance"))
+
+    def t(i: int) -> Column:
+        error = F.sqrt(F.greatest(F.get("variance", F.lit(i)), F.lit(0.0)))
+        return F.when(error > 0, F.get("beta", F.lit(i)) / error)
+
+    columns = [(F.get("beta", F.lit(0)) * TRADING_DAYS).alias("alpha_ann"), t(0).alias("alpha_t"),
+               F.when(F.col("total") > 0, 1 - F.col("left_over") / F.col("total")).alias("r2"), "n"]
+    for i, f in enumerate(names, 1):
+        columns += [F.get("beta", F.lit(i)).alias(f"beta_{f}"), t(i).alias(f"t_{f}")]
+    return both.select(*keys, *columns)

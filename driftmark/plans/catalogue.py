@@ -411,7 +411,8 @@ def daily_return_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_meta(spark: SparkSession, folder: str) -> DataFrame:
-    return backtest(spark, folder).meta("tone")
+    w = Warehouse(spark, folder)
+    return backtest(spark, folder).meta("tone", MODEL, S.model_ids(answer_log(w), w.documents_on_orders, MODEL, "configured").first()[0])
 
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:

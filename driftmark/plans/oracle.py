@@ -730,7 +730,9 @@ ORACLE: dict[str, str] = {
     "wealth_chart": WEALTH,
     "daily_return_matrix": DAILY,
     "run_meta": ROWS + SEASONAL + LAGS + """ SELECT count(*) AS n_events, count(DISTINCT ticker) AS n_tickers, min(t0) AS first_event, max(t0) AS last_event,
-        CAST(8 AS INTEGER) AS hold_days, false AS has_factors, (SELECT median(rebalance - t0) FROM lags WHERE signal = 'tone') AS median_days_to_trade FROM panel""",
+        CAST(8 AS INTEGER) AS hold_days, false AS has_factors,
+        'market' AS benchmark, 10.0::DOUBLE AS cost_bps, 50.0::DOUBLE AS borrow_bps, DATE '2000-06-30' AS training_cutoff, 'rater-a' AS rater,
+        (SELECT string_agg('build-' || flag, ', ' ORDER BY flag) FROM (SELECT DISTINCT lower(l_returnflag) AS flag FROM lineitem)) AS model_version, (SELECT median(rebalance - t0) FROM lags WHERE signal = 'tone') AS median_days_to_trade FROM panel""",
     "scored_events": PANEL + f""" SELECT event_id, ticker, published_at, t0, season, post_cutoff, {r('ar_day0')} AS ar_day0, {r('car')} AS car_1_8,
         {r('tone')} AS tone, guidance_tone, {r('size')} AS size FROM panel""",
     "factor_returns": BASE + SPLITS + ' SELECT date, ' + ", ".join(

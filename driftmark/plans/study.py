@@ -141,20 +141,28 @@ class Backtest:
                                 f"market_{self.study.market.market_ticker}")
 
     def scored_events(self) -> DataFrame:
+        reason = ["tone_reason"] if "tone_reason" in self.panel.columns else []
         return self.panel.select("event_id", "ticker", "published_at", "t0", "season", "post_cutoff", "ar_day0",
-                                 self.study.target, *self.signals)
+                                 self.study.target, *self.signals, *reason)
 
-    def meta(self, primary: str) -> DataFrame:
-        """Counts, first and last entry day, and the primary signal's median days to trade."""
+    def meta(self, primary: str, rater: str | None = None, model_version: str | None = None) -> DataFrame:
+        """Counts, first and last entry day, the terms of the run, the rater's label and exact models, and the primary
+        signal's median days to trade."""
         lag = self.seasonal.days_to_trade().filter(F.col("signal") == primary).select("median_days_to_trade")
         return self.panel.agg(
             F.count("*").alias("n_events"), F.count_distinct("ticker").alias("n_tickers"),
             F.min("t0").alias("first_event"), F.max("t0").alias("last_event")) \
             .withColumn("hold_days", F.lit(self.study.hold_days)) \
             .withColumn("has_factors", F.lit(self.factors is not None)) \
+            .withColumn("benchmark", F.lit(self.study.benchmark)) \
+            .withColumn("cost_bps", F.lit(float(self.terms["cost_bps"]))) \
+            .withColumn("borrow_bps", F.lit(float(self.terms["borrow_bps_annual"]))) \
+            .withColumn("training_cutoff", F.lit(self.cutoff).cast("date")) \
+            .withColumn("rater", F.lit(rater).cast("string")) \
+            .withColumn("model_version", F.lit(model_version).cast("string")) \
             .withColumn("median_days_to_trade", lag.scalar())
 
-    def write(self, folder: str, primary: str, fmt: str = "parquet") -> None:
+    def write(self, folder: str, primary: str, fmt: str = "parquet", rater: str | None = None, model_version: str | None = None) -> None:
         """All result tables."""
         csv = fmt == "csv"
         holdings = self.seasonal.holdings
@@ -163,4 +171,4 @@ class Backtest:
             "daily_returns": self.daily_returns(),
             "holdings": sinks.holdings_export(holdings) if csv else holdings,
             "events_scored": self.scored_events(), "entry_delay": self.entry_delay(primary),
-            "meta": self.meta(primary)}, folder, fmt)
+            "meta": self.meta(primary, rater, model_version)}, folder, fmt)

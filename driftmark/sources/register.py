@@ -1,14 +1,22 @@
 """The event register: local manifests, upserts, and the stored register by month of publication."""
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftmark.session import checkpointed
 from driftmark.sources.schemas import EVENT_COLUMNS, EVENTS, MANIFEST
 
 MONTH, UNDATED = "month", "undated"
+# Files that one task of a manifest opens, and characters of text it sends on at a time.
+MANIFEST_FILES, READ_CHARS = 256, 16 << 20
 
 
 def manifest_events(manifest: DataFrame) -> DataFrame:
@@ -23,22 +31,65 @@ def manifest_events(manifest: DataFrame) -> DataFrame:
         F.lit("transcript").alias("form"), F.lit("").alias("url"), "path")
 
 
-def read_manifest(spark: SparkSession, path: str, texts: str | None = None) -> DataFrame:
-    """Events with their texts. ``texts`` is the folder that holds the documents, by default the
-    manifest's own; relative paths count from the manifest's folder. A row whose file is missing fails
-    the read and is named."""
-    folder = path.rsplit("/", 1)[0]
+def _opened(file: str) -> tuple[fs.FileSystem, str]:
+    file = re.sub("^file:/+", "/", file)
+    return fs.FileSystem.from_uri(file) if "://" in file else (fs.LocalFileSystem(), file)
+
+
+def write_texts(texts: DataFrame, folder: str) -> DataFrame:
+    """Write each row's ``text`` to its ``path`` below ``folder``, in the tasks that hold the rows; ``(path, bytes)`` comes back.
+
+    A path is written whole or, when its task fails, again. Lazy: nothing is written before the result is read.
+    """
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = []
+            for path, text in zip(batch["path"], batch["text"]):
+                store, name = _opened(f"{folder}/{path}")
+                store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                data = (text or "").encode()
+                with store.open_output_stream(name) as out:
+                    out.write(data)
+                sizes.append(len(data))
+            yield pd.DataFrame({"path": batch["path"], "bytes": sizes})
+
+    return texts.select("path", "text").mapInPandas(write, "path string, bytes bigint")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Events with their texts; relative paths count from the manifest's folder. A row whose file is missing
+    fails the read and is named.
+
+    The manifest is the list of files: its rows, paths without texts, are dealt over tasks of about
+    ``MANIFEST_FILES``, and each task opens the files of its rows. No folder is listed, no other file is
+    opened and no text is shuffled. The store must be one that pyarrow knows (a shared disk, HDFS, S3, GCS).
+    """
+    folder = re.sub("^file:/+", "/", path.rsplit("/", 1)[0])
     events = manifest_events(spark.read.csv(path, header=True))
-    absolute = F.col("path").startswith("/") | F.col("path").contains("://")
-    located = events.withColumn("file", F.when(absolute, F.col("path")).otherwise(F.concat(F.lit(folder + "/"), "path")))
-    # file names come percent-encoded, in which a plus sign stands for itself
-    name = F.url_decode(F.replace(F.regexp_replace("_metadata.file_path", "^file:/+", "/"), F.lit("+"), F.lit("%2B")))
-    stored = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
-              .text(texts or folder, wholetext=True)
-              .select(name.alias("file"), F.col("value").alias("text")))
-    joined = located.withColumn("file", F.regexp_replace("file", "^file:/+", "/")).join(stored, "file", "left")
-    missing = F.raise_error(F.concat(F.lit("no text for manifest row "), F.coalesce("event_id", F.lit("?")), F.lit(": "), F.coalesce("file", F.lit("?"))))
-    return joined.withColumn("text", F.when(F.col("text").isNull(), missing).otherwise(F.col("text"))).drop("file")
+    place = F.regexp_replace("path", "^file:/+", "/")
+    file = F.when(place.startswith("/") | place.contains("://"), place).otherwise(F.concat(F.lit(folder + "/"), place))
+    located = events.withColumn("file", file)
+    tasks = max(1, -(-located.count() // MANIFEST_FILES))
+    columns = located.columns[:-1]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, size, texts = 0, 0, []
+            for n, (event, name) in enumerate(zip(batch["event_id"], batch["file"]), 1):
+                try:
+                    store, place = _opened(name)
+                    with store.open_input_stream(place) as source:
+                        texts.append(source.read().decode("utf-8", "replace"))
+                except Exception as failure:
+                    raise FileNotFoundError(f"no text for manifest row {event}: {name}") from failure
+                size += len(texts[-1])
+                # texts of any length leave in pieces of bounded size
+                if size >= READ_CHARS or n == len(batch):
+                    yield batch.iloc[at:n][columns].assign(text=texts)
+                    at, size, texts = n, 0, []
+
+    schema = T.StructType([*located.schema.fields[:-1], T.StructField("text", T.StringType())])
+    return located.repartition(tasks, "file").mapInPandas(read, schema)
 
 
 def upsert_events(existing: DataFrame | None, new: DataFrame) -> DataFrame:

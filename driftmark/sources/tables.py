@@ -13,7 +13,17 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.EVENTS).csv(path, header=True)
+    """Events from CSV; a time that cannot be read is null, and ``unread_time`` then holds its text."""
+    raw = spark.read.schema(schemas.EVENTS.replace("published_at TIMESTAMP_NTZ", "published_at STRING")).csv(path, header=True)
+    text, time = F.col("published_at"), F.col("published_at").try_cast("timestamp_ntz")
+    return raw.withColumn("unread_time", F.when(time.isNull() & (F.trim(text) != ""), text)).withColumn("published_at", time)
+
+
+def time_report(events: DataFrame) -> DataFrame:
+    """One row per source: events, those without a time, those whose time cannot be read, and one such text."""
+    return events.groupBy("source").agg(
+        F.count("*").alias("events"), F.count_if(F.col("published_at").isNull() & F.col("unread_time").isNull()).alias("without_time"),
+        F.count("unread_time").alias("unreadable"), F.min("unread_time").alias("example"))
 
 
 def in_window(events: DataFrame, start: str, end: str, analysis_start: str | None = None) -> DataFrame:

@@ -92,3 +92,21 @@ def test_exposure_counts_names_and_one_leg_days(spark):
     assert (row.event_positions_long, row.event_positions_short) == (2, 1)
     assert row.event_median_names_long == 2.0 and row.event_share_one_leg == pytest.approx(4 / 8)
     assert row.event_share_both_legs == pytest.approx(3 / 8)
+
+
+def test_dependent_factors_share_their_effect_without_a_python_worker(spark):
+    x, y, factors, daily = regression_data(spark, 200)
+    constant = factors.withColumns({"SMB": F.col("`Mkt-RF`") * 2, "HML": F.lit(0.25), "CMA": F.col("RMW") - F.col("`Mkt-RF`"), "Mom": F.lit(0.0)})
+    found = factor_regression(daily, constant, ["signal"])
+    assert "Python" not in found._jdf.queryExecution().toString() and "Pandas" not in found._jdf.queryExecution().toString()
+    row, n = found.first(), len(y)
+    design = np.column_stack([np.ones(n), x[:, 0], 2 * x[:, 0], np.full(n, 0.25), x[:, 3], x[:, 3] - x[:, 0], np.zeros(n)])
+    inverse = np.linalg.pinv(design.T @ design, hermitian=True, rcond=1e-12)
+    beta = inverse @ (design.T @ y)
+    score = design * (y - design @ beta)[:, None]
+    middle = score.T @ score
+    for lag in range(1, 6):
+        middle += (1 - lag / 6) * (score[lag:].T @ score[:-lag] + score[:-lag].T @ score[lag:])
+    error = np.sqrt(np.diag(inverse @ middle @ inverse))
+    assert [row.alpha_ann / 252, *[row[f"beta_{f}"] for f in FACTORS]] == pytest.approx(beta, rel=1e-6, abs=1e-12)
+    assert [row.alpha_t, *[row[f"t_{f}"] for f in FACTORS[:-1]]] == pytest.approx((beta / np.where(error > 0, error, 1))[:-1], rel=1e-5) and row.t_Mom is None
