@@ -9,9 +9,9 @@ gathered in one place; only the neighbours of a day are looked up along the seri
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Factor names in report order, the least number of days, the year.
@@ -22,72 +22,89 @@ TRADING_DAYS = 252
 DEPENDENT = 1e-11
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+# Expressions are written as SQL text: put together from column objects they take the driver seconds.
+_names = (f"v{i}" for i in count())
+
+
+def _bound(value: str, body: Callable[[str], str]) -> str:
     """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    name = next(_names)
+    return f"get(transform(array({value}), {name} -> {body(name)}), 0)"
+
+
+def _each(array: str, body: Callable[[str, str], str]) -> str:
+    x, i = next(_names), next(_names)
+    return f"transform({array}, ({x}, {i}) -> {body(x, i)})"
+
+
+def _dot(a: str, b: str) -> str:
+    x, y, s, z = (next(_names) for _ in range(4))
+    return f"aggregate(zip_with({a}, {b}, ({x}, {y}) -> {x} * {y}), 0D, ({s}, {z}) -> {s} + {z})"
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _at(array: str, *places: str | int) -> str:
+    for place in places:
+        array = f"get({array}, {place})"
+    return array
 
 
-def _times(a: Column, b: Column) -> Column:
+def _times(a: str, b: str) -> str:
     """Matrix product with a symmetric ``b``, whose rows are its columns."""
-    return _bound(b, lambda m: F.transform(a, lambda row: F.transform(m, lambda column: _dot(row, column))))
+    return _bound(b, lambda m: _each(a, lambda row, _: _each(m, lambda column, _: _dot(row, column))))
 
 
-def _swept(gram: Column, k: int) -> Column:
+def _swept(gram: str, k: int) -> str:
     """``(matrix, kept)``: the symmetric matrix after a sweep of every row that does not depend on those before it.
 
     Kept rows i, j hold minus the inverse; a row that was left out holds, under the kept ones, how it depends
     on them.
     """
-    def step(g: Column, state: Column, p: Column) -> Column:
-        m = state["matrix"]
+    def step(g: str, s: str, p: str) -> str:
+        def with_row(row: str) -> str:
+            d = _at(row, p)
+            free = f"{d} > {DEPENDENT!r}D * {_at(g, p, p)}"
+            pivot = _each(row, lambda x, j: f"if({j} = {p}, -1 / {d}, {x} / {d})")
+            others = _each(f"{s}.matrix", lambda r, i: f"if({i} = {p}, {pivot}, " + _each(
+                r, lambda x, j: f"if({j} = {p}, {x} / {d}, {x} - {_at(r, p)} * {_at(row, j)} / {d})") + ")")
+            return f"named_struct('matrix', if({free}, {others}, {s}.matrix), 'kept', concat({s}.kept, array({free})))"
 
-        def with_row(row: Column) -> Column:
-            d = F.get(row, p)
-            free = d > DEPENDENT * F.get(F.get(g, p), p)
-            pivot = F.transform(row, lambda x, j: F.when(j == p, -1 / d).otherwise(x / d))
-            others = F.transform(m, lambda r, i: F.when(i == p, pivot).otherwise(
-                F.transform(r, lambda x, j: F.when(j == p, x / d).otherwise(x - F.get(r, p) * F.get(row, j) / d))))
-            return F.struct(F.when(free, others).otherwise(m).alias("matrix"), F.concat(state["kept"], F.array(free)).alias("kept"))
+        return _bound(_at(f"{s}.matrix", p), with_row)
 
-        return _bound(F.get(m, p), with_row)
+    def run(g: str) -> str:
+        s, p = next(_names), next(_names)
+        return f"aggregate(sequence(0, {k - 1}), named_struct('matrix', {g}, 'kept', cast(array() AS array<boolean>)), ({s}, {p}) -> {step(g, s, p)})"
 
-    none = F.array().cast("array<boolean>")
-    return _bound(gram, lambda g: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.struct(g.alias("matrix"), none.alias("kept")), lambda s, p: step(g, s, p)))
+    return _bound(gram, run)
 
 
-def _pseudo_inverse(gram: Column, k: int) -> Column:
+def _pseudo_inverse(gram: str, k: int) -> str:
     """The pseudo-inverse of a symmetric matrix without negative eigenvalues: dependent factors share their effect.
 
     With the independent rows I and the others as combinations C of them, the matrix is R' G_I R for R = [1 C],
     so its pseudo-inverse is R' (R R')^-1 G_I^-1 (R R')^-1 R.
     """
-    def inverse(s: Column) -> Column:
-        return F.transform(s["matrix"], lambda row, i: F.transform(row, lambda x, j: F.when(F.get(s["kept"], i) & F.get(s["kept"], j), -x).otherwise(0.0)))
+    def inverse(s: str) -> str:
+        return _each(f"{s}.matrix", lambda row, i: _each(row, lambda x, j: f"if({_at(f'{s}.kept', i)} AND {_at(f'{s}.kept', j)}, -{x}, 0D)"))
 
-    def combination(s: Column) -> Column:
+    def combination(s: str) -> str:
         """R' as k rows: a kept factor is itself, another one its combination."""
-        return F.transform(s["matrix"], lambda row, j: F.transform(row, lambda x, i: F.when(~F.get(s["kept"], i), 0.0)
-                                                                   .when(F.get(s["kept"], j), F.when(i == j, 1.0).otherwise(0.0)).otherwise(x)))
+        return _each(f"{s}.matrix", lambda row, j: _each(row, lambda x, i: f"CASE WHEN NOT {_at(f'{s}.kept', i)} THEN 0D "
+                                                         f"WHEN NOT {_at(f'{s}.kept', j)} THEN {x} WHEN {i} = {j} THEN 1D ELSE 0D END"))
 
-    def whole(s: Column) -> Column:
-        def through(r: Column) -> Column:
-            across = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.transform(r, lambda row: F.get(row, i)))
-            square = _bound(across, lambda t: F.transform(t, lambda a: F.transform(t, lambda b: _dot(a, b))))
-            outer = _bound(_swept(square, k), inverse)
-            left = _times(r, outer)
-            return _bound(left, lambda a: _bound(_times(a, inverse(s)), lambda b: F.transform(b, lambda x: F.transform(a, lambda y: _dot(x, y)))))
+    def whole(s: str) -> str:
+        def through(r: str) -> str:
+            across = _each(f"sequence(0, {k - 1})", lambda i, _: _each(r, lambda row, _: _at(row, i)))
+            square = _bound(across, lambda t: _each(t, lambda a, _: _each(t, lambda b, _: _dot(a, b))))
+            left = _times(r, _bound(_swept(square, k), inverse))
+            return _bound(left, lambda a: _bound(_times(a, inverse(s)), lambda b: _each(b, lambda x, _: _each(a, lambda y, _: _dot(x, y)))))
 
         return _bound(combination(s), through)
 
     return _bound(_swept(gram, k), whole)
 
 
-def _symmetric(entry: Callable[[int, int], Column], k: int) -> Column:
-    return F.array(*[F.array(*[entry(min(i, j), max(i, j)) for j in range(k)]) for i in range(k)])
+def _symmetric(name: str, k: int) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(f"{name}_{min(i, j)}_{max(i, j)}" for j in range(k)) + ")" for i in range(k)) + ")"
 
 
 def factor_regression(daily: DataFrame, factors: DataFrame | None, keys: Sequence[str], ret: str = "ret",
@@ -102,42 +119,36 @@ def factor_regression(daily: DataFrame, factors: DataFrame | None, keys: Sequenc
         return None
     names = [f for f in FACTORS if f in factors.columns]
     keys, k = list(keys), len(names) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     joined = (daily.select(*keys, "date", F.col(ret).cast("double").alias("y"))
               .join(factors.select("date", *[F.col(f"`{f}`").cast("double").alias(f"x_{i}") for i, f in enumerate(names, 1)]), "date")
               .dropna().withColumn("x_0", F.lit(1.0)))
     moments = joined.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg("y").alias("mean"),
-        *[F.sum(F.col(f"x_{i}") * F.col(f"x_{j}")).alias(f"g_{i}_{j}") for i in range(k) for j in range(i, k)],
-        *[F.sum(F.col(f"x_{i}") * F.col("y")).alias(f"b_{i}") for i in range(k)]).filter(F.col("n") >= MIN_DAYS)
-    gram = _symmetric(lambda i, j: F.col(f"g_{i}_{j}"), k)
-    solved = moments.select(*keys, "n", "mean", _pseudo_inverse(gram, k).alias("inverse"), F.array(*[F.col(f"b_{i}") for i in range(k)]).alias("right"))
-    solved = solved.select(*keys, "n", "mean", "inverse", _bound(F.col("right"), lambda b: F.transform("inverse", lambda row: _dot(row, b))).alias("beta"))
-    x = F.array(*[F.col(f"x_{i}") for i in range(k)])
-    rows = joined.join(solved.select(*keys, "mean", "beta"), keys).withColumn("u", F.col("y") - _dot(x, F.col("beta")))
-    rows = rows.select(*keys, "date", "y", "mean", "u", F.transform(x, lambda v: v * F.col("u")).alias("score"))
-    along = Window.partitionBy(*keys).orderBy("date")
-    near = [(1 - lag / (lags + 1), move("score", lag).over(along)) for lag in range(1, lags + 1) for move in (F.lag, F.lead)]
-    spread = rows.select(*keys, "y", "mean", "u", "score", *[v.alias(f"near_{i}") for i, (_, v) in enumerate(near)])
-
-    def around(i: int) -> Column:
-        return reduce(lambda a, b: a + b, [F.get("score", F.lit(i)), *[w * F.coalesce(F.get(f"near_{n}", F.lit(i)), F.lit(0.0)) for n, (w, _) in enumerate(near)]])
-
-    spread = spread.withColumn("around", F.array(*[around(i) for i in range(k)]))
-    middle = spread.groupBy(*keys).agg(
-        F.sum(F.col("u") * F.col("u")).alias("left_over"), F.sum((F.col("y") - F.col("mean")) * (F.col("y") - F.col("mean"))).alias("total"),
-        *[F.sum(F.get("score", F.lit(i)) * F.get("around", F.lit(j))).alias(f"m_{i}_{j}") for i in range(k) for j in range(i, k)])
-    middle = middle.select(*keys, "left_over", "total", _symmetric(lambda i, j: F.col(f"m_{i}_{j}"), k).alias("middle"))
-    both = solved.join(middle, keys)
+        F.count("*").alias("n"), F.avg("y").alias("mean"), *[F.expr(f"sum(x_{i} * x_{j}) AS g_{i}_{j}") for i, j in pairs],
+        *[F.expr(f"sum(x_{i} * y) AS b_{i}") for i in range(k)]).filter(F.col("n") >= MIN_DAYS)
+    right, every = (f"array({', '.join(f'{c}_{i}' for i in range(k))})" for c in "bx")
+    plain = [f"`{c}`" for c in keys]
+    solved = moments.selectExpr(*plain, "n", "mean", f"{_pseudo_inverse(_symmetric('g', k), k)} AS inverse", f"{right} AS right_side")
+    solved = solved.selectExpr(*plain, "n", "mean", "inverse", f"{_each('inverse', lambda row, _: _dot(row, 'right_side'))} AS beta")
+    rows = joined.join(solved.select(*keys, "mean", "beta"), keys)
+    rows = rows.selectExpr(*plain, "date", "y", "mean", f"y - {_dot(every, 'beta')} AS u", f"{every} AS x")
+    rows = rows.selectExpr(*plain, "date", "y", "mean", "u", f"{_each('x', lambda x, _: f'{x} * u')} AS score")
+    along = f"OVER (PARTITION BY {', '.join(plain)} ORDER BY date)"
+    near = [(f"near_{move}_{lag}", 1 - lag / (lags + 1), f"{move}(score, {lag}) {along}") for lag in range(1, lags + 1) for move in ("lag", "lead")]
+    spread = rows.selectExpr(*plain, "y", "mean", "u", "score", *[f"{window} AS {name}" for name, _, window in near])
+    around = [" + ".join([f"get(score, {i})", *[f"{w!r}D * coalesce(get({name}, {i}), 0D)" for name, w, _ in near]]) for i in range(k)]
+    spread = spread.selectExpr(*plain, "y", "mean", "u", "score", f"array({', '.join(around)}) AS around")
+    middle = spread.groupBy(*keys).agg(F.expr("sum(u * u) AS left_over"), F.expr("sum((y - mean) * (y - mean)) AS total"),
+                                       *[F.expr(f"sum(get(score, {i}) * get(around, {j})) AS m_{i}_{j}") for i, j in pairs])
+    middle = middle.selectExpr(*plain, "left_over", "total", f"{_symmetric('m', k)} AS middle")
     # the diagonal of inverse * middle * inverse
-    variance = F.transform(F.col("inverse"), lambda row: _dot(_bound(row, lambda r: F.transform("middle", lambda m: _dot(r, m))), row))
-    both = both.select(*keys, "n", "beta", "left_over", "total", variance.alias("variance"))
+    variance = _each("inverse", lambda row, _: _dot(_each("middle", lambda m, _: _dot(row, m)), row))
+    both = solved.join(middle, keys).selectExpr(*plain, "n", "beta", "left_over", "total", f"{_each(variance, lambda v, _: f'sqrt(greatest({v}, 0D))')} AS error")
 
-    def t(i: int) -> Column:
-        error = F.sqrt(F.greatest(F.get("variance", F.lit(i)), F.lit(0.0)))
-        return F.when(error > 0, F.get("beta", F.lit(i)) / error)
+    def t(i: int) -> str:
+        return f"if(get(error, {i}) > 0, get(beta, {i}) / get(error, {i}), NULL)"
 
-    columns = [(F.get("beta", F.lit(0)) * TRADING_DAYS).alias("alpha_ann"), t(0).alias("alpha_t"),
-               F.when(F.col("total") > 0, 1 - F.col("left_over") / F.col("total")).alias("r2"), "n"]
+    columns = [f"get(beta, 0) * {TRADING_DAYS} AS alpha_ann", f"{t(0)} AS alpha_t", "if(total > 0, 1 - left_over / total, NULL) AS r2", "n"]
     for i, f in enumerate(names, 1):
-        columns += [F.get("beta", F.lit(i)).alias(f"beta_{f}"), t(i).alias(f"t_{f}")]
-    return both.select(*keys, *columns)
+        columns += [f"get(beta, {i}) AS `beta_{f}`", f"{t(i)} AS `t_{f}`"]
+    return both.selectExpr(*plain, *columns)
