@@ -22,7 +22,7 @@ from driftmark.operators.signals import build_signals
 from driftmark.plans import reports as P
 from driftmark.plans.study import Backtest, with_scores
 from driftmark.plans.warehouse import EARLY_CUTOFF, HOLD_WEEKS, LATE_CUTOFF, MARKET, Warehouse, fund_close
-from driftmark.session import checkpointed, shared_folder
+from driftmark.session import checkpointed, shared_folder, together
 from driftmark.sources import factor_files as FF
 from driftmark.sources import filings as L
 from driftmark.sources import ledger
@@ -639,7 +639,8 @@ def missing_price_tickers(spark: SparkSession, folder: str) -> DataFrame:
 
 def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
     w = Warehouse(spark, folder)
-    b = Backtest(w.study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=split_returns(w))
+    factors, _ = together(lambda: split_returns(w), lambda: w.study.windows)
+    b = Backtest(w.study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=factors)
     summary = b.summary()
     regression = [f.name for f in summary.schema.fields if f.name.startswith(("ff_", "ffe_")) and f.dataType.typeName() == "double"]
     rest = [f.name for f in summary.schema.fields if f.dataType.typeName() == "double" and f.name not in regression]

@@ -13,7 +13,7 @@ from driftmark.operators.event_time_book import EventTimeBook
 from driftmark.operators.factor_model import factor_regression
 from driftmark.operators.performance import STATS, long_series, perf_stats
 from driftmark.operators.seasonal_book import SeasonalBook
-from driftmark.session import checkpointed
+from driftmark.session import checkpointed, together
 from driftmark.sources import sinks
 
 # Fixed value: trading days by which the delay sweep shifts every trade.
@@ -86,6 +86,7 @@ class Backtest:
     def books(self) -> DataFrame:
         """Daily rows of both books, ``kind`` = seasonal or event."""
         columns = ["signal", "date", "long", "short", "gross", "net"]
+        together(lambda: self.seasonal.returns, lambda: self.event_time.returns)
         seasonal = self.seasonal.returns.select(F.lit("seasonal").alias("kind"), *columns)
         event = self.event_time.returns.select(F.lit("event").alias("kind"), *columns)
         return seasonal.unionByName(event)
@@ -108,14 +109,17 @@ class Backtest:
         self.rows = checkpointed(self.rows)
         target = self.study.target
         spark = self.panel.sparkSession
+        quantiled, *_ = together(self.quantiled, lambda: self.rank_table, lambda: self.seasonal.returns, lambda: self.event_time.returns)
         out = spark.createDataFrame([(s,) for s in self.signals], "signal string")
-        parts = [ranks.pooled_ics(self.rank_table), ranks.ic_summary(self.ics), ranks.hit_rate(self.quantiled(), target, self.q),
-                 self.seasonal.period_stats(), self.event_time.exposure()]
+        # a few rows per signal each; written, so that the joins below neither repeat nor plan what leads to them
+        performance, regression, *parts = together(*[lambda make=make: None if (df := make()) is None else checkpointed(df) for make in (
+            lambda: self.performance, lambda: self.factor_rows, lambda: ranks.pooled_ics(self.rank_table), lambda: ranks.ic_summary(self.ics),
+            lambda: ranks.hit_rate(quantiled, target, self.q), self.seasonal.period_stats, self.event_time.exposure)])
         for kind in ("seasonal", "event"):
-            parts.append(_side_by_side(self.performance.filter(F.col("kind") == kind), kind))
-            if self.factors is not None:
+            parts.append(_side_by_side(performance.filter(F.col("kind") == kind), kind))
+            if regression is not None:
                 prefix = "ff" if kind == "seasonal" else "ffe"
-                named = self.factor_rows.filter(F.col("kind") == kind).drop("kind")
+                named = regression.filter(F.col("kind") == kind).drop("kind")
                 parts.append(named.select("signal", *[F.col(f"`{c}`").alias(f"{prefix}_{c}")
                                                       for c in named.columns if c != "signal"]))
         for part in parts:

@@ -2,9 +2,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; without one, a folder of the warehouse.
@@ -28,6 +34,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def together(*work: Callable[[], T]) -> list[T]:
+    """The results of independent pieces of work that run jobs of their own, side by side.
+
+    A job with few tasks leaves most of a cluster idle; the next one need not wait for it.
+    """
+    with ThreadPoolExecutor(max(1, len(work))) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(w)) for w in work]]
+
+
 def discard_tables(spark: SparkSession) -> None:
     """Delete what this application wrote; frames that read it end with it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
