@@ -11,10 +11,13 @@ value), blocks are counted inside a range, and a day-by-range grid adds the coun
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftmark.operators.ordering import PART, ranged
+from driftmark.operators.ordering import PART, ranged, running_counts
+
+# Levels of a kept index, part of its layout: it serves 2 ** LEVELS trading days.
+LEVELS = 13
 
 
 def _counts_in_slice(cells: DataFrame) -> DataFrame:
@@ -81,3 +84,47 @@ def historical_midrank(rows: DataFrame, slices: int | None = None) -> DataFrame:
     return (placed.join(history_before(parts), ["signal", "t0_pos"])
             .select("signal", "t0_pos", "value", "n_prior",
                     F.when(F.col("n_prior") > 0, rank / F.col("n_prior")).alias("hist_pct")))
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """``(signal, t0_pos, value, n)``: the scores of each day with counts."""
+    return rows.groupBy("signal", "t0_pos", "value").agg(F.count("*").alias("n"))
+
+
+def append_history(cells: DataFrame, path: str) -> None:
+    """File the counted scores of new days in the index at ``path``, each under its block of every level.
+
+    Only even blocks are ever asked, so only they are kept. What was filed before is not touched; a day
+    must be filed once and whole.
+    """
+    block = F.expr("shiftright(t0_pos, level)")
+    fits = F.when(F.col("t0_pos") < 2 ** LEVELS, F.col("t0_pos")).otherwise(F.raise_error(F.lit("the index has no more days")).cast("int"))
+    filed = (cells.withColumn("t0_pos", fits).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+             .withColumn("block", block).filter(F.col("block") % 2 == 0)
+             .groupBy("signal", "level", "block", "value").agg(F.sum("n").alias("n")))
+    filed.write.mode("append").partitionBy("level").parquet(path)
+
+
+def midrank_from_index(spark: SparkSession, path: str, cells: DataFrame, slices: int | None = None) -> DataFrame:
+    """:func:`historical_midrank` of ``cells`` from the index, in which all earlier days are filed.
+
+    A day asks one block for each set bit of its number, so of the index only these blocks are read, and
+    days filed later change no answer. Values inside a block are counted by prefix sums over range
+    partitions, so a signal or block of any size is split.
+    """
+    index = spark.read.schema("signal string, block int, value double, n long, level int").parquet(path)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.expr("t0_pos").bitwiseAND(F.pow(F.lit(2), level).cast("int")) != 0)
+    asks = (cells.withColumn("level", F.explode(bits)).withColumn("block", F.expr("shiftright(t0_pos, level) - 1").cast("int"))
+            .select("signal", "level", "block", "value", "t0_pos"))
+    # bounded by the calendar: at most one block per day and level
+    wanted = asks.select("level", "block").distinct().filter(F.col("level") >= 0)
+    kept = index.join(F.broadcast(wanted), ["level", "block"], "left_semi").select("signal", "level", "block", "value", "n")
+    every = (kept.unionByName(asks.select("signal", "level", "block", "value", F.lit(0).cast("long").alias("n")))
+             .groupBy("signal", "level", "block", "value").agg(F.sum("n").alias("n")))
+    ranked = running_counts(every, ["signal", "level", "block"], "value", "n", slices)
+    found = (asks.join(ranked, ["signal", "level", "block", "value"]).groupBy("signal", "t0_pos", "value")
+             .agg(F.sum("total").alias("prior"), F.sum("below").alias("smaller"), F.sum("n").alias("same")))
+    n_prior = F.coalesce("prior", F.lit(0))
+    return (cells.select("signal", "t0_pos", "value").join(found, ["signal", "t0_pos", "value"], "left")
+            .select("signal", "t0_pos", "value", n_prior.alias("n_prior"),
+                    F.when(n_prior > 0, (F.col("smaller") + F.lit(0.5) * F.col("same")) / n_prior).alias("hist_pct")))

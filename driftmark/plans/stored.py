@@ -14,6 +14,7 @@ from driftmark.functions import text as X
 from driftmark.operators import agreement as G
 from driftmark.operators import scoring as S
 from driftmark.operators.event_study import EventStudy
+from driftmark.operators.history import append_history, collapsed, midrank_from_index
 from driftmark.plans import catalogue as C
 from driftmark.plans import oracle as O
 from driftmark.plans import reports as P
@@ -223,6 +224,17 @@ def label_chain(spark: SparkSession, folder: str) -> DataFrame:
     return G.label_chain(T.read_labels(spark, f"{path}/labels"), *stored)
 
 
+def history_kept_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The history mid-rank from a kept index: the earlier days are filed and answered first, then the later ones."""
+    path, cells = place(spark, "history"), checkpointed(collapsed(C.backtest(spark, folder).rows))
+    half = F.col("t0_pos") < 170
+    answers = []
+    for batch in (cells.filter(half), cells.filter(~half)):
+        append_history(batch, path)
+        answers.append(midrank_from_index(spark, path, batch))
+    return C.tidy(answers[0].unionByName(answers[1]))
+
+
 def written_tables(spark: SparkSession, folder: str) -> DataFrame:
     """All other result tables of a study as they were written, in one tidy table."""
     path = place(spark, "results")
@@ -254,7 +266,7 @@ SUMMARY_MEASURES = ("n_events", "pooled_ic", "post_cutoff_n", "mean_ic", "ic_t",
                     "event_net_max_drawdown", "event_gross_days", "seasonal_periods")
 
 QUERIES = {f.__name__: f for f in (
-    events_from_file, event_time_report, register_upsert, manifest_texts, label_chain, written_tables,
+    events_from_file, event_time_report, register_upsert, manifest_texts, label_chain, written_tables, history_kept_index,
     universe_table, price_table, factor_table, answer_lines, answers_by_event, lexicon_table, cut_rater_text, filing_union,
     event_scores, two_rater_periods, written_results, report_tables, entry_delay_report, consistency_report)}
 
@@ -290,6 +302,7 @@ ORACLE = {
         WHERE published_at >= TIMESTAMP '1997-07-01' AND published_at < TIMESTAMP '2000-07-01'""",
     "event_time_report": _EVENTS_FILE + """ SELECT source, count(*) AS events, count(*) FILTER (published_at IS NULL AND unread IS NULL) AS without_time,
         count(unread) AS unreadable, min(unread) AS example FROM listed GROUP BY 1""",
+    "history_kept_index": O.ORACLE["history_midrank"],
     "register_upsert": """SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS ticker, moment AS published_at,
         CASE WHEN event_id % 5 <> 0 THEN 'first' ELSE 'second' END AS source, strftime(moment, '%Y-%m') AS month, event_id % 12 < 9 AS file_kept
         FROM (SELECT *, ts + to_months(CAST(event_id % 12 AS INTEGER)) AS moment FROM events) WHERE event_id % 5 <> 0 OR event_id % 12 >= 9""",
