@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftmark.llm import decontaminate, line_templates, near_copies, pieces, quality
+from driftmark.llm import decontaminate, line_templates, pieces, quality, simhash
 from driftmark.llm.storage import written
 
 
@@ -20,8 +20,8 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def first_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard 0.8 and more), the one with the smallest id."""
-    return near_copies.keep_first(docs)
+    """One document of each group of near copies by SimHash (four words, at most 4 of 64 bits), the one with the smallest id."""
+    return simhash.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode(docs)
 
 
-STAGES = [("quality rules", good_documents), ("line dedup", without_boilerplate), ("near-duplicates", first_of_group),
+STAGES = [("quality rules", good_documents), ("line dedup", without_boilerplate), ("SimHash near-dedup", first_of_group),
           ("decontamination", without_benchmark), ("encoding", token_ids)]
 #: No SQL: tokenization, fingerprints and the piece search cannot be expressed; a brute-force test stands in.
 ORACLE_SQL = None
