@@ -1,24 +1,33 @@
 """Quality rules: plain text statistics and tokenizer fertility.
 
-A public SentencePiece vocabulary is run over the words of each text. Text in a language the vocabulary
-was made for yields a steady number of characters per token, few byte-fallback tokens and a broad mix of
-tokens; noise, encodings gone wrong and endless repetition do not. The three measures must lie within a
-band that depends on the document's language, or on the main script of its letters where the language
-is unknown. A document is judged by itself: no shuffle, no corpus statistics.
+A public SentencePiece vocabulary is run over the words of each text. Text of one language yields a
+steady number of characters per token, few byte-fallback tokens and a broad mix of tokens; random letters,
+encoded data, punctuation and encodings gone wrong do not. What is steady depends on the language, the register
+and the vocabulary, so the bands are measured: :func:`bands` takes the 10th, 50th and 90th percentile of each measure
+per language, and per main script of the letters for languages too rare to have their own, over all documents
+that pass the plain rules. A band reaches from the median to ``TIMES`` times the distance of the outer
+percentile, and at least the share of the median that ``LEAST_WIDTH`` names. Up to a tenth of a
+language may be noise without moving its band. Where the script is rare as well, the wide bands of
+``LANGUAGES`` and ``SCRIPTS`` hold.
+
+Percentiles come from counts per bin (bounded in number), so they are exact to the bin, the same for every
+layout, and a hot language costs one row per bin and task. Documents with equal statistics, as all
+copies have, count once. The measured rows are written once; the bands are joined to them.
 
 Work is done per slice of an Arrow batch: every distinct word of a slice is tokenized once.
 """
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql import types as T
 
+from .storage import written
 from .words import Words, slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -26,22 +35,21 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 _MIX = 1024
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"[#*$%&|<>]"[1:-1], np.uint8))
-
-
-class Band(NamedTuple):
-    """Accepted range of characters per token, largest byte-fallback share, smallest relative token entropy."""
-
-    fewest_chars: float
-    most_chars: float
-    byte_share: float
-    entropy: float
-
-
-# Bands per language; the scripts serve documents without a listed language.
-LANGUAGES = {"en": Band(1.2, 6.0, 0.10, 0.35), "de": Band(1.2, 5.5, 0.10, 0.35), "fr": Band(1.1, 5.5, 0.10, 0.35),
-             "es": Band(1.1, 5.5, 0.10, 0.35)}
-SCRIPTS = {"latin": Band(1.0, 6.5, 0.15, 0.35), "cyrillic": Band(0.9, 5.0, 0.20, 0.35),
-           "other": Band(0.25, 4.0, 0.95, 0.30)}
+#: A band reaches so many times the distance of the outer percentile from the median.
+TIMES = 4.0
+#: Least reach of a band below and above the median, as a share of the median.
+LEAST_WIDTH = (0.22, 1.5)
+ENTROPY_WIDTH = 0.25
+#: Least byte-fallback share that is accepted everywhere.
+BYTE_SHARE = 0.05
+#: Different documents from which a language or script has a band of its own.
+MIN_DOCUMENTS = 100
+#: Bands where there are fewer: fewest and most characters per token, most byte fallback, least relative entropy.
+LANGUAGES = {"en": (1.2, 6.0, 0.10, 0.35), "de": (1.2, 5.5, 0.10, 0.35), "fr": (1.1, 5.5, 0.10, 0.35), "es": (1.1, 5.5, 0.10, 0.35)}
+SCRIPTS = {"latin": (1.0, 6.5, 0.15, 0.35), "cyrillic": (0.9, 5.0, 0.20, 0.35), "other": (0.25, 4.0, 0.95, 0.30)}
+# Bins per unit; characters per token beyond _LONGEST share a bin.
+_BINS = {"chars": 200, "share": 1000, "entropy": 1000}
+_LONGEST = 64
 
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_byte_tokens")
 
@@ -147,16 +155,8 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
               "chars_per_token", "byte_share", "entropy", "script", "reason")
 
 
-def judged(documents: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY,
-           languages: dict[str, Band] = LANGUAGES, scripts: dict[str, Band] = SCRIPTS) -> DataFrame:
-    """``documents`` as ``c0``, ``c1``, … in their order, whatever their names, with the ``STATISTICS`` behind them.
-
-    ``base_failed`` tells of the plain rules, ``kept`` of all, ``reason`` why not (null when kept). A null
-    or empty text has no words, fails the base rules and is not kept. A null or unlisted language is
-    judged by script. Repeated rows are judged each by itself, an empty table gives no rows, long texts
-    are read whole.
-    """
-    names = list(scripts)
+def _measured(documents: DataFrame, text_col: str, lang_col: str | None, vocabulary: str) -> DataFrame:
+    """``documents`` as ``c0``, ``c1``, … with what is measured, ``base_failed`` and the ``language``."""
     source = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
     text_at = documents.columns.index(text_col)
     lang = F.col(f"c{documents.columns.index(lang_col)}").cast("string") if lang_col else F.lit(None).cast("string")
@@ -166,7 +166,7 @@ def judged(documents: DataFrame, text_col: str = "text", lang_col: str | None =
                            T.StructField("entropy", T.DoubleType()), T.StructField("script", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _Tokens(vocabulary)
+        tokens, names = _Tokens(vocabulary), list(SCRIPTS)
         for batch in batches:
             for first, last, data, offsets in slices(batch.column(text_at)):
                 found = _measure(data, offsets, tokens)
@@ -175,31 +175,97 @@ def judged(documents: DataFrame, text_col: str = "text", lang_col: str | None =
                 columns += [pa.array(found["entropy"]), pa.array([names[i] for i in found["script"]], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    found = source.mapInArrow(run, schema)
+    tokens = F.greatest("n_tokens", F.lit(1))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    return source.mapInArrow(run, schema).withColumns({
+        "base_failed": failed, "chars_per_token": F.col("word_chars") / tokens, "byte_share": F.col("n_byte_tokens") / tokens,
+        "language": F.lower(F.trim(lang))})
 
-    def band(field: str) -> F.Column:
-        known = [F.when(lang == k, getattr(b, field)) for k, b in languages.items()]
-        return F.coalesce(*known, *[F.when(F.col("script") == k, getattr(b, field)) for k, b in scripts.items()])
 
-    chars = F.col("word_chars") / F.greatest("n_tokens", F.lit(1))
-    share = F.col("n_byte_tokens") / F.greatest("n_tokens", F.lit(1))
-    reason = (F.when(F.col("n_words") < MIN_WORDS, "few words")
-              .when(100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"), "repeated words")
-              .when(chars < band("fewest_chars"), "short tokens").when(chars > band("most_chars"), "long tokens")
-              .when(share > band("byte_share"), "byte fallback").when(F.col("entropy") < band("entropy"), "low entropy"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return found.select(*source.columns, *_COLUMNS[:5], failed.alias("base_failed"), reason.isNull().alias("kept"), "n_tokens",
-                        chars.alias("chars_per_token"), share.alias("byte_share"), "entropy", "script", reason.alias("reason"))
+def bands(measured: DataFrame) -> DataFrame:
+    """(by, name, documents, fewest_chars, most_chars, most_bytes, least_entropy) per language and per script.
 
+    ``measured`` has the ``STATISTICS`` and a ``language``; rows that fail the plain rules do not count, rows with equal
+    statistics count once. A null language has no band, a language or script below ``MIN_DOCUMENTS`` none of
+    its own; an empty table gives no rows.
+    """
+    seen = measured.filter(~F.col("base_failed")).select(
+        "language", "script", "n_words", "word_chars", "n_tokens", "n_byte_tokens", "n_repeat_words",
+        F.least("chars_per_token", F.lit(_LONGEST)).alias("chars"), F.col("byte_share").alias("share"), "entropy").distinct()
+    group = F.explode(F.array(F.struct(F.lit("language").alias("by"), F.col("language").alias("name")),
+                              F.struct(F.lit("script").alias("by"), F.col("script").alias("name"))))
+    bins = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * n).alias("bin")) for m, n in _BINS.items()]))
+    counts = (seen.select(group.alias("g"), *_BINS).select("g.*", bins.alias("m")).filter("name is not null")
+              .groupBy("by", "name", "m.measure", "m.bin").agg(F.count("*").alias("n")))
+    line = Window.partitionBy("by", "name", "measure")
+    ranked = counts.select("*", F.sum("n").over(line.orderBy("bin")).alias("up_to"), F.sum("n").over(line).alias("documents"))
+
+    def at(measure: str, tenths: int) -> F.Column:
+        reached = (F.col("measure") == measure) & (10 * F.col("up_to") >= tenths * F.col("documents"))
+        return F.min(F.when(reached, F.col("bin"))) / _BINS[measure]
+
+    found = ranked.groupBy("by", "name").agg(F.max("documents").alias("documents"), *[
+        at(m, t).alias(f"{m}{t}") for m in _BINS for t in (1, 5, 9)])
+    below, above = (F.greatest(TIMES * (F.col("chars5") - F.col("chars1")), LEAST_WIDTH[0] * F.col("chars5")),
+                    F.greatest(TIMES * (F.col("chars9") - F.col("chars5")), LEAST_WIDTH[1] * F.col("chars5")))
+    loss = F.greatest(TIMES * (F.col("entropy5") - F.col("entropy1")), ENTROPY_WIDTH * F.col("entropy5"))
+    return found.filter(F.col("documents") >= MIN_DOCUMENTS).select(
+        "by", "name", "documents", (F.col("chars5") - below).alias("fewest_chars"), (F.col("chars5") + above).alias("most_chars"),
+        (F.col("share5") + F.greatest(TIMES * (F.col("share9") - F.col("share5")), F.lit(BYTE_SHARE))).alias("most_bytes"),
+        (F.col("entropy5") - loss).alias("least_entropy"))
+
+
+_LIMITS = ("fewest_chars", "most_chars", "most_bytes", "least_entropy")
+
+
+def _verdicts(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """``measured`` with ``reason``: the language's band where it has one, else the script's, else a wide one."""
+    for by, key in (("language", "language"), ("script", "script")):
+        side = limits.filter(F.col("by") == by).select(F.col("name").alias(f"{by}_name"), *[F.col(c).alias(f"{by}_{c}") for c in _LIMITS])
+        measured = measured.join(side, F.col(key) == F.col(f"{by}_name"), "left")
+    wide = {by: {c: F.create_map(*[F.lit(x) for name, band in known.items() for x in (name, band[i])])[F.col(by)] for i, c in enumerate(_LIMITS)}
+            for by, known in (("language", LANGUAGES), ("script", SCRIPTS))}
+    limit = {c: F.coalesce(f"language_{c}", f"script_{c}", wide["language"][c], wide["script"][c]) for c in _LIMITS}
+    return measured.withColumn("reason", (
+        F.when(F.col("n_words") < MIN_WORDS, "few words").when(F.col("base_failed"), "repeated words")
+        .when(F.col("chars_per_token") < limit["fewest_chars"], "short tokens").when(F.col("chars_per_token") > limit["most_chars"], "long tokens")
+        .when(F.col("byte_share") > limit["most_bytes"], "byte fallback").when(F.col("entropy") < limit["least_entropy"], "low entropy")))
+
+
+def judged(documents: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY,
+           limits: DataFrame | None = None) -> DataFrame:
+    """``documents`` as ``c0``, ``c1``, … in their order, whatever their names, with the ``STATISTICS`` behind them.
+
+    ``base_failed`` tells of the plain rules, ``kept`` of all, ``reason`` why not (null when kept). ``limits``
+    are the :func:`bands` of another corpus; without them the documents' own are measured. A null
+    or empty text has no words, fails the base rules and is not kept. A null or rare language is
+    judged by script. Repeated rows are judged each by itself, an empty table gives no rows, long texts
+    are read whole.
+    """
+    found = written(_measured(documents, text_col, lang_col, vocabulary))
+    limits = written(bands(found)) if limits is None else limits
+    return _verdicts(found, limits).select(*[f"c{i}" for i in range(len(documents.columns))], *_COLUMNS[:5], "base_failed",
+                                           F.col("reason").isNull().alias("kept"), *STATISTICS[7:])
 
-def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", **options) -> DataFrame:
-    """The id and the ``STATISTICS`` of every row; other columns are not read. See :func:`judged`."""
+
+def quality(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang",
+            vocabulary: str = VOCABULARY, limits: DataFrame | None = None) -> DataFrame:
+    """The id and the ``STATISTICS`` of every row; other columns are not read, texts are not written. See :func:`judged`."""
     wanted = [c for c in dict.fromkeys([id_col, text_col, lang_col]) if c]
-    found = judged(documents.select(*wanted), text_col, lang_col, **options)
-    return found.select(F.col(f"c{wanted.index(id_col)}").alias(id_col), *STATISTICS)
+    found = _measured(documents.select(*wanted), text_col, lang_col, vocabulary)
+    found = written(found.select(F.col(f"c{wanted.index(id_col)}").alias("id"), *found.columns[len(wanted):]))
+    limits = written(bands(found)) if limits is None else limits
+    return _verdicts(found, limits).select(F.col("id").alias(id_col), *_COLUMNS[:5], "base_failed",
+                                           F.col("reason").isNull().alias("kept"), *STATISTICS[7:])
+
 
+def keep_good(documents: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY,
+              limits: DataFrame | None = None) -> DataFrame:
+    """The rows of ``documents`` that the rules keep, with all their columns.
 
-def keep_good(documents: DataFrame, text_col: str = "text", lang_col: str | None = "lang", **options) -> DataFrame:
-    """The rows of ``documents`` that the rules keep, with all their columns; nothing is shuffled."""
-    found = judged(documents, text_col, lang_col, **options).filter("kept")
-    return found.select(*[F.col(f"c{i}") for i in range(len(documents.columns))]).toDF(*documents.columns)
+    Rows that pass the plain rules are written once with their statistics; no text is shuffled. See :func:`judged`.
+    """
+    found = written(_measured(documents, text_col, lang_col, vocabulary).filter("not base_failed"))
+    limits = written(bands(found)) if limits is None else limits
+    return _verdicts(found, limits).filter("reason is null").select(
+        *[F.col(f"c{i}") for i in range(len(documents.columns))]).toDF(*documents.columns)

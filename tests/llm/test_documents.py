@@ -1,4 +1,5 @@
 """Every operator on documents against its plain version, and the odd cases each of them must take."""
+import base64
 import hashlib
 import random
 
@@ -169,6 +170,61 @@ def test_quality(spark, texts):
     assert got[1].kept and got[902].byte_share > 0.7 and got[902].reason == "short tokens"
 
 
+def prose_and_noise():
+    """Clean texts of two languages, texts of a rare one, and noise that passes the plain rules."""
+    rng = random.Random(12)
+
+    def lexicon(parts):
+        return ["".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(400)]
+
+    made = {"en": lexicon(["the", "tion", "ing", "work", "over", "land", "er"]), "de": lexicon(["ung", "schaft", "über", "ver", "gen", "lich"]),
+            "nl": lexicon(["aan", "heid", "lijk", "ver", "stad"])}
+    rows = [(k, lang, " ".join(rng.choice(made[lang]) for _ in range(rng.randint(80, 200))))
+            for k, lang in enumerate(["en"] * 150 + ["de"] * 120 + ["nl"] * 20)]
+
+    def word(chars, low, high):
+        return "".join(rng.choice(chars) for _ in range(rng.randint(low, high)))
+
+    junk = {"letters": lambda: " ".join(word("abcdefghijklmnopqrstuvwxyz", 4, 9) for _ in range(300)),
+            "base64": lambda: " ".join(base64.b64encode(rng.randbytes(45)).decode() for _ in range(60)),
+            "punctuation": lambda: " ".join(word(r"""!"#$%&'()*+,-./:;<=>?@[]^_`{|}~""", 2, 8) for _ in range(200)),
+            "mojibake": lambda: " ".join(rng.choice(made["de"]) + "üß" for _ in range(150)).encode().decode("latin-1").encode().decode("latin-1"),
+            "numbers": lambda: " ".join(str(rng.randint(0, 10**9)) for _ in range(150))}
+    noise = [(1000 + k, lang, make()) for k, (make, lang) in enumerate((m, lang) for m in junk.values() for lang in ("en", "de", "nl", None))]
+    return rows, noise
+
+
+def test_bands_reject_noise_and_keep_prose(spark):
+    rows, noise = prose_and_noise()
+    df = spark.createDataFrame(rows + noise, "doc_id bigint, lang string, text string")
+    got = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert all(not got[i].base_failed for i, _, _ in rows + noise)
+    assert [i for i, _, _ in rows if not got[i].kept] == []
+    assert [(i, got[i].chars_per_token, got[i].entropy) for i, _, _ in noise if got[i].kept] == []
+    assert {r.doc_id for r in quality.keep_good(df).collect()} == {i for i, _, _ in rows}
+    # copies of one text, a third of all rows, do not move a band, nor does the layout
+    many = df.unionByName(spark.createDataFrame([(5000 + k, "de", rows[160][2]) for k in range(160)], df.schema)).repartition(13)
+    assert {r.doc_id: r.kept for r in quality.quality(many).collect() if r.doc_id < 5000} == {i: r.kept for i, r in got.items()}
+
+
+def test_bands_are_percentiles(spark):
+    rows, noise = prose_and_noise()
+    df = spark.createDataFrame(rows + noise, "doc_id bigint, lang string, text string")
+    found = quality.quality(df).toPandas().merge(df.select("doc_id", "lang").toPandas()).drop_duplicates(["lang", "n_words", "word_chars", "n_tokens", "entropy"])
+    groups = {("language", n): g for n, g in found.groupby("lang")} | {("script", n): g for n, g in found.groupby("script")}
+    bands = {(r.by, r["name"]): r for r in quality.bands(quality._measured(df, "text", "lang", quality.VOCABULARY)).collect()}
+    assert set(bands) == {k for k, g in groups.items() if len(g) >= quality.MIN_DOCUMENTS} and ("language", "nl") not in bands
+    for key, band in bands.items():
+        def at(column, tenths, bins):
+            values = np.sort(np.floor(groups[key][column].to_numpy() * bins))
+            return values[-(-tenths * len(values) // 10) - 1] / bins
+        low, mid, high = (at("chars_per_token", t, 200) for t in (1, 5, 9))
+        assert band.documents == len(groups[key])
+        assert band.fewest_chars == pytest.approx(mid - max(4 * (mid - low), 0.22 * mid)) and band.most_chars == pytest.approx(mid + max(4 * (high - mid), 1.5 * mid))
+        low, mid = (at("entropy", t, 1000) for t in (1, 5))
+        assert band.least_entropy == pytest.approx(mid - max(4 * (mid - low), 0.25 * mid))
+
+
 def test_quality_odd(spark):
     got = quality.judged(odd(spark))
     assert got.count() == 9 and got.filter("kept").count() == 0

@@ -1,28 +1,14 @@
-"""The pipeline's near-duplicate stage against Jaccard similarity by brute force."""
+"""The pipeline's SimHash stage against fingerprints compared pair by pair."""
 import random
 
 import corpus_pipeline
 import pytest
-from driftmark.llm import near_copies
+from driftmark.llm import simhash
 
+from . import brute
 from .test_documents import frame, odd
 
 
-def shingles(text):
-    words = (text or "").lower().split()
-    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
-
-
-def firsts(rows):
-    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if label[a] != label[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                old, new = max(label[a], label[b]), min(label[a], label[b])
-                label = [new if x == old else x for x in label]
-    return {min(i for (i, _), g in zip(rows, label) if g == name) for name in set(label)}
-
-
 @pytest.fixture(scope="module")
 def copies():
     """Copies with a few words changed, some of them copied again, and many that share a passage only."""
@@ -30,11 +16,10 @@ def copies():
     rows, passage = [], " ".join(f"p{rng.randint(0, 999)}" for _ in range(80))
     for _ in range(40):
         words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 300))]
-        rows.append(" ".join(words))
+        rows += [" ".join(words)] * 2
         for _ in range(3):
             words = list(words)
-            for _ in range(rng.randint(1, max(1, len(words) // 45))):
-                words[rng.randrange(len(words))] = f"c{rng.randint(0, 5000)}"
+            words[rng.choice([0, -1])] = f"c{rng.randint(0, 5000)}"
             rows.append(" ".join(words))
     rows += [passage + " " + " ".join(f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(5, 60))) for _ in range(60)]
     rng.shuffle(rows)
@@ -42,19 +27,16 @@ def copies():
 
 
 @pytest.mark.parametrize("bucket", [4096, 8])
-def test_near_copies_are_those_of_brute_force(spark, copies, monkeypatch, bucket):
-    monkeypatch.setattr(near_copies, "BUCKET_ROWS", bucket)
+def test_one_document_of_each_group_stays(spark, copies, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", bucket)
     got = {r.doc_id for r in corpus_pipeline.first_of_group(spark, frame(spark, copies), "").collect()}
-    assert got == firsts(copies) and 60 < len(got) < 180
-
-
-def test_rounds_leave_no_pair_unasked(spark, copies, monkeypatch):
-    monkeypatch.setattr(near_copies, "_ROUNDS", (0, 1, 2, 1 << 31))
-    assert {r.doc_id for r in near_copies.keep_first(frame(spark, copies)).collect()} == firsts(copies)
+    assert got == {root for _, _, root in brute.near_duplicates(copies)} and 60 < len(got) < 180
 
 
-def test_near_copies_odd(spark):
+def test_stage_odd(spark):
+    """Null and empty texts form one group, a row without an id goes where its group has one with, columns stay."""
+    kept = corpus_pipeline.first_of_group(spark, odd(spark), "")
+    assert kept.columns == odd(spark).columns
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
-    kept = near_copies.keep_first(odd(spark))
-    assert kept.columns == odd(spark).columns and kept.count() == len({frozenset(shingles(t)) for _, t in rows})
-    assert near_copies.keep_first(odd(spark).limit(0)).count() == 0
+    assert kept.count() == len(set(brute.groups([brute.fingerprint(t) for _, t in rows])))
+    assert corpus_pipeline.first_of_group(spark, odd(spark).limit(0), "").count() == 0

@@ -7,7 +7,6 @@ from driftmark.llm import pieces, quality, revisits
 from pyspark.sql import functions as F
 
 from . import brute
-from .test_near_copies import firsts
 from .test_documents import frame, sketches
 
 RECORDS = "record_id bigint, url string, captured_at timestamp, kind string, status int, headers map<string,string>, payload_digest string"
@@ -75,7 +74,7 @@ def test_pipeline_is_its_stages(spark, texts, tmp_path):
     drops = brute.recurring_lines(rows, sketches(spark, rows))
     rows = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in d) if d else t) for (i, t), d in zip(rows, drops)]
     rows = [(i, t) for (i, t), d in zip(rows, drops) if not d or t.strip()]
-    first = firsts(rows)
+    first = {root for _, _, root in brute.near_duplicates(rows)}
     rows = [(i, t) for i, t in rows if i in first]
     rows = [(i, t) for (i, t), r in zip(rows, brute.decontamination(rows, bench)) if not r[5]]
     model = pieces.Pieces.from_file(pieces.VOCABULARY)
