@@ -4,12 +4,17 @@ Mail and network addresses, card and phone numbers are found by pattern. They ar
 entities; a word that all but names one is as telling as the entity. How much a term *t* discloses of an
 entity *e* is the share of e's information that it carries,
 
-    disclosure = PMI(e; t) / -log p(e),   PMI = log(p(e, t) / (p(e) p(t))),
+    disclosure = PMI(e; t) / -log p(e),   PMI = log(p(e | t) / p(e)),
 
 estimated from the whole corpus: in how many documents e occurs, t occurs anywhere, and t occurs within
-``CONTEXT`` words of e. At 1 the term never occurs without the entity. Terms of a context from
-``GENERALISE`` on become spans of kind ``term``; they are replaced by their class, and from ``REMOVE`` on taken
-out. Copies are no evidence: a pair must be seen in documents of ``MIN_CONTEXTS`` different sketches.
+``CONTEXT`` words of e. At 1 the term names the entity for certain. Few observations are shrunk to the
+background rate: p(e | t) is taken with ``PRIOR`` more documents of t that hold e as often as any document does, so one
+meeting of rare words counts for less than many, and in a large corpus, where it is less likely to be chance, for more.
+Copies are no evidence: meetings are counted by different sketches of the text.
+
+Terms from ``GENERALISE`` on become spans of kind ``term`` wherever they occur, in every text; they are
+replaced by their class, and from ``REMOVE`` on taken out. The telling terms are joined to the texts; a bitmap of
+fixed size, through which they are looked up first, keeps other words out of the shuffle.
 
 Contexts keep the work linear in the text however many entities a document lists. Counts are combined
 per batch and per task before they are shuffled, so a hot entity or a frequent word costs one row per
@@ -22,6 +27,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -31,9 +37,12 @@ from .storage import written
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 25
-MIN_CONTEXTS = 3
-GENERALISE = 0.95
-REMOVE = 0.999
+PRIOR = 1.0
+GENERALISE = 0.85
+REMOVE = 0.95
+# Bits of the bitmap of telling terms (1 MB); two of them per term.
+_BITS = 1 << 23
+_HELD_ROWS = 100_000
 # Terms counted in a worker before it hands them on.
 _HELD_TERMS = 400_000
 
@@ -88,7 +97,7 @@ def entities(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def _contexts(text: str, found: list[tuple[str, int, int, str]]) -> list[dict]:
-    """The terms around each entity, those inside any entity left out."""
+    """The different terms around each entity, those inside any entity left out."""
     taken = sorted((a, b) for _, a, b, _ in found)
     terms, k = [], 0
     for match in _TERM.finditer(text):
@@ -102,7 +111,7 @@ def _contexts(text: str, found: list[tuple[str, int, int, str]]) -> list[dict]:
     for kind, a, b, value in found:
         low, high = bisect_left(starts, a), bisect_left(starts, b)
         near = terms[max(0, low - CONTEXT):high + CONTEXT]
-        out.append({"kind": kind, "value": value, "terms": [{"term": t, "start": s, "end": e} for s, e, t in near]})
+        out.append({"kind": kind, "value": value, "terms": sorted({t for _, _, t in near})})
     return out
 
 
@@ -114,15 +123,14 @@ def _sketch(text: str) -> int:
 
 
 _FOUND = ("id {kind}, text_hash bigint, sketch bigint, base array<struct<kind:string,start:int,end:int>>, "
-          "contexts array<struct<kind:string,value:string,terms:array<struct<term:string,start:int,end:int>>>>")
+          "contexts array<struct<kind:string,value:string,terms:array<string>>>")
 
 
 def _found(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     source = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    term = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     base_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    context_type = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("terms", pa.list_(term))]))
+    context_type = pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string()), ("terms", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,12 +149,12 @@ def _found(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, documents): in how many rows each term occurs."""
+    """(term, documents): in how many rows each term occurs; null and empty texts have none, an empty table gives no rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0):
-                counts.update(set(_TERM.findall(text.as_py().lower())))
+                counts.update({t.lower() for t in set(_TERM.findall(text.as_py()))})
                 if len(counts) > _HELD_TERMS:
                     yield pack(counts)
                     counts.clear()
@@ -161,42 +169,94 @@ def term_documents(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def disclosures(documents: DataFrame, found: DataFrame, text_col: str = "text", threshold: float = GENERALISE,
-                min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """(kind, value, term, disclosure) of the pairs at or above ``threshold``."""
-    total = found.count()
+                prior: float = PRIOR) -> DataFrame:
+    """(kind, value, term, disclosure) of the pairs at or above ``threshold``; no entities or texts give no rows."""
+    total = F.lit(float(max(found.count(), 1)))
     near = found.select("id", "text_hash", "sketch", F.explode("contexts").alias("c")).select("id", "text_hash", "sketch", "c.kind", "c.value", "c.terms")
-    pairs = (near.select("id", "text_hash", "sketch", "kind", "value", F.explode("terms.term").alias("term")).distinct()
+    pairs = (near.select("id", "text_hash", "sketch", "kind", "value", F.explode("terms").alias("term")).distinct()
              .groupBy("kind", "value", "term", "sketch").agg(F.count("*").alias("both"))
-             .groupBy("kind", "value", "term").agg(F.sum("both").alias("both"), F.count("*").alias("sketches"))
-             .filter(F.col("sketches") >= min_contexts))
+             .groupBy("kind", "value", "term").agg(F.sum("both").alias("both"), F.count("*").alias("sketches")))
     holding = near.select("id", "text_hash", "kind", "value").distinct().groupBy("kind", "value").agg(F.count("*").alias("holding"))
     every = term_documents(documents, text_col).withColumnRenamed("documents", "every")
     joined = pairs.join(holding, ["kind", "value"]).join(every, "term")
-    share = F.log(F.lit(float(max(total, 1))) / F.col("holding"))
+    rate = F.least(F.col("holding") / total, F.lit(1.0))
+    seen = F.col("sketches") * F.greatest(F.col("every") / F.col("both"), F.lit(1.0))
+    given = (F.col("sketches") + prior * rate) / (seen + prior)
     # an entity in every document carries no information; whatever goes with it discloses nothing
-    pmi = F.log(F.col("both") * F.lit(float(max(total, 1))) / (F.col("holding") * F.col("every").cast("double")))
-    return joined.withColumn("disclosure", F.when(share > 0, pmi / share).otherwise(0.0)).filter(
+    return joined.withColumn("disclosure", F.when(rate < 1, 1 - F.log(given) / F.log(rate)).otherwise(0.0)).filter(
         F.col("disclosure") >= threshold).select("kind", "value", "term", "disclosure")
 
 
+def _bitmap(told: DataFrame) -> np.ndarray:
+    """Bits of the terms in ``told``: 1 MB at most, whatever their number."""
+    key = F.xxhash64("term")
+    places = F.explode(F.array(*[F.shiftrightunsigned(key, n).bitwiseAND(F.lit(_BITS - 1)) + 1 for n in (0, 23)]))
+    parts = told.select(places.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(_BITS // 8, np.uint8)
+    for row in parts.collect():
+        bits = np.frombuffer(bytes(row.bits), np.uint8)
+        out[(row.part - 1) * 4096:(row.part - 1) * 4096 + len(bits)] = bits
+    return out
+
+
+def _occurrences(documents: DataFrame, told: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, start, end, disclosure) of the terms in ``told`` wherever they occur."""
+    bits = _bitmap(told)
+    text = F.col(text_col).cast("string")
+    source = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")).filter("text <> ''")
+    names = ["id", "text_hash", "term", "start", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for k, text in enumerate(batch.column(2)):
+                text = text.as_py()
+                words = set(_TERM.findall(text))
+                if len(known) > _HELD_TERMS:
+                    known.clear()
+                for word in words:
+                    if word not in known:
+                        key = xxhash.xxh64_intdigest(word.lower().encode(), 42)
+                        known[word] = all(bits[(p := key >> n & _BITS - 1) >> 3] >> (p & 7) & 1 for n in (0, 23))
+                if not any(map(known.__getitem__, words)):
+                    continue
+                for match in _TERM.finditer(text):
+                    if known[match[0]]:
+                        rows.append((k, match[0].lower(), *match.span()))
+                        if len(rows) >= _HELD_ROWS:
+                            yield pack(batch, rows)
+                            rows = []
+            yield pack(batch, rows)
+
+    def pack(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, terms, starts, ends = zip(*rows) if rows else ((), (), (), ())
+        own = batch.take(pa.array(at, pa.int32()))
+        return pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(terms, pa.string()), pa.array(starts, pa.int32()),
+                                           pa.array(ends, pa.int32())], names)
+
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, text_hash bigint, term string, start int, end int").join(told, "term").drop("term")
+
+
 def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = GENERALISE) -> DataFrame:
     """(id, text_hash, base, terms) for every row of ``documents``.
 
     ``base`` lists kind, start, end of the entities by kind and start; ``terms`` lists start, end and
-    disclosure of the disclosing terms by start. Offsets are code points, ends exclusive. A null or empty
-    text has no spans. Rows of one id and text are alike; a null id keeps its row. Other columns are
-    not read, an empty table gives no rows.
+    disclosure of the disclosing terms outside of them by start, in documents with and without entities. Offsets are
+    code points, ends exclusive. A null or empty text has no spans. Rows of one id and text are alike; a null id keeps
+    its row. Other columns are not read, an empty table gives no rows.
     """
     found = written(_found(documents, id_col, text_col))
-    told = disclosures(documents, found, text_col, threshold)
-    near = found.select("id", "text_hash", F.explode("contexts").alias("c")).select(
-        "id", "text_hash", "c.kind", "c.value", F.explode("c.terms").alias("t")).select("id", "text_hash", "kind", "value", "t.*")
-    hits = (near.join(told, ["kind", "value", "term"]).groupBy("id", "text_hash", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-            .groupBy("id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
+    told = written(disclosures(documents, found, text_col, threshold).groupBy("term").agg(F.max("disclosure").alias("disclosure")))
+    hits = (_occurrences(documents, told, id_col, text_col).distinct().groupBy("id", "text_hash")
+            .agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
             .withColumnsRenamed({"id": "h_id", "text_hash": "h_hash"}))
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double>>")
+    outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return found.join(hits, F.col("id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")), "left").select(
-        F.col("id").alias(id_col), "text_hash", "base", F.coalesce("terms", none).alias("terms"))
+        F.col("id").alias(id_col), "text_hash", "base", F.coalesce(outside, none).alias("terms"))
 
 
 def described(list_: Column, kind: Column | None = None) -> Column:
@@ -209,7 +269,8 @@ def sanitised(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, text): texts with entities replaced by their kind, telling terms by their class or by nothing.
 
     The leftmost of overlapping spans counts, of those at one place the longest. A class is ``<NUMBER>`` for a term with a digit, ``<NAME>``
-    for a capitalised one and ``<TERM>`` for any other. Null texts come back empty.
+    for a capitalised one and ``<TERM>`` for any other. Null texts come back empty, repeated rows as often as they are
+    given, null ids with theirs; other columns are not read and an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = documents.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))

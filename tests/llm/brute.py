@@ -225,3 +225,33 @@ def lattice_scores(docs, vocabulary, rounds, prior_uses=100.0, rank_shift=10.0):
             q = tables("▁" + w, cost, go_on)[0][-1] * stop
             out[i] += math.log10((counts[w] + distinct * (1 - share) * q) / (total + distinct))
     return out
+
+
+def telling_terms(docs, context=25, prior=1.0, threshold=0.85):
+    """(doc number, start, end, disclosure) of disclosing terms in distinct (id, text) rows, counted pair by pair."""
+    docs = list(dict.fromkeys((i, t or "") for i, t in docs))
+    found = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]{3,}", t)] for _, t in docs]
+    held, near, every = defaultdict(set), defaultdict(set), Counter()
+    for k, (_, text) in enumerate(docs):
+        taken = personal(text)
+        free = [x for x in found[k] if not any(a < x[1] and x[0] < b for _, a, b in taken)]
+        every.update({w for _, _, w in found[k]})
+        for kind, a, b in taken:
+            value = text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else re.sub("[^0-9]", "", text[a:b])
+            held[kind, value].add(k)
+            before, after = [w for s, _, w in free if s < a], [w for s, _, w in free if s >= b]
+            for w in {*before[-context:], *after[:context]}:
+                near[kind, value, w].add(k)
+
+    def sketch(k):
+        w = docs[k][1].lower().split()
+        return min(xxhash.xxh64_intdigest(" ".join(w[i:i + 5])) for i in range(max(1, len(w) - 4)))
+
+    told = {}
+    for (kind, value, w), both in near.items():
+        rate, sketches = len(held[kind, value]) / len(docs), len({sketch(k) for k in both})
+        if rate < 1:
+            given = (sketches + prior * rate) / (sketches * every[w] / len(both) + prior)
+            told[w] = max(told.get(w, 0), 1 - math.log(given) / math.log(rate))
+    return {(*docs[k], a, b, told[w]) for k, words_ in enumerate(found) for a, b, w in words_ if told.get(w, 0) >= threshold
+            and not any(s < b and a < e for _, s, e in personal(docs[k][1]))}

@@ -333,7 +333,9 @@ def planted():
         own = [" ".join(rng.choice("ijklmnop") * 4 + str(rng.randint(100, 999)) for _ in range(40)) for _ in range(2)]
         rows.append((k, f"{own[0]} zebra{k} Orwellia writes from ann.b@mail.example.org, card 4111 1111 1111 1111, "
                         f"host 10.0.0.{k} and +1 (555) 123-4567 abc abc {own[1]}"))
-    rows[3] = (3, rows[3][1] + " abc abc")
+    for k in range(30):
+        rows[k] = (k, rows[k][1] + " abc abc")
+    rows[40] = (40, rows[40][1] + " so says Orwellia alone")
     return rows + [(200, "no.one@nowhere 1.2.3.4.5.6.7.8 300.1.1.1 +12 4111111111111112"), (201, None), (202, "")]
 
 
@@ -343,9 +345,12 @@ def test_personal_data(spark):
     for i, text in rows:
         assert [tuple(s) for s in got[i].base] == brute.personal(text), i
     said = {text[s.start:s.end].lower() for i, text in rows if text for s in got[i].terms}
-    # words that occur with the address only, in every document that has it; words found elsewhere stay
-    assert "orwellia" in said and "writes" in said and "abc" not in said
-    assert not any(got[i].terms for i in range(60)) and not any("zebra" in w for w in said)
+    # a name beside one address in six documents is marked wherever it occurs; words found elsewhere stay
+    assert "orwellia" in said and "abc" not in said and not any("zebra" in w for w in said)
+    assert [rows[40][1][s.start:s.end] for s in got[40].terms] == ["Orwellia"]
+    assert not any(got[i].terms for i in range(60) if i != 40)
+    want = {(i, a, b): pytest.approx(x) for i, _, a, b, x in brute.telling_terms(rows)}
+    assert {(i, s.start, s.end): s.disclosure for i, r in got.items() for s in r.terms} == want
     clean = {r.doc_id: r.text for r in sanitise.sanitised(frame(spark, rows)).collect()}
     assert "@" not in clean[101] and "Orwellia" not in clean[101] and "<CARD>" in clean[101] and clean[5] == rows[5][1]
 
@@ -354,6 +359,23 @@ def test_personal_data_odd(spark):
     assert sanitise.spans(odd(spark)).count() == 9 and sanitise.spans(odd(spark).limit(0)).count() == 0
     copies = [(k, planted()[60][1]) for k in range(8)]
     assert all(not r.terms for r in sanitise.spans(frame(spark, copies)).collect())
+    clean = sanitise.sanitised(odd(spark))
+    assert clean.count() == 9 and clean.filter("text is null").count() == 0 and sanitise.sanitised(odd(spark).limit(0)).count() == 0
+
+
+def test_telling_terms_as_counted_pair_by_pair(spark):
+    """Single meetings, copies, terms inside other entities and after the context, several entities in a text."""
+    rng = random.Random(31)
+    rare, rows = [f"rare{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)], []
+    for k in range(300):
+        words = [rng.choice(rare) if rng.random() < 0.05 else f"common{rng.randint(0, 40)}" for _ in range(rng.randint(20, 120))]
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            who = rng.randint(0, 25)
+            words.insert(rng.randrange(len(words)), rng.choice([f"p{who}@mail.example.org name{who}", f"10.1.1.{who}", f"+1 (555) 123-45{who:02d}"]))
+        rows.append((k, " ".join(words)))
+    rows += [(300 + k, rows[k // 3][1]) for k in range(60)]
+    got = {(r.doc_id, s.start, s.end): s.disclosure for r in sanitise.spans(frame(spark, rows).repartition(5)).collect() for s in r.terms}
+    assert got == {(i, a, b): pytest.approx(x) for i, _, a, b, x in brute.telling_terms(rows)} and len(got) > 30
 
 
 def test_patterns_match_the_plain_ones():
