@@ -29,7 +29,7 @@ MARK = "▁"
 PENALTY = 10.0
 REMEMBERED = 400_000
 # Texts are worked on, and rows leave a worker, in batches of about this many characters.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 
 
 class Pieces:
