@@ -102,39 +102,55 @@ def near_duplicates(docs):
     return [(i, f"{p:016x}", lowest.get(g)) for (i, _), p, g in zip(docs, prints, label)]
 
 
-def recurring_lines(docs, sketch, min_documents=5, spread=0.25, agreement=0.7):
-    """Per document the numbers of its recurring lines; ``sketch`` names each document's group of copies."""
-    def general(token):
-        return "<*>" if re.search("[0-9]", token) else token
-
-    lines = [(k, n, tuple(map(general, words(line)))) for k, (_, text) in enumerate(docs)
-             for n, line in enumerate(text.split("\n") if text is not None else []) if len(words(line)) >= 4]
-
-    def leaf(tokens):
-        return (len(tokens), *tokens[:3])
-
-    def recurring(rows):
-        out = set()
-        for name in {leaf(t) for _, _, t in rows}:
-            holding = {k for k, _, t in rows if leaf(t) == name}
-            copies = {sketch[k] for k in holding}
-            distinct = {(docs[k][0], docs[k][1]) for k in holding}
-            if len(copies) >= min_documents and len(copies) >= spread * len(distinct):
-                out.add(name)
+def recurring_lines(docs, min_documents=5, alike=14 / 32, agreement=0.7):
+    """Per document the numbers of its recurring lines; documents are told apart by the lines they share, counted out."""
+    def tokens(line):
+        found = [t for t in re.split("[\t\n\x0b\x0c\r ]", line) if t]
+        unspaced = len(found) == 1 and re.search("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\ua4cf\uf900-\ufaff\uff00-\uffef]", found[0])
+        return list(found[0]) if unspaced else found
+
+    def marked(found):
+        return ["<*>" if re.search("[0-9]", t) else t for t in found]
+
+    def general(found):
+        return tuple(found if all(t == "<*>" for t in marked(found)) else marked(found))
+
+    def leaf(found):
+        return (len(found), *(marked(found[:3]) if len(found) > 3 else general(found)))
+
+    lines = [(k, n, leaf(t), general(t)) for k, (_, text) in enumerate(docs) if text is not None
+             for n, t in enumerate(map(tokens, text.split("\n"))) if t]
+    held = defaultdict(set)
+    for k, _, name, _ in lines:
+        held[k].add(name)
+
+    def recurs(rows, name):
+        apart = []
+        for one in {frozenset(held[k] - {name}) for k, *_ in rows}:
+            if not any(len(one & two) > alike * len(one | two) or not one | two for two in apart):
+                apart.append(one)
+        return len(apart) >= min_documents
+
+    def grouped(rows, key):
+        out = defaultdict(list)
+        for r in rows:
+            out[key(r)].append(r)
         return out
 
-    kept = recurring(lines)
-    rows = [r for r in lines if leaf(r[2]) in kept]
-    templates = {}
-    for name in kept:
-        votes = {(sketch[k], t) for k, _, t in rows if leaf(t) == name}
+    def agrees(found, template):
+        return sum(x == y != "<*>" for x, y in zip(found, template)) >= agreement * sum(x != "<*>" for x in found)
+
+    out = defaultdict(set)
+    for name, rows in grouped(lines, lambda r: r[2]).items():
+        if not recurs(rows, name):
+            continue
+        votes, template = {(frozenset(held[k] - {name}), t) for k, _, _, t in rows}, []
         for at in range(name[0]):
             token, n = max(Counter(t[at] for _, t in votes).items(), key=lambda x: (x[1], x[0]))
-            templates[name, at] = token if 2 * n > len(votes) else "<*>"
-    rows = [r for r in rows if sum(t == templates[leaf(r[2]), at] != "<*>" for at, t in enumerate(r[2])) >= agreement * len(r[2])]
-    kept, out = recurring(rows), defaultdict(set)
-    for k, n, t in rows:
-        if leaf(t) in kept:
+            template.append(token if 2 * n > len(votes) else "<*>")
+        follow = [r for r in rows if agrees(r[3], template)]
+        own = [t for t, same in grouped(rows, lambda r: r[3]).items() if recurs(same, name)]
+        for k, n, _, t in (follow if recurs(follow, name) else []) + [r for r in rows if any(agrees(r[3], t) for t in own)]:
             out[k].add(n)
     return [sorted(out[k]) for k in range(len(docs))]
 

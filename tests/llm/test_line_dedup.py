@@ -3,6 +3,7 @@ import random
 
 from driftmark.llm import line_templates
 
+from . import brute
 from .test_documents import frame
 
 
@@ -55,3 +56,22 @@ def test_fields_do_not_count_and_a_leaf_has_several_templates(spark):
         documents.append([*prose(rng, 6), f"Page {k} of 12", log, footer[k % 5 < 2]])
     got = left(spark, documents)
     assert [got[k] for k in range(1, 17)] == [d[:6] for d in documents]
+
+
+def test_lines_as_judged_one_by_one(spark):
+    """Footers with fields and without, short and unspaced lines, copies and near copies, leaves of several templates."""
+    rng = random.Random(5)
+    footers = ["Read more about our privacy terms", "Read more about their cookie policy", "All rights reserved.", "無断で転載することを禁じます", "2024"]
+    documents = []
+    for k in range(40):
+        lines = prose(rng, rng.randint(6, 12)) + [rng.choice(footers), f"Page {k} of {rng.randint(10, 99)}"][:rng.randint(0, 2)]
+        if k % 4 == 0:
+            lines.append(f"2024-05-{k + 10} 10:{k + 20} 10.0.0.{k} GET /index/{rng.choice('ab')} done in {k} ms")
+        rng.shuffle(lines)
+        documents.append(lines)
+    documents += [list(documents[3]) for _ in range(15)] + [[*documents[5][:-1], *prose(rng, 1)] for _ in range(15)] + [["one"], ["one"], [""], ["Page 1"]]
+    rows = list(enumerate(["\n".join(d) for d in documents], 1))
+    rng.shuffle(rows)
+    found = {r.id: sorted(r.lines) for r in line_templates.recurring_lines(frame(spark, rows)).collect()}
+    want = {i: d for (i, _), d in zip(rows, brute.recurring_lines(rows)) if d}
+    assert found == want and len(want) > 20

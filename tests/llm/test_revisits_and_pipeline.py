@@ -7,7 +7,7 @@ from driftmark.llm import pieces, quality, revisits
 from pyspark.sql import functions as F
 
 from . import brute
-from .test_documents import frame, sketches
+from .test_documents import frame
 
 RECORDS = "record_id bigint, url string, captured_at timestamp, kind string, status int, headers map<string,string>, payload_digest string"
 
@@ -71,7 +71,7 @@ def test_pipeline_is_its_stages(spark, texts, tmp_path):
     rng.shuffle(rows)
     verdict = {r.doc_id: r.kept for r in quality.quality(frame(spark, rows)).collect()}
     rows = [(i, t) for i, t in rows if verdict[i] and not brute.quality(t)[-1]]
-    drops = brute.recurring_lines(rows, sketches(spark, rows))
+    drops = brute.recurring_lines(rows)
     rows = [(i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in d) if d else t) for (i, t), d in zip(rows, drops)]
     rows = [(i, t) for (i, t), d in zip(rows, drops) if not d or t.strip()]
     first = {root for _, _, root in brute.near_duplicates(rows)}
