@@ -118,7 +118,10 @@ def formatted(conversations: DataFrame, budget: int = BUDGET, history: int = HIS
 
 
 def turns_of(windows: DataFrame) -> DataFrame:
-    """(conv, window, turns, targets): what each window's text says, repeated turns left out."""
+    """(conv, window, turns, targets): what each window's text says, repeated turns left out.
+
+    A null conversation is one like any other, an empty text an empty turn; no windows give no rows.
+    """
     def turn(block: Column) -> Column:
         head = F.substring_index(block, "]", 1)
         role = F.substr(head, F.lit(len("<s>[") + 1))
@@ -130,7 +133,11 @@ def turns_of(windows: DataFrame) -> DataFrame:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Per conversation, from the windows' texts and masks alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, from the windows' texts and masks alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+
+    The digests need a conversation whole: its texts meet in one row. A null conversation is one like any other; no
+    windows give no rows.
+    """
     said = turns_of(windows).select(
         "conv", "window", F.size("turns").alias("n"), "chars", F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
         F.array_join("targets", "").alias("target"))

@@ -159,7 +159,11 @@ def decontamination(documents: DataFrame, benchmark: DataFrame, id_col: str = "d
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that hold no window of an item, with all their columns."""
+    """The rows of ``documents`` that hold no window of an item, with all their columns.
+
+    Null and empty texts have no words and stay, as do repeated rows and null ids, each by its own text; without items all
+    rows stay, an empty table gives no rows.
+    """
     _, hits = contaminated(documents, benchmark, id_col, text_col)
     hits = hits.select(F.col("id").alias("h_id"), F.col("text_hash").alias("h_hash")).distinct()
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(id_col).alias("id"),

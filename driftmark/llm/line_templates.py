@@ -102,7 +102,11 @@ def _recurring(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, lines): for documents with any, the numbers of the lines whose template recurs."""
+    """(id, text_hash, lines): for documents with any, the numbers of the lines whose template recurs.
+
+    Null texts, empty texts and lines without a token have none. Rows alike in id and text give one row, a null id is one
+    like any other; other columns are not read, an empty table gives no rows.
+    """
     keyed = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     keyed = keyed.withColumn("text_hash", F.xxhash64("text"))
     leaves = written(keyed.select("id", "text_hash", F.transform(F.split("text", "\n"), _leaf).alias("leaves")))

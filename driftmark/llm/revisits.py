@@ -120,7 +120,9 @@ def captures(pages: DataFrame) -> DataFrame:
     """WARC records of a page table: one full response per page, and one revisit an hour and a bit later or before.
 
     Every seventh revisit comes before its response, every fifth has another ETag, every third has a date
-    instead of an ETag; revisits spell the URL another way.
+    instead of an ETag; revisits spell the URL another way. A null page_id gives records without id and time, a null
+    URL or page records that resolve to nothing or to the empty page; repeated pages give repeated records, other columns are
+    not read, an empty table gives no rows.
     """
     n = F.col("page_id")
     html = F.coalesce("html", F.lit(""))

@@ -228,7 +228,8 @@ def repeated_paths(removed: DataFrame) -> DataFrame:
 
     Paths are joined on their source document; a path is cut wherever an occurrence enters or leaves.
     ``copies`` counts the occurrences apart from the source itself. A source has at most two borders per
-    word, whatever the number of its copies.
+    word, whatever the number of its copies. Documents without repeated paths, as null and empty texts are, add nothing;
+    repeated rows count as often as they are given, no rows give none.
     """
     paths = removed.select(F.explode("paths").alias("p")).select("p.*")
     borders = paths.select("source", F.explode(F.array(

@@ -7,7 +7,7 @@ from driftmark.llm import pieces, quality, revisits
 from pyspark.sql import functions as F
 
 from . import brute
-from .test_documents import frame
+from .test_documents import frame, odd
 
 RECORDS = "record_id bigint, url string, captured_at timestamp, kind string, status int, headers map<string,string>, payload_digest string"
 
@@ -86,3 +86,24 @@ def test_stages_keep_the_columns(spark, texts):
     docs = frame(spark, texts[:20]).select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("bigint").alias("n_chars"))
     for name, stage in corpus_pipeline.STAGES[:3]:
         assert stage(spark, docs, "").schema.simpleString() == docs.schema.simpleString(), name
+
+
+def test_stages_odd(spark, tmp_path):
+    """Nulls everywhere, repeated rows, columns named like inner ones, no rows at all, no items at all."""
+    docs = odd(spark).select("*", *[F.lit(k).alias(k) for k in ("n_lines", "n_dropped", "n_words", "language", "reason")], F.lit(1).cast("bigint").alias("n_chars"))
+    left = {"quality rules": 0, "line dedup": 9, "SimHash near-dedup": 3, "decontamination": 5, "encoding": 9}  # four rows hold the item
+    for n, items in enumerate([[(1, "f g h i j k l m n o p"), (2, "b c d e f g h i j k"), (None, "never"), (3, None)], []]):
+        spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/{n}/benchmark.parquet")
+        for name, stage in corpus_pipeline.STAGES:
+            got = stage(spark, docs, f"{tmp_path}/{n}")
+            assert got.count() == (9 if not items and name == "decontamination" else left[name]), name
+            assert name == "encoding" or got.columns == docs.columns
+            assert stage(spark, docs.limit(0), f"{tmp_path}/{n}").count() == 0
+
+
+def test_captures_odd(spark):
+    pages = spark.createDataFrame([(1, "http://a/", None, 1), (None, "http://a/", "x", 2), (2, None, "", 3), (2, None, "", 3)],
+                                  "page_id bigint, url string, html string, record_id int")
+    got = revisits.captures(pages)
+    assert got.count() == 8 and got.filter("record_id is null and captured_at is null").count() == 2
+    assert revisits.resolve(got).count() == 4 and revisits.captures(pages.limit(0)).count() == 0
