@@ -1,71 +1,92 @@
 """Expanding-history mid-rank: where a score stood among all strictly earlier ones.
 
-Counting earlier smaller values is a two-sided inequality. Instead of joining on it, the days
-before day d are cut into at most log2(days) aligned blocks, one per set bit of d. Each score is
-filed once per level under its block, each question asks the blocks its day is made of, and
-inside a block a running count by value answers. All keys are equalities.
-
-Scores are first collapsed to (signal, day, value) with counts. Values are cut into ranges, so that no
-task sorts all pairs of a signal: the collapsed scores are written once in range partitions of (signal,
-value), blocks are counted inside a range, and a day-by-range grid adds the counts of all lower ranges.
+Counting earlier smaller values is a two-sided inequality. Instead of joining on it, the scores are
+collapsed to (signal, day, value) with counts and written once in range partitions of (signal, value).
+Inside a partition a scan goes up the values and keeps one number per day, the scores filed so far on it;
+what lies on earlier days is their running sum. A day-by-partition grid adds the counts of all lower
+partitions. Each score is so shuffled twice, once to be counted and once to be sorted, and the memory of a
+task is a batch and the calendar.
+
+A kept index holds the counted scores by spans of days; a question reads the spans up to its last day.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftmark.operators.ordering import PART, ranged, running_counts
-
-# Levels of a kept index, part of its layout: it serves 2 ** LEVELS trading days.
-LEVELS = 13
-
-
-def _counts_in_slice(cells: DataFrame) -> DataFrame:
-    """Earlier smaller and earlier equal counts inside each value range."""
-    last_day = cells.agg(F.max("t0_pos")).scalar()
-    top = F.floor(F.log2(F.greatest(last_day, F.lit(1)))).cast("int")
-    block = F.expr("shiftright(t0_pos, level)")
-    asks = block % 2 == 1
-    # an even block is asked only by days of the block after it
-    asked_later = F.expr("shiftleft(shiftright(t0_pos, level) + 1, level)") <= F.col("last_day")
-    rows = (cells.withColumn("last_day", last_day)
-            .withColumn("level", F.explode(F.sequence(F.lit(0), top)))
-            .filter(asks | asked_later)
-            .select("signal", PART, "level", F.when(asks, block - 1).otherwise(block).alias("block"), "value",
-                    F.when(asks, F.col("t0_pos")).alias("asking_day"),
-                    F.when(asks, 0).otherwise(F.col("n")).alias("n")))
-    inside = ["signal", PART, "level", "block"]
-    by_value = Window.partitionBy(*inside).orderBy("value")
-    upto = F.sum("n").over(by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ties = F.sum("n").over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
-    return (rows
-            .select("signal", PART, "value", "asking_day", (upto - ties).alias("smaller"), ties.alias("same"))
-            .filter(F.col("asking_day").isNotNull())
-            .groupBy("signal", PART, "value", F.col("asking_day").alias("t0_pos"))
-            .agg(F.sum("smaller").alias("smaller"), F.sum("same").alias("same")))
-
-
-def _counts_in_lower_slices(parts: DataFrame) -> DataFrame:
-    """For each (signal, range, day): earlier scores in all lower ranges."""
+from driftmark.operators.ordering import PART, ranged, with_columns
+
+# Layout of a kept index: it serves this many trading days, in folders of so many.
+INDEX_DAYS, SPAN_DAYS = 2 ** 13, 64
+# Rows that a scan compares with one another at once.
+_BLOCK = 256
+_BEFORE = np.tri(_BLOCK, k=-1, dtype=bool)
+
+
+def _ties(values: np.ndarray, n: np.ndarray, last: float | None, carried: int) -> np.ndarray:
+    """The counts before each row among the rows of its value; ``carried`` of them lie before the first row if ``last`` is its value."""
+    def differ(a, b):
+        return (a != b) & ~(np.isnan(a) & np.isnan(b))
+
+    before, new = np.cumsum(n) - n, np.ones(len(n), dtype=bool)
+    new[1:] = differ(values[1:], values[:-1])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(n)), 0))
+    goes_on = last is not None and not differ(values[0], last)
+    return before - before[first] + np.where(first == 0, carried if goes_on else 0, 0)
+
+
+def _earlier_in_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add to rows sorted by (signal, value, t0_pos) ``earlier``, the scores on earlier days of the signal's rows before, and ``same``, those of them with an equal value."""
+    filed, signal, last, carried = np.zeros(1, dtype=np.int64), None, None, 0
+    for batch in batches:
+        names = batch.column("signal").dictionary_encode()
+        code, days, values, n = names.indices.to_numpy(), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("t0_pos", "value", "n"))
+        earlier, same = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64)
+        edges = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1), len(n)] if len(n) else []
+        for start, end in zip(edges, edges[1:]):
+            if (name := names.dictionary[int(code[start])].as_py()) != signal:
+                filed, signal, last, carried = np.zeros(1, dtype=np.int64), name, None, 0
+            same[start:end] = _ties(values[start:end], n[start:end], last, carried)
+            last, carried = values[end - 1], int(same[end - 1] + n[end - 1])
+            if (top := int(days[start:end].max()) + 1) > len(filed):
+                filed = np.concatenate([filed, np.zeros(top - len(filed), dtype=np.int64)])
+            for at in range(start, end, _BLOCK):
+                rows = slice(at, min(at + _BLOCK, end))
+                d, w = days[rows], n[rows]
+                among = (d[None, :] < d[:, None]) & _BEFORE[:len(d), :len(d)]
+                earlier[rows] = (np.cumsum(filed) - filed)[d] + (among @ w.astype(np.float64)).astype(np.int64)
+                np.add.at(filed, d, w)
+        yield with_columns(batch, earlier=earlier, same=same)
+
+
+def _history_around(parts: DataFrame) -> DataFrame:
+    """For each (signal, range, day): ``lower``, earlier scores in all lower ranges, and ``n_prior``, those in all ranges."""
     totals = parts.groupBy("signal", PART, "t0_pos").agg(F.sum("n").alias("n"))
     span = totals.groupBy("signal").agg(F.collect_set(PART).alias("ranges"), F.collect_set("t0_pos").alias("days"))
     grid = (span.select("signal", F.explode("ranges").alias(PART), "days")
             .select("signal", PART, F.explode("days").alias("t0_pos")))
     earlier = (Window.partitionBy("signal", PART).orderBy("t0_pos")
                .rowsBetween(Window.unboundedPreceding, -1))
-    lower = (Window.partitionBy("signal", "t0_pos").orderBy(PART)
-             .rowsBetween(Window.unboundedPreceding, -1))
+    day = Window.partitionBy("signal", "t0_pos")
+    lower = day.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     return (grid.join(totals, ["signal", PART, "t0_pos"], "left")
             .withColumn("earlier_n", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-            .select("signal", PART, "t0_pos",
-                    F.coalesce(F.sum("earlier_n").over(lower), F.lit(0)).alias("lower")))
+            .select("signal", PART, "t0_pos", F.coalesce(F.sum("earlier_n").over(lower), F.lit(0)).alias("lower"),
+                    F.sum("earlier_n").over(day).alias("n_prior")))
 
 
-def history_before(cells: DataFrame) -> DataFrame:
-    """``(signal, t0_pos, n_prior)``: documents on strictly earlier entry days, from counted scores."""
-    per_day = cells.groupBy("signal", "t0_pos").agg(F.sum("n").alias("n"))
-    earlier = Window.partitionBy("signal").orderBy("t0_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return per_day.select("signal", "t0_pos", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_prior"))
+def _midranks(cells: DataFrame, slices: int | None) -> DataFrame:
+    """``cells``, counted scores, with ``n_prior`` and ``hist_pct``."""
+    parts = ranged(cells.filter("signal IS NOT NULL AND t0_pos IS NOT NULL"), ["signal"], ["value"], slices, then=["t0_pos"],
+                   scan=_earlier_in_slice, adds="earlier long, same long")
+    # the rows before a row hold its earlier equals beside the earlier smaller ones
+    rank = F.col("earlier") + F.col("lower") - F.lit(0.5) * F.col("same")
+    return (parts.join(_history_around(parts), ["signal", PART, "t0_pos"])
+            .withColumn("hist_pct", F.when(F.col("n_prior") > 0, rank / F.col("n_prior"))))
 
 
 def historical_midrank(rows: DataFrame, slices: int | None = None) -> DataFrame:
@@ -73,17 +94,7 @@ def historical_midrank(rows: DataFrame, slices: int | None = None) -> DataFrame:
 
     ``hist_pct`` is (earlier smaller + half of earlier equal) / earlier, null without history.
     """
-    cells = rows.groupBy("signal", "t0_pos", "value").agg(F.count("*").alias("n"))
-    parts = ranged(cells, ["signal"], ["value"], slices)
-    answers = _counts_in_slice(parts)
-    cells = parts.select("signal", PART, "t0_pos", "value")
-    placed = cells.join(answers, ["signal", PART, "t0_pos", "value"], "left")
-    placed = placed.join(_counts_in_lower_slices(parts), ["signal", PART, "t0_pos"])
-    smaller = F.coalesce("smaller", F.lit(0)) + F.col("lower")
-    rank = smaller + F.lit(0.5) * F.coalesce("same", F.lit(0))
-    return (placed.join(history_before(parts), ["signal", "t0_pos"])
-            .select("signal", "t0_pos", "value", "n_prior",
-                    F.when(F.col("n_prior") > 0, rank / F.col("n_prior")).alias("hist_pct")))
+    return _midranks(collapsed(rows), slices).select("signal", "t0_pos", "value", "n_prior", "hist_pct")
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
@@ -92,39 +103,25 @@ def collapsed(rows: DataFrame) -> DataFrame:
 
 
 def append_history(cells: DataFrame, path: str) -> None:
-    """File the counted scores of new days in the index at ``path``, each under its block of every level.
+    """File the counted scores of new days in the index at ``path``, in folders by span of days.
 
-    Only even blocks are ever asked, so only they are kept. What was filed before is not touched; a day
-    must be filed once and whole.
+    What was filed before is not touched; a day must be filed once and whole.
     """
-    block = F.expr("shiftright(t0_pos, level)")
-    fits = F.when(F.col("t0_pos") < 2 ** LEVELS, F.col("t0_pos")).otherwise(F.raise_error(F.lit("the index has no more days")).cast("int"))
-    filed = (cells.withColumn("t0_pos", fits).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-             .withColumn("block", block).filter(F.col("block") % 2 == 0)
-             .groupBy("signal", "level", "block", "value").agg(F.sum("n").alias("n")))
-    filed.write.mode("append").partitionBy("level").parquet(path)
+    fits = F.when(F.col("t0_pos") < INDEX_DAYS, F.col("t0_pos")).otherwise(F.raise_error(F.lit("the index has no more days")).cast("int"))
+    filed = cells.withColumn("t0_pos", fits).withColumn("span", F.floor(F.col("t0_pos") / SPAN_DAYS).cast("int"))
+    filed.select("signal", "t0_pos", F.col("value").cast("double").alias("value"), "n", "span").write.mode("append").partitionBy("span").parquet(path)
 
 
 def midrank_from_index(spark: SparkSession, path: str, cells: DataFrame, slices: int | None = None) -> DataFrame:
     """:func:`historical_midrank` of ``cells`` from the index, in which all earlier days are filed.
 
-    A day asks one block for each set bit of its number, so of the index only these blocks are read, and
-    days filed later change no answer. Values inside a block are counted by prefix sums over range
-    partitions, so a signal or block of any size is split.
+    Of the index only the spans of days before the last asked one are read, and days filed later change no
+    answer. The scores found are counted with the asked ones as a whole history is.
     """
-    index = spark.read.schema("signal string, block int, value double, n long, level int").parquet(path)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.expr("t0_pos").bitwiseAND(F.pow(F.lit(2), level).cast("int")) != 0)
-    asks = (cells.withColumn("level", F.explode(bits)).withColumn("block", F.expr("shiftright(t0_pos, level) - 1").cast("int"))
-            .select("signal", "level", "block", "value", "t0_pos"))
-    # bounded by the calendar: at most one block per day and level
-    wanted = asks.select("level", "block").distinct().filter(F.col("level") >= 0)
-    kept = index.join(F.broadcast(wanted), ["level", "block"], "left_semi").select("signal", "level", "block", "value", "n")
-    every = (kept.unionByName(asks.select("signal", "level", "block", "value", F.lit(0).cast("long").alias("n")))
-             .groupBy("signal", "level", "block", "value").agg(F.sum("n").alias("n")))
-    ranked = running_counts(every, ["signal", "level", "block"], "value", "n", slices)
-    found = (asks.join(ranked, ["signal", "level", "block", "value"]).groupBy("signal", "t0_pos", "value")
-             .agg(F.sum("total").alias("prior"), F.sum("below").alias("smaller"), F.sum("n").alias("same")))
-    n_prior = F.coalesce("prior", F.lit(0))
-    return (cells.select("signal", "t0_pos", "value").join(found, ["signal", "t0_pos", "value"], "left")
-            .select("signal", "t0_pos", "value", n_prior.alias("n_prior"),
-                    F.when(n_prior > 0, (F.col("smaller") + F.lit(0.5) * F.col("same")) / n_prior).alias("hist_pct")))
+    index = spark.read.schema("signal string, t0_pos int, value double, n long, span int").parquet(path)
+    last = cells.agg(F.max("t0_pos").alias("last"))
+    kept = index.filter((F.col("span") <= last.select(F.floor(F.col("last") / SPAN_DAYS).cast("int")).scalar()) & (F.col("t0_pos") < last.scalar()))
+    asks = cells.select("signal", "t0_pos", F.col("value").cast("double").alias("value"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    every = (kept.select("signal", "t0_pos", "value", "n", F.lit(False).alias("asked")).unionByName(asks)
+             .groupBy("signal", "t0_pos", "value").agg(F.sum("n").alias("n"), F.max("asked").alias("asked")))
+    return _midranks(every, slices).filter("asked").select("signal", "t0_pos", "value", "n_prior", "hist_pct")

@@ -10,29 +10,51 @@ is cut by literals, and nothing limits it.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from driftmark.session import checkpointed
 
 PART, PLACE = "part_no", "place_no"
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 # monotonically_increasing_id counts the rows of a partition in its lower 33 bits
 _IN_PARTITION = (1 << 33) - 1
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
+def with_columns(batch: pa.RecordBatch, **columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, columns.values())], names=[*batch.schema.names, *columns])
+
+
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None, *, then: Sequence[str] = (),
+           scan: Scan | None = None, adds: str = "") -> DataFrame:
     """``df`` sorted by (keys, order) and written, with ``part_no`` and the row's ``place_no`` in that partition.
 
-    Rows equal in all of (keys, order) share a partition. ``slices`` fixes the number of partitions.
+    Rows equal in all of (keys, order) share a partition, sorted by ``then``. ``slices`` fixes the number of partitions.
+    ``scan`` goes along the sorted batches of a partition and adds the columns ``adds`` to them.
     """
     columns = [*keys, *order]
     dealt = df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
-    return checkpointed(dealt.sortWithinPartitions(*columns).select(
+    dealt = dealt.sortWithinPartitions(*columns, *then)
+    if scan:
+        dealt = dealt.mapInArrow(scan, StructType([*df.schema.fields, *StructType.fromDDL(adds).fields]))
+    return checkpointed(dealt.select(
         "*", F.spark_partition_id().alias(PART), F.monotonically_increasing_id().bitwiseAND(F.lit(_IN_PARTITION)).alias(PLACE)))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add ``inside``: the sum of ``weight_n`` over the rows before, whatever their group."""
+    done = 0
+    for batch in batches:
+        upto = done + np.cumsum(weight := batch.column("weight_n").to_numpy())
+        done = int(upto[-1]) if len(upto) else done
+        yield with_columns(batch, inside=upto - weight)
+
+
 def _along(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
 
@@ -49,13 +71,15 @@ def running_counts(df: DataFrame, keys: Sequence[str], order: str, n: str | Colu
 
     Rows must be unique in (keys, order).
     """
-    weight = F.col(n) if isinstance(n, str) else n
-    placed = ranged(df.withColumn("weight_n", weight.cast("long")), keys, [order], slices)
-    before = Window.partitionBy(*keys, PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.withColumn("inside", F.coalesce(F.sum("weight_n").over(before), F.lit(0)))
-            .join(_carried(placed, keys, F.col("weight_n")), [*keys, PART])
+    weight = F.coalesce((F.col(n) if isinstance(n, str) else n).cast("long"), F.lit(0).cast("long"))
+    placed = ranged(df.withColumn("weight_n", weight), keys, [order], slices, scan=_running, adds="inside long")
+    # where a group begins in a partition, the running sum tells what other groups lie before it
+    totals = placed.groupBy(*keys, PART).agg(F.sum("weight_n").alias("slice_n"), F.min("inside").alias("others"))
+    carried = F.coalesce(F.sum("slice_n").over(_along(keys)), F.lit(0)) - F.col("others")
+    offsets = totals.select(*keys, PART, carried.alias("carried"), F.sum("slice_n").over(Window.partitionBy(*keys)).alias("total"))
+    return (placed.join(offsets, [*keys, PART])
             .withColumn("below", F.col("carried") + F.col("inside"))
-            .drop("carried", "inside", "weight_n", "first_place", PART, PLACE))
+            .drop("carried", "inside", "weight_n", PART, PLACE))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None) -> DataFrame:
