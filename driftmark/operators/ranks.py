@@ -22,37 +22,40 @@ def signal_rows(panel: DataFrame, signals: Sequence[str], keep: Sequence[str]) -
             .filter(F.col("value").isNotNull()))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, slices: int | None = None) -> DataFrame:
-    """``(keys…, n, x_varies, rho)`` by group: Pearson correlation of average ranks.
-
-    Rows are first collapsed to distinct (x, y) pairs with counts, before any shuffle of whole groups, and
-    the pairs are written once. Both sides are ranked together: the counts of their distinct values lie
-    sorted in one table, whose running sums give centred average ranks. Few distinct values make a small
-    table that adaptive execution broadcasts; with many the join shuffles, and a value that still stands
-    out is split. ``rho`` is null when either side is constant.
-    """
+def _pairs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """The distinct complete (x, y) of each group with counts, written once."""
     number = [F.col(c).cast("double").alias(a) for c, a in ((x, "x_value"), (y, "y_value"))]
     complete = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, *number)
-    pairs = checkpointed(complete.groupBy(*keys, "x_value", "y_value").agg(F.count("*").alias("pair_n")))
+    return checkpointed(complete.groupBy(*keys, "x_value", "y_value").agg(F.count("*").alias("pair_n")))
 
-    def side(name: str) -> Column:
-        return F.struct(F.lit(name).alias("side"), F.col(f"{name}_value").alias("side_value"), "pair_n")
 
-    counts = (pairs.select(*keys, F.inline(F.array(side("x"), side("y"))))
-              .groupBy("side", *keys, "side_value").agg(F.sum("pair_n").alias("ties")))
-    ranks = running_counts(counts, ["side", *keys], "side_value", "ties", slices)
-    centred = F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2
-    ranked = pairs
-    for name in ("x", "y"):
-        of_side = ranks.filter(F.col("side") == name).select(*keys, F.col("side_value").alias(f"{name}_value"), centred.alias(f"rank_{name}"))
-        ranked = ranked.join(of_side, [*keys, f"{name}_value"])
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, *, slices: int | None = None) -> DataFrame:
+    """``(keys…, n, x_varies, rho)`` by group: Pearson correlation of average ranks; see :func:`_rank_moments`.
+
+    ``rho`` is null when either side is constant.
+    """
+    return _rank_moments(_pairs(df, keys, x, y), keys, slices)
 
-    def moment(a: str, b: str) -> Column:
-        return F.sum(F.col("pair_n") * F.col(a) * F.col(b))
 
+def _rank_moments(pairs: DataFrame, keys: Sequence[str], slices: int | None) -> DataFrame:
+    """The correlation from counted pairs, which may come more than once.
+
+    The counts of the distinct y lie sorted in one table, whose running sums give centred average ranks. They
+    are joined to the pairs, which are then summed by x: all the correlation needs of an x is its count and the
+    sum of the ranks beside it. So the ranks of x are met in the sorted table of these sums, and no pair is joined to
+    them. Few distinct y make a small table that adaptive execution broadcasts; with many the join shuffles, and a
+    value that still stands out is split.
+    """
+    centred = F.col("below") + (F.col("ties") + 1) / 2 - (F.col("total") + 1) / 2
+    counts = pairs.groupBy(*keys, "y_value").agg(F.sum("pair_n").alias("ties"))
+    of_y = running_counts(counts, keys, "y_value", "ties", slices).select(*keys, "y_value", centred.alias("rank_y"))
+    weighted = F.col("pair_n") * F.col("rank_y")
+    by_x = pairs.join(of_y, [*keys, "y_value"]).groupBy(*keys, "x_value").agg(
+        F.sum("pair_n").alias("ties"), F.sum(weighted).alias("y"), F.sum(weighted * F.col("rank_y")).alias("yy"))
+    ranked = running_counts(by_x, keys, "x_value", "ties", slices).withColumn("rank_x", centred)
     sums = ranked.groupBy(*keys).agg(
-        F.sum("pair_n").alias("n"), moment("rank_x", "rank_y").alias("xy"),
-        moment("rank_x", "rank_x").alias("xx"), moment("rank_y", "rank_y").alias("yy"))
+        F.sum("ties").alias("n"), F.sum(F.col("rank_x") * F.col("y")).alias("xy"),
+        F.sum(F.col("ties") * F.col("rank_x") * F.col("rank_x")).alias("xx"), F.sum("yy").alias("yy"))
     spread = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
     return sums.select(*keys, "n", (F.col("xx") > 0).alias("x_varies"),
                        F.try_divide(F.col("xy"), spread).alias("rho"))
@@ -98,8 +101,9 @@ def scoped_spearman(rows: DataFrame, target: str, *, slices: int | None = None)
     pooled = F.lit("")
     scopes = [scope("season", F.col("season")), scope("all", pooled)]
     every = F.when(F.col("post_cutoff"), F.array(*scopes, scope("post", pooled))).otherwise(F.array(*scopes))
-    scoped = rows.filter(F.col(target).isNotNull()).select("signal", "value", target, F.inline(every))
-    return (spearman(scoped, ["signal", "scope", "scope_season"], "value", target, slices=slices)
+    pairs = _pairs(rows, ["signal", "season", "post_cutoff"], "value", target)
+    scoped = pairs.select("signal", "x_value", "y_value", "pair_n", F.inline(every))
+    return (_rank_moments(scoped, ["signal", "scope", "scope_season"], slices)
             .withColumnRenamed("scope_season", "season"))
 
 
@@ -144,6 +148,32 @@ def quantile_in_season(rows: DataFrame, q: int = 5, *, slices: int | None = None
             .drop("position", "total"))
 
 
+def extreme_quantiles(rows: DataFrame, q: int = 5, *, slices: int | None = None) -> DataFrame:
+    """The rows of :func:`quantile_in_season` in the first and the last quantile.
+
+    Only counted scores are sorted: they tell the quantiles of a score's first and last document. Two scores per
+    (signal, season) can lie across the edge of an outer quantile; the documents of these alone are put in order.
+    """
+    keys = ["signal", "season"]
+
+    def bucket(position: Column) -> Column:
+        return F.greatest(F.least(F.ceil(position / F.col("total") * q), F.lit(q)), F.lit(1)).cast("int")
+
+    counts = rows.groupBy(*keys, "value").agg(F.count("*").alias("ties"))
+    first, last = bucket(F.col("below") + 1), bucket(F.col("below") + F.col("ties"))
+    # one row per signal and season
+    edges = running_counts(counts, keys, "value", "ties", slices).withColumn("first", first).withColumn("last", last).groupBy(*keys).agg(
+        F.max("total").alias("total"), F.max(F.when(F.col("last") == 1, F.col("value"))).alias("low"), F.min(F.when(F.col("first") == q, F.col("value"))).alias("high"),
+        F.collect_list(F.when((F.col("first") != F.col("last")) & ((F.col("first") == 1) | (F.col("last") == q)), F.struct("value", "below"))).alias("split"))
+    placed = rows.join(F.broadcast(edges), keys).withColumn("cut", F.get(F.filter("split", lambda s: s["value"] == F.col("value")), F.lit(0))).drop("split")
+    whole = F.when(F.col("value") <= F.col("low"), 1).when(F.col("value") >= F.col("high"), q)
+    sure = placed.filter(F.col("cut").isNull()).withColumn("quantile", whole.cast("int")).filter(F.col("quantile").isNotNull())
+    tied = positions(placed.filter(F.col("cut").isNotNull()).withColumnRenamed("total", "documents"), [*keys, "value"], ["published_at", "ticker", "event_id"], slices)
+    tied = (tied.drop("total").withColumnRenamed("documents", "total").withColumn("quantile", bucket(F.col("cut.below") + F.col("position")))
+            .filter(F.col("quantile").isin(1, q)))
+    return sure.select(*rows.columns, "quantile").unionByName(tied.select(*rows.columns, "quantile"))
+
+
 def hit_rate(quantiled: DataFrame, target: str, q: int = 5) -> DataFrame:
     """Share of extreme-quantile documents whose return had the predicted sign, per signal."""
     top, bottom = F.col("quantile") == q, F.col("quantile") == 1

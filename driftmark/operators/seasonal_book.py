@@ -125,8 +125,8 @@ def holdings_report(legs: DataFrame, moves: DataFrame, periods: DataFrame, daily
 class SeasonalBook:
     """All frames of the seasonal book for every signal in ``rows``.
 
-    The legs (signals x rebalances x names) and the daily returns (signals x days) feed all the
-    rest and are written out once.
+    The latest documents and the legs (signals x rebalances x names) and the daily returns (signals x days)
+    feed all the rest and are written out once.
     """
 
     def __init__(self, rows: DataFrame, rets: DataFrame, calendar: DataFrame, *,
@@ -140,7 +140,11 @@ class SeasonalBook:
         self._leg_terms = (quantiles, min_names_per_leg)
         self._costs = (cost_bps, borrow_bps_annual)
         self.periods = hold_days(calendar, rebalances)
-        self.latest = latest_documents(rows, rebalances, lookback_days)
+        self._rows = rows
+
+    @cached_property
+    def latest(self) -> DataFrame:
+        return checkpointed(latest_documents(self._rows, *self._scored[1:]))
 
     @cached_property
     def legs(self) -> DataFrame:

@@ -138,7 +138,7 @@ def written_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The tidy tables of the report from one summary."""
-    summary = C.backtest_summary(spark, folder)
+    summary = checkpointed(C.backtest_summary(spark, folder))
     tables = {"stats": P.stats_table(summary, C.SIGNALS), "topics": P.topic_table(summary, C.SIGNALS[1:]), "thin": P.thin_book_table(summary, "tone")}
     out = None
     for name, table in tables.items():

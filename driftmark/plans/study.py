@@ -63,6 +63,15 @@ class Backtest:
         complete = self.panel.filter(F.col(target).isNotNull())
         return ranks.signal_rows(complete, self.signals, [*ROW_COLUMNS, target])
 
+    def keep_rows(self) -> None:
+        """Write the documents with a CAR, one row each, for statistics that read their scores several times.
+
+        Without it every reader of ``rows`` derives the documents anew; the books take the rows as they are when first asked for.
+        """
+        target = self.study.target
+        kept = checkpointed(self.panel.filter(F.col(target).isNotNull()).select(*ROW_COLUMNS, target, *self.signals))
+        self.rows = ranks.signal_rows(kept, self.signals, [*ROW_COLUMNS, target])
+
     @cached_property
     def rank_table(self) -> DataFrame:
         """Rank correlations of every season, of all documents and of those after the cutoff."""
@@ -106,15 +115,15 @@ class Backtest:
     def summary(self) -> DataFrame:
         """One row per signal with every statistic of the evaluation, also for a signal without scored rows."""
         # ten statistics follow from these rows: the one document-sized table a study writes
-        self.rows = checkpointed(self.rows)
+        self.keep_rows()
         target = self.study.target
         spark = self.panel.sparkSession
-        quantiled, *_ = together(self.quantiled, lambda: self.rank_table, lambda: self.seasonal.returns, lambda: self.event_time.returns)
+        extremes, *_ = together(lambda: ranks.extreme_quantiles(self.rows, self.q, slices=self.slices), lambda: self.rank_table, lambda: self.seasonal.returns, lambda: self.event_time.returns)
         out = spark.createDataFrame([(s,) for s in self.signals], "signal string")
         # a few rows per signal each; written, so that the joins below neither repeat nor plan what leads to them
         performance, regression, *parts = together(*[lambda make=make: None if (df := make()) is None else checkpointed(df) for make in (
             lambda: self.performance, lambda: self.factor_rows, lambda: ranks.pooled_ics(self.rank_table), lambda: ranks.ic_summary(self.ics),
-            lambda: ranks.hit_rate(quantiled, target, self.q), self.seasonal.period_stats, self.event_time.exposure)])
+            lambda: ranks.hit_rate(extremes, target, self.q), self.seasonal.period_stats, self.event_time.exposure)])
         for kind in ("seasonal", "event"):
             parts.append(_side_by_side(performance.filter(F.col("kind") == kind), kind))
             if regression is not None:

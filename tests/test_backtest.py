@@ -64,3 +64,19 @@ def test_delay_zero_is_the_book_itself(warehouse):
     plain = {(r.signal, r.pos): r.net for r in book.returns.collect()}
     zero = {(r.signal, r.pos): r.net for r in book.delayed_returns([0]).filter(F.col("delay_days") == 0).collect()}
     assert zero == pytest.approx(plain)
+
+
+def test_kept_rows_and_latest_documents_are_read_as_written(warehouse):
+    kept, lazy = run(warehouse), run(warehouse)
+    kept.keep_rows()
+    for frame in (kept.rows, kept.seasonal.latest):
+        assert not any("lineitem" in f or "orders" in f for f in frame.inputFiles())
+    columns = ["signal", "event_id", "t0_pos", "value", kept.study.target]
+    assert sorted(map(tuple, kept.rows.select(*columns).collect())) == sorted(map(tuple, lazy.rows.select(*columns).collect()))
+
+
+def test_limits_open_the_positions_of_the_legs(warehouse):
+    book = run(warehouse).event_time
+    want = book.documents().filter("leg <> 0").groupBy("signal", "ticker", "t0_pos", "leg").count()
+    assert sorted(map(tuple, book.positions.collect())) == sorted(map(tuple, want.collect()))
+    assert book.positions.count() > 20

@@ -138,3 +138,14 @@ def test_running_counts_positions_and_previous_value_in_slices(spark):
         seen[k] = seen.get(k, 0) + 1
         assert place[(k, v)] == seen[k] and before[(k, v)] == prev.get(k)
         prev[k] = n
+
+
+def test_extreme_quantiles_are_those_of_the_whole_sort(spark):
+    df = with_time(spark.createDataFrame(noisy_rows(), ROWS)).repartition(5)
+    lone = with_time(spark.createDataFrame([("sig", f"t{n}", f"x{n}-{i}", "T", i, 1.0, 0.5) for n in (1, 2, 4, 7) for i in range(n)], ROWS))
+    rows = df.unionByName(df.withColumns({"signal": F.lit("free"), "value": F.col("value") + F.col("car") / 100})).unionByName(lone)
+    for q in (2, 5):
+        want = {(r.signal, r.event_id): r.quantile for r in R.quantile_in_season(rows, q).collect() if r.quantile in (1, q)}
+        for slices in (None, 4):
+            got = R.extreme_quantiles(rows, q, slices=slices).collect()
+            assert {(r.signal, r.event_id): r.quantile for r in got} == want and len(got) == len(want)
