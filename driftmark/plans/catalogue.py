@@ -649,6 +649,8 @@ def backtest_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def main_test(spark: SparkSession, folder: str) -> DataFrame:
     b = backtest(spark, folder)
+    b.keep_rows()
+    together(lambda: b.rank_table, lambda: b.seasonal.returns)
     seasonal = perf_stats(b.seasonal.returns, ["signal"], "net").select(
         "signal", F.col("sharpe").alias("seasonal_net_sharpe"), F.col("sharpe_se").alias("seasonal_net_sharpe_se"))
     summary = R.ic_summary(b.ics).join(seasonal, "signal", "left")
@@ -657,6 +659,8 @@ def main_test(spark: SparkSession, folder: str) -> DataFrame:
 
 def main_verdict(spark: SparkSession, folder: str) -> DataFrame:
     b = backtest(spark, folder)
+    b.keep_rows()
+    together(lambda: b.rank_table, lambda: b.seasonal.returns)
     seasonal = perf_stats(b.seasonal.returns, ["signal"], "net").select("signal", F.col("sharpe").alias("seasonal_net_sharpe"))
     return tidy(P.main_test_verdict(R.ic_summary(b.ics).join(seasonal, "signal", "left"), "tone"), digits=8)
 
