@@ -31,11 +31,16 @@ def document_legs(rows: DataFrame, legs: DataFrame) -> DataFrame:
 
 
 def positions_from(rows: DataFrame, legs: DataFrame) -> DataFrame:
-    """``(signal, ticker, t0_pos, leg, n)`` for documents that open a position."""
-    grouped = rows.groupBy("signal", "ticker", "t0_pos", "value").agg(F.count("*").alias("n"))
-    opened = legs.filter(F.col("leg") != 0).select("signal", "t0_pos", "value", "leg")
-    return (grouped.join(opened, ["signal", "t0_pos", "value"])
-            .groupBy("signal", "ticker", "t0_pos", "leg").agg(F.sum("n").alias("n")))
+    """``(signal, ticker, t0_pos, leg, n)`` for documents that open a position.
+
+    A higher score of a day never stands lower in the history, so a day's legs are two limits: one row per
+    signal and day, which meets the documents by broadcast.
+    """
+    limits = legs.filter(F.col("leg") != 0).groupBy("signal", "t0_pos").agg(
+        F.max(F.when(F.col("leg") == -1, F.col("value"))).alias("low"), F.min(F.when(F.col("leg") == 1, F.col("value"))).alias("high"))
+    leg = F.when(F.col("value") <= F.col("low"), -1).when(F.col("value") >= F.col("high"), 1)
+    return (rows.join(F.broadcast(limits), ["signal", "t0_pos"]).withColumn("leg", leg).filter(F.col("leg").isNotNull())
+            .groupBy("signal", "ticker", "t0_pos", "leg").agg(F.count("*").alias("n")))
 
 
 def event_time_returns(positions: DataFrame, rets: DataFrame, market: DataFrame, calendar: DataFrame,

@@ -668,7 +668,9 @@ def main_verdict(spark: SparkSession, folder: str) -> DataFrame:
 def noise_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Books whose six-factor alpha looks significant, flagged by the rule of the report."""
     w = Warehouse(spark, folder)
-    b = Backtest(w.study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=split_returns(w))
+    factors, _ = together(lambda: split_returns(w), lambda: w.study.windows)
+    b = Backtest(w.study, SIGNALS, training_cutoff=LATE_CUTOFF, factors=factors)
+    b.keep_rows()
 
     def alpha(kind: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col("alpha_t")))
