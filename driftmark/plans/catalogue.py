@@ -685,10 +685,10 @@ def model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     The raters have score tables of their own, joined to the events by id.
     """
     w = Warehouse(spark, folder)
-    d = w.documents_on_orders
+    d = checkpointed(w.documents_on_orders.select("event_id", "ticker", "published_at", "size", "guidance_tone", "guidance_other"))
     events = with_scores(d.select("event_id", "ticker", "published_at", "size"), d.select("event_id", "guidance_tone"), d.select("event_id", "guidance_other"))
     study = EventStudy(events, w.market, hold_days=HOLD_WEEKS)
-    summary = Backtest(study, ["guidance_tone", "guidance_other", "size"], training_cutoff=LATE_CUTOFF).summary()
+    summary = checkpointed(Backtest(study, ["guidance_tone", "guidance_other", "size"], training_cutoff=LATE_CUTOFF).summary())
 
     def of(rater: str) -> DataFrame:
         return summary.filter(F.col("signal").isin(rater, "size")).withColumn("signal", F.when(F.col("signal") == rater, "primary").otherwise("size"))
