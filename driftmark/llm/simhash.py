@@ -193,7 +193,8 @@ def fingerprint_links(classes: DataFrame, radius: int = RADIUS, segments: int =
     sizes = keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     blocks = F.greatest(F.lit(1), F.ceil(2 * F.col("rows") / BUCKET_ROWS)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    spread = (keys.join(sizes, "key").withColumn("blocks", F.when(F.col("rows") > BUCKET_ROWS, blocks).otherwise(1))
+    # Spark sizes the keys as the fingerprints they come from, dozens of times too low: neither side may be broadcast
+    spread = (keys.join(sizes.hint("merge"), "key").withColumn("blocks", F.when(F.col("rows") > BUCKET_ROWS, blocks).otherwise(1))
               .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", (F.least("own", "other") * F.lit(1 << 31) + F.greatest("own", "other")).cast("bigint").alias("block"), "fp"))
     parts = int(session.conf.get("spark.sql.shuffle.partitions"))

@@ -40,3 +40,11 @@ def test_stage_odd(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     assert kept.count() == len(set(brute.groups([brute.fingerprint(t) for _, t in rows])))
     assert corpus_pipeline.first_of_group(spark, odd(spark).limit(0), "").count() == 0
+
+
+def test_no_side_of_the_key_join_is_broadcast(spark):
+    """Spark sizes the keys as the fingerprints they come from; broadcast, they fill the driver."""
+    links = simhash.fingerprint_links(spark.range(50).selectExpr("id * 3 as fp"))
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
