@@ -90,24 +90,37 @@ class _Lists:
     def __init__(self, low: np.ndarray, high: np.ndarray, top: int) -> None:
         self.low, self.high, self.top = low, high, top
         self.least = low.copy()
-        self.owner = np.zeros(0, np.int64)
-        self.score = np.zeros(0, np.int64)
-        self.id: np.ndarray = np.zeros(0, object)
+        self.count = np.zeros(len(low), np.int64)
+        self.score = np.zeros((len(low), top), np.int64)
+        self.id: np.ndarray | None = None
 
     def add(self, owner: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        """Take the rows that belong to the best of their list; ``least`` rises where a list is full."""
+        """Take the rows that belong to the best of their list; ``least`` rises where a list is full.
+
+        Only the lists that get a row are sorted anew.
+        """
         good = (score >= self.least[owner]) & (score <= self.high[owner])
         if not good.any():
             return
-        owner, score, ids = (np.concatenate(x) for x in ((self.owner, owner[good]), (self.score, score[good]), (self.id, ids[good])))
-        order = np.lexsort((ids, ~score, owner))
-        owner, score, ids = owner[order], score[order], ids[order]
-        first = np.searchsorted(owner, owner)
-        rank = np.arange(len(owner)) - first
+        if self.id is None:
+            self.id = np.zeros(self.score.shape, ids.dtype if ids.dtype.kind in "iu" else object)
+        lists, own = np.unique(owner[good], return_inverse=True)
+        held = np.arange(self.top) < self.count[lists][:, None]
+        own, score, ids = (np.concatenate(x) for x in ((np.nonzero(held)[0], own), (self.score[lists][held], score[good]), (self.id[lists][held], ids[good])))
+        order = np.lexsort((ids, ~score, own))
+        own, score, ids = own[order], score[order], ids[order]
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
         keep = rank < self.top
-        self.owner, self.score, self.id = owner[keep], score[keep], ids[keep]
-        full = rank == self.top - 1
-        self.least[owner[full]] = np.maximum(self.least[owner[full]], score[full])
+        at = lists[own[keep]], rank[keep]
+        self.score[at], self.id[at] = score[keep], ids[keep]
+        self.count[lists] = np.minimum(np.bincount(own, minlength=len(lists)), self.top)
+        full = lists[self.count[lists] == self.top]
+        self.least[full] = np.maximum(self.least[full], self.score[full, -1])
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, list]:
+        """(owner, score, id) of all that is held."""
+        held = np.arange(self.top) < self.count[:, None]
+        return np.nonzero(held)[0], self.score[held], self.id[held].tolist() if self.id is not None else []
 
 
 def _walk(points: DataFrame, anchors: dict, low: np.ndarray, high: np.ndarray, lists: int, top: int, same: bool, scale: float) -> DataFrame:
@@ -121,6 +134,7 @@ def _walk(points: DataFrame, anchors: dict, low: np.ndarray, high: np.ndarray, l
         found = _Lists(low, high, top)
         u, ids, labels, length = a["vectors"], a["ids"], a["labels"], _lengths(a["vectors"])
         members = [np.flatnonzero(a["cluster"] == c) for c in range(len(a["centroids"]))]
+        narrow_u, longest = u.astype(np.float32), length.max(initial=0.0)
         spread = [_angles(u[m], length[m], c).max() if len(m) else 0.0 for m, c in zip(members, a["centroids"])]
         for batch in batches:
             for at in range(0, batch.num_rows, LIST_ROWS):
@@ -128,6 +142,8 @@ def _walk(points: DataFrame, anchors: dict, low: np.ndarray, high: np.ndarray, l
                 x = _matrix(part.column(2), u.shape[1], scale)
                 x_ids = part.column(0).to_numpy(zero_copy_only=False)
                 x_labels, size = part.column(1).to_numpy(zero_copy_only=False), _lengths(x)
+                narrow = longest * size.max(initial=0.0) < 2 ** 24
+                narrow_x = x.astype(np.float32) if narrow else None
                 for m, phi, centroid in zip(members, spread, a["centroids"]):
                     if not len(m):
                         continue
@@ -136,18 +152,26 @@ def _walk(points: DataFrame, anchors: dict, low: np.ndarray, high: np.ndarray, l
                     order = np.argsort(-bound, kind="stable")
                     for k in range(0, len(order), STEP_ROWS):
                         need = found.least.reshape(-1, lists)[m].min(axis=1).astype(np.float64)
-                        m = m[~(length[m] * bound[order[k]] * (1 + 1e-9 * np.sign(bound[order[k]])) + 1 < need)]
+                        going = ~(length[m] * bound[order[k]] * (1 + 1e-9 * np.sign(bound[order[k]])) + 1 < need)
+                        m, need = m[going], need[going]
                         if not len(m):
                             break
                         rows = order[k:k + STEP_ROWS]
-                        score = _products(u[m], x[rows])
-                        alike = labels[m][:, None] == x_labels[rows][None, :]
-                        good = (score >= found.least.reshape(-1, lists)[m].min(axis=1)[:, None]) & (alike if same else ~alike) & (ids[m][:, None] != x_ids[rows][None, :])
+                        # whole numbers below 2 ** 24, as are all sums on the way: single precision is exact
+                        score = narrow_u[m] @ narrow_x[rows].T if narrow else _products(u[m], x[rows])
+                        good = score >= (need.astype(np.float32) if narrow else found.least.reshape(-1, lists)[m].min(axis=1))[:, None]
+                        if labels.dtype != object:
+                            good &= (labels[m][:, None] == x_labels[rows][None, :]) == same
                         i, j = np.nonzero(good)
-                        for slot in range(lists if len(i) else 0):
-                            found.add(m[i] * lists + slot, score[i, j], x_ids[rows][j])
-        if len(found.owner):
-            yield pa.RecordBatch.from_arrays([pa.array(found.owner, pa.int64()), pa.array(found.id.tolist(), kind), pa.array(found.score, pa.int64())], schema.names)
+                        if not len(i):
+                            continue
+                        score, i, j = score[i, j].astype(np.int64), m[i], rows[j]
+                        fits = ((labels[i] == x_labels[j]) == same) & (ids[i] != x_ids[j])
+                        score, i, j = score[fits], i[fits], j[fits]
+                        found.add((i[:, None] * lists + np.arange(lists)).ravel(), np.repeat(score, lists), np.repeat(x_ids[j], lists))
+        owner, score, kept = found.rows()
+        if len(owner):
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(kept, kind), pa.array(score, pa.int64())], schema.names)
 
     return points.mapInArrow(run, schema)
 

@@ -169,3 +169,25 @@ def test_text_ids(spark):
     got = sorted(tuple(r) for r in H.hard_negatives(df, F.col("vec_id").endswith("0")).collect())
     want = [(f"{a:03d}", f"{p:03d}", r, f"{n:03d}", s, t) for a, p, r, n, s, t in plain_negatives([(int(i), v, lab) for i, v, lab in rows])]
     assert got == sorted(want)
+
+
+def test_a_list_that_gets_a_row_sorts_no_other(monkeypatch):
+    """Work follows the rows taken, not all that is held; scores stay exact in either precision."""
+    n, top = 3000, 5
+    lists = H._Lists(np.full(n, H._LEAST), np.full(n, H._MOST), top)
+    rng = np.random.default_rng(8)
+    owner, score, ids = rng.integers(0, n, 40_000), rng.integers(-50, 50, 40_000), rng.permutation(40_000)
+    lists.add(owner, score, ids)
+    sizes, sort = [], np.lexsort
+    monkeypatch.setattr(H.np, "lexsort", lambda keys: sizes.append(len(keys[0])) or sort(keys))
+    lists.add(np.array([7, 7, 9]), np.array([60, 70, 60]), np.array([-1, -2, -3]))
+    assert sizes and max(sizes) <= 3 + 2 * top
+    rows = sorted([*zip(owner.tolist(), (-score).tolist(), ids.tolist()), (7, -60, -1), (7, -70, -2), (9, -60, -3)])
+    want = [r for k, r in enumerate(rows) if k < top or rows[k - top][0] != r[0]]
+    assert [(o, -s, i) for o, s, i in zip(*lists.rows())] == want
+
+
+def test_long_vectors_are_scored_exactly(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, (v := np.array(x) * (300 if i % 3 else 1)).tolist(), lab) for i, x, lab in vectors(rng, 120)]
+    assert mined(spark, rows) == plain_negatives(rows)
