@@ -82,8 +82,8 @@ def fingerprints(words_: Column, lengths: list[int]) -> Column:
 
 
 def _bounded(df: DataFrame) -> DataFrame:
-    """Broadcast a narrow table whose row count is within the bound; else let Spark shuffle it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """Broadcast a narrow table whose row count is within the bound; else both sides are shuffled, as exploded ones are sized too low."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _starts(words_: Column, found: Column, length: Column, lengths: list[int]) -> Column:

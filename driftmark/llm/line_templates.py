@@ -115,9 +115,11 @@ def recurring_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str
     often = written(leaves.distinct().select(F.explode(F.array_distinct("leaves")).alias("leaf")).filter("leaf is not null")
                     .groupBy("leaf").agg(F.count("*").alias("documents")).filter(F.col("documents") >= MIN_DOCUMENTS).select("leaf"))
     found = lines.join(often, "leaf").groupBy("id", "text_hash").agg(F.collect_set(F.struct("line", "leaf")).alias("found"))
-    others = leaves.distinct().select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), _lows(F.array_distinct(F.array_compact("leaves"))).alias("lows"))
+    others = leaves.distinct().select(F.col("id").alias("l_id"), F.col("text_hash").alias("l_hash"), "leaves")
     same = F.col("id").eqNullSafe(F.col("l_id")) & (F.col("text_hash") == F.col("l_hash"))
-    lines = written(found.join(others, same).select("id", "text_hash", "lows", F.inline("found"))
+    # the lows, far larger than Spark sizes them, are made behind the join, so that no side brings them along
+    lows = _lows(F.array_distinct(F.array_compact("leaves"))).alias("lows")
+    lines = written(found.join(others, same).select("id", "text_hash", lows, "found").select("id", "text_hash", "lows", F.inline("found"))
                     .select("id", "text_hash", "line", "leaf", _sketch(F.col("lows"), F.col("leaf")).alias("sketch")))
     wanted = (lines.join(_recurring(lines, "leaf"), "leaf").groupBy("id", "text_hash")
               .agg(F.collect_set(F.struct("line", "leaf", "sketch")).alias("found"))

@@ -1,7 +1,7 @@
 """Recurring lines whose documents are told apart without the operator's own sketches."""
 import random
 
-from driftmark.llm import line_templates
+from driftmark.llm import decontaminate, line_templates
 
 from . import brute
 from .test_documents import frame
@@ -75,3 +75,28 @@ def test_lines_as_judged_one_by_one(spark):
     found = {r.id: sorted(r.lines) for r in line_templates.recurring_lines(frame(spark, rows)).collect()}
     want = {i: d for (i, _), d in zip(rows, brute.recurring_lines(rows)) if d}
     assert found == want and len(want) > 20
+
+
+def test_lows_are_made_behind_the_join(spark, monkeypatch):
+    """A sketch's lows are far larger than Spark sizes them: a side of a join that held them could be broadcast."""
+    plans, write = [], line_templates.written
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(line_templates, "written", kept)
+    rows = [(i, f"all rights reserved by us\n{'abcdefgh'[i]} writes this line") for i in range(8)]
+    assert line_templates.recurring_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).count() == 8
+    made = [p for p in plans if " AS lows" in p]
+    assert made and all(" Join " in p and p.index(" AS lows") < p.index(" Join ") for p in made)
+
+
+def test_many_marks_are_shuffled(spark, monkeypatch):
+    """Beyond the bound neither side is broadcast, though the exploded side is sized too low."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 3)
+    prints = spark.range(20).selectExpr("explode(array(id, id + 1)) as print")
+    few, many = (prints.join(decontaminate._bounded(spark.range(n).selectExpr("id as print")), "print") for n in (3, 4))
+    assert few.count() == 5 and many.count() == 7
+    few, many = (df._jdf.queryExecution().executedPlan().toString() for df in (few, many))
+    assert "BroadcastHashJoin" in few and "SortMergeJoin" in many and "Broadcast" not in many
